@@ -26,8 +26,12 @@ def build_session(app: str = "descry", master: str | None = None, **conf: str) -
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Runtime settings a borrowed session also needs: all times are UTC."""
+    """Runtime settings a borrowed session also needs.
+
+    All times are UTC, and a repeated key in a line of pairs keeps its last value.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     return spark
 
 
