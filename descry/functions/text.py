@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHARSET = "ISO-8859-1"
@@ -15,6 +15,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns whose expressions run exactly once per row.
+
+    Without this, a filter on a costly column is pushed below the projection
+    that computes it, and the expression is copied into the filter, once per
+    use.  A generator stops that; it stays inside whole-stage code.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline_outer(F.array(row)))
+
+
 def as_text(raw: Column) -> Column:
     """Bytes to text, one character per byte, so offsets and digests agree."""
     return F.decode(raw, CHARSET)
@@ -33,6 +45,14 @@ def lines_of(text: Column) -> Column:
     return F.split(F.regexp_replace(unix_lines(text), r"\n\z", ""), "\n", -1)
 
 
+def sections(text: Column, start: str) -> Column:
+    """Cut a text before each line matching ``start``.
+
+    The first element is what precedes the first such line (after a newline).
+    """
+    return F.split(F.concat(F.lit("\n"), text), rf"(?<=\n)(?={start})", -1)
+
+
 def fields_of(line: Column) -> Column:
     """Fields between single blanks; trailing blanks do not make fields."""
     return F.split(F.rtrim(line), " ", -1)

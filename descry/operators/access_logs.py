@@ -15,6 +15,7 @@ from descry.formats import (
     LOG_METHODS,
     LOG_PATH_PATTERN,
 )
+from descry.functions.text import once
 from descry.operators.keys import keep_last, merge_counts
 
 HOSTS = ("virtual_host", "physical_host")
@@ -28,16 +29,16 @@ def parse_log_path(df: DataFrame, path_col: str = "path") -> DataFrame:
     name = F.element_at(F.split(path_col, "/"), -1)
     parent = F.try_element_at(F.split(path_col, "/"), F.lit(-2))
     part = lambda i: F.regexp_extract(name, LOG_PATH_PATTERN, i)
-    return (
-        df.withColumn("virtual_host", part(1))
-        .withColumn("physical_host", parent)
-        .withColumn("file_date", F.to_date(F.try_to_timestamp(part(2), F.lit("yyyyMMdd"))))
-        .withColumn("file_type", F.lower(part(3)))
-        .filter(
-            (F.col("virtual_host") != "")
-            & (F.col("physical_host") != "")
-            & F.col("file_date").isNotNull()
-        )
+    return once(
+        df,
+        virtual_host=part(1),
+        physical_host=parent,
+        file_date=F.to_date(F.try_to_timestamp(part(2), F.lit("yyyyMMdd"))),
+        file_type=F.lower(part(3)),
+    ).filter(
+        (F.col("virtual_host") != "")
+        & (F.col("physical_host") != "")
+        & F.col("file_date").isNotNull()
     )
 
 
@@ -58,23 +59,26 @@ def parse_access_log(df: DataFrame, line_col: str = "line") -> DataFrame:
         "(?s)" + LOG_LINE_PATTERN.replace("(.*)", "[^\\n]*") + ".*",
         _SEP + _SEP.join(["$1", "$4$5$6", "$7", "$9", "$10", "$11", "$8"]),
     )
+    f = F.col("__f")
     fields = F.when(~line.startswith(_SEP), F.split(rewritten, _SEP, 8))
-    time = F.try_to_timestamp(F.col("__f")[2], F.lit("dd/MMM/yyyy:HH:mm:ss xx"))
+    matched = once(df, __f=fields).filter((F.size(f) == 8) & (f[0] == ""))
+    time = F.try_to_timestamp(f[2], F.lit("dd/MMM/yyyy:HH:mm:ss xx"))
     return (
-        df.withColumn("__f", fields)
-        .filter((F.size("__f") == 8) & (F.col("__f")[0] == ""))
-        .withColumn("ip", F.col("__f")[1])
-        .withColumn("log_date", F.to_date(time))
-        .withColumn("method", F.col("__f")[3])
-        .withColumn("protocol", F.col("__f")[4])
-        .withColumn("status", F.col("__f")[5].try_cast("int"))
-        .withColumn("size", F.nullif(F.col("__f")[6], F.lit("-")).try_cast("int"))
-        .withColumn("request", F.col("__f")[7])
+        once(
+            matched,
+            ip=f[1],
+            log_date=F.to_date(time),
+            method=f[3],
+            protocol=f[4],
+            status=f[5].try_cast("int"),
+            size=F.nullif(f[6], F.lit("-")).try_cast("int"),
+            request=f[7],
+        )
         .filter(
             F.col("log_date").isNotNull()
             & F.col("status").isNotNull()
             & F.col("method").isin(*LOG_METHODS)
-            & (F.col("size").isNotNull() | (F.col("__f")[6] == "-"))
+            & (F.col("size").isNotNull() | (f[6] == "-"))
         )
         .drop("__f")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from descry.formats import ANNOTATIONS, BUNDLES, LAYOUTS, UNDATED_BUNDLES
 from descry.functions.text import as_bytes, as_text
+from descry.functions.times import at
 from descry.operators.keys import new_rows
 
 
@@ -122,8 +123,8 @@ def assign_monthly_bundle(
         day=1, hour=0, minute=0, second=0, microsecond=0
     )
     undated = [k for k, b in BUNDLES.items() if b in UNDATED_BUNDLES]
-    current = (F.col(time) >= F.lit(start).cast("timestamp")) & (
-        F.col(time) < F.lit(next_month).cast("timestamp")
+    current = (F.col(time) >= at(start)) & (
+        F.col(time) < at(next_month)
     )
     return df.filter(current | F.col(kind).isin(*undated)).withColumn(
         "bundle", bundle_name(F.col(kind), F.col(time))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from descry.formats import ANNOTATIONS, DELETION_GRACE
 from descry.functions.digests import file_digest
-from descry.functions.text import as_text, unix_lines
+from descry.functions.text import as_text, sections, unix_lines
+from descry.functions.times import at
 from descry.operators.archive import annotated_kind
 from descry.operators.documents import document_time
 
@@ -22,7 +23,7 @@ def index_file(files: DataFrame) -> DataFrame:
     parse is ignored.
     """
     text = unix_lines(as_text(F.col("content")))
-    documents = F.filter(F.split(text, r"(?dm)^(?=@type )", -1), lambda d: d.startswith("@type "))
+    documents = F.filter(sections(text, "@type "), lambda d: d.startswith("@type "))
 
     def facts(document: Column) -> Column:
         kind = annotated_kind(document)
@@ -92,7 +93,6 @@ def reconcile_index(
     ``index`` has path, last_modified, marked_for_deletion; ``listing`` path and
     last_modified of files that exist now.  Both are unique by path.
     """
-    at = F.lit(now).cast("timestamp")
     old, new, mark = F.col("__old"), F.col("__new"), F.col("marked_for_deletion")
     joined = index.select(
         "path", F.col("last_modified").alias("__old"), "marked_for_deletion", F.lit(1).alias("__i")
@@ -107,14 +107,14 @@ def reconcile_index(
         .when(exists & mark.isNotNull(), "unmark")
         .when(exists, "keep")
         .when(mark.isNull(), "mark")
-        .when(mark < at - F.make_dt_interval(secs=F.lit(grace.total_seconds())), "delete")
+        .when(mark < at(now - grace), "delete")
         .otherwise("wait")
     )
     return joined.select(
         "path",
         F.when(exists, new).otherwise(old).alias("last_modified"),
         action.alias("action"),
-        F.when(~exists, F.coalesce(mark, at)).alias("marked_for_deletion"),
+        F.when(~exists, F.coalesce(mark, at(now))).alias("marked_for_deletion"),
     )
 
 

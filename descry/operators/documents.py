@@ -21,8 +21,11 @@ from descry.functions.text import (
     fields_of,
     first_body_line,
     last_line_value,
+    let,
     lines_of,
+    once,
     parse_time,
+    sections,
     unix_lines,
 )
 
@@ -55,7 +58,26 @@ def classify(text: Column) -> Column:
 
 
 def classify_descriptor(df: DataFrame, raw: str = "raw", alias: str = "kind") -> DataFrame:
-    return df.withColumn(alias, classify(unix_lines(as_text(F.col(raw)))))
+    return once(df, **{alias: classify(unix_lines(as_text(F.col(raw))))})
+
+
+def documents_in(text: Column, kind: str) -> Column:
+    """All documents of one kind in a concatenated text."""
+    return F.regexp_extract_all(text, F.lit(DOCUMENT_PATTERNS[kind]), F.lit(0))
+
+
+def explode_documents(df: DataFrame, found: Column, kind: Column, raw: str = "raw") -> DataFrame:
+    """One row per document text in ``found``, with its position.
+
+    The outer form keeps the optimizer from running ``found`` a second time in
+    an inferred filter.
+    """
+    others = [c for c in df.columns if c not in (raw, "kind")]
+    return (
+        df.select(*others, kind.alias("kind"), F.posexplode_outer(found).alias("pos", "__text"))
+        .filter(F.col("pos").isNotNull())
+        .select(*others, "pos", "kind", as_bytes(F.col("__text")).alias(raw))
+    )
 
 
 def split_descriptors(df: DataFrame, kind: str, raw: str = "raw") -> DataFrame:
@@ -64,17 +86,27 @@ def split_descriptors(df: DataFrame, kind: str, raw: str = "raw") -> DataFrame:
     A truncated tail is dropped; votes and microdescriptors run to the next
     start or the end.
     """
-    found = F.regexp_extract_all(as_text(F.col(raw)), F.lit(DOCUMENT_PATTERNS[kind]), F.lit(0))
-    others = [c for c in df.columns if c != raw]
-    return df.select(*others, F.posexplode(found).alias("pos", "__text")).select(
-        *others, "pos", F.lit(kind).alias("kind"), as_bytes(F.col("__text")).alias(raw)
-    )
+    return explode_documents(df, documents_in(as_text(F.col(raw)), kind), F.lit(kind), raw)
+
+
+def split_by_kind(files: DataFrame, raw: str = "raw") -> DataFrame:
+    """Documents of files that hold any kind, in one pass over the files.
+
+    Files of descriptors are split; statuses and bandwidth files are one
+    document each; files of unknown kind are dropped.
+    """
+    text = as_text(F.col(raw))
+    found = F.when(F.col("kind") != "unknown", F.array(text))
+    for kind in ("server", "extra-info", "microdescriptor"):
+        found = F.when(F.col("kind") == kind, documents_in(text, kind)).otherwise(found)
+    return explode_documents(classify_descriptor(files, raw), found, F.col("kind"), raw)
 
 
 def split_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """Lines of a text with their position."""
     others = [c for c in df.columns if c != text]
-    return df.select(*others, F.posexplode(lines_of(F.col(text))).alias("pos", "line"))
+    lines = F.posexplode_outer(lines_of(F.col(text))).alias("pos", "line")
+    return df.select(*others, lines).filter(F.col("pos").isNotNull())
 
 
 def with_digest(df: DataFrame, kind: str, raw: str = "raw", alias: str = "digest") -> DataFrame:
@@ -84,47 +116,51 @@ def with_digest(df: DataFrame, kind: str, raw: str = "raw", alias: str = "digest
 # --- network statuses ----------------------------------------------------------
 
 
-def _is_bad_m_line(line: Column) -> Column:
-    f = fields_of(line)
-    consensus_style = (F.size(f) == 2) & (F.length(F.get(f, F.lit(1))) == 43)
-    third = F.get(f, F.lit(2))
-    vote_style = (F.size(f) == 3) & third.startswith("sha256=") & (F.length(third) == 50)
-    return ~(consensus_style | F.coalesce(vote_style, F.lit(False)))
+def _m_digest(line: Column) -> Column:
+    """Digest of an m line, empty for the style of votes, null when malformed."""
+
+    def digest(f: Column) -> Column:
+        second, third = F.get(f, F.lit(1)), F.get(f, F.lit(2))
+        return F.when((F.size(f) == 2) & (F.length(second) == 43), base64_to_hex(second)).when(
+            (F.size(f) == 3) & third.startswith("sha256=") & (F.length(third) == 50), ""
+        )
+
+    return let(fields_of(line), digest)
 
 
 def _entry(part: Column) -> Column:
     """One entry: its identity fields, accepted m lines, and where it broke off."""
-    lines = F.split(part, "\n")
-    f = fields_of(lines[0])
-    n = F.size(f)
-    m_lines = F.filter(lines, lambda x: x.startswith("m "))
-    bad_at = F.array_position(F.transform(m_lines, _is_bad_m_line), True)
-    good_m = F.when(bad_at == 0, m_lines).otherwise(
-        F.slice(m_lines, 1, F.greatest(bad_at.cast("int") - 1, F.lit(0)))
-    )
-    digests = F.filter(
-        F.transform(good_m, lambda x: F.get(fields_of(x), F.lit(1))), lambda x: F.length(x) == 43
-    )
-    return F.struct(
-        n.isin(8, 9).alias("good_r"),
-        (n.isin(8, 9) & (bad_at == 0)).alias("good"),
-        base64_to_hex(F.get(f, F.lit(2))).alias("relay_identity"),
-        F.when(n == 9, base64_to_hex(F.get(f, F.lit(3)))).alias("server_digest"),
-        F.when(n == 9, parse_time(F.concat_ws(" ", F.get(f, F.lit(4)), F.get(f, F.lit(5))))).alias(
-            "published"
-        ),
-        F.transform(digests, base64_to_hex).alias("micro_digests"),
+
+    def fields(f: Column, digests: Column) -> Column:
+        n = F.size(f)
+        bad_at = F.array_position(F.transform(digests, lambda d: d.isNull()), True).cast("int")
+        accepted = F.when(bad_at > 0, F.slice(digests, 1, bad_at - 1)).otherwise(digests)
+        good_r = n.isin(8, 9)
+        time = parse_time(F.concat_ws(" ", F.get(f, F.lit(4)), F.get(f, F.lit(5))))
+        return F.struct(
+            good_r.alias("good_r"),
+            (good_r & (bad_at == 0)).alias("good"),
+            F.when(good_r, base64_to_hex(F.get(f, F.lit(2)))).alias("relay_identity"),
+            F.when(n == 9, base64_to_hex(F.get(f, F.lit(3)))).alias("server_digest"),
+            F.when(n == 9, time).alias("published"),
+            F.filter(accepted, lambda d: d != "").alias("micro_digests"),
+        )
+
+    digests = F.transform(
+        F.regexp_extract_all(part, F.lit(r"(?dm)^(m .*)$"), F.lit(1)), _m_digest
     )
+    r_fields = fields_of(F.substring_index(part, "\n", 1))
+    return let(digests, lambda d: let(r_fields, lambda f: fields(f, d)))
 
 
 def parse_status(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Header fields of statuses, with ``dir_sources`` and ``entries`` as arrays.
 
-    The text is cut before each ``r`` line: the first part is the header, each
-    other part one entry.  Parsing stops at the first malformed r or m line.
+    ``df`` holds consensuses and votes only.  The text is cut before each ``r``
+    line: the first part is the header, each other part one entry.  Parsing
+    stops at the first malformed r or m line.
     """
     text = unix_lines(as_text(F.col(raw)))
-    parts = F.split(F.col("__text"), r"(?dm)^(?=r )", -1)
     header = F.col("__parts")[0]
     entries = F.transform(F.slice("__parts", 2, F.greatest(F.size("__parts") - 1, F.lit(0))), _entry)
     first_bad = F.array_position(F.transform("__entries", lambda e: e["good"]), False)
@@ -133,41 +169,41 @@ def parse_status(df: DataFrame, raw: str = "raw") -> DataFrame:
     )
     sources = F.transform(
         F.filter(
-            F.split(header, r"(?dm)^(?=dir-source )", -1),
-            lambda p: p.startswith("dir-source ") & p.rlike(r"(?dm)^vote-digest "),
+            sections(header, "dir-source "),
+            lambda p: p.startswith("dir-source ") & p.contains("\nvote-digest "),
         ),
         lambda p: F.regexp_extract(p, r"(?d)\Adir-source \S+ (\S+)", 1),
     )
-    first = first_body_line(F.col("__text"))
     keep = [c for c in df.columns if c not in (raw, "kind", "digest")]
-    return (
+    kind = F.col("kind") if "kind" in df.columns else classify(F.col("__text"))
+    header_and_entries = (
         df.withColumn("__text", text)
-        .withColumn("kind", classify(F.col("__text")))
-        .filter(F.col("kind").isin("consensus", "consensus-microdesc", "vote"))
-        .withColumn("__parts", parts)
+        .withColumn("kind", kind)
+        .withColumn("__parts", sections(F.col("__text"), "r "))
         .withColumn("__entries", entries)
         .withColumn("__bad", first_bad)
-        .select(
-            *keep,
-            "kind",
-            parse_time(last_line_value(header, "valid-after")).alias("valid_after"),
-            F.get(fields_of(last_line_value(header, "fingerprint")), F.lit(0)).alias("fingerprint"),
-            F.regexp_extract(
-                F.coalesce(last_line_value(header, "dir-source"), F.lit("")), r"\A\S+ (\S+)", 1
-            ).alias("dir_source"),
-            F.when(F.col("kind") == "vote", descriptor_digest(F.col(raw), "vote")).alias("digest"),
-            parse_time(last_line_value(header, "dir-key-published")).alias("key_published"),
-            F.array_sort(F.array_distinct(sources)).alias("dir_sources"),
-            F.filter(usable, lambda e: e["good_r"]).alias("entries"),
-            first.alias("first_line"),
-        )
+    )
+    # plain columns, so that readers of few of them do not pay for the rest
+    return header_and_entries.select(
+        *keep,
+        "kind",
+        parse_time(last_line_value(header, "valid-after")).alias("valid_after"),
+        F.get(fields_of(last_line_value(header, "fingerprint")), F.lit(0)).alias("fingerprint"),
+        F.regexp_extract(
+            F.coalesce(last_line_value(header, "dir-source"), F.lit("")), r"\A\S+ (\S+)", 1
+        ).alias("dir_source"),
+        F.when(F.col("kind") == "vote", descriptor_digest(F.col(raw), "vote")).alias("digest"),
+        parse_time(last_line_value(header, "dir-key-published")).alias("key_published"),
+        F.array_sort(F.array_distinct(sources)).alias("dir_sources"),
+        F.filter(usable, lambda e: e["good_r"]).alias("entries"),
     )
 
 
 def status_entries(statuses: DataFrame, keys: Sequence[str] = ("kind", "valid_after")) -> DataFrame:
     """One row per entry and microdescriptor digest (or one without a digest)."""
     return (
-        statuses.select(*keys, F.explode("entries").alias("e"))
+        statuses.select(*keys, F.explode_outer("entries").alias("e"))
+        .filter(F.col("e").isNotNull())
         .select(
             *keys,
             "e.relay_identity",
@@ -179,7 +215,9 @@ def status_entries(statuses: DataFrame, keys: Sequence[str] = ("kind", "valid_af
 
 
 def status_dir_sources(statuses: DataFrame) -> DataFrame:
-    return statuses.select("kind", "valid_after", F.explode("dir_sources").alias("identity"))
+    return statuses.select(
+        "kind", "valid_after", F.explode_outer("dir_sources").alias("identity")
+    ).filter(F.col("identity").isNotNull())
 
 
 def expected_votes(dir_sources: DataFrame) -> DataFrame:
@@ -196,17 +234,14 @@ def extract_certificates(df: DataFrame, raw: str = "raw") -> DataFrame:
     text = unix_lines(as_text(F.col(raw)))
     cert = F.regexp_extract(text, r"(?dms)^(dir-key-certificate-version .*?)^r ", 1)
     others = [c for c in df.columns if c != raw]
+    source = F.coalesce(last_line_value(text, "dir-source"), F.lit(""))
     return (
-        df.select(*others, text.alias("__text"), cert.alias("__cert"))
+        once(df, __cert=cert)
         .filter(F.col("__cert") != "")
         .select(
             *others,
-            F.regexp_extract(
-                F.coalesce(last_line_value(F.col("__text"), "dir-source"), F.lit("")),
-                r"\A\S+ (\S+)",
-                1,
-            ).alias("fingerprint"),
-            parse_time(last_line_value(F.col("__text"), "dir-key-published")).alias("key_published"),
+            F.regexp_extract(source, r"\A\S+ (\S+)", 1).alias("fingerprint"),
+            parse_time(last_line_value(text, "dir-key-published")).alias("key_published"),
             as_bytes(F.col("__cert")).alias(raw),
         )
     )
@@ -218,25 +253,21 @@ def extract_certificates(df: DataFrame, raw: str = "raw") -> DataFrame:
 def parse_server_descriptor(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Digest, time, fingerprint and extra-info digest; rows without a signed part dropped."""
     text = unix_lines(as_text(F.col(raw)))
+    fingerprint = last_line_value(text, "(?:opt )?fingerprint")
+    extra = F.get(fields_of(last_line_value(text, "(?:opt )?extra-info-digest")), F.lit(0))
     return (
-        df.withColumn("digest", descriptor_digest(F.col(raw), "server"))
+        once(df, digest=descriptor_digest(F.col(raw), "server"))
         .filter(F.col("digest").isNotNull())
         .withColumn("published", parse_time(last_line_value(text, "published")))
-        .withColumn(
-            "fingerprint",
-            F.lower(F.replace(last_line_value(text, "(?:opt )?fingerprint"), F.lit(" "), F.lit(""))),
-        )
-        .withColumn(
-            "extra_info_digest",
-            F.lower(F.get(fields_of(last_line_value(text, "(?:opt )?extra-info-digest")), F.lit(0))),
-        )
+        .withColumn("fingerprint", F.lower(F.replace(fingerprint, F.lit(" "), F.lit(""))))
+        .withColumn("extra_info_digest", F.lower(extra))
     )
 
 
 def parse_extra_info(df: DataFrame, raw: str = "raw") -> DataFrame:
     text = unix_lines(as_text(F.col(raw)))
     return (
-        df.withColumn("digest", descriptor_digest(F.col(raw), "extra-info"))
+        once(df, digest=descriptor_digest(F.col(raw), "extra-info"))
         .filter(F.col("digest").isNotNull())
         .withColumn("published", parse_time(last_line_value(text, "published")))
         .withColumn("fingerprint", F.lower(F.get(fields_of(first_body_line(text)), F.lit(2))))
@@ -244,7 +275,7 @@ def parse_extra_info(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def parse_microdescriptor(df: DataFrame, raw: str = "raw") -> DataFrame:
-    return df.withColumn("sha256_hex", F.sha2(raw, 256)).withColumn(
+    return once(df, sha256_hex=F.sha2(raw, 256)).withColumn(
         "sha256_b64", base64_unpadded(F.unhex("sha256_hex"))
     )
 
@@ -312,7 +343,7 @@ def document_time(kind: Column, text: Column) -> Column:
 def descriptor_time(
     df: DataFrame, kind: str = "kind", raw: str = "raw", alias: str = "published"
 ) -> DataFrame:
-    return df.withColumn(alias, document_time(F.col(kind), unix_lines(as_text(F.col(raw)))))
+    return once(df, **{alias: document_time(F.col(kind), unix_lines(as_text(F.col(raw))))})
 
 
 def microdesc_with_valid_after(micro: DataFrame, entries: DataFrame) -> DataFrame:

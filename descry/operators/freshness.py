@@ -9,10 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from descry.formats import FULL_REFRESH_AFTER, STALE_AFTER
-
-
-def at(time: datetime) -> Column:
-    return F.lit(time).cast("timestamp")
+from descry.functions.times import at
 
 
 def latest_and_stale(

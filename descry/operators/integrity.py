@@ -15,6 +15,7 @@ from descry.formats import (
     MISSING_WEIGHT_LIMIT,
     REPORTED_STATUS_AGE,
 )
+from descry.functions.times import at, span
 from descry.operators.keys import keep_first
 from descry.operators.ordering import running_total
 
@@ -30,8 +31,7 @@ THIRTY_DAYS = timedelta(days=30)
 
 
 def _plus(time: Column | str, delta: timedelta) -> Column:
-    seconds = F.make_dt_interval(secs=F.lit(delta.total_seconds()))
-    return (F.col(time) if isinstance(time, str) else time) + seconds
+    return (F.col(time) if isinstance(time, str) else time) + span(delta)
 
 
 def _status_name(prefix: str, time: str, *more: str) -> Column:
@@ -127,7 +127,7 @@ def reference_edges(
             F.upper(F.concat(F.lit("D-"), F.col("sha256_hex"))),
             nothing,
             F.lit(MICRODESC_WEIGHT),
-            _plus(F.lit(now).cast("timestamp"), THIRTY_DAYS),
+            _plus(at(now), THIRTY_DAYS),
         ),
     ]
     union = parts[0]
@@ -248,9 +248,7 @@ def completeness_report(
     the votes each consensus lists, ``statuses`` what was newly stored.
     """
     reported = statuses.filter(
-        F.col("valid_after") > F.lit(now).cast("timestamp") - F.make_dt_interval(
-            secs=F.lit(REPORTED_STATUS_AGE.total_seconds())
-        )
+        F.col("valid_after") > at(now - REPORTED_STATUS_AGE)
     ).select("kind", "valid_after", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
     micro = statuses.filter(F.col("kind") == "consensus-microdesc").select(
         "valid_after", F.lit(True).alias("__has_micro")
@@ -297,8 +295,8 @@ HOURLY_TYPES = ("consensus", "consensus-microdesc", "vote")
 
 def in_work_window(now: datetime) -> Column:
     """Keys still worth looking for."""
-    cutoff = F.lit(now - KEEP_MISSING_KEYS).cast("timestamp")
-    hour = F.lit(now.replace(minute=0, second=0, microsecond=0)).cast("timestamp")
+    cutoff = at(now - KEEP_MISSING_KEYS)
+    hour = at(now.replace(minute=0, second=0, microsecond=0))
     return (F.col("type").isin(*WINDOWED_TYPES) & (F.col("time") > cutoff)) | (
         F.col("type").isin(*HOURLY_TYPES) & (F.col("time") == hour)
     )
@@ -319,7 +317,7 @@ def update_missing(
     another key of the same month counts as parsed; ``seen_micro`` (digest)
     marks every key of that digest.
     """
-    at = F.lit(now).cast("timestamp")
+    seen_at = at(now)
     none = F.lit(None).cast("timestamp")
 
     def side(df: DataFrame, old: Column, new: Column, referenced_now: int) -> DataFrame:
@@ -330,7 +328,7 @@ def update_missing(
     merged = (
         side(state, F.col("parsed_at"), none, 0)
         .unionByName(side(referenced, none, none, 1))
-        .unionByName(side(seen, none, at, 0))
+        .unionByName(side(seen, none, seen_at, 0))
         .filter(in_work_window(now))
         .groupBy(*WORK_KEY)
         .agg(
@@ -356,7 +354,7 @@ def update_missing(
         )
     )
     if seen_micro is not None:
-        marks = seen_micro.select("digest", at.alias("__mark")).distinct()
+        marks = seen_micro.select("digest", seen_at.alias("__mark")).distinct()
         micro = micro.join(marks, "digest", "left").withColumn(
             "parsed_at", F.coalesce("__mark", "parsed_at")
         )

@@ -38,9 +38,13 @@ from descry.functions.text import (
     is_base64,
     is_hex,
     last_line_value,
+    let,
     lines_of,
+    once,
+    sections,
     unix_lines,
 )
+from descry.functions.times import span
 from descry.operators.keys import without_groups
 
 _IDENTITY_BLOCK = r"^(identity-ed25519\n)(.*?)(?:^-----END ED25519 CERT-----$\n?|\z)"
@@ -75,10 +79,12 @@ def _verdicts_to_columns(df: DataFrame, header: Column, footer: Column) -> DataF
     reason = F.coalesce(F.substring(F.get(bad, F.lit(0)), 2, 1 << 30), F.col("reject_reason"))
     body = F.array_join(F.transform(kept, lambda x: F.concat(x, F.lit("\n"))), "")
     return (
-        df.withColumn("reject_reason", reason)
-        .withColumn(
-            "sanitized",
-            F.when(F.col("reject_reason").isNull(), as_bytes(F.concat(header, body, footer))),
+        once(
+            df.withColumn("reject_reason", reason),
+            sanitized=F.when(
+                F.col("reject_reason").isNull(), as_bytes(F.concat(header, body, footer))
+            ),
+            reject_reason=F.col("reject_reason"),
         )
     )
 
@@ -377,12 +383,21 @@ def sanitize_network_status(
     """
 
     def entry(part: Column) -> Column:
-        """Key, text and verdict of one r line and the lines that follow it."""
-        lines = lines_of(part)
-        f = fields_of(lines[0])
-        fp = F.upper(base64_to_hex(F.get(f, F.lit(2))))
+        """Key, time and verdicts of one r line and the lines that follow it."""
+        f = fields_of(F.substring_index(part, "\n", 1))
+        return let(f, lambda f: let(_entry_keys(f), lambda e: verdicts(part, f, e)))
+
+    def _entry_keys(f: Column) -> Column:
         time = F.concat_ws(" ", F.get(f, F.lit(4)), F.get(f, F.lit(5)))
-        key = F.try_element_at(F.col(secrets), F.substring(time, 1, 7)) if secrets else None
+        key = F.try_element_at(F.col(secrets), F.substring(time, 1, 7)) if secrets else F.lit(None)
+        return F.struct(
+            F.upper(base64_to_hex(F.get(f, F.lit(2)))).alias("fp"),
+            time.alias("time"),
+            key.cast("binary").alias("secret"),
+        )
+
+    def verdicts(part: Column, f: Column, e: Column) -> Column:
+        fp, time, key = e["fp"], e["time"], e["secret"] if secrets else None
         r_line = F.concat_ws(
             " ",
             F.lit("r"),
@@ -401,7 +416,7 @@ def sanitize_network_status(
         )
         r_verdict = (
             F.when(F.size(f) < 9, _reject("short r line"))
-            .when(~is_base64(f[2]), _reject("bad identity"))
+            .when(~is_base64(F.get(f, F.lit(2))), _reject("bad identity"))
             .when(F.length(fp) != 40, _reject("bad identity"))
             .otherwise(_or_reject(_keep(r_line, rest), "bad address or port"))
         )
@@ -420,7 +435,9 @@ def sanitize_network_status(
                 .otherwise(_reject("unrecognized line"))
             )
 
-        following = F.transform(F.slice(lines, 2, F.size(lines)), other)
+        following = let(
+            lines_of(part), lambda x: F.transform(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), other)
+        )
         return F.struct(
             F.lower(F.sha1(F.unhex(fp))).alias("key"),
             time.alias("time"),
@@ -429,7 +446,6 @@ def sanitize_network_status(
 
     inputs = [c for c in df.columns if c != raw]
     text = F.col("__text")
-    parts = F.split(text, r"(?dm)^(?=r )", -1)
     header_lines = F.filter(lines_of(F.col("__parts")[0]), lambda x: x != "")
     bad_header = F.exists(
         header_lines, lambda x: ~x.rlike(r"\A(?:published|flag-thresholds|fingerprint) ")
@@ -466,7 +482,7 @@ def sanitize_network_status(
     )
     work = (
         df.withColumn("__text", unix_lines(as_text(F.col(raw))))
-        .withColumn("__parts", parts)
+        .withColumn("__parts", sections(text, "r "))
         .withColumn("published", F.coalesce(last_line_value(text, "published"), default_published))
         .withColumn("__header", header)
         .withColumn(
@@ -494,7 +510,7 @@ def sanitize_network_status(
         F.array_join(F.transform("__header", lambda x: F.concat(x, F.lit("\n"))), ""),
         F.when(F.size(stated) == 0, F.concat(expected, F.lit("\n"))).otherwise(""),
     )
-    return (
+    decided = (
         work.withColumn(
             "reject_reason",
             F.when(bad_header, "unrecognized line")
@@ -519,8 +535,9 @@ def sanitize_network_status(
                 ),
             ),
         )
-        .select(*inputs, "published", "n_entries", "newest_entry", "sanitized", "reject_reason")
     )
+    outputs = ("published", "n_entries", "newest_entry", "sanitized", "reject_reason")
+    return once(decided, **{c: F.col(c) for c in outputs}).select(*inputs, *outputs)
 
 
 def status_freshness(
@@ -531,13 +548,12 @@ def status_freshness(
 ) -> DataFrame:
     """Newest entry not after its status; stale when none or over an hour older."""
     newest = F.max(F.when(F.col(entry_time) <= F.col(status_time), F.col(entry_time)))
-    limit = F.expr(f"interval {int(STALE_ENTRIES_AFTER.total_seconds())} seconds")
     return (
         df.groupBy(*keys, status_time)
         .agg(newest.alias("newest_entry"), F.count(F.lit(1)).alias("n_entries"))
         .withColumn(
             "stale",
-            F.col("newest_entry").isNull() | (F.col("newest_entry") < F.col(status_time) - limit),
+            F.col("newest_entry").isNull() | (F.col("newest_entry") < F.col(status_time) - span(STALE_ENTRIES_AFTER)),
         )
     )
 

@@ -18,7 +18,8 @@ from descry.operators.sanitize import (
 from descry.operators.secrets import as_map, ensure_secrets, month_of, with_month_secret
 from descry.session import checkpointed
 from descry.sinks.tables import save_state, write_new_only
-from descry.sources.files import read_bridge_tarballs, split_by_kind
+from descry.operators.documents import split_by_kind
+from descry.sources.files import read_bridge_tarballs
 from descry.sources.state import read_state
 
 ARCHIVE_COLUMNS = ("kind", "published", "digest", "storage_path", "recent_path", "raw", "month")

@@ -18,6 +18,7 @@ from descry.operators.documents import (
     parse_microdescriptor,
     parse_server_descriptor,
     parse_status,
+    split_by_kind,
     status_dir_sources,
     status_entries,
 )
@@ -32,7 +33,7 @@ from descry.operators.keys import keep_first
 from descry.operators.secrets import month_of
 from descry.session import checkpointed
 from descry.sinks.tables import write_new_only
-from descry.sources.files import read_descriptor_files, split_by_kind
+from descry.sources.files import read_descriptor_files
 
 ARCHIVE_COLUMNS = ("kind", "published", "digest", "storage_path", "recent_path", "raw", "month")
 

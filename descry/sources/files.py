@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from descry.formats import BRIDGE_AUTHORITIES
-from descry.functions.text import as_text, first_body_line, unix_lines
+from descry.functions.text import as_text, once, unix_lines
 from descry.operators.access_logs import HOSTS, latest_log_files, parse_log_path
-from descry.operators.documents import classify, split_descriptors
+from descry.operators.documents import classify, documents_in, explode_documents
 from descry.operators.keys import skip_processed
 from descry.session import broadcast_if_small
 
@@ -154,46 +154,17 @@ def read_cached_descriptors(spark: SparkSession, folders: Sequence[str]) -> Data
         F.element_at(F.split("path", "/"), -1).alias("name"),
         F.col("content").alias("raw"),
     )
-    consensus = files.filter(F.col("name") == "cached-consensus").select(
-        "path",
-        F.lit(0).alias("pos"),
-        classify(unix_lines(as_text(F.col("raw")))).alias("kind"),
-        "raw",
-    )
-    parts = [
-        (F.col("name") == "v3-status-votes", "vote"),
-        (F.col("name").startswith("cached-descriptors"), "server"),
-        (F.col("name").startswith("cached-extrainfo"), "extra-info"),
-    ]
-    documents = consensus
-    for condition, kind in parts:
-        split = split_descriptors(files.filter(condition).drop("name"), kind)
-        documents = documents.unionByName(split)
-    return documents
-
-
-def split_by_kind(files: DataFrame) -> DataFrame:
-    """Documents of mixed descriptor files (…, pos, kind, raw)."""
-    first = first_body_line(unix_lines(as_text(F.col("raw"))))
-    whole = classify(unix_lines(as_text(F.col("raw"))))
-    tagged = files.withColumn("__first", first).withColumn("__whole", whole)
-    splits = [
-        (F.col("__first").startswith("router "), "server"),
-        (F.col("__first").startswith("extra-info "), "extra-info"),
-        (F.col("__first") == "onion-key", "microdescriptor"),
-    ]
-    single = tagged.filter(
-        ~F.col("__whole").isin("server", "extra-info", "microdescriptor", "unknown")
-    )
-    documents = (
-        single.withColumn("pos", F.lit(0))
-        .withColumn("kind", F.col("__whole"))
-        .drop("__first", "__whole")
+    name, text = F.col("name"), as_text(F.col("raw"))
+    kind = (
+        F.when(name == "cached-consensus", classify(unix_lines(text)))
+        .when(name == "v3-status-votes", "vote")
+        .when(name.startswith("cached-descriptors"), "server")
+        .when(name.startswith("cached-extrainfo"), "extra-info")
     )
-    for condition, kind in splits:
-        part = split_descriptors(tagged.filter(condition).drop("__first", "__whole"), kind)
-        documents = documents.unionByName(part)
-    return documents
+    found = F.when(name == "cached-consensus", F.array(text))
+    for k in ("vote", "server", "extra-info"):
+        found = F.when(F.col("kind") == k, documents_in(text, k)).otherwise(found)
+    return explode_documents(once(files, kind=kind), found, F.col("kind")).drop("name")
 
 
 # --- bridge tarballs ------------------------------------------------------------------

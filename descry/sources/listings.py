@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from descry.formats import ANNOTATIONS
-from descry.functions.text import lines_of, parse_time, unix_lines
+from descry.functions.text import lines_of, parse_time, sections, unix_lines
 from descry.operators.keys import keep_last
 
 
@@ -37,7 +37,7 @@ def parse_pool_assignments(texts: DataFrame) -> DataFrame:
     line, keeping what came before.  A repeated header discards the earlier
     group, a repeated fingerprint the earlier line.
     """
-    groups = F.split("text", rf"(?dm)^(?={_POOL_HEADER})", -1)
+    groups = sections(F.col("text"), _POOL_HEADER)
 
     def group(part: Column) -> Column:
         lines = lines_of(part)
@@ -62,16 +62,16 @@ def parse_pool_assignments(texts: DataFrame) -> DataFrame:
     headed = (
         texts.withColumn("__parts", groups)
         # a line before any header stops the file at once
-        .filter(F.col("__parts")[0] == "")
+        .filter(F.col("__parts")[0] == "\n")
         .withColumn("__groups", F.transform(F.slice("__parts", 2, F.size("__parts")), group))
         .withColumn("__bad", bad)
-        .select("path", F.posexplode(read).alias("__no", "__g"))
+        .select("path", F.posexplode_outer(read).alias("__no", "__g"))
         .filter(F.col("__g.published").isNotNull())
         .select("path", "__no", "__g.published", "__g.lines")
     )
     lines = keep_last(headed, ["path", "published"], ["__no"]).select(
-        "path", "published", F.posexplode("lines").alias("pos", "line")
-    )
+        "path", "published", F.posexplode_outer("lines").alias("pos", "line")
+    ).filter(F.col("pos").isNotNull())
     split = lines.select(
         "path",
         "published",
@@ -121,7 +121,7 @@ def parse_exit_lists(texts: DataFrame, downloaded: datetime | None = None) -> Da
         texts.filter(one_list)
         .withColumn("downloaded", parse_time(F.regexp_extract(text, r"(?dm)^Downloaded (.*)$", 1)))
         .select(
-            "path", "downloaded", F.explode(F.split(text, r"(?dm)^(?=ExitNode )", -1)).alias("__node")
+            "path", "downloaded", F.explode_outer(sections(text, "ExitNode ")).alias("__node")
         )
         .filter(F.col("__node").startswith("ExitNode "))
         .select(
@@ -130,8 +130,9 @@ def parse_exit_lists(texts: DataFrame, downloaded: datetime | None = None) -> Da
             F.regexp_extract("__node", r"(?d)\AExitNode (.*)", 1).alias("node"),
             value("Published").alias("published"),
             value("LastStatus").alias("last_status"),
-            F.explode(address).alias("__a"),
+            F.explode_outer(address).alias("__a"),
         )
+        .filter(F.col("__a").isNotNull())
         .select(
             "path",
             "downloaded",
@@ -248,7 +249,7 @@ def _parse_stats(texts: DataFrame, end_line: str, end: str) -> tuple[DataFrame,
     # an annotation belongs to the document after it
     clean = F.regexp_replace("text", r"(?dm)^@type [^\n]*\n(?=" + end_line + " )", "")
     parts = texts.select(
-        "path", F.posexplode(F.split(clean, rf"(?dm)^(?={end_line} )", -1)).alias("pos", "raw")
+        "path", F.posexplode_outer(sections(clean, f"{end_line} ")).alias("pos", "raw")
     ).filter(F.trim("raw") != "")
     timed = parts.withColumn(
         end, parse_time(F.regexp_extract("raw", rf"(?d)\A{end_line} (\S+ \S+)", 1))

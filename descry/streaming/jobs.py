@@ -17,7 +17,8 @@ from descry.operators.access_logs import parse_log_path
 from descry.operators.keys import keep_first
 from descry.plans.access_logs import STAGING_SCHEMA, LogTables, lines_to_counts, store_days
 from descry.sinks.tables import write_new_only
-from descry.sources.files import read_access_logs, split_by_kind
+from descry.operators.documents import split_by_kind
+from descry.sources.files import read_access_logs
 from descry.sources.state import read_table
 
 _BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
