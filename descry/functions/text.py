@@ -86,17 +86,10 @@ def is_base64(text: Column) -> Column:
 def unbase64_unpadded(text: Column) -> Column:
     """Decode base64 whose padding may be missing."""
 
-    def pad(s: Column) -> Column:
-        n = F.length(s) % 4
-        return (
-            F.when(n == 1, F.substr(s, F.lit(1), F.length(s) - 1))
-            .when(n == 2, F.concat(s, F.lit("==")))
-            .when(n == 3, F.concat(s, F.lit("=")))
-            .otherwise(s)
-        )
-
     plain = F.regexp_replace(F.translate(text, "-_", "+/"), "[^A-Za-z0-9+/]", "")
-    return F.unbase64(let(plain, pad))
+    # a single character left over after groups of four is dropped
+    whole = (F.floor((F.length(plain) + 2) / 4) * 4).cast("int")
+    return F.unbase64(F.rpad(plain, whole, "="))
 
 
 def base64_unpadded(raw: Column) -> Column:

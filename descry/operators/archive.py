@@ -81,11 +81,9 @@ def with_annotation(
 
 def annotated_kind(text: Column) -> Column:
     """Kind named by a document's type annotation, whatever its version."""
-    name = F.regexp_extract(text, r"\A@type (\S+) \d+\.\d+", 1)
-    case = F.when(F.lit(False), F.lit(""))
-    for kind, annotation in ANNOTATIONS.items():
-        case = case.when(name == annotation.split(" ")[0], kind)
-    return case
+    names = {a.split(" ")[0]: kind for kind, a in ANNOTATIONS.items()}
+    kinds = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.try_element_at(kinds, F.regexp_extract(text, r"\A@type (\S+) \d+\.\d+", 1))
 
 
 def type_filter(df: DataFrame, wanted: Iterable[str], kind: str = "kind") -> DataFrame:

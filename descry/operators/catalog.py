@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from descry.formats import ANNOTATIONS, DELETION_GRACE
 from descry.functions.digests import file_digest
-from descry.functions.text import as_text, sections, unix_lines
+from descry.functions.text import as_text, let, sections, unix_lines
 from descry.functions.times import at
 from descry.operators.archive import annotated_kind
 from descry.operators.documents import document_time
@@ -26,15 +26,19 @@ def index_file(files: DataFrame) -> DataFrame:
     documents = F.filter(sections(text, "@type "), lambda d: d.startswith("@type "))
 
     def facts(document: Column) -> Column:
-        kind = annotated_kind(document)
         body = F.regexp_replace(document, r"(?d)\A(?:@[^\n]*\n)+", "")
-        time = document_time(kind, body)
-        last = F.when(kind == "transfer", _last_start(body)).otherwise(time)
-        return F.struct(
-            F.regexp_extract(document, r"\A@type (\S+ \d+\.\d+)", 1).alias("type"),
-            kind.alias("kind"),
-            time.alias("first"),
-            last.alias("last"),
+        kind_and_body = F.struct(annotated_kind(document).alias("kind"), body.alias("body"))
+        return let(kind_and_body, lambda d: timed(document, d["kind"], d["body"]))
+
+    def timed(document: Column, kind: Column, body: Column) -> Column:
+        return let(
+            document_time(kind, body),
+            lambda time: F.struct(
+                F.regexp_extract(document, r"\A@type (\S+ \d+\.\d+)", 1).alias("type"),
+                kind.alias("kind"),
+                time.alias("first"),
+                F.when(kind == "transfer", _last_start(body)).otherwise(time).alias("last"),
+            ),
         )
 
     readable = F.filter(

@@ -40,21 +40,24 @@ DOCUMENT_PATTERNS = {
 
 def classify(text: Column) -> Column:
     """Kind of a document by its first line that is no annotation."""
-    first = first_body_line(text)
-    return (
-        F.when(
-            first.startswith("network-status-version 3"),
-            F.when(text.rlike(r"(?dm)^vote-status vote$"), "vote")
-            .when(first == "network-status-version 3 microdesc", "consensus-microdesc")
-            .otherwise("consensus"),
+
+    def by_first_line(first: Column) -> Column:
+        return (
+            F.when(
+                first.startswith("network-status-version 3"),
+                F.when(text.rlike(r"(?dm)^vote-status vote$"), "vote")
+                .when(first == "network-status-version 3 microdesc", "consensus-microdesc")
+                .otherwise("consensus"),
+            )
+            .when(first.startswith("router "), "server")
+            .when(first.startswith("extra-info "), "extra-info")
+            .when(first == "onion-key", "microdescriptor")
+            .when(first.rlike(r"\A\d{10}\z"), "bandwidth")
+            .when(first.rlike(r"\A(?:published |flag-thresholds |r )"), "bridge-status")
+            .otherwise("unknown")
         )
-        .when(first.startswith("router "), "server")
-        .when(first.startswith("extra-info "), "extra-info")
-        .when(first == "onion-key", "microdescriptor")
-        .when(first.rlike(r"\A\d{10}\z"), "bandwidth")
-        .when(first.rlike(r"\A(?:published |flag-thresholds |r )"), "bridge-status")
-        .otherwise("unknown")
-    )
+
+    return let(first_body_line(text), by_first_line)
 
 
 def classify_descriptor(df: DataFrame, raw: str = "raw", alias: str = "kind") -> DataFrame:
@@ -116,57 +119,36 @@ def with_digest(df: DataFrame, kind: str, raw: str = "raw", alias: str = "digest
 # --- network statuses ----------------------------------------------------------
 
 
-def _m_digest(line: Column) -> Column:
-    """Digest of an m line, empty for the style of votes, null when malformed."""
+# --- fixed values: well-formed r lines, and malformed m lines ----------------------
+_GOOD_R = r"(?d)\Ar(?: [^ \n]*){7,8} *(?:\n|\z)"
+_BAD_M = r"(?dm)^m (?![^ \n]{43} *$|[^ \n]* sha256=[^ \n]{43} *$)"
+_M_DIGEST = r"(?dm)^m ([^ \n]{43}) *$"
 
-    def digest(f: Column) -> Column:
-        second, third = F.get(f, F.lit(1)), F.get(f, F.lit(2))
-        return F.when((F.size(f) == 2) & (F.length(second) == 43), base64_to_hex(second)).when(
-            (F.size(f) == 3) & third.startswith("sha256=") & (F.length(third) == 50), ""
-        )
 
-    return let(fields_of(line), digest)
-
-
-def _entry(part: Column) -> Column:
-    """One entry: its identity fields, accepted m lines, and where it broke off."""
-
-    def fields(f: Column, digests: Column) -> Column:
-        n = F.size(f)
-        bad_at = F.array_position(F.transform(digests, lambda d: d.isNull()), True).cast("int")
-        accepted = F.when(bad_at > 0, F.slice(digests, 1, bad_at - 1)).otherwise(digests)
-        good_r = n.isin(8, 9)
-        time = parse_time(F.concat_ws(" ", F.get(f, F.lit(4)), F.get(f, F.lit(5))))
-        return F.struct(
-            good_r.alias("good_r"),
-            (good_r & (bad_at == 0)).alias("good"),
-            F.when(good_r, base64_to_hex(F.get(f, F.lit(2)))).alias("relay_identity"),
-            F.when(n == 9, base64_to_hex(F.get(f, F.lit(3)))).alias("server_digest"),
-            F.when(n == 9, time).alias("published"),
-            F.filter(accepted, lambda d: d != "").alias("micro_digests"),
-        )
+def _entries_before_first_bad(parts: Column) -> Column:
+    """Entry texts up to the first malformed line, as far as they are usable."""
+    bad = F.transform(parts, lambda p: ~p.rlike(_GOOD_R) | p.rlike(_BAD_M))
 
-    digests = F.transform(
-        F.regexp_extract_all(part, F.lit(r"(?dm)^(m .*)$"), F.lit(1)), _m_digest
-    )
-    r_fields = fields_of(F.substring_index(part, "\n", 1))
-    return let(digests, lambda d: let(r_fields, lambda f: fields(f, d)))
+    def usable(k: Column) -> Column:
+        broken = F.get(parts, k - 1)
+        rest = F.when(
+            broken.rlike(_GOOD_R), F.array(F.regexp_replace(broken, "(?s)" + _BAD_M + r".*\z", ""))
+        ).otherwise(F.slice(parts, 1, 0))
+        return F.when(k == 0, parts).otherwise(F.concat(F.slice(parts, 1, k - 1), rest))
+
+    return let(F.array_position(bad, True).cast("int"), usable)
 
 
 def parse_status(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Header fields of statuses, with ``dir_sources`` and ``entries`` as arrays.
+    """Header fields of statuses, with ``dir_sources`` and the texts of ``entries``.
 
     ``df`` holds consensuses and votes only.  The text is cut before each ``r``
     line: the first part is the header, each other part one entry.  Parsing
-    stops at the first malformed r or m line.
+    stops at the first malformed r or m line.  Entries stay text here: their
+    fields are read after exploding, in generated code.
     """
     text = unix_lines(as_text(F.col(raw)))
     header = F.col("__parts")[0]
-    entries = F.transform(F.slice("__parts", 2, F.greatest(F.size("__parts") - 1, F.lit(0))), _entry)
-    first_bad = F.array_position(F.transform("__entries", lambda e: e["good"]), False)
-    usable = F.when(F.col("__bad") == 0, F.col("__entries")).otherwise(
-        F.slice("__entries", 1, F.col("__bad").cast("int"))
-    )
     sources = F.transform(
         F.filter(
             sections(header, "dir-source "),
@@ -180,8 +162,7 @@ def parse_status(df: DataFrame, raw: str = "raw") -> DataFrame:
         df.withColumn("__text", text)
         .withColumn("kind", kind)
         .withColumn("__parts", sections(F.col("__text"), "r "))
-        .withColumn("__entries", entries)
-        .withColumn("__bad", first_bad)
+        .withColumn("__entries", F.slice("__parts", 2, F.size("__parts")))
     )
     # plain columns, so that readers of few of them do not pay for the rest
     return header_and_entries.select(
@@ -195,22 +176,29 @@ def parse_status(df: DataFrame, raw: str = "raw") -> DataFrame:
         F.when(F.col("kind") == "vote", descriptor_digest(F.col(raw), "vote")).alias("digest"),
         parse_time(last_line_value(header, "dir-key-published")).alias("key_published"),
         F.array_sort(F.array_distinct(sources)).alias("dir_sources"),
-        F.filter(usable, lambda e: e["good_r"]).alias("entries"),
+        _entries_before_first_bad(F.col("__entries")).alias("entries"),
     )
 
 
 def status_entries(statuses: DataFrame, keys: Sequence[str] = ("kind", "valid_after")) -> DataFrame:
     """One row per entry and microdescriptor digest (or one without a digest)."""
-    return (
-        statuses.select(*keys, F.explode_outer("entries").alias("e"))
-        .filter(F.col("e").isNotNull())
-        .select(
-            *keys,
-            "e.relay_identity",
-            "e.server_digest",
-            "e.published",
-            F.explode_outer("e.micro_digests").alias("micro_digest"),
-        )
+    f = F.col("__f")
+    exploded = (
+        statuses.select(*keys, F.explode_outer("entries").alias("__e"))
+        .filter(F.col("__e").isNotNull())
+        .withColumn("__f", fields_of(F.substring_index("__e", "\n", 1)))
+        .withColumn("__m", F.regexp_extract_all("__e", F.lit(_M_DIGEST), F.lit(1)))
+    )
+    full = F.size(f) == 9
+    time = parse_time(F.concat_ws(" ", F.get(f, F.lit(4)), F.get(f, F.lit(5))))
+    return exploded.select(
+        *keys,
+        base64_to_hex(f[2]).alias("relay_identity"),
+        F.when(full, base64_to_hex(f[3])).alias("server_digest"),
+        F.when(full, time).alias("published"),
+        F.explode_outer("__m").alias("__m"),
+    ).select(
+        *keys, "relay_identity", "server_digest", "published", base64_to_hex(F.col("__m")).alias("micro_digest")
     )
 
 
@@ -302,21 +290,15 @@ def parse_bandwidth_header(
     )
 
 
-# --- fixed values: the line that carries a kind's time, and its pattern -----------
+# --- fixed values: the line that carries the time, with the kinds that use it -----
 TIME_LINES = {
-    "bridge-extra-info": ("published", "yyyy-MM-dd HH:mm:ss"),
-    "bridge-server": ("published", "yyyy-MM-dd HH:mm:ss"),
-    "bridge-status": ("published", "yyyy-MM-dd HH:mm:ss"),
-    "extra-info": ("published", "yyyy-MM-dd HH:mm:ss"),
-    "server": ("published", "yyyy-MM-dd HH:mm:ss"),
-    "consensus": ("valid-after", "yyyy-MM-dd HH:mm:ss"),
-    "consensus-microdesc": ("valid-after", "yyyy-MM-dd HH:mm:ss"),
-    "vote": ("valid-after", "yyyy-MM-dd HH:mm:ss"),
-    "certificate": ("dir-key-published", "yyyy-MM-dd HH:mm:ss"),
-    "exit-list": ("Downloaded", "yyyy-MM-dd HH:mm:ss"),
-    "pool-assignment": ("bridge-pool-assignment", "yyyy-MM-dd HH:mm:ss"),
-    "proxy-stats": ("snowflake-stats-end", "yyyy-MM-dd HH:mm:ss"),
-    "distributor-metrics": ("bridgedb-metrics-end", "yyyy-MM-dd HH:mm:ss"),
+    "published": ("bridge-extra-info", "bridge-server", "bridge-status", "extra-info", "server"),
+    "valid-after": ("consensus", "consensus-microdesc", "vote"),
+    "dir-key-published": ("certificate",),
+    "Downloaded": ("exit-list",),
+    "bridge-pool-assignment": ("pool-assignment",),
+    "snowflake-stats-end": ("proxy-stats",),
+    "bridgedb-metrics-end": ("distributor-metrics",),
 }
 
 
@@ -334,9 +316,9 @@ def document_time(kind: Column, text: Column) -> Column:
             F.try_to_timestamp(created, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.timestamp_seconds(epoch)
         ),
     )
-    for name, (keyword, pattern) in TIME_LINES.items():
+    for keyword, kinds in TIME_LINES.items():
         value = F.regexp_extract(text, rf"(?dm)^{keyword} (\S+ \S+)", 1)
-        case = case.when(kind == name, parse_time(value, pattern))
+        case = case.when(kind.isin(*kinds), parse_time(value))
     return case
 
 

@@ -92,7 +92,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
 def addresses(spark: SparkSession, folder: str) -> DataFrame:
     """Addresses, ports and fingerprints per event."""
     user, event = F.col("user_id"), F.col("event_id")
-    return table(spark, folder, "events").select(
+    return documents_table(spark, folder, "events", "event_id", "user_id", "ts").select(
         "event_id",
         F.col("ts").alias("published"),
         text_of("10.", user % 256, ".", F.floor(event / 256) % 256, ".", event % 256).alias("ipv4"),
