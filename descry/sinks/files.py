@@ -39,14 +39,20 @@ def write_log_archive(counts: DataFrame, path: str, compression: str = "bzip2")
 def concat_recent(
     df: DataFrame, path: str, order: Sequence[str], raw: str = "raw", compression: str = "none"
 ) -> None:
-    """All documents of a run appended to one file per ``recent_path``."""
+    """All documents of a run appended to one file per ``recent_path``.
+
+    Bytes stay as they are, except that a document without a final newline gets
+    one, so that the next document starts on its own line.
+    """
+    newline = F.substring(raw, -1, 1) == F.lit(b"\n")
+    # on bytes: a string function would replace what is no valid UTF-8
+    value = F.when(newline, F.substr(F.col(raw), F.lit(1), F.length(raw) - 1)).otherwise(F.col(raw))
     (
         recent_order(df, order)
-        # a cast keeps the bytes as they are
-        .select("recent_path", F.col(raw).cast("string").alias("value"))
+        .select("recent_path", value.cast("string").alias("value"))
         .write.mode("append")
         .partitionBy("recent_path")
-        .option("lineSep", "")
+        .option("lineSep", "\n")
         .option("compression", compression)
         .text(path)
     )

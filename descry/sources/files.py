@@ -25,6 +25,7 @@ from descry.operators.keys import skip_processed
 from descry.session import broadcast_if_small
 
 LINES_PER_BATCH = 50_000
+BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 _LOG_GLOB = "*access.log*"
 
 
@@ -74,21 +75,26 @@ def read_access_logs(
     """Lines of all logs below a folder, with their path.
 
     The filter on the file name prunes files when they are listed.  An
-    unreadable file is skipped.
+    unreadable file is skipped.  The same frame can be read as a stream.
     """
-    reader = (spark.readStream if streaming else spark.read).option("recursiveFileLookup", "true")
-    reader = reader.option("pathGlobFilter", _LOG_GLOB).option("ignoreCorruptFiles", "true")
-    if streaming:
-        plain = reader.option("maxFilesPerTrigger", max_files).text(folder)
-    else:
-        plain = reader.text(folder)
-    plain = plain.filter(~F.col("_metadata.file_name").endswith(".xz")).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")
+
+    def reader(glob: str):
+        r = (spark.readStream if streaming else spark.read).option("pathGlobFilter", glob)
+        if streaming:
+            r = r.option("maxFilesPerTrigger", max_files)
+        return r.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
+
+    plain = (
+        reader(_LOG_GLOB)
+        .text(folder)
+        .filter(~F.col("_metadata.file_name").endswith(".xz"))
+        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
     )
+    packed = reader("*access.log*.xz").format("binaryFile")
     if streaming:
-        return plain
-    packed = _binary(spark, folder, "*access.log*.xz").select("path", "content")
-    return plain.unionByName(packed.mapInPandas(_xz_lines, "path string, line string"))
+        packed = packed.schema(BINARY_SCHEMA)
+    xz = packed.load(folder).select("path", "content")
+    return plain.unionByName(xz.mapInPandas(_xz_lines, "path string, line string"))
 
 
 def read_log_files(

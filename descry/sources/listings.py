@@ -250,12 +250,13 @@ def _parse_stats(texts: DataFrame, end_line: str, end: str) -> tuple[DataFrame,
     clean = F.regexp_replace("text", r"(?dm)^@type [^\n]*\n(?=" + end_line + " )", "")
     parts = texts.select(
         "path", F.posexplode_outer(sections(clean, f"{end_line} ")).alias("pos", "raw")
-    ).filter(F.trim("raw") != "")
+    ).filter(~F.col("raw").rlike(r"\A\s*\z"))
     timed = parts.withColumn(
         end, parse_time(F.regexp_extract("raw", rf"(?d)\A{end_line} (\S+ \S+)", 1))
     )
     good = F.col(end).isNotNull() & ~F.col("raw").rlike(r"(?dm)^@type ")
-    return timed.filter(good), timed.filter(~good).drop(end)
+    rejected = timed.filter(~good).withColumn("raw", F.regexp_replace("raw", r"\A\n", ""))
+    return timed.filter(good), rejected.drop(end)
 
 
 def parse_proxy_stats(texts: DataFrame) -> DataFrame:

@@ -18,11 +18,9 @@ from descry.operators.keys import keep_first
 from descry.plans.access_logs import STAGING_SCHEMA, LogTables, lines_to_counts, store_days
 from descry.sinks.tables import write_new_only
 from descry.operators.documents import split_by_kind
-from descry.sources.files import read_access_logs
+from descry.sources.files import BINARY_SCHEMA, read_access_logs
 from descry.sources.state import read_table
 
-_BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-
 
 def stream_access_logs(
     spark: SparkSession,
@@ -80,7 +78,7 @@ def stream_descriptors(
 
     files = (
         spark.readStream.format("binaryFile")
-        .schema(_BINARY_SCHEMA)
+        .schema(BINARY_SCHEMA)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files_per_batch)
         .load(folder)
