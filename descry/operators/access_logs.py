@@ -163,22 +163,34 @@ def merge_line_counts(parts: Sequence[DataFrame]) -> DataFrame:
     return merge_counts(parts, LINE_KEYS)
 
 
-def expand_counts(
-    df: DataFrame, count: str = "n", lines_per_chunk: int = 100_000, spread: bool = True
-) -> DataFrame:
+def count_chunks(df: DataFrame, count: str = "n", lines_per_chunk: int = 100_000) -> DataFrame:
+    """One row per ``lines_per_chunk`` copies: ``first_copy`` and ``last_copy``.
+
+    A count of zero has no chunk.
+    """
+    last = F.floor((F.col(count) - 1) / lines_per_chunk)
+    first_copy = F.col("__chunk") * lines_per_chunk + 1
+    return (
+        df.filter(F.col(count) > 0)
+        .withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .withColumn("first_copy", first_copy)
+        .withColumn("last_copy", F.least(F.col(count), first_copy + lines_per_chunk - 1))
+        .drop("__chunk")
+    )
+
+
+def repeat_chunks(chunks: DataFrame) -> DataFrame:
+    """One row per copy, in the order of the chunks."""
+    return chunks.withColumn("copy", F.explode(F.sequence("first_copy", "last_copy"))).drop(
+        "first_copy", "last_copy"
+    )
+
+
+def expand_counts(df: DataFrame, count: str = "n", lines_per_chunk: int = 100_000) -> DataFrame:
     """Repeat each row ``n`` times.
 
     A large count is first cut into chunks that are spread over tasks, so one
     hot line neither builds one huge array nor fills one task.
     """
-    chunk = F.col("__chunk")
-    chunks = df.filter(F.col(count) > 0).withColumn(
-        "__chunk",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / lines_per_chunk))),
-    )
-    if spread:
-        chunks = chunks.repartition(*[c for c in df.columns], "__chunk")
-    in_chunk = F.least(F.col(count) - chunk * lines_per_chunk, F.lit(lines_per_chunk))
-    return chunks.withColumn(
-        "copy", F.explode(F.sequence(chunk * lines_per_chunk + 1, chunk * lines_per_chunk + in_chunk))
-    ).drop("__chunk")
+    chunks = count_chunks(df, count, lines_per_chunk)
+    return repeat_chunks(chunks.repartition(*df.columns, "first_copy"))

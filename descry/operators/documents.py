@@ -139,13 +139,14 @@ def _entries_before_first_bad(parts: Column) -> Column:
     return let(F.array_position(bad, True).cast("int"), usable)
 
 
-def parse_status(df: DataFrame, raw: str = "raw") -> DataFrame:
+def parse_status(df: DataFrame, raw: str = "raw", keep_raw: bool = False) -> DataFrame:
     """Header fields of statuses, with ``dir_sources`` and the texts of ``entries``.
 
     ``df`` holds consensuses and votes only.  The text is cut before each ``r``
     line: the first part is the header, each other part one entry.  Parsing
     stops at the first malformed r or m line.  Entries stay text here: their
-    fields are read after exploding, in generated code.
+    fields are read after exploding, in generated code.  With ``keep_raw`` the
+    document stays with its header, for storing it without a join.
     """
     text = unix_lines(as_text(F.col(raw)))
     header = F.col("__parts")[0]
@@ -156,7 +157,8 @@ def parse_status(df: DataFrame, raw: str = "raw") -> DataFrame:
         ),
         lambda p: F.regexp_extract(p, r"(?d)\Adir-source \S+ (\S+)", 1),
     )
-    keep = [c for c in df.columns if c not in (raw, "kind", "digest")]
+    dropped = ("kind", "digest") if keep_raw else (raw, "kind", "digest")
+    keep = [c for c in df.columns if c not in dropped]
     kind = F.col("kind") if "kind" in df.columns else classify(F.col("__text"))
     header_and_entries = (
         df.withColumn("__text", text)

@@ -191,26 +191,36 @@ def completeness(
     no documents.
     """
     keys = list(keys)
-    known_s = servers.groupBy("digest").agg(F.max("extra_info_digest").alias("__extra"))
-    known_e = extra_infos.select(F.col("digest").alias("__extra"), F.lit(1).alias("__e")).distinct()
-    known_m = microdescs.select(F.col("sha256_hex").alias("micro_digest"), F.lit(1).alias("__m"))
+    one, zero = F.lit(1), F.lit(0)
+    latest = servers.groupBy("digest").agg(F.max("extra_info_digest").alias("__extra"))
+    known_e = extra_infos.select(F.col("digest").alias("__extra"), one.alias("__e")).distinct()
+    # servers without an extra-info digest stay out of the join on it: nulls would
+    # all meet in one task
+    with_extra = (
+        latest.filter(F.col("__extra").isNotNull())
+        .join(known_e, "__extra", "left")
+        .select("digest", one.alias("__has_e"), F.coalesce("__e", zero).alias("__e"))
+    )
+    without_extra = latest.filter(F.col("__extra").isNull()).select(
+        "digest", zero.alias("__has_e"), zero.alias("__e")
+    )
+    known_s = with_extra.unionByName(without_extra).withColumn("__s", one)
+    known_m = microdescs.select(F.col("sha256_hex").alias("micro_digest"), one.alias("__m"))
     by_server = (
         entries.filter(F.col("server_digest").isNotNull())
         .select(*keys, F.col("server_digest").alias("digest"))
         .distinct()
-        .join(known_s.withColumn("__s", F.lit(1)), "digest", "left")
-        .join(known_e, "__extra", "left")
+        .join(known_s, "digest", "left")
         .select(
             *keys,
-            F.lit(1).alias("all_s"),
-            F.coalesce("__s", F.lit(0)).alias("found_s"),
-            F.col("__extra").isNotNull().cast("int").alias("all_e"),
-            F.coalesce("__e", F.lit(0)).alias("found_e"),
-            F.lit(0).alias("all_m"),
-            F.lit(0).alias("found_m"),
+            one.alias("all_s"),
+            F.coalesce("__s", zero).alias("found_s"),
+            F.coalesce("__has_e", zero).alias("all_e"),
+            F.coalesce("__e", zero).alias("found_e"),
+            zero.alias("all_m"),
+            zero.alias("found_m"),
         )
     )
-    zero = F.lit(0)
     by_micro = (
         entries.filter(F.col("micro_digest").isNotNull())
         .select(*keys, "micro_digest")
@@ -219,7 +229,7 @@ def completeness(
         .select(
             *keys,
             *[zero.alias(c) for c in ("all_s", "found_s", "all_e", "found_e")],
-            F.lit(1).alias("all_m"),
+            one.alias("all_m"),
             F.coalesce("__m", zero).alias("found_m"),
         )
     )

@@ -75,9 +75,12 @@ def retained_secrets(secrets: DataFrame, cutoff: datetime | None) -> DataFrame:
     return secrets.filter(F.col("month") >= cutoff.strftime("%Y-%m"))
 
 
-def as_map(secrets: DataFrame) -> DataFrame:
-    """All secrets as one row with a map from month to secret; at most a century."""
-    checked = secrets.limit(MAX_MONTHS + 1)
-    return checked.agg(
-        F.map_from_entries(F.collect_list(F.struct("month", "secret"))).alias("secrets")
-    )
+def with_all_secrets(df: DataFrame, secrets: DataFrame, alias: str = "secrets") -> DataFrame:
+    """Add all secrets as a map from month to secret, at most a century of months.
+
+    A scalar subquery: computed once, no join.
+    """
+    if secrets.limit(MAX_MONTHS + 1).count() > MAX_MONTHS:
+        raise ValueError(f"more than {MAX_MONTHS} months of secrets")
+    everything = secrets.agg(F.map_from_entries(F.collect_list(F.struct("month", "secret"))))
+    return df.withColumn(alias, everything.scalar())

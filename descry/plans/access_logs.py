@@ -72,9 +72,8 @@ def run_access_logs(
     later is never read again.  Only files present now take part in the decision.
     """
     processed = read_state(spark, tables.state, STATE_SCHEMA)
-    files, lines = read_log_files(spark, folder)
-    new_lines = lines.join(processed, "path", "left_anti")
-    new = lines_to_counts(new_lines, "path")
+    files, lines = read_log_files(spark, folder, processed)
+    new = lines_to_counts(lines, "path")
     (
         new.withColumn("run", F.lit(now.strftime("%Y%m%d%H%M%S")))
         .hint("rebalance", "log_date")

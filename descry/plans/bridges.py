@@ -15,7 +15,7 @@ from descry.operators.sanitize import (
     sanitize_network_status,
     sanitize_server_descriptor,
 )
-from descry.operators.secrets import as_map, ensure_secrets, month_of, with_month_secret
+from descry.operators.secrets import ensure_secrets, month_of, with_all_secrets, with_month_secret
 from descry.session import checkpointed
 from descry.sinks.tables import save_state, write_new_only
 from descry.operators.documents import split_by_kind
@@ -61,7 +61,7 @@ def sanitize_bridge_documents(
         text = unix_lines(as_text(F.col("raw")))
         timed = servers.withColumn("__time", parse_time(last_line_value(text, "published")))
         servers = with_month_secret(timed, secrets, "__time").drop("__time")
-        statuses = statuses.crossJoin(F.broadcast(as_map(secrets)))
+        statuses = with_all_secrets(statuses, secrets)
         clean_servers = sanitize_server_descriptor(servers, secret="secret").drop("secret")
         clean_statuses = sanitize_network_status(statuses, secrets="secrets").drop("secrets")
     else:

@@ -13,10 +13,10 @@ from descry.operators.catalog import (
     listable,
     reconcile_index,
 )
-from descry.session import broadcast_if_small, checkpointed
+from descry.session import checkpointed
 from descry.sinks.files import export_index_json
 from descry.sinks.tables import save_state
-from descry.sources.files import list_files
+from descry.sources.files import list_files, read_binary
 from descry.sources.state import read_state
 
 INDEX_SCHEMA = (
@@ -35,9 +35,8 @@ def run_index(
         "path", F.date_trunc("minute", "modificationTime").alias("last_modified")
     )
     plan = checkpointed(reconcile_index(index, listing, now))
-    wanted = broadcast_if_small(plan.filter("action = 'index'").select("path"), 200_000)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    indexed = index_file(files.join(wanted, "path", "left_semi"))
+    files = read_binary(spark, folder, plan.filter("action = 'index'"))
+    indexed = index_file(files)
     updated = checkpointed(apply_reconciliation(index, plan, indexed))
     save_state(updated, state, now)
     if json_path:

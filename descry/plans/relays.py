@@ -80,17 +80,16 @@ def archive_rows(documents: DataFrame, parsed: Parsed, received: datetime) -> Da
     """
     base = ["path", "pos", "kind", "raw"]
     docs = documents.select(*base)
-    key = ["path", "pos"]
-    # an empty string means that the header line was missing
-    status_raw = docs.join(
-        parsed.statuses.select(*key, "valid_after", "fingerprint", "dir_source", "digest"), key
-    )
-    votes = status_raw.filter("kind = 'vote'").withColumn("fingerprint", F.col("dir_source"))
+    statuses = parse_status(
+        of_kind(docs, "consensus", "consensus-microdesc", "vote"), keep_raw=True
+    ).withColumn("published", F.col("valid_after"))
     frames = [
-        (k, status_raw.filter(F.col("kind") == k).withColumn("published", F.col("valid_after")))
+        (k, statuses.filter(F.col("kind") == k).withColumn("digest", F.sha1("raw")))
         for k in ("consensus", "consensus-microdesc")
     ]
-    frames.append(("vote", votes.withColumn("published", F.col("valid_after"))))
+    # a vote's path carries its authority's identity
+    votes = statuses.filter(F.col("kind") == "vote")
+    frames.append(("vote", votes.withColumn("fingerprint", F.col("dir_source"))))
     frames.append(("server", parse_server_descriptor(of_kind(docs, "server"))))
     frames.append(("extra-info", parse_extra_info(of_kind(docs, "extra-info"))))
     certificates = extract_certificates(of_kind(docs, "vote")).withColumn(

@@ -13,7 +13,7 @@ from descry.operators.sanitize import (
     sanitize_server_descriptor,
     status_freshness,
 )
-from descry.operators.secrets import as_map, with_month_secret
+from descry.operators.secrets import month_of, with_all_secrets, with_month_secret
 from descry.plans.derived import (
     CRYPTO,
     as_time_text,
@@ -89,7 +89,7 @@ def sanitized_server_descriptors(spark: SparkSession, folder: str) -> DataFrame:
     docs = bridge_server_documents(spark, folder)
     published = last_line_value(F.decode("raw", "UTF-8"), "published")
     timed = docs.withColumn("__time", parse_time(published))
-    months = spark.range(1, 13).select(F.format_string("2016-%02d", "id").alias("month"))
+    months = timed.select(month_of(F.col("__time")).alias("month"))
     keyed = with_month_secret(timed, secrets_for(months), "__time")
     return (
         sanitize_server_descriptor(keyed, secret="secret")
@@ -158,11 +158,11 @@ FROM x GROUP BY k, p_size, p_type
 @registered(_STATUS_SQL)
 def sanitized_network_statuses(spark: SparkSession, folder: str) -> DataFrame:
     """Whole sanitized statuses: entries sorted, the last of equal identities kept."""
-    months = spark.range(1, 13).select(F.format_string("2016-%02d", "id").alias("month"))
-    secrets = as_map(secrets_for(months))  # one row, one entry per month
-    docs = bridge_status_documents(spark, folder).crossJoin(F.broadcast(secrets))
+    docs = bridge_status_documents(spark, folder)
+    months = docs.select(F.substring("default_published", 1, 7).alias("month"))
+    keyed = with_all_secrets(docs, secrets_for(months))
     return (
-        sanitize_network_status(docs, secrets="secrets")
+        sanitize_network_status(keyed, secrets="secrets")
         .select("p_partkey", "reject_reason", F.decode("sanitized", "UTF-8").alias("sanitized"))
         .fillna("")
     )

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from descry.operators.access_logs import expand_counts
+from descry.operators.access_logs import count_chunks, repeat_chunks
 from descry.operators.archive import recent_order, with_archive_paths
 from descry.operators.catalog import index_tree
 
@@ -19,15 +19,16 @@ from descry.operators.catalog import index_tree
 def write_log_archive(counts: DataFrame, path: str, compression: str = "bzip2") -> None:
     """Sanitized lines per host pair and day, sorted, each as often as counted.
 
-    The sort key includes the copy's chunk, so the copies of one hot line are
-    spread over range partitions as well.
+    Counts are sorted, cut into chunks, and repeated only after the shuffle.  The
+    sort key includes the chunk, so the copies of one hot line are spread over
+    range partitions as well.
     """
     dated = with_archive_paths(counts, "access-log", time="log_date")
-    keys = ["storage_path", "line", "copy"]
-    expanded = expand_counts(dated.select("storage_path", "line", "n"))
+    keys = ["storage_path", "line", "first_copy"]
+    chunks = count_chunks(dated.select("storage_path", "line", "n"))
+    ordered = chunks.repartitionByRange(*keys).sortWithinPartitions(*keys)
     (
-        expanded.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
+        repeat_chunks(ordered)
         .select("storage_path", F.col("line").alias("value"))
         .write.mode("append")
         .partitionBy("storage_path")

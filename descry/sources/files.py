@@ -25,6 +25,7 @@ from descry.operators.keys import skip_processed
 from descry.session import broadcast_if_small
 
 LINES_PER_BATCH = 50_000
+MAX_LISTED_PATHS = 10_000
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 _LOG_GLOB = "*access.log*"
 
@@ -37,6 +38,31 @@ def list_files(spark: SparkSession, folder: str, glob: str | None = None) -> Dat
     return reader.load(folder).select("path", "length", "modificationTime")
 
 
+def few_paths(files: DataFrame, at_most: int = MAX_LISTED_PATHS) -> list[str] | None:
+    """Paths to open, when they are few enough to name them; else None.
+
+    Naming files keeps a run from opening what it has read before.
+    """
+    rows = files.select("path").distinct().limit(at_most + 1).collect()
+    paths = [r.path for r in rows]
+    if len(paths) > at_most or any(c in p for p in paths for c in "*?[]{}\\"):
+        return None
+    return paths
+
+
+def read_binary(
+    spark: SparkSession, folder: str, wanted: DataFrame, glob: str | None = None
+) -> DataFrame:
+    """Contents of the files in ``wanted`` (path): by name when they are few,
+    otherwise the folder is scanned and joined."""
+    paths = few_paths(wanted)
+    if paths is not None:
+        if not paths:
+            return spark.createDataFrame([], BINARY_SCHEMA)
+        return _binary(spark, paths)
+    return _binary(spark, folder, glob).join(wanted.select("path").distinct(), "path", "left_semi")
+
+
 def _binary(spark: SparkSession, folders: str | Sequence[str], glob: str | None = None) -> DataFrame:
     reader = (
         spark.read.format("binaryFile")
@@ -70,9 +96,12 @@ def _xz_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_access_logs(
-    spark: SparkSession, folder: str, streaming: bool = False, max_files: int = 10_000
+    spark: SparkSession,
+    folder: str | list[str],
+    streaming: bool = False,
+    max_files: int = 10_000,
 ) -> DataFrame:
-    """Lines of all logs below a folder, with their path.
+    """Lines of all logs below a folder (or of named files), with their path.
 
     The filter on the file name prunes files when they are listed.  An
     unreadable file is skipped.  The same frame can be read as a stream.
@@ -100,16 +129,19 @@ def read_access_logs(
 def read_log_files(
     spark: SparkSession, folder: str, processed: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Log files to read, and their lines with hosts.
+    """Log files present, and the lines (with hosts) of those not in ``processed``.
 
-    Of several files for one host pair and date the largest path counts; files
-    in ``processed`` are not read again.
+    Of several files for one host pair and date the largest path counts.
     """
     files = latest_log_files(parse_log_path(list_files(spark, folder, _LOG_GLOB)))
-    if processed is not None:
-        files = skip_processed(files, processed, ["path"])
-    wanted = broadcast_if_small(files.select("path", *HOSTS, "file_date"), 200_000)
-    return files, read_access_logs(spark, folder).join(wanted, "path")
+    new = files if processed is None else skip_processed(files, processed, ["path"])
+    paths = few_paths(new)
+    if paths == []:
+        lines = spark.createDataFrame([], "path string, line string")
+    else:
+        lines = read_access_logs(spark, folder if paths is None else paths)
+    hosts = broadcast_if_small(new.select("path", *HOSTS, "file_date"), 200_000)
+    return files, lines.join(hosts, "path")
 
 
 # --- descriptors -------------------------------------------------------------------
@@ -138,9 +170,10 @@ def read_descriptor_files(
     Tarballs are left out, bz2 is unpacked, files in ``history`` are skipped, and
     more than ``at_most_errors`` unreadable files stop the run.
     """
-    files = _binary(spark, folder).filter(~F.col("path").endswith(".tar.bz2"))
+    wanted = list_files(spark, folder).filter(~F.col("path").endswith(".tar.bz2"))
     if history is not None:
-        files = skip_processed(files, history, ["path"])
+        wanted = skip_processed(wanted, history, ["path"])
+    files = read_binary(spark, folder, wanted)
     packed = F.col("path").endswith(".bz2")
     unpacked = (
         files.filter(packed)
@@ -222,9 +255,10 @@ def read_bridge_tarballs(
     A tarball is not splittable, so its members are spread over tasks right
     after unpacking.
     """
-    files = parse_tarball_name(_binary(spark, folder, "*.tar*"))
+    wanted = parse_tarball_name(list_files(spark, folder, "*.tar*"))
     if processed is not None:
-        files = skip_processed(files, processed, ["tarball"])
+        wanted = skip_processed(wanted, processed, ["tarball"])
+    files = parse_tarball_name(read_binary(spark, folder, wanted, "*.tar*"))
     columns = ["tarball", "authority", "default_published"]
     schema = ", ".join(f"{c} string" for c in columns) + ", member string, raw binary"
     members = files.select(*columns, "content").mapInPandas(_members, schema)
