@@ -73,15 +73,10 @@ def scrub_ipv4(address: Column, fingerprint: Column, secret: Column | None = Non
     if secret is None:
         return F.lit(PLAIN_IPV4)
     keyed = F.concat(_dotted_quad_hex(address), fingerprint, _secret_hex(secret, SECRET_IPV4))
-    return F.when(
-        keyed.isNotNull(),
-        let(
-            F.sha2(F.unhex(keyed), 256),
-            lambda d: F.concat_ws(
-                ".", F.lit("10"), *[F.conv(F.substring(d, 1 + 2 * i, 2), 16, 10) for i in range(3)]
-            ),
-        ),
-    )
+    digest = F.sha2(F.unhex(keyed), 256)
+    octets = [F.conv(F.substring(digest, 1 + 2 * i, 2), 16, 10) for i in range(3)]
+    # concat of a null is null
+    return F.concat(F.lit("10."), octets[0], F.lit("."), octets[1], F.lit("."), octets[2])
 
 
 def scrub_ipv6(address: Column, fingerprint: Column, secret: Column | None = None) -> Column:

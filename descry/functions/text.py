@@ -15,6 +15,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def last_per_key(items: Column, key: str) -> Column:
+    """Structs of an array sorted, and of those with equal ``key`` only the last.
+
+    ``key`` is the structs' first field, a position the second.
+    """
+
+    def last(s: Column) -> Column:
+        following = F.concat(F.slice(s, 2, F.size(s)), F.array(F.lit(None)))
+        kept = F.zip_with(s, following, lambda a, b: F.when(b.isNull() | (a[key] != b[key]), a))
+        return F.filter(kept, lambda x: x.isNotNull())
+
+    return F.when(F.size(items) > 0, let(F.array_sort(items), last)).otherwise(items)
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns whose expressions run exactly once per row.
 

@@ -38,6 +38,7 @@ from descry.functions.text import (
     is_base64,
     is_hex,
     last_line_value,
+    last_per_key,
     let,
     lines_of,
     once,
@@ -455,20 +456,9 @@ def sanitize_network_status(
     )
     stated = F.filter("__header", lambda x: x.startswith("fingerprint "))
     expected = F.concat(F.lit("fingerprint "), F.col(authority))
-    # zip with positions, so that sorting puts the last of equal keys last
-    keyed = F.array_sort(
-        F.transform(
-            "__entries",
-            lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["verdicts"].alias("v")),
-        )
-    )
-    last_of_key = F.filter(
-        F.zip_with(
-            "__sorted",
-            F.concat(F.slice("__sorted", 2, F.size("__sorted")), F.array(F.lit(None))),
-            lambda a, b: F.when(b.isNull() | (a["key"] != b["key"]), a),
-        ),
-        lambda x: x.isNotNull(),
+    keyed = F.transform(
+        "__entries",
+        lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["verdicts"].alias("v")),
     )
     newest = F.array_max(
         F.filter(
@@ -489,16 +479,16 @@ def sanitize_network_status(
             "__entries",
             F.transform(F.slice("__parts", 2, F.size("__parts")), entry),
         )
-        .withColumn("__sorted", keyed)
+        .withColumn("__sorted", last_per_key(keyed, "key"))
         .withColumn("newest_entry", newest)
         .withColumn("n_entries", F.size("__entries"))
         .withColumn(
             "__verdicts",
-            F.flatten(F.transform("__sorted", lambda e: e["v"])),
+            F.flatten(F.transform("__entries", lambda e: e["verdicts"])),
         )
     )
     first_bad = F.get(F.filter("__verdicts", lambda v: v.startswith("!")), F.lit(0))
-    kept_entries = F.flatten(F.transform(last_of_key, lambda e: e["v"]))
+    kept_entries = F.flatten(F.transform("__sorted", lambda e: e["v"]))
     body = F.array_join(
         F.transform(
             F.filter(kept_entries, lambda v: v.startswith("+")),

@@ -19,16 +19,24 @@ from descry.operators.secrets import ensure_secrets, month_of, with_all_secrets,
 from descry.session import checkpointed
 from descry.sinks.tables import save_state, write_new_only
 from descry.operators.documents import split_by_kind
-from descry.sources.files import read_bridge_tarballs
+from descry.sources.files import read_tarballs
 from descry.sources.state import read_state
 
 ARCHIVE_COLUMNS = ("kind", "published", "digest", "storage_path", "recent_path", "raw", "month")
 
 
 def bridge_documents(members: DataFrame) -> DataFrame:
-    """Single documents of tarball members, each content once."""
-    documents = split_by_kind(members).withColumn("__sha1", F.sha1("raw"))
-    return keep_first(documents, ["__sha1"], ["tarball", "member", "pos"]).drop("__sha1")
+    """Single documents of tarball members, each content once.
+
+    What a status becomes depends on its tarball too, so equal statuses of
+    different tarballs both stay.
+    """
+    status = F.col("kind") == "bridge-status"
+    documents = split_by_kind(members).withColumn("__sha1", F.sha1("raw")).withColumn(
+        "__from", F.when(status, F.concat("authority", "default_published")).otherwise("")
+    )
+    kept = keep_first(documents, ["__sha1", "__from"], ["tarball", "member", "pos"])
+    return kept.drop("__sha1", "__from")
 
 
 def published_months(documents: DataFrame) -> DataFrame:
@@ -116,8 +124,10 @@ def run_bridges(
     """
     schema = "tarball string"
     processed = read_state(spark, state, schema)
-    # unpacking and splitting is the costly part, and three readers follow
-    documents = checkpointed(bridge_documents(read_bridge_tarballs(spark, folder, processed)))
+    # unpacking and splitting are the costly parts, and several readers follow
+    members = checkpointed(read_tarballs(spark, folder, processed))
+    whole = F.col("member").isNull()
+    documents = checkpointed(bridge_documents(members.filter(~whole)))
     persist = None
     if secrets is not None:
         everything, persist = ensure_secrets(published_months(documents), secrets, cutoff)
@@ -126,6 +136,6 @@ def run_bridges(
     written = write_new_only(
         good.select(*ARCHIVE_COLUMNS), archive, ["storage_path"], ["digest"], ["kind", "month"]
     )
-    seen = documents.select("tarball").distinct()
+    seen = members.filter(whole).select("tarball")
     save_state(accumulate(processed, seen, ["tarball"]), state, now)
     return written, bad, persist

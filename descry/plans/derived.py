@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.functions.text import base64_unpadded
+from descry.functions.text import base64_unpadded, once
 from descry.session import configure, spread
 
 EVENTS_NOW = datetime(2024, 1, 30, 18, 30)
@@ -28,6 +28,11 @@ def documents_table(spark: SparkSession, folder: str, name: str, *columns: str)
     return spread(table(spark, folder, name).select(*columns))
 
 
+def made_once(df: DataFrame, column: str) -> DataFrame:
+    """Keep a derived document from being derived again in every filter on it."""
+    return once(df, **{column: F.col(column)})
+
+
 def text_of(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -72,7 +77,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     local = F.when(west, F.col("ts") - F.expr("interval 2 hours")).otherwise(F.col("ts"))
     zone = F.when(west, "-0200").otherwise("+0000")
     size = F.when(user % 7 == 0, "-").otherwise(F.floor("value").cast("string"))
-    return e.select(
+    made = e.select(
         "event_id",
         text_of("host", user % 3, ".example.org").alias("virtual_host"),
         text_of("web", user % 2).alias("physical_host"),
@@ -84,6 +89,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
             status, " ", size, ' "-" "agent"',
         ).alias("line"),
     )
+    return made_once(made, "line")
 
 
 # --- addresses and secrets ---------------------------------------------------------------
@@ -141,9 +147,10 @@ def extra_info_text(key: Column, time: Column) -> Column:
 
 def orders_documents(spark: SparkSession, folder: str, text_fn, annotation: str = "") -> DataFrame:
     o = documents_table(spark, folder, "orders", "o_orderkey", "o_orderdate")
-    return o.select(
+    made = o.select(
         "o_orderkey", utf8(F.concat(F.lit(annotation), text_fn(F.col("o_orderkey"), F.col("o_orderdate")))).alias("raw")
     )
+    return made_once(made, "raw")
 
 
 def bridge_server_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,7 +161,7 @@ def bridge_server_documents(spark: SparkSession, folder: str) -> DataFrame:
     customers = documents_table(
         spark, folder, "customer", "c_custkey", "c_nationkey", "c_mktsegment"
     )
-    return customers.select(
+    made = customers.select(
         "c_custkey",
         utf8(
             text_of(
@@ -168,11 +175,12 @@ def bridge_server_documents(spark: SparkSession, folder: str) -> DataFrame:
             )
         ).alias("raw"),
     )
+    return made_once(made, "raw")
 
 
 def bridge_extra_documents(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, folder, "customer").select(
+    made = table(spark, folder, "customer").select(
         "c_custkey",
         utf8(
             text_of(
@@ -184,6 +192,7 @@ def bridge_extra_documents(spark: SparkSession, folder: str) -> DataFrame:
             )
         ).alias("raw"),
     )
+    return made_once(made, "raw")
 
 
 def bridge_status_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,7 +206,7 @@ def bridge_status_documents(spark: SparkSession, folder: str) -> DataFrame:
             F.col("p_size"), "\n",
         )
 
-    return documents_table(spark, folder, "part", "p_partkey", "p_size", "p_type").select(
+    made = documents_table(spark, folder, "part", "p_partkey", "p_size", "p_type").select(
         "p_partkey",
         F.lit("AAAA").alias("authority"),
         F.lit("2016-06-15 02:00:00").alias("default_published"),
@@ -214,6 +223,7 @@ def bridge_status_documents(spark: SparkSession, folder: str) -> DataFrame:
             )
         ).alias("raw"),
     )
+    return made_once(made, "raw")
 
 
 def status_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -243,7 +253,7 @@ def status_documents(spark: SparkSession, folder: str) -> DataFrame:
         spark, folder, "orders",
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority",
     )
-    return orders.select(
+    made = orders.select(
         "o_orderkey",
         utf8(
             F.concat(
@@ -261,12 +271,13 @@ def status_documents(spark: SparkSession, folder: str) -> DataFrame:
             )
         ).alias("raw"),
     )
+    return made_once(made, "raw")
 
 
 def vote_documents(spark: SparkSession, folder: str) -> DataFrame:
     """A vote with a key certificate per part; small parts have no entries."""
     k = F.col("p_partkey")
-    return table(spark, folder, "part").select(
+    made = table(spark, folder, "part").select(
         "p_partkey",
         utf8(
             F.concat(
@@ -279,13 +290,14 @@ def vote_documents(spark: SparkSession, folder: str) -> DataFrame:
             )
         ).alias("raw"),
     )
+    return made_once(made, "raw")
 
 
 def bandwidth_documents(spark: SparkSession, folder: str) -> DataFrame:
     """A bandwidth file per event, with its creation time before, after or absent."""
     t = F.col("event_type")
     created = text_of("file_created=", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "\n")
-    return table(spark, folder, "events").select(
+    made = table(spark, folder, "events").select(
         "event_id",
         "event_type",
         text_of("in/", F.col("event_type"), "/file", F.col("event_id")).alias("path"),
@@ -300,3 +312,4 @@ def bandwidth_documents(spark: SparkSession, folder: str) -> DataFrame:
             )
         ).alias("raw"),
     )
+    return made_once(made, "raw")

@@ -20,6 +20,7 @@ from descry.plans.derived import (
     as_time_text,
     documents_table,
     hex_id,
+    made_once,
     table,
     text_of,
     utf8,
@@ -186,7 +187,7 @@ def indexed_files(spark: SparkSession, folder: str) -> DataFrame:
         F.length(content).cast("long").alias("length"),
         F.lit("2016-10-02 08:09:30").cast("timestamp").alias("modificationTime"),
     )
-    return index_file(files).select(
+    return index_file(made_once(files, "content")).select(
         "path",
         "size",
         F.array_join("types", ",").alias("types"),

@@ -29,6 +29,7 @@ from descry.plans.derived import (
     documents_table,
     extra_info_text,
     hex_id,
+    made_once,
     orders_documents,
     server_text,
     status_documents,
@@ -84,7 +85,7 @@ def classified_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents_table(spark, folder, "documents", "doc_id", "lang", "text").select(
         "doc_id", utf8(F.concat(head, F.col("text"))).alias("raw")
     )
-    return classify_descriptor(docs).drop("raw")
+    return classify_descriptor(made_once(docs, "raw")).drop("raw")
 
 
 @registered(f"""
@@ -99,7 +100,8 @@ def split_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of concatenated files; a truncated tail is dropped."""
     second = text_of("router b", F.col("o_custkey"), "\ny", SIGNATURE)
     tail = F.when(F.col("o_orderstatus") == "F", F.rtrim(F.regexp_replace(second, "-----END.*\n", "")))
-    files = table(spark, folder, "orders").select(
+    orders = documents_table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    files = orders.select(
         "o_orderkey",
         utf8(
             F.concat(
@@ -108,7 +110,7 @@ def split_documents(spark: SparkSession, folder: str) -> DataFrame:
             )
         ).alias("raw"),
     )
-    return split_descriptors(files, "server").select(
+    return split_descriptors(made_once(files, "raw"), "server").select(
         "o_orderkey", "pos", "kind", F.sha1("raw").alias("digest")
     )
 
@@ -367,10 +369,11 @@ def pool_assignment_lines(spark: SparkSession, folder: str) -> DataFrame:
             F.concat(first, text_of("bridge-pool-assignment 2016-04-10 00:29:37\n", hex_id("c", c), " moat"))
         )
     )
-    texts = table(spark, folder, "orders").select(
+    orders = documents_table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    texts = orders.select(
         F.col("o_orderkey").cast("string").alias("path"), text.alias("text")
     )
-    return parse_pool_assignments(texts).withColumn("published", as_time_text("published"))
+    return parse_pool_assignments(made_once(texts, "text")).withColumn("published", as_time_text("published"))
 
 
 @registered("""

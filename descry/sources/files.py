@@ -11,6 +11,7 @@ import bz2
 import io
 import lzma
 import tarfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -212,19 +213,22 @@ _TARBALL = r"\Afrom-([^-]+)-(\d{4})-(\d{2})-(\d{2})T(\d{2})(\d{2})(\d{2})Z\.tar(
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Members of tarballs, and after each tarball read to its end a row without one."""
     for batch in batches:
         others = [c for c in batch.columns if c != "content"]
         for row in batch.to_dict("records"):
+            out = {c: [row[c]] for c in others}
             try:
-                with tarfile.open(fileobj=io.BytesIO(row["content"]), mode="r|*") as tar:
-                    for member in tar:
-                        data = tar.extractfile(member).read() if member.isfile() else b""
-                        if data:
-                            out = {c: [row[c]] for c in others}
-                            yield pd.DataFrame({**out, "member": [member.name], "raw": [data]})
-            except (tarfile.TarError, EOFError, OSError):
-                # the members before the damage stay, as in a partly read file
+                if row["content"]:
+                    with tarfile.open(fileobj=io.BytesIO(row["content"]), mode="r|*") as tar:
+                        for member in tar:
+                            data = tar.extractfile(member).read() if member.isfile() else b""
+                            if data:
+                                yield pd.DataFrame({**out, "member": [member.name], "raw": [data]})
+            except (tarfile.TarError, EOFError, OSError, zlib.error):
+                # the members before the damage stay; the tarball is not finished
                 continue
+            yield pd.DataFrame({**out, "member": [None], "raw": [None]})
 
 
 def parse_tarball_name(df: DataFrame, path: str = "path") -> DataFrame:
@@ -247,13 +251,14 @@ def parse_tarball_name(df: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
-def read_bridge_tarballs(
+def read_tarballs(
     spark: SparkSession, folder: str, processed: DataFrame | None = None
 ) -> DataFrame:
     """Members of bridge tarballs (tarball, authority, default_published, member, raw).
 
-    A tarball is not splittable, so its members are spread over tasks right
-    after unpacking.
+    A row without a member tells that its tarball was read to the end, so that
+    damaged tarballs are tried again and empty ones are not.  A tarball is not
+    splittable, so its members are spread over tasks right after unpacking.
     """
     wanted = parse_tarball_name(list_files(spark, folder, "*.tar*"))
     if processed is not None:
@@ -264,3 +269,8 @@ def read_bridge_tarballs(
     members = files.select(*columns, "content").mapInPandas(_members, schema)
     return members.repartition("tarball", "member")
 
+
+def read_bridge_tarballs(
+    spark: SparkSession, folder: str, processed: DataFrame | None = None
+) -> DataFrame:
+    return read_tarballs(spark, folder, processed).filter(F.col("member").isNotNull())

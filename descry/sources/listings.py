@@ -12,8 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from descry.formats import ANNOTATIONS
-from descry.functions.text import lines_of, parse_time, sections, unix_lines
-from descry.operators.keys import keep_last
+from descry.functions.text import (
+    last_per_key,
+    let,
+    lines_of,
+    once,
+    parse_time,
+    sections,
+    unix_lines,
+)
 
 
 def _texts(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
@@ -37,49 +44,47 @@ def parse_pool_assignments(texts: DataFrame) -> DataFrame:
     line, keeping what came before.  A repeated header discards the earlier
     group, a repeated fingerprint the earlier line.
     """
-    groups = sections(F.col("text"), _POOL_HEADER)
 
     def group(part: Column) -> Column:
-        lines = lines_of(part)
+        return let(lines_of(part), grouped)
+
+    def grouped(lines: Column) -> Column:
         time = parse_time(F.substring(lines[0], len(_POOL_HEADER) + 1, 1 << 30))
         body = F.slice(lines, 2, F.size(lines))
-        bad_at = F.array_position(
-            F.transform(body, lambda x: ~x.rlike(r"\A[^ ]{40,} ")), True
-        ).cast("int")
+        bad = F.transform(body, lambda x: ~x.rlike(r"\A[^ ]{40,} "))
+        bad_at = F.array_position(bad, True).cast("int")
+        read = F.when(bad_at > 0, F.slice(body, 1, F.greatest(bad_at - 1, F.lit(0)))).otherwise(body)
         return F.struct(
-            time.alias("published"),
-            (time.isNull() | (bad_at > 0)).alias("bad"),
-            F.when(time.isNull(), F.slice(body, 1, 0))
-            .when(bad_at > 0, F.slice(body, 1, F.greatest(bad_at - 1, F.lit(0))))
-            .otherwise(body)
-            .alias("lines"),
+            time.alias("published"), (time.isNull() | (bad_at > 0)).alias("bad"), read.alias("lines")
         )
 
-    bad = F.array_position(F.transform("__groups", lambda g: g["bad"]), True).cast("int")
-    read = F.when(F.col("__bad") == 0, F.col("__groups")).otherwise(
-        F.slice("__groups", 1, F.col("__bad"))
-    )
-    headed = (
-        texts.withColumn("__parts", groups)
-        # a line before any header stops the file at once
-        .filter(F.col("__parts")[0] == "\n")
-        .withColumn("__groups", F.transform(F.slice("__parts", 2, F.size("__parts")), group))
-        .withColumn("__bad", bad)
-        .select("path", F.posexplode_outer(read).alias("__no", "__g"))
-        .filter(F.col("__g.published").isNotNull())
-        .select("path", "__no", "__g.published", "__g.lines")
+    def before_first_bad(groups: Column) -> Column:
+        bad = F.array_position(F.transform(groups, lambda g: g["bad"]), True).cast("int")
+        return F.when(bad == 0, groups).otherwise(F.slice(groups, 1, bad))
+
+    def numbered(g: Column, i: Column) -> Column:
+        return F.struct(g["published"].alias("published"), i.alias("i"), g["lines"].alias("lines"))
+
+    def assignment(line: Column, i: Column) -> Column:
+        return F.struct(
+            F.substring_index(line, " ", 1).alias("fingerprint"),
+            i.alias("i"),
+            F.regexp_extract(line, r"\A[^ ]+ (.*)\z", 1).alias("details"),
+        )
+
+    # a line before any header stops the file at once
+    parts = once(texts, __parts=sections(F.col("text"), _POOL_HEADER)).filter(
+        F.col("__parts")[0] == "\n"
     )
-    lines = keep_last(headed, ["path", "published"], ["__no"]).select(
-        "path", "published", F.posexplode_outer("lines").alias("pos", "line")
-    ).filter(F.col("pos").isNotNull())
-    split = lines.select(
-        "path",
-        "published",
-        "pos",
-        F.regexp_extract("line", r"\A([^ ]+) (.*)\z", 1).alias("fingerprint"),
-        F.regexp_extract("line", r"\A([^ ]+) (.*)\z", 2).alias("details"),
+    read = let(F.transform(F.slice("__parts", 2, F.size("__parts")), group), before_first_bad)
+    usable = F.filter(F.transform(read, numbered), lambda g: g["published"].isNotNull())
+    lines = last_per_key(F.transform("__g.lines", assignment), "fingerprint")
+    return (
+        parts.select("path", F.explode_outer(last_per_key(usable, "published")).alias("__g"))
+        .select("path", "__g.published", F.explode_outer(lines).alias("__a"))
+        .filter(F.col("__a").isNotNull())
+        .select("path", "published", "__a.fingerprint", "__a.details")
     )
-    return keep_last(split, ["path", "published", "fingerprint"], ["pos"]).drop("pos")
 
 
 def read_pool_assignments(spark: SparkSession, folder: str) -> DataFrame:

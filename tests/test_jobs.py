@@ -103,6 +103,7 @@ def bridge_folder(tmp_path):
         "networkstatus-bridges": text(STATUS_LINES),
     }
     put(tmp_path, "in/from-tonga-2016-07-01T000702Z.tar.gz", tarball(members))
+    put(tmp_path, "in/from-serge-2016-07-01T000703Z.tar.gz", b"damaged")
     return str(tmp_path / "in")
 
 
@@ -120,6 +121,9 @@ def test_bridges(spark, tmp_path):
     assert [(r.kind, r.reject_reason) for r in rejected.collect()] == [
         ("bridge-server", "unrecognized line")
     ]
+    assert [r.tarball for r in read_state(spark, state, "tarball string").collect()] == [
+        "from-tonga-2016-07-01T000702Z.tar.gz"
+    ]
     # the tarball is remembered, and even read again it adds nothing
     again, _, _ = run_bridges(spark, folder, archive, state, NOW + timedelta(hours=1))
     assert again.count() == 0
