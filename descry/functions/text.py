@@ -111,7 +111,10 @@ def base64_unpadded(raw: Column) -> Column:
 
 
 def base64_to_hex(text: Column) -> Column:
-    return F.lower(F.hex(unbase64_unpadded(text)))
+    """Lower-case hex of base64 whose padding may be missing; null when it is no base64."""
+    whole = (F.floor((F.length(text) + 2) / 4) * 4).cast("int")
+    padded = F.rpad(F.translate(text, "-_", "+/"), whole, "=")
+    return F.lower(F.hex(F.try_to_binary(padded, F.lit("base64"))))
 
 
 def parse_time(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:

@@ -8,21 +8,29 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from descry.formats import FULL_REFRESH_AFTER, STALE_AFTER
+from descry.formats import (
+    FULL_REFRESH_AFTER,
+    STALE_AFTER,
+    STALE_CACHE_AFTER,
+    STALE_PROXY_STATS_AFTER,
+)
 from descry.functions.times import at
 
 
+STALE_BY_TYPE = {"proxy-stats": STALE_PROXY_STATS_AFTER, "cached-consensus": STALE_CACHE_AFTER}
+
+
 def latest_and_stale(
     df: DataFrame,
     now: datetime,
     type_col: str = "kind",
     time_col: str = "published",
     after: timedelta = STALE_AFTER,
-    after_by_type: dict[str, timedelta] | None = None,
+    after_by_type: dict[str, timedelta] = STALE_BY_TYPE,
 ) -> DataFrame:
     """Latest time per type and whether it lies too far back."""
     limit = at(now - after)
-    for name, delta in (after_by_type or {}).items():
+    for name, delta in after_by_type.items():
         limit = F.when(F.col(type_col) == name, at(now - delta)).otherwise(limit)
     return (
         df.groupBy(type_col)

@@ -56,6 +56,24 @@ def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return versions.filter(F.col("run") == F.lit(newest or "")).drop("run")
 
 
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """Reference edges from a JSON array; a damaged file counts as empty."""
+    schema = "array<struct<referencing:string,referenced:string,weight:double,expiresAfterMillis:bigint>>"
+    try:
+        texts = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e.getCondition()):
+            raise
+        texts = spark.createDataFrame([], "value string")
+    edges = texts.select(F.explode_outer(F.from_json("value", schema)).alias("e"))
+    return edges.filter(F.col("e.referencing").isNotNull()).select(
+        "e.referencing",
+        F.coalesce("e.referenced", F.lit("")).alias("referenced"),
+        "e.weight",
+        F.timestamp_millis("e.expiresAfterMillis").alias("expires_at"),
+    )
+
+
 def read_archive(
     spark: SparkSession, path: str, kinds: Iterable[str] | None = None, months: Iterable[str] | None = None
 ) -> DataFrame:

@@ -28,7 +28,7 @@ from descry.sources.listings import (
     read_tpf,
     read_transfer_analysis,
 )
-from descry.sources.state import read_ip_secrets, read_state, read_table
+from descry.sources.state import read_edges, read_ip_secrets, read_state, read_table
 
 
 def put(folder, name, data):
@@ -216,6 +216,19 @@ def test_new_secrets_keep_prefixes(spark, tmp_path):
     assert [r.secret is None for r in sorted(joined, key=lambda r: r.t)] == [False, True]
 
 
+def test_edges(spark, tmp_path):
+    edge = {"referencing": "A", "referenced": "B", "weight": 0.5, "expiresAfterMillis": 1467331200000}
+    good = put(tmp_path, "good", json.dumps([edge, {**edge, "referencing": "C"}]))
+    rows = read_edges(spark, str(good)).collect()
+    assert [(r.referencing, r.referenced, r.weight, r.expires_at.year) for r in rows] == [
+        ("A", "B", 0.5, 2016),
+        ("C", "B", 0.5, 2016),
+    ]
+    for i, damaged in enumerate(("", "{", "[{xx", '"x"')):
+        assert read_edges(spark, str(put(tmp_path, f"bad{i}", damaged))).count() == 0
+    assert read_edges(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_missing_tables_are_empty(spark, tmp_path):
     assert read_table(spark, str(tmp_path / "none"), "a int").count() == 0
     assert read_state(spark, str(tmp_path / "none"), "a int").count() == 0
