@@ -136,6 +136,17 @@ LOG_METHODS = ("GET", "HEAD", "POST")
 KEPT_LOG_METHODS = ("GET", "HEAD")
 DROPPED_LOG_STATUSES = (400, 404)
 
+# --- fixed values: file names, headers and end lines of lists and statistics -----
+TPF_NAME = r"\A(.+)-(\d+)-(\d{4}-\d{2}-\d{2})\.tpf\z"
+ANALYSIS_NAME = r"\A(?:(\d{4}-\d{2}-\d{2})\.)(?:(.+)\.)?onionperf\.analysis\.json\.xz\z"
+TARBALL_NAME = (
+    r"\Afrom-([^-]+)-(\d{4})-(\d{2})-(\d{2})T(\d{2})(\d{2})(\d{2})Z\.tar(?:\.gz)?\z"
+)
+POOL_HEADER = "bridge-pool-assignment "
+EXIT_LIST_LINES = r"\A(?:@type |Downloaded |ExitNode |Published |LastStatus |ExitAddress )"
+PROXY_STATS_END = "snowflake-stats-end"
+DISTRIBUTOR_METRICS_END = "bridgedb-metrics-end"
+
 # --- fixed values: bridge authorities by tarball name prefix ---------------------
 BRIDGE_AUTHORITIES = {
     "tonga": "4A0CCD2DDC7995083D73F5D667100C8A5831F16D",

@@ -18,6 +18,7 @@ from descry.formats import (
 from descry.functions.times import at, span
 from descry.operators.keys import keep_first
 from descry.operators.ordering import running_total
+from descry.session import checkpointed
 
 # --- fixed values: weight and lifetime of reference edges -------------------------
 STATUS_WEIGHT = 1.0
@@ -152,9 +153,11 @@ def first_referencers(missing: DataFrame) -> DataFrame:
 def with_running_weight(missing: DataFrame) -> DataFrame:
     """Missing edges in order, with the running total of counted weights.
 
-    Joined on the whole edge, which is unique, so a document that everything
-    refers to causes no skew.
+    The missing edges are written out once: finding them takes joins, and they
+    are read three times.  The join below is on the whole edge, which is unique,
+    so a document that everything refers to causes no skew.
     """
+    missing = checkpointed(missing)
     first = first_referencers(missing)
     marked = missing.join(first, ["referencing", "referenced"], "left")
     return running_total(

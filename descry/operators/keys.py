@@ -56,8 +56,11 @@ def only_processed(df: DataFrame, state: DataFrame, keys: Sequence[str]) -> Data
 def new_rows(
     incoming: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
-    """First write wins: rows a table does not have yet, one per key."""
-    return keep_first(skip_processed(incoming, existing, keys), keys, order)
+    """First write wins: rows a table does not have yet, one per key.
+
+    Copies go first, so that no popular key reaches the join.
+    """
+    return skip_processed(keep_first(incoming, keys, order), existing, keys)
 
 
 def overwritten(

@@ -29,10 +29,12 @@ def build_session(app: str = "descry", master: str | None = None, **conf: str) -
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings a borrowed session also needs.
 
-    All times are UTC, and a repeated key in a line of pairs keeps its last value.
+    All times are UTC, a repeated key in a line of pairs keeps its last value,
+    and a skewed join is split even where that costs one more shuffle.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.formats import BRIDGE_AUTHORITIES
+from descry.formats import BRIDGE_AUTHORITIES, TARBALL_NAME
 from descry.functions.text import as_text, once, unix_lines
 from descry.operators.access_logs import HOSTS, latest_log_files, parse_log_path
 from descry.operators.documents import classify, documents_in, explode_documents
@@ -209,9 +209,6 @@ def read_cached_descriptors(spark: SparkSession, folders: Sequence[str]) -> Data
 
 # --- bridge tarballs ------------------------------------------------------------------
 
-_TARBALL = r"\Afrom-([^-]+)-(\d{4})-(\d{2})-(\d{2})T(\d{2})(\d{2})(\d{2})Z\.tar(?:\.gz)?\z"
-
-
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Members of tarballs, and after each tarball read to its end a row without one."""
     for batch in batches:
@@ -234,7 +231,7 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def parse_tarball_name(df: DataFrame, path: str = "path") -> DataFrame:
     """Authority and time from a tarball's name; other files are dropped."""
     name = F.element_at(F.split(path, "/"), -1)
-    group = lambda i: F.regexp_extract(name, _TARBALL, i)
+    group = lambda i: F.regexp_extract(name, TARBALL_NAME, i)
     authority = F.create_map(*[F.lit(x) for kv in BRIDGE_AUTHORITIES.items() for x in kv])
     return (
         df.withColumn("tarball", name)

@@ -11,7 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.formats import ANNOTATIONS
+from descry.formats import (
+    ANALYSIS_NAME,
+    ANNOTATIONS,
+    DISTRIBUTOR_METRICS_END,
+    EXIT_LIST_LINES,
+    POOL_HEADER,
+    PROXY_STATS_END,
+    TPF_NAME,
+)
 from descry.functions.text import (
     last_per_key,
     let,
@@ -34,9 +42,6 @@ def _texts(spark: SparkSession, folder: str, glob: str | None = None) -> DataFra
 
 # --- pool assignments ---------------------------------------------------------------
 
-_POOL_HEADER = "bridge-pool-assignment "
-
-
 def parse_pool_assignments(texts: DataFrame) -> DataFrame:
     """Assignments (path, published, fingerprint, details) of files of groups.
 
@@ -49,7 +54,7 @@ def parse_pool_assignments(texts: DataFrame) -> DataFrame:
         return let(lines_of(part), grouped)
 
     def grouped(lines: Column) -> Column:
-        time = parse_time(F.substring(lines[0], len(_POOL_HEADER) + 1, 1 << 30))
+        time = parse_time(F.substring(lines[0], len(POOL_HEADER) + 1, 1 << 30))
         body = F.slice(lines, 2, F.size(lines))
         bad = F.transform(body, lambda x: ~x.rlike(r"\A[^ ]{40,} "))
         bad_at = F.array_position(bad, True).cast("int")
@@ -73,7 +78,7 @@ def parse_pool_assignments(texts: DataFrame) -> DataFrame:
         )
 
     # a line before any header stops the file at once
-    parts = once(texts, __parts=sections(F.col("text"), _POOL_HEADER)).filter(
+    parts = once(texts, __parts=sections(F.col("text"), POOL_HEADER)).filter(
         F.col("__parts")[0] == "\n"
     )
     read = let(F.transform(F.slice("__parts", 2, F.size("__parts")), group), before_first_bad)
@@ -110,12 +115,11 @@ def parse_exit_lists(texts: DataFrame, downloaded: datetime | None = None) -> Da
                 F.concat(F.lit(prefix), "text")
             ),
         )
-    known = r"\A(?:@type |Downloaded |ExitNode |Published |LastStatus |ExitAddress )"
     text = F.col("text")
     one_list = (
         (F.size(F.regexp_extract_all("text", F.lit(r"(?dm)^(Downloaded )"), F.lit(1))) == 1)
         & text.startswith(f"@type {ANNOTATIONS['exit-list']}\nDownloaded ")
-        & ~F.exists(lines_of(text), lambda x: ~x.rlike(known))
+        & ~F.exists(lines_of(text), lambda x: ~x.rlike(EXIT_LIST_LINES))
     )
 
     def value(keyword: str) -> Column:
@@ -158,10 +162,6 @@ def read_exit_lists(
 
 # --- transfer timings -------------------------------------------------------------------
 
-_TPF_NAME = r"\A(.+)-(\d+)-(\d{4}-\d{2}-\d{2})\.tpf\z"
-_ANALYSIS_NAME = r"\A(?:(\d{4}-\d{2}-\d{2})\.)(?:(.+)\.)?onionperf\.analysis\.json\.xz\z"
-
-
 def parse_tpf(rows: DataFrame) -> DataFrame:
     """Pairs of timing rows (path, line), with what the file name says."""
     name = F.element_at(F.split("path", "/"), -1)
@@ -171,10 +171,10 @@ def parse_tpf(rows: DataFrame) -> DataFrame:
         .withColumn("kv", kv)
         .select(
             "path",
-            F.regexp_extract(name, _TPF_NAME, 1).alias("file_source"),
-            F.regexp_extract(name, _TPF_NAME, 2).try_cast("int").alias("file_size"),
+            F.regexp_extract(name, TPF_NAME, 1).alias("file_source"),
+            F.regexp_extract(name, TPF_NAME, 2).try_cast("int").alias("file_size"),
             F.to_date(
-                F.try_to_timestamp(F.regexp_extract(name, _TPF_NAME, 3), F.lit("yyyy-MM-dd"))
+                F.try_to_timestamp(F.regexp_extract(name, TPF_NAME, 3), F.lit("yyyy-MM-dd"))
             ).alias("file_date"),
             F.try_element_at("kv", F.lit("SOURCE")).alias("source"),
             F.try_element_at("kv", F.lit("FILESIZE")).try_cast("int").alias("filesize"),
@@ -214,9 +214,9 @@ def parse_transfer_analysis(texts: DataFrame) -> DataFrame:
     return (
         texts.select(
             "path",
-            F.regexp_extract(name, _ANALYSIS_NAME, 2).alias("file_source"),
+            F.regexp_extract(name, ANALYSIS_NAME, 2).alias("file_source"),
             F.to_date(
-                F.try_to_timestamp(F.regexp_extract(name, _ANALYSIS_NAME, 1), F.lit("yyyy-MM-dd"))
+                F.try_to_timestamp(F.regexp_extract(name, ANALYSIS_NAME, 1), F.lit("yyyy-MM-dd"))
             ).alias("file_date"),
             F.explode(data["data"]).alias("source", "__s"),
         )
@@ -266,7 +266,7 @@ def _parse_stats(texts: DataFrame, end_line: str, end: str) -> tuple[DataFrame,
 
 def parse_proxy_stats(texts: DataFrame) -> DataFrame:
     """Statistics documents (path, pos, raw, stats_end) of texts with many."""
-    return _parse_stats(texts, "snowflake-stats-end", "stats_end")[0]
+    return _parse_stats(texts, PROXY_STATS_END, "stats_end")[0]
 
 
 def read_proxy_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -275,7 +275,7 @@ def read_proxy_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def parse_distributor_metrics(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Metrics documents (path, pos, raw, metrics_end), and rejected texts."""
-    return _parse_stats(texts, "bridgedb-metrics-end", "metrics_end")
+    return _parse_stats(texts, DISTRIBUTOR_METRICS_END, "metrics_end")
 
 
 def read_distributor_metrics(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
