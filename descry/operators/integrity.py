@@ -195,19 +195,22 @@ def completeness(
     """
     keys = list(keys)
     one, zero = F.lit(1), F.lit(0)
-    latest = servers.groupBy("digest").agg(F.max("extra_info_digest").alias("__extra"))
-    known_e = extra_infos.select(F.col("digest").alias("__extra"), one.alias("__e")).distinct()
-    # servers without an extra-info digest stay out of the join on it: nulls would
-    # all meet in one task
-    with_extra = (
-        latest.filter(F.col("__extra").isNotNull())
-        .join(known_e, "__extra", "left")
-        .select("digest", one.alias("__has_e"), F.coalesce("__e", zero).alias("__e"))
-    )
-    without_extra = latest.filter(F.col("__extra").isNull()).select(
-        "digest", zero.alias("__has_e"), zero.alias("__e")
+    known_e = extra_infos.select(F.col("digest").alias("__key"), one.alias("__e")).distinct()
+    # without an extra-info digest a server gets a key of its own that matches
+    # nothing: nulls would all meet in one task
+    key = F.coalesce("__extra", F.concat(F.lit("\x00"), "digest"))
+    known_s = (
+        servers.groupBy("digest")
+        .agg(F.max("extra_info_digest").alias("__extra"))
+        .withColumn("__key", key)
+        .join(known_e, "__key", "left")
+        .select(
+            "digest",
+            one.alias("__s"),
+            F.col("__extra").isNotNull().cast("int").alias("__has_e"),
+            F.coalesce("__e", zero).alias("__e"),
+        )
     )
-    known_s = with_extra.unionByName(without_extra).withColumn("__s", one)
     known_m = microdescs.select(F.col("sha256_hex").alias("micro_digest"), one.alias("__m"))
     by_server = (
         entries.filter(F.col("server_digest").isNotNull())

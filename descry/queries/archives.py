@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from descry.functions.text import once
 from descry.operators.archive import (
     assign_monthly_bundle,
     merge_sync,
@@ -119,9 +120,8 @@ UNION ALL SELECT doc_id, digest, 'remote' FROM fresh WHERE rn = 1
 """)
 def merged_archives(spark: SparkSession, folder: str) -> DataFrame:
     """A second archive merged in: its rows count where ours has none."""
-    d = documents_table(spark, folder, "documents", "doc_id", "lang", "text").select(
-        "doc_id", "lang", F.sha1("text").alias("digest")
-    )
+    texts = documents_table(spark, folder, "documents", "doc_id", "lang", "text")
+    d = once(texts, digest=F.sha1("text")).drop("text")
     labelled = table(spark, folder, "labels").select("doc_id").distinct()
     local = d.join(labelled, "doc_id", "left_semi").withColumn("origin", F.lit("local"))
     remote = d.withColumn("origin", F.lit("remote"))

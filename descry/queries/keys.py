@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from descry.functions.text import once
 from descry.operators.keys import (
     accumulate,
     insert_edges,
@@ -150,7 +151,8 @@ WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM stored s WHERE s.digest = d.digest)
 """)
 def new_only_rows(spark: SparkSession, folder: str) -> DataFrame:
     """First write wins: what the archive of labelled documents lacks."""
-    d = table(spark, folder, "documents").select(F.sha1("text").alias("digest"), "doc_id")
+    texts = table(spark, folder, "documents").select("doc_id", "text")
+    d = once(texts, digest=F.sha1("text")).drop("text")
     archive = d.join(table(spark, folder, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     return new_rows(d, archive, ["digest"], ["doc_id"])
 
