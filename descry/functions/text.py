@@ -117,5 +117,13 @@ def base64_to_hex(text: Column) -> Column:
     return F.lower(F.hex(F.try_to_binary(padded, F.lit("base64"))))
 
 
+def file_path() -> Column:
+    """Path of the file a row was read from, as file listings spell it.
+
+    The metadata column encodes blanks and percent signs; a plus sign stays.
+    """
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def parse_time(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.try_to_timestamp(text, F.lit(pattern))

@@ -40,8 +40,9 @@ def run_index(
     updated = checkpointed(apply_reconciliation(index, plan, indexed))
     save_state(updated, state, now)
     if json_path:
-        root = folder if folder.startswith("file:") else f"file:{folder}"
-        relative = F.regexp_replace("path", "^" + root.rstrip("/") + "/+", "")
+        # whatever scheme and host the listing put before the folder
+        inside = folder.split(":", 1)[-1].strip("/")
+        relative = F.regexp_replace("path", r"\A.*?/\Q" + inside + r"\E/+", "")
         export_index_json(
             updated.withColumn("path", relative), json_path, now.strftime("%Y-%m-%d %H:%M")
         )

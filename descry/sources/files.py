@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from descry.formats import BRIDGE_AUTHORITIES, TARBALL_NAME
-from descry.functions.text import as_text, once, unix_lines
+from descry.functions.text import as_text, file_path, once, unix_lines
 from descry.operators.access_logs import HOSTS, latest_log_files, parse_log_path
 from descry.operators.documents import classify, documents_in, explode_documents
 from descry.operators.keys import skip_processed
@@ -118,7 +118,7 @@ def read_access_logs(
         reader(_LOG_GLOB)
         .text(folder)
         .filter(~F.col("_metadata.file_name").endswith(".xz"))
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+        .select(file_path().alias("path"), F.col("value").alias("line"))
     )
     packed = reader("*access.log*.xz").format("binaryFile")
     if streaming:

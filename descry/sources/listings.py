@@ -21,6 +21,7 @@ from descry.formats import (
     TPF_NAME,
 )
 from descry.functions.text import (
+    file_path,
     last_per_key,
     let,
     lines_of,
@@ -36,7 +37,7 @@ def _texts(spark: SparkSession, folder: str, glob: str | None = None) -> DataFra
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.text(folder, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), unix_lines(F.col("value")).alias("text")
+        file_path().alias("path"), unix_lines(F.col("value")).alias("text")
     )
 
 
@@ -191,7 +192,7 @@ def read_tpf(spark: SparkSession, folder: str) -> DataFrame:
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.tpf")
         .text(folder)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+        .select(file_path().alias("path"), F.col("value").alias("line"))
     )
     return parse_tpf(rows)
 

@@ -133,6 +133,19 @@ def test_latest_file_of_a_date_and_broken_files(spark, tmp_path, files):
     assert lines.count() == 3
 
 
+def test_odd_names_lose_no_lines(spark, tmp_path):
+    for host in ("a b", "p%20q", "x+y", "ü"):
+        for kind in ("gz", "xz", "txt"):
+            write(tmp_path / kind, host, 20, [line(20), line(20)], kind)
+    _, lines = read_log_files(spark, str(tmp_path))
+    counts = {r.physical_host: r["count"] for r in lines.groupBy("physical_host").count().collect()}
+    # per host the largest path counts: xz
+    assert counts == dict.fromkeys(("a b", "p%20q", "x+y", "ü"), 2)
+    for kind in ("gz", "xz", "txt"):
+        _, lines = read_log_files(spark, str(tmp_path / kind))
+        assert lines.count() == 8
+
+
 def test_long_xz_files_are_streamed_in_batches(spark, tmp_path):
     write(tmp_path, "h", 1, [line(1, f"/{i}") for i in range(120_000)], "xz")
     assert read_access_logs(spark, str(tmp_path)).distinct().count() == 120_000
