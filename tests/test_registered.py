@@ -3,7 +3,8 @@
 import pytest
 from compare import compare, duck
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from descry.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,14 +14,14 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, con, name):
-    actual, expected = compare(spark, con, queries()[name], oracle_sql()[name], FOLDER)
+    actual, expected = compare(spark, con, QUERIES[name], SQL[name], FOLDER)
     assert actual == expected
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_has_rows(spark):
