@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.llm import chat, linededup, mixing, quality, sharding, simhash, urlfilter
+from descry.llm import bpe, chat, embeddings, linededup, mixing, quality, sharding, simhash, urlfilter
 from descry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,20 @@ def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest_of(chat.format_conversations(chat.events_of(turns)))
 
 
+def vocabulary() -> str:
+    """Path of the vocabulary's ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@registered
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = bpe.read_ranks(vocabulary())
+    encoded = bpe.encoded_documents(_documents(spark, folder, "text"), bpe.Ranks(pieces))
+    return bpe.digests(encoded, pieces)
+
+
 @registered
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder, "text", "lang")
@@ -82,6 +96,11 @@ def op9_curriculum_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered
+def op10_lattice_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
 SQL["op3_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, line, pos,
