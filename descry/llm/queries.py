@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.llm import bpe, chat, embeddings, linededup, mixing, quality, sharding, simhash, urlfilter
+from descry.llm import (
+    bpe,
+    chat,
+    embeddings,
+    linededup,
+    mixing,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    urlfilter,
+)
 from descry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +65,12 @@ def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest_of(chat.format_conversations(chat.events_of(turns)))
 
 
+@registered
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder, "text")
+    return pii.span_digest(pii.personal_data(docs, pii.trained_tagger(docs)))
+
+
 def vocabulary() -> str:
     """Path of the vocabulary's ranks."""
     import public_tokenizers
