@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by shingles of five words."""
-    return simhash.without_near_duplicates(docs, shingle=5)
+    """One document of each group of near duplicates: five words, a similarity of 0.8."""
+    return simhash.without_near_duplicates(docs, simhash.SIMILAR)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +71,17 @@ def _contracted(edges: DataFrame, pointers: DataFrame) -> DataFrame:
     second = pointers.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     ends = edges.join(first, "a").join(second, "b").where("ra <> rb")
     return ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+
+
+def joined_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels of places, each the least place it is connected with, after links a - b."""
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low != high
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        label = label.copy()
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from descry.llm.components import connected_components
+from descry.llm.components import connected_components, joined_labels
 from descry.session import checkpointed
 
 THRESHOLD = 0.9
@@ -261,15 +261,7 @@ def _counted(a: np.ndarray, b: np.ndarray, node: np.ndarray, n: np.ndarray) -> p
     links = np.zeros(len(node), np.int64)
     np.add.at(links, a, n[b])
     np.add.at(links, b, n[a])
-    label = np.arange(len(node))
-    while True:
-        least = label.copy()
-        np.minimum.at(least, a, label[b])
-        np.minimum.at(least, b, label[a])
-        least = least[least]
-        if (least == label).all():
-            break
-        label = least
+    label = joined_labels(np.arange(len(node)), a, b)
     rows = np.flatnonzero(links)
     return pa.RecordBatch.from_arrays(
         [

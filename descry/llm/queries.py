@@ -47,7 +47,7 @@ def op1_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, folder, "text"))
     return found.select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id"
     )
 
 

@@ -1,197 +1,238 @@
 """Near-duplicate documents by SimHash fingerprints and bit-sliced comparison.
 
-A fingerprint has a bit for each of 64 positions, set where more than half of the hashes
-of the text's word shingles have it.  Fingerprints that differ in few bits agree in at
-least two of radius + 2 blocks of bits, so each pair of blocks is a bucket key.  Within a
-bucket the fingerprints stand vertically, one bit plane per position: a shift of the
-planes compares every row with the one so many rows on, carry-save counters add up the
-differing planes of 64 rows with one operation, and a block of rows is abandoned as soon
-as all of its counters have passed the radius.
+A fingerprint has a bit for each position of a hash, set where more than half of the
+hashes of the text's word shingles have it.  Keys are some of its bits, and fingerprints
+with an equal key meet in a bucket.  There they stand vertically, one bit plane for each
+position: a shift of the planes compares every row with the one so many rows on,
+carry-save counters add up the differing planes of 64 rows with one operation, and a block
+of rows is abandoned as soon as all of its counters have passed the radius.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from descry.llm.common import hidden, shown
-from descry.llm.components import connected_components
+from descry.llm.components import connected_components, joined_labels
 from descry.session import checkpointed
 
-BITS = 64
 SEED = 42
-#: Words of a shingle; its hash covers the words joined by one blank.
-SHINGLE = 3
-RADIUS = 2
 #: Most rows, on average, of one side of a compared pair of chunks of a bucket.
 CHUNK = 4096
 #: Shingles hashed at once, lanes compared at once: bounds on memory only.
-HASHES_AT_ONCE = 1 << 16
+HASHES_AT_ONCE = 1 << 15
 LANES_AT_ONCE = 1 << 16
 PLANES_AT_ONCE = 8
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Fingerprint of a UTF-8 text; null texts and texts without words have zero."""
-    words = (text or b"").lower().split()
+@dataclass(frozen=True)
+class Scheme:
+    """Words of a shingle, bits of a fingerprint (a multiple of 64), the most bits in which
+    linked fingerprints differ, and for each bucket key the positions of its bits."""
+
+    shingle: int
+    bits: int
+    radius: int
+    keys: tuple[tuple[int, ...], ...]
+
+
+def exact_scheme(shingle: int, radius: int, bits: int = 64) -> Scheme:
+    """Finds all pairs: of radius + 2 blocks of bits at least two have no difference."""
+    edges = [round(i * bits / (radius + 2)) for i in range(radius + 3)]
+    blocks = [tuple(range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+    return Scheme(shingle, bits, radius, tuple(a + b for a, b in combinations(blocks, 2)))
+
+
+def similarity_scheme(
+    shingle: int = 5, similarity: float = 0.8, bits: int = 256, keys: int = 32, key_bits: int = 14
+) -> Scheme:
+    """Finds texts by the Jaccard similarity of their shingles, as fingerprints tell it.
+
+    Vectors of a similarity j have the cosine 2j / (1 + j), and the share of differing bits
+    is their angle over pi.  The radius is one standard deviation above what is expected,
+    so 84 of 100 pairs at the similarity are within, and nearly all somewhat above.  A
+    random key is shared with a probability of (1 - share) to the number of its bits, and
+    there are as many keys as miss 3 of 100 such pairs.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    radius = int(bits * share + np.sqrt(bits * share * (1 - share)))
+    rng = np.random.default_rng(SEED)
+    chosen = [tuple(sorted(rng.choice(bits, key_bits, replace=False).tolist())) for _ in range(keys)]
+    return Scheme(shingle, bits, radius, tuple(chosen))
+
+
+#: Shingles of three words, all pairs that differ in at most two of 64 bits.
+CLOSE = exact_scheme(shingle=3, radius=2)
+#: Shingles of five words, a similarity of 0.8 or more.
+SIMILAR = similarity_scheme()
+
+
+def _hashes(rows, bits: int) -> bytes:
+    if bits == 64:
+        return b"".join(xxhash.xxh64_digest(row, SEED)[::-1] for row in rows)
+    hashed = []
+    for row in rows:
+        hashed += [xxhash.xxh3_128_digest(row, turn) for turn in range(bits // 128)]
+    return b"".join(hashed)
+
+
+def fingerprint(text: bytes | None, scheme: Scheme = CLOSE) -> bytes:
+    """Fingerprint of a UTF-8 text, the highest bit first; null texts and texts without
+    words have zero."""
+    words, bits, shingle = (text or b"").lower().split(), scheme.bits, scheme.shingle
     if not words:
-        return 0
+        return bytes(bits // 8)
     n = max(1, len(words) - shingle + 1)
-    counts = np.zeros(BITS, np.int64)
+    counts = np.zeros(bits, np.int64)
     for start in range(0, n, HASHES_AT_ONCE):
         stop = min(n, start + HASHES_AT_ONCE)
-        columns = [words[start + k : stop + k] for k in range(shingle)]
-        rows = zip(*columns, strict=False) if len(words) >= shingle else [words]
-        hashes = np.fromiter(
-            (xxhash.xxh64_intdigest(b" ".join(row), SEED) for row in rows), np.uint64, stop - start
+        if len(words) < shingle:
+            rows = [words]
+        else:
+            columns = [words[start + k : stop + k] for k in range(shingle)]
+            rows = zip(*columns, strict=False)
+        hashed = _hashes(map(b" ".join, rows), bits)
+        set_bits = np.unpackbits(
+            np.frombuffer(hashed, np.uint8).reshape(-1, bits // 8), axis=1, bitorder="little"
         )
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+        counts += set_bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, bitorder="little").tobytes()[::-1]
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed long."""
+def fingerprints(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each whole text."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            found = np.fromiter(
-                (fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts)
-            )
+            found = [fingerprint(t.as_py(), scheme) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"]
+                [batch.column(0), pa.array(found, pa.binary())], ["doc_id", "fp"]
             )
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(hashed, "doc_id long, fp long")
+    return texts.mapInArrow(hashed, "doc_id long, fp binary")
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of each of radius + 2 blocks."""
-    edges = [round(i * BITS / (radius + 2)) for i in range(radius + 3)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def _bits(prints: list[bytes], bits: int) -> np.ndarray:
+    """(rows, bits) of zeros and ones, the lowest bit first."""
+    rows = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, bits // 8)
+    return np.unpackbits(np.ascontiguousarray(rows[:, ::-1]), axis=1, bitorder="little")
 
 
-def bucket_keys(fp: Column, radius: int) -> Column:
-    """Array of (part, key): the bits of each pair of blocks."""
-    blocks = _blocks(radius)
+def _keyed(prints: DataFrame, scheme: Scheme) -> DataFrame:
+    """(part, key, fp) for each bucket key of each fingerprint."""
 
-    def bits(block: tuple[int, int]) -> Column:
-        low, width = block
-        return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = _bits(batch.column(0).to_pylist(), scheme.bits)
+            for part, places in enumerate(scheme.keys):
+                weights = 1 << np.arange(len(places), dtype=np.int64)
+                key = bits[:, places].astype(np.int64) @ weights
+                parts = np.full(len(key), part, np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(parts), pa.array(key), batch.column(0)], ["part", "key", "fp"]
+                )
 
-    return F.array(
-        *[
-            F.struct(
-                F.lit(part).alias("part"),
-                F.shiftleft(bits(blocks[i]), blocks[j][1])
-                .bitwiseOR(bits(blocks[j]))
-                .alias("key"),
-            )
-            for part, (i, j) in enumerate(combinations(range(radius + 2), 2))
-        ]
-    )
+    return prints.select("fp").mapInArrow(keys, "part int, key long, fp binary")
 
 
-def close_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b) of the distinct fingerprints ``fp`` at most ``radius`` bits apart.
+def close_links(prints: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
+    """Links (a, b) that connect the distinct fingerprints ``fp`` of close pairs.
 
     A bucket with many fingerprints is dealt into chunks; each pair of chunks is a task's
-    group, so no group grows with the bucket.  A pair comes from the first bucket that it
-    shares alone, hence once.
+    group, so no group grows with the bucket.  What leaves a comparison is a link for each
+    fingerprint to the first that it is connected with there, not all of its pairs.
     """
-    keyed = prints.select("fp", F.inline(bucket_keys(F.col("fp"), radius)))
+    keyed = _keyed(prints, scheme)
     shared = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
     sized = keyed.join(shared, ["part", "key"]).withColumn(
         "chunks", F.ceil(F.col("n") / F.lit(CHUNK))
     )
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks"))
-    dealt = sized.withColumn("own", own).select(
-        "part",
-        "key",
-        "own",
-        "fp",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"),
+    dealt = sized.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     )
     grouped = dealt.select(
         "part",
         "key",
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
-        F.col("own"),
+        "own",
         "fp",
     )
     order = ["part", "key", "i", "j"]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pairs_of_groups(batches, radius)
+        return _links_of_groups(batches, scheme)
 
     return (
         grouped.repartition(*order)
         .sortWithinPartitions(*order, "own", "fp")
-        .mapInArrow(compared, "a long, b long")
+        .mapInArrow(compared, "a binary, b binary")
     )
 
 
-def _pairs_of_groups(
-    batches: Iterator[pa.RecordBatch], radius: int
+def _links_of_groups(
+    batches: Iterator[pa.RecordBatch], scheme: Scheme
 ) -> Iterator[pa.RecordBatch]:
     """Complete groups of the sorted stream, as many as are at hand, compared together."""
-    held: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, list[bytes]]] = []
 
-    def emitted(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a, b in _close_rows(rows, radius):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def emitted(parts: list[tuple[np.ndarray, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        groups = np.concatenate([g for g, _ in parts])
+        prints = [p for _, some in parts for p in some]
+        for a, b in _connected(groups, prints, scheme):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([prints[x] for x in rows], pa.binary()) for rows in (a, b)], ["a", "b"]
+            )
 
     for batch in batches:
-        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
-        if not len(rows):
+        groups = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)], axis=1)
+        prints = batch.column(5).to_pylist()
+        if not len(groups):
             continue
-        last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))
-        cut = last[-1] + 1 if len(last) else 0
-        if held and (cut or (held[-1][-1, :4] != rows[0, :4]).any()):
-            yield from emitted(np.concatenate([*held, rows[:cut]]))
+        last = np.flatnonzero((groups[:, :4] != groups[-1, :4]).any(axis=1))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        whole = bool(held) and bool((held[-1][0][-1, :4] != groups[0, :4]).any())
+        if cut or whole:
+            yield from emitted([*held, (groups[:cut], prints[:cut])])
             held = []
-        elif cut:
-            yield from emitted(rows[:cut])
-        held.append(rows[cut:])
+        held.append((groups[cut:], prints[cut:]))
     if held:
-        yield from emitted(np.concatenate(held))
+        yield from emitted(held)
 
 
-def _close_rows(rows: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    starts = np.flatnonzero(
-        np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)] if len(rows) else []
-    )
-    sizes = np.diff(np.r_[starts, len(rows)])
+def _connected(
+    groups: np.ndarray, prints: list[bytes], scheme: Scheme
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    starts = np.flatnonzero(np.r_[True, (groups[1:, :4] != groups[:-1, :4]).any(axis=1)])
+    sizes = np.diff(np.r_[starts, len(groups)])
     order = np.argsort(-sizes, kind="stable")
-    order = order[sizes[order] > 1]
     lanes, taken = 0, []
-    for g in order:
+    for g in order[sizes[order] > 1]:
         taken.append(g)
         lanes += sizes[g]
         if lanes >= LANES_AT_ONCE:
-            yield from _sliced(rows, starts[taken], sizes[taken], radius)
+            yield _sliced(groups, prints, starts[taken], sizes[taken], scheme)
             lanes, taken = 0, []
     if taken:
-        yield from _sliced(rows, starts[taken], sizes[taken], radius)
+        yield _sliced(groups, prints, starts[taken], sizes[taken], scheme)
 
 
-def bit_planes(prints: np.ndarray) -> np.ndarray:
-    """Bit i of all rows as row i, 64 rows to a word, with two empty words at the end."""
+def bit_planes(prints: list[bytes], bits: int) -> np.ndarray:
+    """Bit i of all rows as row i, 64 rows to a word, with empty words at the end."""
     words = -(-len(prints) // 64)
-    bits = np.zeros((words * 64, BITS), np.uint8)
-    bits[: len(prints)] = np.unpackbits(
-        np.ascontiguousarray(prints).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"
-    )
-    packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
+    rows = np.zeros((words * 64, bits), np.uint8)
+    rows[: len(prints)] = _bits(prints, bits)
+    packed = np.packbits(np.ascontiguousarray(rows.T), axis=1, bitorder="little").view(np.uint64)
     return np.pad(packed, ((0, 0), (0, words + 2)))
 
 
@@ -207,7 +248,7 @@ def exceeding(planes: np.ndarray, shift: int, words: int, wanted: np.ndarray, ra
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     counters = [np.full(words, full if start >> k & 1 else 0, np.uint64) for k in range(size)]
     over = ~wanted
-    for first in range(0, BITS, PLANES_AT_ONCE):
+    for first in range(0, len(planes), PLANES_AT_ONCE):
         here = planes[first : first + PLANES_AT_ONCE]
         there = here[:, whole : whole + words] >> np.uint64(rest)
         if rest:
@@ -223,54 +264,43 @@ def exceeding(planes: np.ndarray, shift: int, words: int, wanted: np.ndarray, ra
 
 
 def _sliced(
-    rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Close pairs inside groups; groups come with the largest first."""
+    groups: np.ndarray,
+    prints: list[bytes],
+    starts: np.ndarray,
+    sizes: np.ndarray,
+    scheme: Scheme,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the first rows they are connected with; groups come with the largest first."""
     taken = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, sizes, strict=True)])
-    rows = rows[taken]
     group = np.repeat(np.arange(len(sizes)), sizes)
-    part, same = rows[:, 0], rows[:, 2] == rows[:, 3]
-    own, prints = rows[:, 4], rows[:, 5]
-    planes = bit_planes(prints)
+    same, own = groups[taken, 2] == groups[taken, 3], groups[taken, 4]
+    planes = bit_planes([prints[x] for x in taken], scheme.bits)
+    label = np.arange(len(taken))
     ends = np.cumsum(sizes)
     for shift in range(1, int(sizes[0])):
         lanes = int(ends[np.count_nonzero(sizes > shift) - 1])
         reach = lanes - shift
-        # two chunks of a bucket are compared with each other, one chunk with itself
+        # two chunks of a bucket are compared with each other, one chunk with itself;
+        # rows that are connected already need no further link
         wanted = (group[:reach] == group[shift:lanes]) & (
             same[:reach] | (own[:reach] != own[shift:lanes])
         )
+        wanted &= label[:reach] != label[shift:lanes]
         if not wanted.any():
             continue
         words = -(-reach // 64)
         mask = np.zeros(words * 64, np.uint8)
         mask[:reach] = wanted
         mask = np.packbits(mask, bitorder="little").view(np.uint64)
-        near = ~exceeding(planes, shift, words, mask, radius)
-        if not near.any():
-            continue
+        near = ~exceeding(planes, shift, words, mask, scheme.radius)
         at = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
-        a, b = prints[at], prints[at + shift]
-        first = _first_shared(a ^ b, radius) == part[at]
-        if first.any():
-            a, b = a[first], b[first]
-            yield np.minimum(a, b), np.maximum(a, b)
-
-
-def _first_shared(differing: np.ndarray, radius: int) -> np.ndarray:
-    """The first pair of blocks in which no bit differs."""
-    bits = differing.view(np.uint64)
-    equal = [
-        (bits >> np.uint64(low)) & np.uint64((1 << width) - 1) == 0
-        for low, width in _blocks(radius)
-    ]
-    first = np.full(len(bits), -1)
-    for part, (i, j) in reversed(list(enumerate(combinations(range(radius + 2), 2)))):
-        first[equal[i] & equal[j]] = part
-    return first
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+        if len(at):
+            label = joined_labels(label, at, at + shift)
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return taken[moved], taken[label[moved]]
+
+
+def near_duplicates(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id reachable).
 
     Null and empty texts have fingerprint zero and are linked like any other.  Repeated
@@ -280,10 +310,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     Equal fingerprints meet once only: candidates, links and components concern distinct
     fingerprints, and documents are joined to them at the end.
     """
-    prints = checkpointed(fingerprints(docs, shingle))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    first = checkpointed(first)
-    roots = connected_components(close_pairs(first.select("fp"), radius))
+    prints = checkpointed(fingerprints(docs, scheme))
+    first = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = connected_components(close_links(first, scheme))
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
@@ -292,15 +321,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
-def without_near_duplicates(
-    docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE
-) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     """Documents, all columns, of which each component keeps the one with the least doc_id.
 
-    Of rows that repeat that doc_id one stays, that with the least text.
+    Of rows that repeat that doc_id one stays, that with the least hash of its text.
     """
     kept = (
-        near_duplicates(docs, radius, shingle)
+        near_duplicates(docs, scheme)
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .select(F.col("doc_id").alias("_kept"))
         .distinct()
