@@ -39,8 +39,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """For each document its number of tokens and the digests of its ids and their bytes."""
-    pieces = bpe.read_ranks(vocabulary())
-    return bpe.digests(bpe.encoded_documents(docs, bpe.Ranks(pieces)), pieces)
+    return bpe.digested_documents(docs, bpe.read_ranks(vocabulary()))
 
 
 STAGES = [

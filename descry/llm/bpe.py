@@ -39,7 +39,7 @@ NO_RANK = 2**31 - 1
 #: Most words that go to all tasks, and the longest of them in bytes.
 MOST_WORDS, LONGEST_WORD = 1 << 20, 64
 #: Bytes of words in a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 25
+BLOCK_BYTES = 1 << 23
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -133,8 +133,8 @@ def words_of_text(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def frequent_words(docs: DataFrame, ranks: Ranks) -> pa.Table:
-    """(word, ids) of the corpus's frequent words, MOST_WORDS at most, as a local table.
+def frequent_words(docs: DataFrame, ranks: Ranks) -> DataFrame:
+    """(word, ids) of the corpus's frequent words, MOST_WORDS at most.
 
     Counts cover all texts.  The least count is the least power of two that few enough
     words reach, so it shows only in how often a word is encoded.
@@ -149,7 +149,7 @@ def frequent_words(docs: DataFrame, ranks: Ranks) -> pa.Table:
         least -= 1
         total += sizes.get(least, 0)
     frequent = counts.where(F.col("n") >= 1 << least).select("word")
-    return frequent.select("word", ranks.encode(F.col("word")).alias("ids")).toArrow()
+    return frequent.select("word", ranks.encode(F.col("word")).alias("ids"))
 
 
 BLOCK = (
@@ -157,21 +157,32 @@ BLOCK = (
 )
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else column.combine_chunks()
+
+
+def _written(column: pa.ChunkedArray) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.table({"x": column})
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _read(written: bytes) -> pa.Array:
+    return _whole(pa.ipc.open_stream(written).read_all().column("x"))
+
+
 def _blocks(frequent: bytes):
     """Texts' words as numbers: those of frequent words, then those of the block's others."""
 
-    def block(parts: list[pa.RecordBatch], known: pa.Array) -> pa.RecordBatch:
-        ids = pa.concat_arrays([p.column(0) for p in parts])
-        lists = [p.column(1) for p in parts]
-        sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists])
-        words = pa.chunked_array([x.flatten() for x in lists], pa.string())
-        codes = pc.index_in(words, value_set=known).combine_chunks()
-        if isinstance(codes, pa.ChunkedArray):
-            codes = pa.concat_arrays(codes.chunks)
+    def block(part: pa.RecordBatch, known: pa.Array) -> pa.RecordBatch:
+        ids, lists = part.columns
+        sizes = np.diff(lists.offsets.to_numpy())
+        words = lists.flatten()
+        codes = pc.index_in(words, value_set=known)
         other = codes.is_null()
-        rest = pc.filter(words, other).combine_chunks().dictionary_encode()
-        if isinstance(rest, pa.ChunkedArray):
-            rest = pa.concat_arrays(rest.chunks)
+        rest = words.filter(other).dictionary_encode()
         numbers = codes.fill_null(0).to_numpy().astype(np.int32)
         numbers[other.to_numpy(zero_copy_only=False)] = rest.indices.to_numpy() + len(known)
         row = [ids, pa.array(np.cumsum(sizes)), pa.array(numbers), rest.dictionary]
@@ -180,46 +191,36 @@ def _blocks(frequent: bytes):
         return pa.RecordBatch.from_arrays(one, names)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _read(frequent).column("word").combine_chunks()
-        known = known if isinstance(known, pa.Array) else pa.concat_arrays(known.chunks)
-        parts, size = [], 0
+        known = _read(frequent)
         for batch in batches:
-            parts.append(batch)
-            size += batch.nbytes
-            if size > BLOCK_BYTES:
-                yield block(parts, known)
-                parts, size = [], 0
-        if parts:
-            yield block(parts, known)
+            # cut where the words of documents pass the size of a block
+            lists = batch.column(1)
+            sizes = pc.binary_length(lists.flatten()).to_numpy().astype(np.int64)
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            at = np.r_[0, np.cumsum(sizes)][ends] // BLOCK_BYTES
+            cuts = np.r_[0, np.flatnonzero(np.diff(at[1:])) + 1, batch.num_rows]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low < high:
+                    yield block(batch.slice(int(low), int(high - low)), known)
 
     return blocks
 
 
-def _read(table: bytes) -> pa.Table:
-    return pa.ipc.open_stream(table).read_all()
-
-
-def _written(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
+def _ids_of_documents(doc_ids: pa.Array, ids: pa.ListArray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_ids, ids], ["doc_id", "ids"])
 
 
-def _assembled(frequent: bytes):
+def _assembled(frequent: bytes, finish):
     """Documents' ids from the numbers of their words and the ids of words."""
 
     def one(row: pa.RecordBatch, known: pa.Array) -> pa.RecordBatch:
         doc_ids, ends, codes, others = (c.flatten() for c in row.columns)
-        lists = pa.concat_arrays([known, others.cast(known.type)])
-        taken = lists.take(codes)
-        at = np.r_[0, taken.offsets.to_numpy()[ends.to_numpy()] if len(ends) else []]
-        ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), taken.values)
-        return pa.RecordBatch.from_arrays([doc_ids, ids], ["doc_id", "ids"])
+        taken = pa.concat_arrays([known, others.cast(known.type)]).take(codes)
+        at = taken.offsets.to_numpy()[np.r_[0, ends.to_numpy()].astype(np.int64)]
+        return finish(doc_ids, pa.ListArray.from_arrays(pa.array(at), taken.values))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _read(frequent).column("ids").combine_chunks().cast(pa.list_(pa.int32()))
-        known = known if isinstance(known, pa.Array) else pa.concat_arrays(known.chunks)
+        known = _read(frequent).cast(pa.list_(pa.int32()))
         for batch in batches:
             for k in range(batch.num_rows):
                 yield one(batch.slice(k, 1), known)
@@ -227,21 +228,29 @@ def _assembled(frequent: bytes):
     return assemble
 
 
-def encoded_documents(docs: DataFrame, ranks: Ranks) -> DataFrame:
+def encoded_documents(
+    docs: DataFrame,
+    ranks: Ranks,
+    finish=_ids_of_documents,
+    schema: str = "doc_id long, ids array<int>",
+) -> DataFrame:
     """(doc_id, ids): the ids of each whole text, without special tokens.
 
     A null or empty text has no ids.  Each match of the pattern is encoded by itself.
-    Repeated rows give repeated rows; no column but doc_id and text is read.
+    Repeated rows give repeated rows; no column but doc_id and text is read.  ``finish``
+    makes other columns of the ids where they stand, such as digests.
     """
-    frequent = _written(frequent_words(docs, ranks))
+    frequent = frequent_words(docs, ranks).toArrow()
+    words, ids = _written(frequent.column("word")), _written(frequent.column("ids"))
+    del frequent
     split = docs.select(
         F.col("doc_id").cast("long"), words_of_text(text_of("text")).alias("words")
     )
-    blocks = split.mapInArrow(_blocks(frequent), BLOCK)
+    blocks = split.mapInArrow(_blocks(words), BLOCK)
     blocks = blocks.select(
         "doc_ids", "ends", "codes", F.transform("words", ranks.encode).alias("others")
     )
-    return blocks.mapInArrow(_assembled(frequent), "doc_id long, ids array<int>")
+    return blocks.mapInArrow(_assembled(ids, finish), schema)
 
 
 def decode(ids: Column, pieces: dict[bytes, int]) -> Column:
@@ -254,37 +263,42 @@ def decode(ids: Column, pieces: dict[bytes, int]) -> Column:
     return F.when(whole, F.encode(F.array_join(found, ""), CHARSET))
 
 
-def digests(encoded: DataFrame, pieces: dict[bytes, int]) -> DataFrame:
-    """n_tokens, digest of the decimal ids, and digest of the bytes that they decode to."""
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(pieces: dict[bytes, int]):
+    """A finish: the number of ids, the digest of the decimal ids joined by blanks, and the
+    digest of the bytes that the ids decode to, their pieces one after the other."""
     order = [b""] * (max(pieces.values()) + 1)
     for piece, rank in pieces.items():
         order[rank] = piece
-    bytes_of = pa.array(order, pa.large_binary())
-    decimal = pa.array([b"%d " % i for i in range(len(order))], pa.large_binary())
+    tables = (pa.array([b"%d " % i for i in range(len(order))], pa.large_binary()), 1), (
+        pa.array(order, pa.large_binary()),
+        0,
+    )
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            ends = lists.offsets.to_numpy().astype(np.int64)
-            ids = lists.values
-            hashes = []
-            for table, last in ((decimal, 1), (bytes_of, 0)):
-                taken = table.take(ids)
-                data = memoryview(taken.buffers()[2] or b"")
-                at = taken.buffers()[1]
-                at = np.frombuffer(at, np.int64)[: len(ids) + 1] if at else np.zeros(1, np.int64)
-                cuts = at[ends].tolist()
-                hashes.append(
-                    [
-                        hashlib.sha256(data[a : max(a, b - last)]).hexdigest()
-                        for a, b in zip(cuts, cuts[1:], strict=False)
-                    ]
-                )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(ends)), *map(pa.array, hashes)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    def digest(doc_ids: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        hashes = []
+        for table, last in tables:
+            # what is taken lies in one buffer, so a document's bytes are a slice of it
+            taken = table.take(lists.values)
+            at = np.frombuffer(taken.buffers()[1] or bytes(8), np.int64)[ends].tolist()
+            data = memoryview(taken.buffers()[2] or b"")
+            hashes.append(
+                [
+                    hashlib.sha256(data[a : max(a, b - last)]).hexdigest()
+                    for a, b in zip(at, at[1:], strict=False)
+                ]
             )
+        return pa.RecordBatch.from_arrays(
+            [doc_ids, pa.array(np.diff(ends)), *map(pa.array, hashes)],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
 
-    return encoded.select("doc_id", "ids").mapInArrow(
-        digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    return digest
+
+
+def digested_documents(docs: DataFrame, pieces: dict[bytes, int]) -> DataFrame:
+    """Documents encoded and decoded, as digests."""
+    return encoded_documents(docs, Ranks(pieces), digests(pieces), DIGESTS)

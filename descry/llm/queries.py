@@ -81,8 +81,7 @@ def vocabulary() -> str:
 @registered
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     pieces = bpe.read_ranks(vocabulary())
-    encoded = bpe.encoded_documents(_documents(spark, folder, "text"), bpe.Ranks(pieces))
-    return bpe.digests(encoded, pieces)
+    return bpe.digested_documents(_documents(spark, folder, "text"), pieces)
 
 
 @registered
