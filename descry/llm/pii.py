@@ -299,11 +299,11 @@ def span_digest(spans: DataFrame) -> DataFrame:
         )
         return F.array_join(said, ",")
 
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+
     base = F.filter("spans", lambda s: s["base"])
-    counts = [
-        F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-        for kind in KINDS
-    ]
+    counts = [count(kind).alias(f"n_{kind}") for kind in KINDS]
     return spans.select(
         "doc_id",
         *counts,
