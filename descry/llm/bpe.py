@@ -37,7 +37,10 @@ PATTERN = (
 PARTS = 1 << 13
 NO_RANK = 2**31 - 1
 #: Most words that go to all tasks, and the longest of them in bytes.
-MOST_WORDS, LONGEST_WORD = 1 << 20, 64
+MOST_WORDS, LONGEST_WORD = 1 << 19, 64
+#: Bytes that Spark hands to a Python worker at once: a session setting, lowered to this.
+BATCH_BYTES = 1 << 23
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of words in a block, about; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 23
 
@@ -238,8 +241,11 @@ def encoded_documents(
 
     A null or empty text has no ids.  Each match of the pattern is encoded by itself.
     Repeated rows give repeated rows; no column but doc_id and text is read.  ``finish``
-    makes other columns of the ids where they stand, such as digests.
+    makes other columns of the ids where they stand, such as digests.  The session's limit
+    for the bytes of an Arrow batch stays lowered to BATCH_BYTES.
     """
+    # documents' words are long rows: by number alone, batches would take a worker's memory
+    docs.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     frequent = frequent_words(docs, ranks).toArrow()
     words, ids = _written(frequent.column("word")), _written(frequent.column("ids"))
     del frequent
