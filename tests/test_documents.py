@@ -4,7 +4,15 @@ import hashlib
 
 import pytest
 from pyspark.sql import functions as F
-from samples import EXTRA_INFO_LINES, SERVER_LINES, signed_part, text, unpadded
+from samples import (
+    EXTRA_DIGEST,
+    EXTRA_INFO_LINES,
+    FINGERPRINT,
+    SERVER_LINES,
+    signed_part,
+    text,
+    unpadded,
+)
 
 from descry.operators.documents import (
     classify_descriptor,
@@ -119,11 +127,11 @@ def test_digests_keep_bytes(spark):
     annotated = "@type server-descriptor 1.0\n@purpose general\n" + odd
     rows = parse_server_descriptor(frame(spark, [odd, annotated, "router x\n"])).orderBy("i").collect()
     assert [(r.i, r.digest) for r in rows] == [(0, expected), (1, expected)]
-    assert rows[0].fingerprint == "46d4a71197b8fa515a826c6b017c522fe264655b"
-    assert rows[0].extra_info_digest == "6d03e80568defa102968d144cb35ffa6e3355b8a"
+    assert rows[0].fingerprint == FINGERPRINT.lower()
+    assert rows[0].extra_info_digest == EXTRA_DIGEST.hex()
     extra = "@type extra-info 1.0\n" + text(EXTRA_INFO_LINES)
     (row,) = parse_extra_info(frame(spark, [extra])).collect()
-    assert row.digest == hashlib.sha1(signed_part(extra, "extra-info Sample")).hexdigest()
+    assert row.digest == hashlib.sha1(signed_part(extra, "extra-info Heron")).hexdigest()
 
 
 def test_bandwidth_headers(spark):

@@ -8,8 +8,12 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 from samples import (
-    AUTHORITY,
+    ADDRESS,
     EXTRA_INFO_LINES,
+    MONTH,
+    OTHER_ADDRESS,
+    OTHER_PORT,
+    PUBLISHED,
     SECRET_HEX,
     SERVER_LINES,
     STATUS_LINES,
@@ -21,6 +25,7 @@ from samples import (
 )
 from test_sources import put, tarball
 
+from descry.formats import BRIDGE_AUTHORITIES
 from descry.operators.catalog import index_tree
 from descry.operators.keys import accumulate
 from descry.plans.bridges import run_bridges
@@ -102,8 +107,8 @@ def bridge_folder(tmp_path):
         "cached-extrainfo.new": text(EXTRA_INFO_LINES),
         "networkstatus-bridges": text(STATUS_LINES),
     }
-    put(tmp_path, "in/from-tonga-2016-07-01T000702Z.tar.gz", tarball(members))
-    put(tmp_path, "in/from-serge-2016-07-01T000703Z.tar.gz", b"damaged")
+    put(tmp_path, "in/from-tonga-2019-11-06T000702Z.tar.gz", tarball(members))
+    put(tmp_path, "in/from-serge-2019-11-06T000703Z.tar.gz", b"damaged")
     return str(tmp_path / "in")
 
 
@@ -114,36 +119,36 @@ def test_bridges(spark, tmp_path):
     d = double_sha1(text(SERVER_LINES), "router ")
     e = double_sha1(text(EXTRA_INFO_LINES), "extra-info ")
     assert sorted(r.storage_path for r in written.collect()) == [
-        f"bridge-descriptors/2016/06/extra-infos/{e[0]}/{e[1]}/{e}",
-        f"bridge-descriptors/2016/06/server-descriptors/{d[0]}/{d[1]}/{d}",
-        f"bridge-descriptors/2016/06/statuses/30/20160630-234028-{AUTHORITY}",
+        f"bridge-descriptors/2019/11/extra-infos/{e[0]}/{e[1]}/{e}",
+        f"bridge-descriptors/2019/11/server-descriptors/{d[0]}/{d[1]}/{d}",
+        f"bridge-descriptors/2019/11/statuses/05/20191105-091011-{BRIDGE_AUTHORITIES['tonga']}",
     ]
     assert [(r.kind, r.reject_reason) for r in rejected.collect()] == [
         ("bridge-server", "unrecognized line")
     ]
     assert [r.tarball for r in read_state(spark, state, "tarball string").collect()] == [
-        "from-tonga-2016-07-01T000702Z.tar.gz"
+        "from-tonga-2019-11-06T000702Z.tar.gz"
     ]
     # the tarball is remembered, and even read again it adds nothing
     again, _, _ = run_bridges(spark, folder, archive, state, NOW + timedelta(hours=1))
     assert again.count() == 0
     again, _, _ = run_bridges(spark, folder, archive, str(tmp_path / "s2"), NOW)
     assert again.count() == 0
-    assert read_archive(spark, archive, ["bridge-server"], ["2016-06"]).count() == 1
-    assert read_archive(spark, archive, ["bridge-server"], ["2016-07"]).count() == 0
+    assert read_archive(spark, archive, ["bridge-server"], [MONTH]).count() == 1
+    assert read_archive(spark, archive, ["bridge-server"], ["2019-12"]).count() == 0
 
 
 def test_bridges_keyed(spark, tmp_path):
     folder = bridge_folder(tmp_path)
-    secrets = spark.createDataFrame([("2016-06", bytearray.fromhex(SECRET_HEX))], "month string, secret binary")
+    secrets = spark.createDataFrame([(MONTH, bytearray.fromhex(SECRET_HEX))], "month string, secret binary")
     written, _, persist = run_bridges(
         spark, folder, str(tmp_path / "a"), str(tmp_path / "s"), NOW, secrets
     )
     texts = "".join(bytes(r.raw).decode() for r in written.collect())
-    assert "router Sample 10.51.223.72 56172 0 0" in texts
-    assert "2016-06-30 21:43:52 10.51.223.72 56172 0" in texts
-    assert "198.50.200.131" not in texts
-    assert [r.month for r in persist.collect()] == ["2016-06"]
+    assert f"router Heron {OTHER_ADDRESS} {OTHER_PORT} 0 0" in texts
+    assert f"{PUBLISHED} {OTHER_ADDRESS} {OTHER_PORT} 0" in texts
+    assert ADDRESS not in texts
+    assert [r.month for r in persist.collect()] == [MONTH]
 
 
 # --- relays --------------------------------------------------------------------------
@@ -187,8 +192,8 @@ def test_relays(spark, tmp_path):
         "relay-descriptors/consensus/2016/07/01/2016-07-01-00-00-00-consensus",
         "relay-descriptors/microdesc/2016/07/consensus-microdesc/01/"
         "2016-07-01-00-00-00-consensus-microdesc",
-        f"relay-descriptors/server-descriptor/2016/06/{s[0]}/{s[1]}/{s}",
-        f"relay-descriptors/extra-info/2016/06/{e[0]}/{e[1]}/{e}",
+        f"relay-descriptors/server-descriptor/2019/11/{s[0]}/{s[1]}/{s}",
+        f"relay-descriptors/extra-info/2019/11/{e[0]}/{e[1]}/{e}",
         f"relay-descriptors/microdesc/2016/07/micro/{m[0]}/{m[1]}/{m}",
         "relay-descriptors/certs/AUTHFP-2016-01-01-00-00-00",
         *vote,
@@ -239,7 +244,7 @@ def set_time(path, when):
 def test_index_over_several_runs(spark, tmp_path):
     server = "@type server-descriptor 1.0\n" + text(SERVER_LINES)
     start = datetime(2018, 1, 1)
-    one = put(tmp_path, "d/x/one", server + server.replace("2016-06-30 21", "2016-07-30 22"))
+    one = put(tmp_path, "d/x/one", server + server.replace(PUBLISHED, "2019-12-05 07:08:09"))
     two = put(tmp_path, "d/two", "@type extra-info 1.0\n" + text(EXTRA_INFO_LINES))
     put(tmp_path, "d/.hidden", server)
     put(tmp_path, "d/three.tmp", server)
@@ -257,8 +262,8 @@ def test_index_over_several_runs(spark, tmp_path):
     assert index["one"].size == len(data)
     assert index["one"].sha256 == base64.b64encode(hashlib.sha256(data).digest()).decode()
     assert index["one"].types == ["server-descriptor 1.0"]
-    assert str(index["one"].first_published) == "2016-06-30 21:43:52"
-    assert str(index["one"].last_published) == "2016-07-30 22:43:52"
+    assert str(index["one"].first_published) == PUBLISHED
+    assert str(index["one"].last_published) == "2019-12-05 07:08:09"
 
     # one changes, two vanishes: marked, then gone after two hours
     one.write_bytes(server.encode())

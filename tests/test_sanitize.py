@@ -1,19 +1,42 @@
 """Sanitizers: whole expected documents, and one changed line at a time."""
 
+import base64
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 from samples import (
+    ADDRESS,
+    ADDRESS_6,
     AUTHORITY,
+    CERTIFICATE,
+    ENTRY,
+    EXTRA_DIGEST,
+    EXTRA_DIGEST_256,
     EXTRA_INFO_LINES,
+    FINGERPRINT,
+    HASHED_FINGERPRINT,
     HASHED_MASTER_KEY,
     HASHED_R,
+    IDENTITY,
+    MASTER_KEY,
+    MONTH,
+    NTOR_KEY,
+    OTHER_ADDRESS,
+    OTHER_ADDRESS_6,
+    OTHER_PORT,
+    PORT,
+    PORT_6,
+    PUBLISHED,
     SECRET_HEX,
     SERVER_LINES,
     STATUS_LINES,
     double_sha1,
     double_sha256,
     edited,
+    grouped,
     text,
+    unpadded,
 )
 
 from descry.operators.sanitize import (
@@ -31,6 +54,10 @@ def server(spark, documents, keyed=False):
     return sanitize_server_descriptor(df, secret="secret" if keyed else None).orderBy("i").collect()
 
 
+HASHED_EXTRA = hashlib.sha1(EXTRA_DIGEST).hexdigest().upper()
+HASHED_EXTRA_256 = unpadded(hashlib.sha256(EXTRA_DIGEST_256).digest())
+
+
 def lines(row):
     return bytes(row.sanitized).decode("latin-1").splitlines() if row.sanitized else None
 
@@ -40,51 +67,51 @@ def test_server_descriptor(spark):
     (row,) = server(spark, [document])
     assert lines(row) == [
         "@type bridge-server-descriptor 1.2",
-        "router Sample 127.0.0.1 1 0 0",
+        "router Heron 127.0.0.1 1 0 0",
         "master-key-ed25519 " + HASHED_MASTER_KEY,
-        "platform X on Linux",
-        "published 2016-06-30 21:43:52",
-        "fingerprint 88F7 4584 0F47 CE0C 6A4F E61D 8279 50B0 6F9E 4534",
-        "uptime 543754",
-        "extra-info-digest B026CF0F81712D94BBF1362294882688DF247887 "
-        "/XWPeILeik+uTGaKL3pnUeQfYS87SfjKVkwTiCmbqi0",
-        "hidden-service-dir",
+        "bandwidth 5242880 10485760 3145728",
+        "platform Tor 0.4.2.1 on FreeBSD",
+        "published " + PUBLISHED,
+        "fingerprint " + grouped(HASHED_FINGERPRINT),
+        "uptime 86417",
+        f"extra-info-digest {HASHED_EXTRA} {HASHED_EXTRA_256}",
+        "caches-extra-info",
+        "ntor-onion-key " + NTOR_KEY,
         "contact somebody",
-        "ntor-onion-key YjZG5eaQ1gmXvlSMGEBwM7OLswv8AtXZr6ccOnDUKQw=",
         "reject 127.0.0.1:*",
         "reject *:*",
         "router-digest-sha256 " + double_sha256(document, "router "),
         "router-digest " + double_sha1(document, "router ").upper(),
     ]
-    assert row.published == "2016-06-30 21:43:52"
+    assert row.published == PUBLISHED
     assert row.digest == double_sha1(document, "router ")
 
 
 def test_server_descriptor_keyed(spark):
-    document = text(edited(SERVER_LINES, "platform ", "or-address [2:5:2:5:2:5:2:5]:25"))
+    document = text(edited(SERVER_LINES, "platform ", f"or-address {ADDRESS_6}:{PORT_6}"))
     (row,) = server(spark, [document], keyed=True)
-    assert "router Sample 10.51.223.72 56172 0 0" in lines(row)
-    assert "or-address [fd9f:2e19:3bcf::0c:b8a6]:59690" in lines(row)
-    assert "reject 10.51.223.72:*" in lines(row)
+    assert f"router Heron {OTHER_ADDRESS} {OTHER_PORT} 0 0" in lines(row)
+    assert f"or-address {OTHER_ADDRESS_6}" in lines(row)
+    assert f"reject {OTHER_ADDRESS}:*" in lines(row)
 
 
 CHANGES = {
-    "short router line": ("router Sample", ["router Sample"]),
-    "no router line": ("router Sample", []),
-    "long router line": ("router Sample", ["router Sample 1.2.3.4 1 0 0 0"]),
+    "short router line": ("router Heron", ["router Heron"]),
+    "no router line": ("router Heron", []),
+    "long router line": ("router Heron", ["router Heron 1.2.3.4 1 0 0 0"]),
     "odd fingerprint": ("fingerprint", ["fingerprint 4"]),
     "no hex fingerprint": ("fingerprint", ["fingerprint " + "z" * 40]),
     "no fingerprint": ("fingerprint", []),
     "no published": ("published", []),
     "unknown line": ("uptime", ["uptime 1", "unknown thing"]),
-    "long extra-info-digest": ("extra-info-digest", ["extra-info-digest 6D03 AA BB"]),
+    "long extra-info-digest": ("extra-info-digest", ["extra-info-digest 5A5A AA BB"]),
     "bad extra-info-digest": ("extra-info-digest", ["extra-info-digest zz"]),
-    "bad base64 digest": ("extra-info-digest", ["extra-info-digest 6D03 A%A"]),
+    "bad base64 digest": ("extra-info-digest", ["extra-info-digest 5A5A A%A"]),
     "other master key": ("master-key-ed25519", ["master-key-ed25519 AAAA"]),
-    "unreadable certificate": ("AQQABjli", ["AAAA"]),
+    "unreadable certificate": (CERTIFICATE[0], ["AAAA"]),
     "bad family member": ("uptime", ["family $zz"]),
     "bad or-address": ("uptime", ["or-address nonsense"]),
-    "source line": ("uptime", ["@source 198.50.200.131"]),
+    "source line": ("uptime", ["@source " + ADDRESS]),
     "no signature": ("router-signature", []),
 }
 
@@ -98,24 +125,24 @@ def test_server_descriptor_rejects(spark):
 
 
 ACCEPTED = {
-    "proto": ("platform", ["proto Cons=1-2 Desc=1-2"], "proto Cons=1-2 Desc=1-2"),
+    "proto": ("platform", ["proto Desc=1-2 Link=4-5"], "proto Desc=1-2 Link=4-5"),
     "opt fingerprint": (
         "fingerprint",
-        ["opt fingerprint 46D4 A711 97B8 FA51 5A82 6C6B 017C 522F E264 655B"],
-        "opt fingerprint 88F7 4584 0F47 CE0C 6A4F E61D 8279 50B0 6F9E 4534",
+        ["opt fingerprint " + grouped(FINGERPRINT)],
+        "opt fingerprint " + grouped(HASHED_FINGERPRINT),
     ),
     "opt digest": (
         "extra-info-digest",
-        ["opt extra-info-digest 6D03E80568DEFA102968D144CB35FFA6E3355B8A"],
-        "opt extra-info-digest B026CF0F81712D94BBF1362294882688DF247887",
+        ["opt extra-info-digest " + EXTRA_DIGEST.hex().upper()],
+        "opt extra-info-digest " + HASHED_EXTRA,
     ),
     "family": (
         "uptime",
-        ["family $46D4A71197B8FA515A826C6B017C522FE264655B friend"],
-        "family $88F745840F47CE0C6A4FE61D827950B06F9E4534 friend",
+        [f"family ${FINGERPRINT} egret"],
+        f"family ${HASHED_FINGERPRINT} egret",
     ),
-    "longer own address": ("reject *", ["reject 198.50.200.1319:*"], "reject 198.50.200.1319:*"),
-    "purpose": ("uptime", ["@purpose bridge"], "hidden-service-dir"),
+    "longer own address": ("reject *", [f"reject {ADDRESS}9:*"], f"reject {ADDRESS}9:*"),
+    "purpose": ("uptime", ["@purpose bridge"], "caches-extra-info"),
 }
 
 
@@ -129,7 +156,8 @@ def test_server_descriptor_accepts(spark):
 def test_nothing_sensitive_survives(spark):
     (row,) = server(spark, [text(SERVER_LINES)], keyed=True)
     out = bytes(row.sanitized).decode()
-    for secret in ("198.50.200.131", "46D4", "someone", "MIGJ", "8008", "OgaGJGRF"):
+    hidden = (ADDRESS, FINGERPRINT[:4] + " ", "keeper", "RSA PUBLIC", PORT, MASTER_KEY[:8])
+    for secret in hidden:
         assert secret not in out
 
 
@@ -153,12 +181,12 @@ def test_extra_info(spark):
     (row,) = extra(spark, [document])
     assert lines(row) == [
         "@type bridge-extra-info 1.3",
-        "extra-info Sample 88F745840F47CE0C6A4FE61D827950B06F9E4534",
+        "extra-info Heron " + HASHED_FINGERPRINT,
         "master-key-ed25519 " + HASHED_MASTER_KEY,
-        "published 2016-06-30 21:43:52",
-        "write-history 2016-06-30 18:40:48 (14400 s) 415744",
-        "transport obfs",
-        "bridge-ips de=8",
+        "published " + PUBLISHED,
+        "read-history 2019-11-05 03:00:00 (86400 s) 7340032,1048576",
+        "transport obfs4",
+        "bridge-ips nz=16,is=8",
         "router-digest-sha256 " + double_sha256(document, "extra-info "),
         "router-digest " + double_sha1(document, "extra-info ").upper(),
     ]
@@ -166,12 +194,12 @@ def test_extra_info(spark):
 
 def test_extra_info_rejects(spark):
     changes = [
-        ("extra-info", ["extra-info Sample"]),
-        ("extra-info", ["extra-info Sample zz"]),
-        ("transport obfs", ["transport obfs"]),
+        ("extra-info", ["extra-info Heron"]),
+        ("extra-info", ["extra-info Heron zz"]),
+        ("transport obfs4", ["transport obfs4"]),
         ("bridge-ips", ["unknown"]),
         ("bridge-ips", ["master-key-ed25519 AAAA"]),
-        ("AQQABjli", ["AAAA"]),
+        (CERTIFICATE[0], ["AAAA"]),
         ("published", []),
     ]
     rows = extra(spark, [text(edited(EXTRA_INFO_LINES, s, *new)) for s, new in changes])
@@ -182,29 +210,29 @@ def status(spark, documents, keyed=False):
     rows = [(i, bytearray(d.encode())) for i, d in enumerate(documents)]
     df = spark.createDataFrame(rows, "i int, raw binary")
     df = df.withColumn("authority", F.lit(AUTHORITY)).withColumn(
-        "default_published", F.lit("2016-07-01 00:07:02")
+        "default_published", F.lit("2019-11-05 12:13:14")
     )
     if keyed:
-        df = df.withColumn("m", F.create_map(F.lit("2016-06"), F.unhex(F.lit(SECRET_HEX))))
+        df = df.withColumn("m", F.create_map(F.lit(MONTH), F.unhex(F.lit(SECRET_HEX))))
     return sanitize_network_status(df, secrets="m" if keyed else None).orderBy("i").collect()
 
 
 @pytest.mark.parametrize("keyed", [False, True])
 def test_network_status(spark, keyed):
     (row,) = status(spark, [text(STATUS_LINES)], keyed)
-    address = "10.51.223.72 56172 0" if keyed else "127.0.0.1 1 0"
-    v6 = "[fd9f:2e19:3bcf::0c:b8a6]:59690" if keyed else "[fd9f:2e19:3bcf::]:1"
+    address = f"{OTHER_ADDRESS} {OTHER_PORT} 0" if keyed else "127.0.0.1 1 0"
+    v6 = OTHER_ADDRESS_6 if keyed else "[fd9f:2e19:3bcf::]:1"
     assert lines(row) == [
         "@type bridge-network-status 1.2",
-        "published 2016-06-30 23:40:28",
-        "flag-thresholds stable-uptime=807660",
+        STATUS_LINES[0],
+        STATUS_LINES[1],
         "fingerprint " + AUTHORITY,
         f"{HASHED_R} {address}",
         "a " + v6,
-        "s Fast Running",
-        "w Bandwidth=56",
+        "s Running Stable Valid",
+        "w Bandwidth=301",
     ]
-    assert row.newest_entry == "2016-06-30 21:43:52"
+    assert row.newest_entry == PUBLISHED
 
 
 def test_network_status_variants(spark):
@@ -218,13 +246,13 @@ def test_network_status_variants(spark):
         "duplicate": [*STATUS_LINES, own[0], "s Last"],
         "other authority": ["fingerprint AAAA", *STATUS_LINES],
         "unknown line": [*STATUS_LINES, "x y"],
-        "short r line": edited(STATUS_LINES, "r ", "r Sample RtSnEZe4"),
-        "bad identity": edited(STATUS_LINES, "r ", own[0].replace("RtSn", "R%Sn")),
+        "short r line": edited(STATUS_LINES, "r ", "r Heron " + unpadded(IDENTITY)[:8]),
+        "bad identity": edited(STATUS_LINES, "r ", own[0].replace(" " + unpadded(IDENTITY)[:4], " R%Sn")),
     }
     rows = dict(zip(variants, status(spark, [text(v) for v in variants.values()])))
     for name in ("other authority", "unknown line", "short r line", "bad identity"):
         assert rows[name].sanitized is None and rows[name].reject_reason, name
-    assert lines(rows["default time"])[1] == "published 2016-07-01 00:07:02"
+    assert lines(rows["default time"])[1] == "published 2019-11-05 12:13:14"
     assert lines(rows["entries only"])[2] == "fingerprint " + AUTHORITY
     assert lines(rows["stated authority"]).count("fingerprint " + AUTHORITY) == 1
     assert not [x for x in lines(rows["bad a line dropped"]) if x.startswith("a ")]
@@ -237,10 +265,8 @@ def test_entries_are_sorted_by_hashed_identity(spark):
     entries = []
     for i in range(30):
         identity = f"{i:02d}" + "A" * 25
-        entries.append(STATUS_LINES[2].replace("RtSnEZe4+lFagmxrAXxSL+JkZVs", identity))
+        entries.append(ENTRY.replace(unpadded(IDENTITY), identity))
     (row,) = status(spark, [text(STATUS_LINES[:2] + entries)])
-    import base64
-
     hashed = [x.split(" ")[2] for x in lines(row) if x.startswith("r ")]
     as_hex = [base64.b64decode(h + "=").hex() for h in hashed]
     assert len(hashed) == 30 and as_hex == sorted(as_hex)

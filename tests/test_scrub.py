@@ -7,7 +7,23 @@ import ipaddress
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from samples import CERTIFICATE, FINGERPRINT, HASHED_MASTER_KEY, MASTER_KEY, SECRET_HEX
+from samples import (
+    ADDRESS,
+    ADDRESS_6,
+    CERTIFICATE,
+    FINGERPRINT,
+    HASHED_FINGERPRINT,
+    HASHED_MASTER_KEY,
+    MASTER_KEY,
+    OTHER_ADDRESS,
+    OTHER_ADDRESS_6,
+    OTHER_PORT,
+    PORT,
+    PORT_6,
+    SECRET_HEX,
+    grouped,
+    scrubbed_port,
+)
 
 from descry.functions import scrub
 from descry.functions.text import unbase64_unpadded
@@ -29,11 +45,13 @@ def run(spark, function, values, keyed=True):
 
 
 def test_fixed_addresses(spark):
-    assert run(spark, scrub.scrub_ipv4, ["198.50.200.131"]) == ["10.51.223.72"]
-    assert run(spark, scrub.scrub_tcp_port, ["8008", "25", "0"]) == ["56172", "59690", "0"]
-    assert run(spark, scrub.scrub_or_address, ["[2:5:2:5:2:5:2:5]:25"]) == [
-        "[fd9f:2e19:3bcf::0c:b8a6]:59690"
+    assert run(spark, scrub.scrub_ipv4, [ADDRESS]) == [OTHER_ADDRESS]
+    assert run(spark, scrub.scrub_tcp_port, [PORT, "25", "0"]) == [
+        OTHER_PORT,
+        scrubbed_port(25),
+        "0",
     ]
+    assert run(spark, scrub.scrub_or_address, [f"{ADDRESS_6}:{PORT_6}"]) == [OTHER_ADDRESS_6]
 
 
 def test_without_secret(spark):
@@ -74,7 +92,7 @@ def test_fingerprints(spark):
         scrub.grouped_by_four(scrub.hash_fingerprint(F.col("v"))).alias("o")
     )
     assert [r.o for r in row.collect()] == [
-        "88F7 4584 0F47 CE0C 6A4F E61D 8279 50B0 6F9E 4534",
+        grouped(HASHED_FINGERPRINT),
         None,
         None,
     ]
