@@ -8,7 +8,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.formats import KEEP_ARCHIVE
 from descry.operators.access_logs import (
     HOSTS,
     count_sanitized_lines,
@@ -18,14 +17,15 @@ from descry.operators.access_logs import (
     safe_dates,
     sanitize_access_log,
 )
-from descry.operators.freshness import retention
+from descry.operators.keys import skip_processed
 from descry.session import checkpointed
 from descry.sinks.tables import save_state
-from descry.sources.files import read_log_files
+from descry.sources.files import list_logs, log_slices
 from descry.sources.state import read_state, read_table
 
 STAGING_SCHEMA = (
-    "path string, virtual_host string, physical_host string, line string, n bigint, log_date date"
+    "path string, virtual_host string, physical_host string, line string, n bigint, "
+    "log_date date, run string"
 )
 ARCHIVE_SCHEMA = "virtual_host string, physical_host string, line string, n bigint, log_date date"
 STATE_SCHEMA = "path string"
@@ -53,8 +53,50 @@ def days_to_store(counts: DataFrame, archive: DataFrame, limits: bool) -> DataFr
     return merge_line_counts([counts.join(days, keys, "left_semi")])
 
 
-def store_days(spark: SparkSession, counts: DataFrame, tables: LogTables, limits: bool) -> DataFrame:
+def stage_logs(files: DataFrame, tables: LogTables, label: str) -> None:
+    """Count the lines of log files into staging, one slice of files after the other.
+
+    A run is overwritten when it is repeated.  Each sound file also leaves a row without
+    a line, so that what has been read is known; a damaged file leaves nothing.
+    """
+    for number, (sound, lines) in enumerate(log_slices(files)):
+        counts = lines_to_counts(lines, "path")
+        marks = sound.select(
+            "path",
+            *HOSTS,
+            F.lit(None).cast("string").alias("line"),
+            F.lit(0).cast("long").alias("n"),
+            F.lit(None).cast("date").alias("log_date"),
+        )
+        (
+            counts.unionByName(marks)
+            .withColumn("run", F.lit(f"{label}-{number:06d}"))
+            .hint("rebalance", "log_date")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("run", "log_date")
+            .parquet(tables.staging)
+        )
+
+
+def staged_runs(spark: SparkSession, tables: LogTables) -> DataFrame:
+    """(path, run): the files read so far, each with the last run that read it."""
+    staged = read_table(spark, tables.staging, STAGING_SCHEMA)
+    return staged.filter("line IS NULL").groupBy("path").agg(F.max("run").alias("run"))
+
+
+def store_staged(
+    spark: SparkSession, tables: LogTables, files: DataFrame, limits: bool = True
+) -> DataFrame:
+    """Store what is safe of the counts of ``files`` (path), however they were staged.
+
+    Days are decided once, over all of these files.  Lines that arrive late for a stored
+    day stay in staging and change nothing.
+    """
     archive = read_table(spark, tables.archive, ARCHIVE_SCHEMA)
+    staged = read_table(spark, tables.staging, STAGING_SCHEMA).filter("line IS NOT NULL")
+    chosen = staged_runs(spark, tables).join(files.select("path"), "path", "left_semi")
+    counts = staged.join(chosen, ["path", "run"], "left_semi")
     # cut before the append: the archive read here is the one written to
     stored = checkpointed(days_to_store(counts, archive, limits))
     stored.hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").parquet(
@@ -68,23 +110,18 @@ def run_access_logs(
 ) -> DataFrame:
     """Read new log files, add their counts to staging, store what is safe.
 
-    Counts stay in staging per file, so a file holding a date that becomes safe
-    later is never read again.  Only files present now take part in the decision.
+    Counts stay in staging per file, so a file holding a date that becomes safe later is
+    never read again.  Only files present now take part in the decision, whatever the age
+    of their dates.  Damaged files are tried again in each run.
     """
-    processed = read_state(spark, tables.state, STATE_SCHEMA)
-    files, lines = read_log_files(spark, folder, processed)
-    new = lines_to_counts(lines, "path")
-    (
-        new.withColumn("run", F.lit(now.strftime("%Y%m%d%H%M%S")))
-        .hint("rebalance", "log_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run", "log_date")
-        .parquet(tables.staging)
+    files = checkpointed(list_logs(spark, folder).select("path", *HOSTS, "file_date"))
+    processed = staged_runs(spark, tables).select("path").unionByName(
+        read_state(spark, tables.state, STATE_SCHEMA)
     )
-    staged = read_table(spark, tables.staging, STAGING_SCHEMA)
-    recent = retention(staged, "log_date", now, KEEP_ARCHIVE)
-    present = recent.join(files.select("path"), "path", "left_semi")
-    stored = store_days(spark, present, tables, limits)
-    save_state(files.select("path"), tables.state, now)
+    stage_logs(
+        skip_processed(files, processed, ["path"]), tables, now.strftime("job-%Y%m%d%H%M%S")
+    )
+    stored = store_staged(spark, tables, files, limits)
+    done = files.join(staged_runs(spark, tables), "path", "left_semi").select("path")
+    save_state(done, tables.state, now)
     return stored

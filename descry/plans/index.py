@@ -35,7 +35,7 @@ def run_index(
         "path", F.date_trunc("minute", "modificationTime").alias("last_modified")
     )
     plan = checkpointed(reconcile_index(index, listing, now))
-    files = read_binary(spark, folder, plan.filter("action = 'index'"))
+    files = read_binary(spark, plan.filter("action = 'index'"))
     indexed = index_file(files)
     updated = checkpointed(apply_reconciliation(index, plan, indexed))
     save_state(updated, state, now)

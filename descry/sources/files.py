@@ -8,11 +8,14 @@ that stream, so a task holds one file and one batch of output.
 from __future__ import annotations
 
 import bz2
+import gzip
 import io
 import lzma
+import re
 import tarfile
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +26,13 @@ from descry.functions.text import as_text, file_path, once, unix_lines
 from descry.operators.access_logs import HOSTS, latest_log_files, parse_log_path
 from descry.operators.documents import classify, documents_in, explode_documents
 from descry.operators.keys import skip_processed
-from descry.session import broadcast_if_small
 
 LINES_PER_BATCH = 50_000
-MAX_LISTED_PATHS = 10_000
+#: Names given to a reader at a time.
+PATHS_AT_ONCE = 10_000
+UNPACKED_AT_ONCE = 1 << 20
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-_LOG_GLOB = "*access.log*"
+LOG_GLOB = "*access.log*"
 
 
 def list_files(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
@@ -39,110 +43,137 @@ def list_files(spark: SparkSession, folder: str, glob: str | None = None) -> Dat
     return reader.load(folder).select("path", "length", "modificationTime")
 
 
-def few_paths(files: DataFrame, at_most: int = MAX_LISTED_PATHS) -> list[str] | None:
-    """Paths to open, when they are few enough to name them; else None.
+def literal(path: str) -> str:
+    """A path as a pattern that names this path alone."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
 
-    Naming files keeps a run from opening what it has read before.
+
+def path_slices(files: DataFrame, at_once: int = PATHS_AT_ONCE) -> Iterator[list[str]]:
+    """All different paths of ``files``, so many at a time; the driver holds one slice."""
+    slice_: list[str] = []
+    for row in files.select("path").distinct().toLocalIterator():
+        slice_.append(row.path)
+        if len(slice_) == at_once:
+            yield slice_
+            slice_ = []
+    if slice_:
+        yield slice_
+
+
+def read_binary(spark: SparkSession, wanted: DataFrame) -> DataFrame:
+    """Contents of the files in ``wanted`` (path), each opened by its name.
+
+    However many there are, no other file is opened: names are given in slices whose
+    frames are put one after the other.
     """
-    rows = files.select("path").distinct().limit(at_most + 1).collect()
-    paths = [r.path for r in rows]
-    if len(paths) > at_most or any(c in p for p in paths for c in "*?[]{}\\"):
-        return None
-    return paths
+    parts = [_binary(spark, [literal(p) for p in paths]) for paths in path_slices(wanted)]
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], BINARY_SCHEMA)
 
 
-def read_binary(
-    spark: SparkSession, folder: str, wanted: DataFrame, glob: str | None = None
-) -> DataFrame:
-    """Contents of the files in ``wanted`` (path): by name when they are few,
-    otherwise the folder is scanned and joined."""
-    paths = few_paths(wanted)
-    if paths is not None:
-        if not paths:
-            return spark.createDataFrame([], BINARY_SCHEMA)
-        return _binary(spark, paths)
-    return _binary(spark, folder, glob).join(wanted.select("path").distinct(), "path", "left_semi")
-
-
-def _binary(spark: SparkSession, folders: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    reader = (
+def _binary(spark: SparkSession, folders: str | Sequence[str]) -> DataFrame:
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("ignoreCorruptFiles", "true")
+        .load(folders)
     )
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(folders)
 
 
 # --- access logs -----------------------------------------------------------------
 
+_OPENERS = {".xz": lzma.open, ".gz": gzip.open, ".bz2": bz2.open}
+_DAMAGE = (lzma.LZMAError, EOFError, OSError, zlib.error, ValueError)
+
+
+def _suffix(path: str) -> str:
+    return next((s for s in _OPENERS if path.endswith(s)), "")
+
+
+def _sound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Paths of compressed files that unpack to their end; nothing is kept of the content."""
+    for batch in batches:
+        sound = []
+        for path, content in zip(batch["path"], batch["content"]):
+            try:
+                with _OPENERS[_suffix(path)](io.BytesIO(content)) as file:
+                    while file.read(UNPACKED_AT_ONCE):
+                        pass
+                sound.append(path)
+            except _DAMAGE:
+                continue
+        yield pd.DataFrame({"path": sound}, dtype=object)
+
+
+def sound_logs(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Of one slice of paths those that can be read to their end.
+
+    A damaged file counts for nothing, not even for its first lines, and is looked at
+    again in the next run.  Only compressed files can show damage.
+    """
+    packed = [p for p in paths if _suffix(p)]
+    if not packed:
+        return list(paths)
+    files = _binary(spark, [literal(p) for p in packed]).select("path", "content")
+    found = files.mapInPandas(_sound, "path string").collect()
+    return [p for p in paths if not _suffix(p)] + [r.path for r in found]
+
 
 def _xz_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             lines: list[str] = []
-            try:
-                with lzma.open(io.BytesIO(content), "rt", encoding="utf-8", errors="replace") as f:
-                    for line in f:
-                        lines.append(line.rstrip("\r\n"))
-                        if len(lines) >= LINES_PER_BATCH:
-                            yield pd.DataFrame({"path": path, "line": lines})
-                            lines = []
-            except (lzma.LZMAError, EOFError, OSError):
-                # as with the other codecs, what was read before the damage stays
-                pass
+            with lzma.open(io.BytesIO(content), "rt", encoding="utf-8", errors="replace") as f:
+                for line in f:
+                    lines.append(line.rstrip("\r\n"))
+                    if len(lines) >= LINES_PER_BATCH:
+                        yield pd.DataFrame({"path": path, "line": lines})
+                        lines = []
             if lines:
                 yield pd.DataFrame({"path": path, "line": lines})
 
 
-def read_access_logs(
-    spark: SparkSession,
-    folder: str | list[str],
-    streaming: bool = False,
-    max_files: int = 10_000,
-) -> DataFrame:
-    """Lines of all logs below a folder (or of named files), with their path.
+def read_access_logs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Lines of one slice of sound logs, with their path."""
+    plain = [literal(p) for p in paths if _suffix(p) != ".xz"]
+    packed = [literal(p) for p in paths if _suffix(p) == ".xz"]
+    parts = [spark.createDataFrame([], "path string, line string")]
+    if plain:
+        lines = spark.read.text(plain)
+        parts.append(lines.select(file_path().alias("path"), F.col("value").alias("line")))
+    if packed:
+        contents = _binary(spark, packed).select("path", "content")
+        parts.append(contents.mapInPandas(_xz_lines, "path string, line string"))
+    return reduce(DataFrame.unionByName, parts)
 
-    The filter on the file name prunes files when they are listed.  An
-    unreadable file is skipped.  The same frame can be read as a stream.
-    """
 
-    def reader(glob: str):
-        r = (spark.readStream if streaming else spark.read).option("pathGlobFilter", glob)
-        if streaming:
-            r = r.option("maxFilesPerTrigger", max_files)
-        return r.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
-
-    plain = (
-        reader(_LOG_GLOB)
-        .text(folder)
-        .filter(~F.col("_metadata.file_name").endswith(".xz"))
-        .select(file_path().alias("path"), F.col("value").alias("line"))
-    )
-    packed = reader("*access.log*.xz").format("binaryFile")
-    if streaming:
-        packed = packed.schema(BINARY_SCHEMA)
-    xz = packed.load(folder).select("path", "content")
-    return plain.unionByName(xz.mapInPandas(_xz_lines, "path string, line string"))
+def list_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """Logs below a folder; of several for one host pair and date the largest path counts."""
+    return latest_log_files(parse_log_path(list_files(spark, folder, LOG_GLOB)))
+
+
+def log_slices(files: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """For each slice of log files: the sound files among them with their hosts, and their
+    lines with path and hosts."""
+    spark = files.sparkSession
+    for paths in path_slices(files):
+        sound = sound_logs(spark, paths)
+        named = parse_log_path(spark.createDataFrame([(p,) for p in sound], "path string"))
+        # one slice of names at most
+        hosts = F.broadcast(named.select("path", *HOSTS, "file_date"))
+        yield named, read_access_logs(spark, sound).join(hosts, "path")
 
 
 def read_log_files(
     spark: SparkSession, folder: str, processed: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Log files present, and the lines (with hosts) of those not in ``processed``.
-
-    Of several files for one host pair and date the largest path counts.
-    """
-    files = latest_log_files(parse_log_path(list_files(spark, folder, _LOG_GLOB)))
+    """Log files present, and the lines (with hosts) of those not in ``processed``."""
+    files = list_logs(spark, folder)
     new = files if processed is None else skip_processed(files, processed, ["path"])
-    paths = few_paths(new)
-    if paths == []:
-        lines = spark.createDataFrame([], "path string, line string")
-    else:
-        lines = read_access_logs(spark, folder if paths is None else paths)
-    hosts = broadcast_if_small(new.select("path", *HOSTS, "file_date"), 200_000)
-    return files, lines.join(hosts, "path")
+    parts = [lines for _, lines in log_slices(new)]
+    empty = spark.createDataFrame([], "path string, line string").join(
+        files.select("path", *HOSTS, "file_date"), "path"
+    )
+    return files, reduce(DataFrame.unionByName, parts) if parts else empty
 
 
 # --- descriptors -------------------------------------------------------------------
@@ -174,7 +205,7 @@ def read_descriptor_files(
     wanted = list_files(spark, folder).filter(~F.col("path").endswith(".tar.bz2"))
     if history is not None:
         wanted = skip_processed(wanted, history, ["path"])
-    files = read_binary(spark, folder, wanted)
+    files = read_binary(spark, wanted)
     packed = F.col("path").endswith(".bz2")
     unpacked = (
         files.filter(packed)
@@ -260,7 +291,7 @@ def read_tarballs(
     wanted = parse_tarball_name(list_files(spark, folder, "*.tar*"))
     if processed is not None:
         wanted = skip_processed(wanted, processed, ["tarball"])
-    files = parse_tarball_name(read_binary(spark, folder, wanted, "*.tar*"))
+    files = parse_tarball_name(read_binary(spark, wanted))
     columns = ["tarball", "authority", "default_published"]
     schema = ", ".join(f"{c} string" for c in columns) + ", member string, raw binary"
     members = files.select(*columns, "content").mapInPandas(_members, schema)

@@ -7,6 +7,8 @@ first write wins.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,11 +17,10 @@ from descry.functions.digests import without_annotations
 from descry.functions.text import as_bytes, as_text
 from descry.operators.access_logs import parse_log_path
 from descry.operators.keys import keep_first
-from descry.plans.access_logs import STAGING_SCHEMA, LogTables, lines_to_counts, store_days
+from descry.plans.access_logs import LogTables, run_access_logs, stage_logs
 from descry.sinks.tables import write_new_only
 from descry.operators.documents import split_by_kind
-from descry.sources.files import BINARY_SCHEMA, read_access_logs
-from descry.sources.state import read_table
+from descry.sources.files import BINARY_SCHEMA, LOG_GLOB
 
 
 def stream_access_logs(
@@ -27,37 +28,50 @@ def stream_access_logs(
     folder: str,
     tables: LogTables,
     checkpoint: str,
-    limits: bool = True,
     max_files_per_batch: int = 10_000,
 ) -> StreamingQuery:
-    """Count new log files and store each day once it is safe.
+    """Count new log files into staging.
 
-    Which days are safe depends on the dates seen, not on elapsed time, so this
-    is decided over the staging table and not by a watermark.  Lines that arrive
-    late for a stored day stay in staging and change nothing.
+    The stream only carries names; a micro-batch reads its files as the job does and
+    stores nothing, so that how files fall into batches changes no result.  When the
+    query has ended, ``run_access_logs`` over the same tables tries damaged files again
+    and stores the days that are safe.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        counts = lines_to_counts(parse_log_path(batch), "path")
-        (
-            counts.withColumn("run", F.lit(f"batch-{batch_id:012d}"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run", "log_date")
-            .parquet(tables.staging)
-        )
-        staged = read_table(batch.sparkSession, tables.staging, STAGING_SCHEMA)
-        store_days(batch.sparkSession, staged, tables, limits)
+        stage_logs(parse_log_path(batch), tables, f"batch-{batch_id:012d}")
 
-    lines = read_access_logs(spark, folder, streaming=True, max_files=max_files_per_batch)
+    names = (
+        spark.readStream.format("binaryFile")
+        .schema(BINARY_SCHEMA)
+        .option("pathGlobFilter", LOG_GLOB)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", max_files_per_batch)
+        .load(folder)
+        .select("path")
+    )
     return (
-        lines.writeStream.foreachBatch(on_batch)
+        names.writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def stream_and_store_access_logs(
+    spark: SparkSession,
+    folder: str,
+    tables: LogTables,
+    checkpoint: str,
+    now: datetime,
+    limits: bool = True,
+    max_files_per_batch: int = 10_000,
+) -> DataFrame:
+    """Stream what has arrived, then decide and store once; returns the days stored."""
+    stream_access_logs(spark, folder, tables, checkpoint, max_files_per_batch).awaitTermination()
+    return run_access_logs(spark, folder, tables, now, limits)
+
+
 def stream_descriptors(
     spark: SparkSession,
     folder: str,

@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 from descry.operators.access_logs import parse_access_log, sanitize_access_log
 from descry.plans.access_logs import ARCHIVE_SCHEMA, LogTables, run_access_logs
 from descry.sinks.files import write_log_archive
-from descry.sources.files import read_access_logs, read_log_files
+from descry.sources.files import (
+    list_files,
+    path_slices,
+    read_access_logs,
+    read_binary,
+    read_log_files,
+)
 from descry.sources.state import read_table
-from descry.streaming.jobs import stream_access_logs
+from descry.streaming.jobs import stream_and_store_access_logs
 
 NOW = datetime(2016, 11, 25)
 
@@ -108,15 +114,61 @@ def test_without_limits_all_days_are_stored(spark, tmp_path, files):
     assert {d for d, _ in stored(spark, t)} == {19, 20, 21, 22, 23}
 
 
-def test_stream(spark, tmp_path, files):
+@pytest.mark.parametrize("at_once", [1, 1000])
+def test_stream(spark, tmp_path, files, at_once):
     t = tables(tmp_path)
-    for days in ((20, 21), (22, 23), ()):
-        folder = files(*days)
-        query = stream_access_logs(spark, folder, t, str(tmp_path / "cp"), max_files_per_batch=1)
-        query.awaitTermination()
+    for hour, days in enumerate(((20, 21), (22, 23), ())):
+        stream_and_store_access_logs(
+            spark, files(*days), t, str(tmp_path / "cp"), NOW.replace(hour=hour), True, at_once
+        )
     assert stored(spark, t) == EXPECTED
 
 
+@pytest.mark.parametrize("at_once", [1, 1000])
+def test_batches_of_one_stream_decide_together(spark, tmp_path, at_once):
+    for day in (20, 21):
+        write(tmp_path / "in", "h", day, [line(d) for d in range(18, 23)])
+    job, stream = tables(tmp_path / "a"), tables(tmp_path / "b")
+    run_access_logs(spark, str(tmp_path / "in"), job, NOW)
+    stream_and_store_access_logs(
+        spark, str(tmp_path / "in"), stream, str(tmp_path / "cp"), NOW, True, at_once
+    )
+    assert stored(spark, job) == stored(spark, stream)
+    assert set(stored(spark, job).values()) == {2}
+
+
+def test_days_are_stored_whatever_their_age(spark, tmp_path, files):
+    t = tables(tmp_path)
+    run_access_logs(spark, files(20, 21, 22, 23), t, NOW.replace(year=NOW.year + 1))
+    assert stored(spark, t) == EXPECTED
+
+
+@pytest.mark.parametrize("kind", ["xz", "gz", "bz2"])
+def test_a_damaged_log_counts_for_nothing_until_it_is_whole(spark, tmp_path, kind):
+    t, folder = tables(tmp_path), tmp_path / "in"
+    write(folder, "h", 20, [line(d, f"/{i}") for d in (18, 19, 20) for i in range(3000)], kind)
+    (path,) = (p for p in folder.rglob("*access.log*"))
+    whole = path.read_bytes()
+    path.write_bytes(whole[: len(whole) * 2 // 3])
+    assert run_access_logs(spark, str(folder), t, NOW, limits=False).count() == 0
+    path.write_bytes(whole)
+    again = run_access_logs(spark, str(folder), t, NOW.replace(hour=3), limits=False)
+    assert again.agg({"n": "sum"}).first()[0] == 9000
+
+
+def test_files_are_opened_by_name_in_slices(spark, tmp_path):
+    for i in range(5):
+        put_at = tmp_path / "in" / f"a[{i}]{{x}}"
+        put_at.mkdir(parents=True)
+        (put_at / "f*?").write_bytes(b"%d" % i)
+    listed = list_files(spark, str(tmp_path / "in"))
+    assert [len(s) for s in path_slices(listed, 2)] == [2, 2, 1]
+    wanted = listed.filter("path NOT LIKE '%a[4]%'")
+    assert sorted(bytes(r.content) for r in read_binary(spark, wanted).collect()) == [
+        b"0", b"1", b"2", b"3",
+    ]
+
+
 def test_latest_file_of_a_date_and_broken_files(spark, tmp_path, files):
     folder = files(20, 21)
     write(tmp_path / "in" / "later", "host1", 20, [line(18)])
@@ -148,7 +200,8 @@ def test_odd_names_lose_no_lines(spark, tmp_path):
 
 def test_long_xz_files_are_streamed_in_batches(spark, tmp_path):
     write(tmp_path, "h", 1, [line(1, f"/{i}") for i in range(120_000)], "xz")
-    assert read_access_logs(spark, str(tmp_path)).distinct().count() == 120_000
+    (path,) = tmp_path.rglob("*.xz")
+    assert read_access_logs(spark, [str(path)]).distinct().count() == 120_000
 
 
 def test_lines(spark):
