@@ -58,60 +58,62 @@ class Ranks:
     """
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
         parts: list[dict[str, int]] = [{} for _ in range(PARTS)]
         for piece, rank in ranks.items():
             text = piece.decode(CHARSET)
             parts[zlib.crc32(text.encode()) % PARTS][text] = rank
         self.literal = F.from_json(F.lit(json.dumps(parts)), "array<map<string, int>>")
 
-    def of(self, piece: Column) -> Column:
-        """Rank of a piece, null if it has none."""
-        part = F.element_at(self.literal, (F.crc32(piece) % PARTS + 1).cast("int"))
-        return F.try_element_at(part, piece)
-
     def encode(self, word: Column) -> Column:
-        """Ids of a word (text): its own rank if it has one, else those of its merged pieces."""
-        raw = F.decode(F.encode(word, "UTF-8"), CHARSET)
+        """Ids of a word: its own rank if it has one, else those of its merged pieces."""
+        # bound once: each mention of the literal would be one more copy in the plan
+        return let(self.literal, lambda table: _encoded(table, word))
 
-        def encoded(w: Column) -> Column:
-            return let(
-                self.of(w),
-                lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(self._merged(w)),
-            )
+    def encode_all(self, words: Column) -> Column:
+        return let(
+            self.literal, lambda table: F.transform(words, lambda w: _encoded(table, w))
+        )
 
-        return let(raw, encoded)
 
-    def _rank(self, a: Column, b: Column) -> Column:
-        """Rank of two pieces as one; none where one is missing."""
-        return F.coalesce(self.of(F.concat(a, b)), F.lit(NO_RANK))
-
-    def _merged(self, raw: Column) -> Column:
-        def fold(pieces: Column) -> Column:
-            # the rank of each piece with the next
-            ranks = F.transform(pieces, lambda x, i: self._rank(x, F.get(pieces, i + 1)))
-            return F.aggregate(
-                F.sequence(F.lit(2), F.char_length(raw)),
-                F.struct(pieces.alias("pieces"), ranks.alias("ranks")),
-                lambda s, _: self._step(s),
-                lambda s: s["pieces"],
-            )
+def _rank_of(table: Column, piece: Column) -> Column:
+    """Rank of a piece, null if it has none."""
+    part = F.element_at(table, (F.crc32(piece) % PARTS + 1).cast("int"))
+    return F.try_element_at(part, piece)
+
+
+def _encoded(table: Column, word: Column) -> Column:
+    def encoded(raw: Column) -> Column:
+        return let(
+            _rank_of(table, raw),
+            lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(_merged(table, raw)),
+        )
+
+    return let(F.decode(F.encode(word, "UTF-8"), CHARSET), encoded)
+
 
-        pieces = F.filter(F.split(raw, ""), lambda x: x != "")
-        merged = F.when(F.char_length(raw) > 1, let(pieces, fold)).otherwise(pieces)
-        return F.transform(merged, lambda x: self.of(x))
+def _merged(table: Column, raw: Column) -> Column:
+    def rank(a: Column, b: Column) -> Column:
+        """Rank of two pieces as one; none where one is missing."""
+        return F.coalesce(_rank_of(table, F.concat(a, b)), F.lit(NO_RANK))
+
+    def fold(pieces: Column) -> Column:
+        # the rank of each piece with the next
+        ranks = F.transform(pieces, lambda x, i: rank(x, F.get(pieces, i + 1)))
+        return F.aggregate(
+            F.sequence(F.lit(2), F.char_length(raw)),
+            F.struct(pieces.alias("pieces"), ranks.alias("ranks")),
+            lambda s, _: step(s["pieces"], s["ranks"], s),
+            lambda s: s["pieces"],
+        )
 
-    def _step(self, s: Column) -> Column:
+    def step(pieces: Column, ranks: Column, s: Column) -> Column:
         """One merge: the first pair of the lowest rank; nothing once no pair has a rank."""
-        pieces, ranks = s["pieces"], s["ranks"]
 
         def merge(at: Column) -> Column:
             pair = F.concat(pieces[at - 1], pieces[at])
-            joined = F.transform(
-                pieces, lambda x, i: F.when(i == at - 1, pair).when(i != at, x)
-            )
-            before = self._rank(F.get(pieces, at - 2), pair)
-            after = self._rank(pair, F.get(pieces, at + 1))
+            joined = F.transform(pieces, lambda x, i: F.when(i == at - 1, pair).when(i != at, x))
+            before = rank(F.get(pieces, at - 2), pair)
+            after = rank(pair, F.get(pieces, at + 1))
             anew = F.transform(
                 ranks,
                 lambda x, i: F.when(i == at - 2, before)
@@ -130,6 +132,10 @@ class Ranks:
             ),
         )
 
+    pieces = F.filter(F.split(raw, ""), lambda x: x != "")
+    merged = F.when(F.char_length(raw) > 1, let(pieces, fold)).otherwise(pieces)
+    return F.transform(merged, lambda x: _rank_of(table, x))
+
 
 def words_of_text(text: Column) -> Column:
     """The matches of the pattern, which together are the whole text."""
@@ -254,7 +260,7 @@ def encoded_documents(
     )
     blocks = split.mapInArrow(_blocks(words), BLOCK)
     blocks = blocks.select(
-        "doc_ids", "ends", "codes", F.transform("words", ranks.encode).alias("others")
+        "doc_ids", "ends", "codes", ranks.encode_all(F.col("words")).alias("others")
     )
     return blocks.mapInArrow(_assembled(ids, finish), schema)
 
