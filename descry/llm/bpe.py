@@ -182,6 +182,11 @@ def _read(written: bytes) -> pa.Array:
     return _whole(pa.ipc.open_stream(written).read_all().column("x"))
 
 
+def _frugal() -> None:
+    """Let Arrow give freed memory back at once: several workers share an executor."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def _blocks(frequent: bytes):
     """Texts' words as numbers: those of frequent words, then those of the block's others."""
 
@@ -200,6 +205,7 @@ def _blocks(frequent: bytes):
         return pa.RecordBatch.from_arrays(one, names)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _frugal()
         known = _read(frequent)
         for batch in batches:
             # cut where the words of documents pass the size of a block
@@ -229,6 +235,7 @@ def _assembled(frequent: bytes, finish):
         return finish(doc_ids, pa.ListArray.from_arrays(pa.array(at), taken.values))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _frugal()
         known = _read(frequent).cast(pa.list_(pa.int32()))
         for batch in batches:
             for k in range(batch.num_rows):

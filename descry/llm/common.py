@@ -60,12 +60,12 @@ def prefix_sums(
     sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*group).orderBy(F.asc_nulls_first(bucket))
     offsets = sums.select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
+        *[F.col(k).alias(f"{k}_of_sum") for k in keys],
         F.coalesce(
             F.sum("_sum").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_offset"),
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_of_sum")) for k in keys]
     condition = same[0]
     for c in same[1:]:
         condition &= c

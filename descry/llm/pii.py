@@ -128,6 +128,7 @@ def labelled_windows(docs: DataFrame) -> list[tuple[bytes, bytes]]:
     The sample are the documents first in the order of a hash of doc_id, then windows in
     the order of a hash of their text; both numbers are bounds of the training set only.
     """
+    docs = docs.select("doc_id", "text")
     ids = docs.select(F.col("doc_id").alias("_id")).distinct()
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCUMENTS)
     sample = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
