@@ -183,24 +183,33 @@ def parse_status(df: DataFrame, raw: str = "raw", keep_raw: bool = False) -> Dat
 
 
 def status_entries(statuses: DataFrame, keys: Sequence[str] = ("kind", "valid_after")) -> DataFrame:
-    """One row per entry and microdescriptor digest (or one without a digest)."""
+    """One row per entry and microdescriptor digest (or one without a digest).
+
+    A full ``r`` line has nine fields; that of a microdescriptor consensus lacks the
+    server digest, so its time stands one field earlier.  ``n_entries`` counts the
+    status's entries, however many digests each has.
+    """
     f = F.col("__f")
     exploded = (
-        statuses.select(*keys, F.explode_outer("entries").alias("__e"))
+        statuses.select(
+            *keys, F.size("entries").alias("n_entries"), F.explode_outer("entries").alias("__e")
+        )
         .filter(F.col("__e").isNotNull())
         .withColumn("__f", fields_of(F.substring_index("__e", "\n", 1)))
         .withColumn("__m", F.regexp_extract_all("__e", F.lit(_M_DIGEST), F.lit(1)))
     )
     full = F.size(f) == 9
-    time = parse_time(F.concat_ws(" ", F.get(f, F.lit(4)), F.get(f, F.lit(5))))
+    at = F.when(full, F.lit(4)).when(F.size(f) == 8, F.lit(3))
+    time = parse_time(F.concat_ws(" ", F.get(f, at), F.get(f, at + 1)))
     return exploded.select(
         *keys,
+        "n_entries",
         base64_to_hex(f[2]).alias("relay_identity"),
         F.when(full, base64_to_hex(f[3])).alias("server_digest"),
-        F.when(full, time).alias("published"),
+        F.when(at.isNotNull(), time).alias("published"),
         F.explode_outer("__m").alias("__m"),
     ).select(
-        *keys, "relay_identity", "server_digest", "published", base64_to_hex(F.col("__m")).alias("micro_digest")
+        *keys, "n_entries", "relay_identity", "server_digest", "published", base64_to_hex(F.col("__m")).alias("micro_digest")
     )
 
 

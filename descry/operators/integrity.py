@@ -44,9 +44,12 @@ def _status_name(prefix: str, time: str, *more: str) -> Column:
 def entry_weights(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
     """200 over the number of entries, per status.
 
-    Counted by a combinable aggregate and joined back on the status, so a status
-    with a third of all entries is not gathered.
+    Entries that carry the number themselves need no shuffle.  Others are counted by a
+    combinable aggregate and joined back on the status, so a status with a third of all
+    entries is not gathered.
     """
+    if "n_entries" in entries.columns:
+        return entries.withColumn("weight", ENTRIES_WEIGHT / F.col("n_entries"))
     sizes = entries.groupBy(*keys).agg((ENTRIES_WEIGHT / F.count(F.lit(1))).alias("weight"))
     return entries.join(sizes, list(keys))
 

@@ -554,8 +554,12 @@ def status_freshness(
 def sanitize_pool_assignments(
     df: DataFrame, published: str = "published", fingerprint: str = "fingerprint"
 ) -> DataFrame:
-    """Hash fingerprints; one that is no hex rejects all lines of its time."""
-    good = without_groups(df, [published], ~is_hex(F.col(fingerprint)))
+    """Hash fingerprints; one that is no hex rejects all lines of its file and time.
+
+    Rows without a ``path`` are taken as one file.
+    """
+    group = [c for c in ("path", published) if c in df.columns]
+    good = without_groups(df, group, ~is_hex(F.col(fingerprint)))
     return good.withColumn("hashed_fingerprint", F.lower(hash_fingerprint(F.col(fingerprint)))).drop(
         fingerprint
     )

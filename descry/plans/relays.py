@@ -29,10 +29,11 @@ from descry.operators.integrity import (
     missing_weight,
     reference_edges,
 )
-from descry.operators.keys import keep_first
+from descry.operators.keys import keep_first, keep_last
 from descry.operators.secrets import month_of
 from descry.session import checkpointed
-from descry.sinks.tables import write_new_only
+from descry.sinks.tables import schema_of, write_new_only, write_overwrite
+from descry.sources.state import read_table
 from descry.sources.files import read_descriptor_files
 
 ARCHIVE_COLUMNS = ("kind", "published", "digest", "storage_path", "recent_path", "raw", "month")
@@ -55,9 +56,12 @@ def of_kind(documents: DataFrame, *kinds: str) -> DataFrame:
 
 
 def parse_documents(documents: DataFrame) -> Parsed:
-    statuses = parse_status(of_kind(documents, "consensus", "consensus-microdesc", "vote"))
-    entries = status_entries(statuses, ["kind", "valid_after", "fingerprint"])
-    servers = parse_server_descriptor(of_kind(documents, "server"))
+    """Fields of the documents, each document parsed once and its fields written."""
+    statuses = checkpointed(
+        parse_status(of_kind(documents, "consensus", "consensus-microdesc", "vote"))
+    )
+    entries = checkpointed(status_entries(statuses, ["kind", "valid_after", "fingerprint"]))
+    servers = checkpointed(parse_server_descriptor(of_kind(documents, "server")))
     return Parsed(
         statuses=statuses,
         entries=entries,
@@ -161,6 +165,18 @@ def checks(parsed: Parsed, now: datetime) -> tuple[DataFrame, DataFrame]:
     return report, missing_weight(missing_references(edges))
 
 
+def _changed(rows: DataFrame, archive: str) -> DataFrame:
+    """Rows that the archive lacks or has with other bytes."""
+    stored = read_table(rows.sparkSession, archive, schema_of(rows, ["kind", "month"]))
+    stored = stored.filter(~F.col("kind").isin(*NAMED_BY_CONTENT))
+    name = ["kind", "month", "storage_path", "__sha1"]
+    same = stored.withColumn("__sha1", F.sha1("raw")).select(*name)
+    return rows.withColumn("__sha1", F.sha1("raw")).join(same, name, "left_anti").drop("__sha1")
+
+
+NAMED_BY_CONTENT = ("server", "extra-info", "microdescriptor")
+
+
 def run_relays(
     spark: SparkSession, folder: str, archive: str, now: datetime
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -172,8 +188,14 @@ def run_relays(
     documents = split_by_kind(files).withColumn("__sha1", F.sha1("raw"))
     unique = checkpointed(keep_first(documents, ["__sha1"], ["path", "pos"]).drop("__sha1"))
     parsed = parse_documents(unique)
-    written = write_new_only(
-        archive_rows(unique, parsed, now), archive, ["storage_path"], ["digest"], ["kind", "month"]
-    )
+    rows = checkpointed(keep_last(archive_rows(unique, parsed, now), ["storage_path"], ["digest"]))
+    # documents named by their content are never stored twice; of those named by time
+    # the copy that comes last replaces the one in the archive
+    by_content = F.col("kind").isin(*NAMED_BY_CONTENT)
+    keys = (["storage_path"], ["digest"], ["kind", "month"])
+    changed = checkpointed(_changed(rows.filter(~by_content), archive))
+    new = write_new_only(rows.filter(by_content), archive, *keys)
+    write_overwrite(changed, archive, *keys)
+    written = new.unionByName(changed)
     report, weight = checks(parsed, now)
     return written, report, weight

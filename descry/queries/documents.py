@@ -155,15 +155,14 @@ entry AS (
     _STATUS_SQL
     + """SELECT o_orderkey, kind, sha1(id) AS relay_identity,
            CASE WHEN kind = 'consensus-microdesc' THEN '' ELSE sha1(s) END AS server_digest,
-           CASE WHEN kind = 'consensus-microdesc' THEN ''
-                ELSE strftime(o_orderdate, '%Y-%m-%d') || ' 00:0' || i || ':00' END AS published,
+           strftime(o_orderdate, '%Y-%m-%d') || ' 00:0' || i || ':00' AS published,
            CASE WHEN kind = 'consensus-microdesc' THEN sha256(m) ELSE '' END AS micro_digest
          FROM entry"""
 )
 def parsed_status_entries(spark: SparkSession, folder: str) -> DataFrame:
     """Entries of statuses up to the first malformed line."""
     statuses = parse_status(status_documents(spark, folder))
-    entries = status_entries(statuses, ["o_orderkey", "kind"])
+    entries = status_entries(statuses, ["o_orderkey", "kind"]).drop("n_entries")
     return entries.withColumn("published", as_time_text("published")).fillna("")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,15 @@ from descry.operators.integrity import (
     update_missing,
     with_running_weight,
 )
-from descry.plans.derived import EVENTS_NOW, ORDERS_NOW, as_time_text, table, text_of
+from descry.operators.documents import parse_status, status_dir_sources, status_entries
+from descry.plans.derived import (
+    EVENTS_NOW,
+    ORDERS_NOW,
+    as_time_text,
+    status_documents,
+    table,
+    text_of,
+)
 from descry.queries.registry import registered
 
 _NOW = f"TIMESTAMP '{EVENTS_NOW}'"
@@ -173,6 +181,40 @@ def reference_graph(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_UNEXPIRED_AT = datetime(ORDERS_NOW.year - 1, 1, 1)
+
+
+@registered(f"""
+WITH entry AS (
+  SELECT o_orderdate AS day, 'm' || o_orderkey || i AS m, i,
+         CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 4 END AS n
+  FROM (SELECT *, unnest([1, 2, 3, 4]) AS i FROM orders WHERE o_orderpriority = '1-URGENT')
+  WHERE NOT (o_orderstatus = 'P' AND i >= 3))
+SELECT 'M-' || strftime(day, '%Y-%m-%d') || '-01-00-00' AS referencing,
+       'D-' || upper(sha256(m)) AS referenced, 200.0::DOUBLE / n AS weight,
+       strftime(day + INTERVAL 3 HOUR + to_minutes(i), '%Y-%m-%d %H:%M:%S') AS expires
+FROM entry WHERE day + INTERVAL 3 HOUR + to_minutes(i) >= TIMESTAMP '{_UNEXPIRED_AT}'
+""")
+def unexpired_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of parsed statuses to microdescriptors that a later run still keeps."""
+    statuses = parse_status(status_documents(spark, folder))
+    keys = ["kind", "valid_after", "fingerprint"]
+    nothing = lambda schema: spark.createDataFrame([], schema)
+    edges = reference_edges(
+        statuses.select(*keys),
+        status_dir_sources(statuses),
+        status_entries(statuses, keys),
+        nothing("digest string, extra_info_digest string, published timestamp"),
+        nothing("digest string, published timestamp"),
+        nothing("sha256_hex string"),
+        _UNEXPIRED_AT,
+    )
+    kept = unexpired(edges.filter(F.col("referenced").startswith("D-")), _UNEXPIRED_AT)
+    return kept.select(
+        "referencing", "referenced", "weight", as_time_text("expires_at").alias("expires")
+    )
+
+
 # --- completeness ------------------------------------------------------------------------
 
 

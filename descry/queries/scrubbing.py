@@ -126,17 +126,18 @@ def hashed_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @registered("""
-WITH rows AS (SELECT o_orderkey, o_orderdate AS d, o_orderstatus, o_totalprice,
-                     sha1('fp' || o_custkey) AS fp FROM orders),
-bad AS (SELECT DISTINCT d FROM rows WHERE o_orderstatus = 'P' AND o_totalprice > 450000)
-SELECT o_orderkey, strftime(d, '%Y-%m-%d %H:%M:%S') AS published, sha1(unhex(fp)) AS hashed_fingerprint
-FROM rows WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.d = rows.d)
+WITH rows AS (SELECT o_orderkey, 'file' || (o_orderkey % 2) AS path, o_orderdate AS d, o_orderstatus,
+                     o_totalprice, sha1('fp' || o_custkey) AS fp FROM orders),
+bad AS (SELECT DISTINCT path, d FROM rows WHERE o_orderstatus = 'P' AND o_totalprice > 450000)
+SELECT o_orderkey, path, strftime(d, '%Y-%m-%d %H:%M:%S') AS published, sha1(unhex(fp)) AS hashed_fingerprint
+FROM rows WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.d = rows.d AND bad.path = rows.path)
 """)
 def sanitized_pool_assignments(spark: SparkSession, folder: str) -> DataFrame:
-    """Hashed fingerprints; one undecodable one rejects its whole group."""
+    """Hashed fingerprints; one undecodable one rejects its file's whole group of a time."""
     damaged = (F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 450000)
     rows = table(spark, folder, "orders").select(
         "o_orderkey",
+        text_of("file", F.col("o_orderkey") % 2).alias("path"),
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("published"),
         F.when(damaged, "zz").otherwise(hex_id("fp", F.col("o_custkey"))).alias("fingerprint"),
     )

@@ -41,10 +41,13 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Only a session without one (a test) gets a temporary folder.
+    Only a local session without one (a test) gets a temporary folder: on a cluster the
+    executors would not find each other's files there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="descry-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

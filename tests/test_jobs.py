@@ -355,3 +355,16 @@ def test_descriptor_stream(spark, tmp_path):
     stream_descriptors(spark, str(tmp_path / "in"), table, checkpoint, 1).awaitTermination()
     counts = spark.read.parquet(table).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {r.kind: r.n for r in counts} == {"server": 2, "extra-info": 1}
+
+
+def test_a_later_copy_replaces_a_status(spark, tmp_path):
+    folder, _, _ = relay_folder(tmp_path)
+    archive = str(tmp_path / "a")
+    run_relays(spark, folder, archive, NOW)
+    path = tmp_path / "in" / "consensus"
+    path.write_text(path.read_text().replace("s Running", "s Running Fast"))
+    written, _, _ = run_relays(spark, folder, archive, NOW + timedelta(hours=1))
+    assert [r.kind for r in written.collect()] == ["consensus"]
+    (row,) = read_archive(spark, archive, ["consensus"]).collect()
+    assert b"s Running Fast" in bytes(row.raw)
+    assert read_archive(spark, archive).count() == 8
