@@ -77,11 +77,6 @@ def first_body_line(text: Column) -> Column:
     return F.regexp_extract(text, r"(?dm)\A(?:@[^\n]*\n)*([^@\n][^\n]*|)$", 1)
 
 
-def line_value(text: Column, keyword: str) -> Column:
-    """Rest of the first line starting with ``keyword`` and a blank, else null."""
-    return F.nullif(F.regexp_extract(text, rf"(?dm)^{keyword} (.*)$", 1), F.lit(""))
-
-
 def last_line_value(text: Column, keyword: str) -> Column:
     """Rest of the last line starting with ``keyword`` and a blank, else null."""
     return F.try_element_at(

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from descry.formats import ANNOTATIONS, DELETION_GRACE
+from descry.formats import DELETION_GRACE
 from descry.functions.digests import file_digest
 from descry.functions.text import as_text, let, sections, unix_lines
 from descry.functions.times import at
@@ -231,7 +231,7 @@ def index_tree(index: DataFrame) -> DataFrame:
                 ),
             ).otherwise(","),
             F.lit('{"path":'),
-            F.to_json(F.struct(F.col("__name").alias("p"))).substr(6, 1 << 30),
+            F.substr(F.to_json(F.struct(F.col("__name").alias("p"))), F.lit(6)),
         ).alias("fragment"),
     )
     # to_json closed the object after the path: reopen it
@@ -251,7 +251,3 @@ def index_tree(index: DataFrame) -> DataFrame:
         .unionByName(dir_ends)
         .unionByName(list_ends)
     )
-
-
-def known_types() -> list[str]:
-    return sorted(ANNOTATIONS.values())

@@ -112,10 +112,6 @@ def split_lines(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*others, lines).filter(F.col("pos").isNotNull())
 
 
-def with_digest(df: DataFrame, kind: str, raw: str = "raw", alias: str = "digest") -> DataFrame:
-    return df.withColumn(alias, descriptor_digest(F.col(raw), kind))
-
-
 # --- network statuses ----------------------------------------------------------
 
 

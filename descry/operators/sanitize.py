@@ -75,9 +75,9 @@ def _verdicts_to_columns(df: DataFrame, header: Column, footer: Column) -> DataF
     """Turn ``__verdicts`` into ``sanitized`` text and ``reject_reason``."""
     bad = F.filter("__verdicts", lambda v: v.startswith("!"))
     kept = F.transform(
-        F.filter("__verdicts", lambda v: v.startswith("+")), lambda v: F.substring(v, 2, 1 << 30)
+        F.filter("__verdicts", lambda v: v.startswith("+")), lambda v: F.substr(v, F.lit(2))
     )
-    reason = F.coalesce(F.substring(F.get(bad, F.lit(0)), 2, 1 << 30), F.col("reject_reason"))
+    reason = F.coalesce(F.substr(F.get(bad, F.lit(0)), F.lit(2)), F.col("reject_reason"))
     body = F.array_join(F.transform(kept, lambda x: F.concat(x, F.lit("\n"))), "")
     return (
         once(
@@ -168,7 +168,7 @@ def sanitize_server_descriptor(
         after_address = F.substr(line, F.length(address) + 8)
         extra = fields_of(plain)
         b64 = F.get(extra, F.lit(2))
-        members = fields_of(F.substring(line, 8, 1 << 30))
+        members = fields_of(F.substr(line, F.lit(8)))
         return (
             F.when(
                 line.startswith("router "),
@@ -195,7 +195,7 @@ def sanitize_server_descriptor(
                 line.startswith("or-address "),
                 _or_reject(
                     _keep(
-                        "or-address ", scrub_or_address(F.substring(line, 12, 1 << 30), fp, key)
+                        "or-address ", scrub_or_address(F.substr(line, F.lit(12)), fp, key)
                     ),
                     "bad or-address",
                 ),
@@ -209,7 +209,7 @@ def sanitize_server_descriptor(
                         "fingerprint ",
                         grouped_by_four(
                             hash_fingerprint(
-                                F.replace(F.substring(plain, 13, 1 << 30), F.lit(" "), F.lit(""))
+                                F.replace(F.substr(plain, F.lit(13)), F.lit(" "), F.lit(""))
                             )
                         ),
                     ),
@@ -249,7 +249,7 @@ def sanitize_server_descriptor(
                 line.startswith("family "),
                 F.when(
                     F.exists(
-                        members, lambda m: m.startswith("$") & ~is_hex(F.substring(m, 2, 1 << 30))
+                        members, lambda m: m.startswith("$") & ~is_hex(F.substr(m, F.lit(2)))
                     ),
                     _reject("bad family member"),
                 ).otherwise(
@@ -261,7 +261,7 @@ def sanitize_server_descriptor(
                                 lambda m: F.when(
                                     m.startswith("$"),
                                     F.concat(
-                                        F.lit("$"), hash_fingerprint(F.substring(m, 2, 1 << 30))
+                                        F.lit("$"), hash_fingerprint(F.substr(m, F.lit(2)))
                                     ),
                                 ).otherwise(m),
                             ),
@@ -427,7 +427,7 @@ def sanitize_network_status(
                 F.when(
                     line.startswith("a "),
                     F.coalesce(
-                        _keep("a ", scrub_or_address(F.substring(line, 3, 1 << 30), fp, key)),
+                        _keep("a ", scrub_or_address(F.substr(line, F.lit(3)), fp, key)),
                         _drop(),
                     ),
                 )
@@ -492,7 +492,7 @@ def sanitize_network_status(
     body = F.array_join(
         F.transform(
             F.filter(kept_entries, lambda v: v.startswith("+")),
-            lambda v: F.concat(F.substring(v, 2, 1 << 30), F.lit("\n")),
+            lambda v: F.concat(F.substr(v, F.lit(2)), F.lit("\n")),
         ),
         "",
     )
@@ -507,7 +507,7 @@ def sanitize_network_status(
             .when(
                 F.size(F.array_except(stated, F.array(expected))) > 0, "authority mismatch"
             )
-            .otherwise(F.substring(first_bad, 2, 1 << 30)),
+            .otherwise(F.substr(first_bad, F.lit(2))),
         )
         .withColumn(
             "sanitized",

@@ -408,12 +408,12 @@ def missing_key_counts(spark: SparkSession, folder: str) -> DataFrame:
 SELECT event_type AS kind, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest,
        CASE WHEN max(ts) < {_NOW} - CASE event_type WHEN 'error' THEN INTERVAL 48 HOUR ELSE INTERVAL 330 MINUTE END
             THEN 'stale' ELSE 'fresh' END AS state
-FROM events WHERE ts < {_NOW} - INTERVAL 1 HOUR * (value / 20) GROUP BY event_type
+FROM (SELECT event_type, ts - INTERVAL 1 HOUR * (event_id % 7) AS ts FROM events) GROUP BY event_type
 """)
 def latest_per_kind(spark: SparkSession, folder: str) -> DataFrame:
     """Latest time per kind and whether it lies too far back."""
-    cut = F.lit(str(EVENTS_NOW)).cast("timestamp") - F.make_dt_interval(hours=F.lit(0), secs=F.col("value") * 180)
-    seen = table(spark, folder, "events").filter(F.col("ts") < cut)
+    hours = F.make_dt_interval(hours=(F.col("event_id") % 7).cast("int"))
+    seen = table(spark, folder, "events").withColumn("ts", F.col("ts") - hours)
     latest = latest_and_stale(
         seen, EVENTS_NOW, "event_type", "ts", after_by_type={"error": timedelta(hours=48)}
     )
@@ -455,14 +455,13 @@ def retained_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @registered(f"""
-WITH a AS (SELECT 'auth' || user_id AS authority, max(ts) AS last FROM events WHERE event_type <> 'click' GROUP BY user_id)
+WITH a AS (SELECT 'auth' || user_id AS authority, max(ts) AS last FROM events GROUP BY user_id)
 SELECT authority FROM a WHERE last < {_NOW} - INTERVAL '23 hours 30 minutes' ORDER BY authority LIMIT 2
 """)
 def refresh_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """At most two authorities whose full refresh is due."""
     authorities = (
         table(spark, folder, "events")
-        .filter("event_type <> 'click'")
         .groupBy(text_of("auth", F.col("user_id")).alias("authority"))
         .agg(F.max("ts").alias("last_refresh"))
     )

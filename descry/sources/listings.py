@@ -55,7 +55,7 @@ def parse_pool_assignments(texts: DataFrame) -> DataFrame:
         return let(lines_of(part), grouped)
 
     def grouped(lines: Column) -> Column:
-        time = parse_time(F.substring(lines[0], len(POOL_HEADER) + 1, 1 << 30))
+        time = parse_time(F.substr(lines[0], F.lit(len(POOL_HEADER) + 1)))
         body = F.slice(lines, 2, F.size(lines))
         bad = F.transform(body, lambda x: ~x.rlike(r"\A[^ ]{40,} "))
         bad_at = F.array_position(bad, True).cast("int")
