@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.functions.text import as_text, last_line_value, parse_time, unix_lines
+from descry.functions.text import as_text, last_line_value, once, parse_time, unix_lines
 from descry.operators.archive import with_archive_paths
 from descry.operators.keys import accumulate, keep_first
 from descry.operators.sanitize import (
@@ -39,20 +39,37 @@ def bridge_documents(members: DataFrame) -> DataFrame:
     return kept.drop("__sha1", "__from")
 
 
-def published_months(documents: DataFrame) -> DataFrame:
-    """Months whose secrets sanitizing will ask for."""
+#: No document is older; a later month than the run's own is not believed either.
+FIRST_MONTH = "2007-01"
+
+
+def named_months() -> Column:
+    """Months whose secrets sanitizing a document will ask for, as it names them."""
     text = unix_lines(as_text(F.col("raw")))
     own = F.coalesce(last_line_value(text, "published"), F.col("default_published"))
     entry_times = F.regexp_extract_all(
         text, F.lit(r"(?dm)^r \S+ \S+ \S+ (\d{4}-\d{2})-\d{2} "), F.lit(1)
     )
     months = F.array_union(F.array(F.substring(own, 1, 7)), entry_times)
-    return (
-        documents.filter(F.col("kind").isin("server", "bridge-status"))
-        .select(F.explode(months).alias("month"))
-        .filter(F.col("month").rlike(r"\A\d{4}-\d{2}\z"))
-        .distinct()
-    )
+    return F.filter(months, lambda m: m.rlike(r"\A\d{4}-\d{2}\z"))
+
+
+def by_believable_months(documents: DataFrame, now: datetime) -> DataFrame:
+    """Documents with ``believable``: none of their months is outside the stated range.
+
+    What is left needs at most one secret for each month of the range, whatever the
+    documents claim.
+    """
+    last = now.strftime("%Y-%m")
+    asked = F.col("kind").isin("server", "bridge-status")
+    outside = F.exists(named_months(), lambda m: (m < FIRST_MONTH) | (m > last))
+    return once(documents, believable=~asked | ~F.coalesce(outside, F.lit(False)))
+
+
+def published_months(documents: DataFrame) -> DataFrame:
+    """Months whose secrets sanitizing will ask for."""
+    asked = documents.filter(F.col("kind").isin("server", "bridge-status"))
+    return asked.select(F.explode(named_months()).alias("month")).distinct()
 
 
 def sanitize_bridge_documents(
@@ -128,11 +145,18 @@ def run_bridges(
     members = checkpointed(read_tarballs(spark, folder, processed))
     whole = F.col("member").isNull()
     documents = checkpointed(bridge_documents(members.filter(~whole)))
-    persist = None
+    persist, unbelievable = None, None
     if secrets is not None:
+        documents = checkpointed(by_believable_months(documents, now))
+        unbelievable = documents.filter("NOT believable").select(
+            "tarball", "member", "pos", "kind", F.lit("month out of range").alias("reject_reason")
+        )
+        documents = documents.filter("believable").drop("believable")
         everything, persist = ensure_secrets(published_months(documents), secrets, cutoff)
         secrets, persist = checkpointed(everything), checkpointed(persist)
     good, bad = sanitize_bridge_documents(documents, secrets, now)
+    if unbelievable is not None:
+        bad = bad.unionByName(unbelievable)
     written = write_new_only(
         good.select(*ARCHIVE_COLUMNS), archive, ["storage_path"], ["digest"], ["kind", "month"]
     )

@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 from samples import (
     ADDRESS,
+    ENTRY,
     EXTRA_INFO_LINES,
     MONTH,
     OTHER_ADDRESS,
@@ -99,6 +100,9 @@ def test_recent_files_keep_bytes_and_order(spark, tmp_path):
 # --- bridges -------------------------------------------------------------------------
 
 
+BRIDGES_NOW = datetime(2019, 11, 6, 1, 0)
+
+
 def bridge_folder(tmp_path):
     bad = text(edited(SERVER_LINES, "uptime", "unknown 1"))
     members = {
@@ -114,7 +118,7 @@ def bridge_folder(tmp_path):
 
 def test_bridges(spark, tmp_path):
     folder, archive, state = bridge_folder(tmp_path), str(tmp_path / "a"), str(tmp_path / "s")
-    written, rejected, secrets = run_bridges(spark, folder, archive, state, NOW)
+    written, rejected, secrets = run_bridges(spark, folder, archive, state, BRIDGES_NOW)
     assert secrets is None
     d = double_sha1(text(SERVER_LINES), "router ")
     e = double_sha1(text(EXTRA_INFO_LINES), "extra-info ")
@@ -130,9 +134,9 @@ def test_bridges(spark, tmp_path):
         "from-tonga-2019-11-06T000702Z.tar.gz"
     ]
     # the tarball is remembered, and even read again it adds nothing
-    again, _, _ = run_bridges(spark, folder, archive, state, NOW + timedelta(hours=1))
+    again, _, _ = run_bridges(spark, folder, archive, state, BRIDGES_NOW + timedelta(hours=1))
     assert again.count() == 0
-    again, _, _ = run_bridges(spark, folder, archive, str(tmp_path / "s2"), NOW)
+    again, _, _ = run_bridges(spark, folder, archive, str(tmp_path / "s2"), BRIDGES_NOW)
     assert again.count() == 0
     assert read_archive(spark, archive, ["bridge-server"], [MONTH]).count() == 1
     assert read_archive(spark, archive, ["bridge-server"], ["2019-12"]).count() == 0
@@ -142,7 +146,7 @@ def test_bridges_keyed(spark, tmp_path):
     folder = bridge_folder(tmp_path)
     secrets = spark.createDataFrame([(MONTH, bytearray.fromhex(SECRET_HEX))], "month string, secret binary")
     written, _, persist = run_bridges(
-        spark, folder, str(tmp_path / "a"), str(tmp_path / "s"), NOW, secrets
+        spark, folder, str(tmp_path / "a"), str(tmp_path / "s"), BRIDGES_NOW, secrets
     )
     texts = "".join(bytes(r.raw).decode() for r in written.collect())
     assert f"router Heron {OTHER_ADDRESS} {OTHER_PORT} 0 0" in texts
@@ -151,6 +155,22 @@ def test_bridges_keyed(spark, tmp_path):
     assert [r.month for r in persist.collect()] == [MONTH]
 
 
+def test_invented_months_are_rejected(spark, tmp_path):
+    entries = [
+        ENTRY.replace(PUBLISHED, f"{1000 + i // 12}-{1 + i % 12:02d}-01 00:00:00") for i in range(2000)
+    ]
+    odd = text([*STATUS_LINES[:2], *entries])
+    members = {"networkstatus-bridges": odd, "bridge-descriptors": text(SERVER_LINES)}
+    put(tmp_path, "in/from-tonga-2019-11-06T000702Z.tar.gz", tarball(members))
+    secrets = spark.createDataFrame([], "month string, secret binary")
+    written, rejected, persist = run_bridges(
+        spark, str(tmp_path / "in"), str(tmp_path / "a"), str(tmp_path / "s"), BRIDGES_NOW, secrets
+    )
+    assert [r.kind for r in written.collect()] == ["bridge-server"]
+    assert [r.reject_reason for r in rejected.collect()] == ["month out of range"]
+    assert [r.month for r in persist.collect()] == [MONTH]
+
+
 # --- relays --------------------------------------------------------------------------
 
 
