@@ -16,7 +16,15 @@ from descry.functions.scrub import (
 )
 from descry.operators.sanitize import sanitize_pool_assignments
 from descry.operators.secrets import month_of, months_needing_secret, with_month_secret
-from descry.plans.derived import addresses, documents_table, hex_id, secrets_for, table, text_of
+from descry.plans.derived import (
+    addresses,
+    documents_table,
+    hex_id,
+    month_secret,
+    secrets_for,
+    table,
+    text_of,
+)
 from descry.queries.registry import registered
 
 SECRET_SQL = (
@@ -102,15 +110,39 @@ def scrubbed_or_address(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@registered("""
-SELECT doc_id, regexp_replace(text, '([0-9]{1,3}\\.){3}[0-9]{1,3}', '0.0.0.0', 'g') AS text
-FROM documents
+_TEXT_MONTH = "2020-01"
+_QUAD = r"([0-9]{1,3}\.){3}[0-9]{1,3}"
+
+
+@registered(f"""
+WITH found AS (
+  SELECT doc_id, '{_TEXT_MONTH}' AS m,
+         unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '{_QUAD}'))) AS address
+  FROM documents),
+parts AS (SELECT *, list_transform(string_split(address, '.'), lambda x: CAST(x AS INT)) AS o FROM found),
+digests AS (
+  SELECT *, CASE WHEN list_max(o) < 256 THEN
+    sha256(unhex(printf('%02x%02x%02x%02x', o[1], o[2], o[3], o[4]) || sha1('fp' || doc_id)
+                 || substr({SECRET_SQL}, 1, 62))) END AS d
+  FROM parts)
+SELECT doc_id, address, coalesce('10.' || CAST(CAST('0x' || substr(d, 1, 2) AS INT) AS VARCHAR) || '.'
+         || CAST(CAST('0x' || substr(d, 3, 2) AS INT) AS VARCHAR) || '.'
+         || CAST(CAST('0x' || substr(d, 5, 2) AS INT) AS VARCHAR), 'malformed') AS scrubbed
+FROM digests
 """)
 def scrubbed_text_ips(spark: SparkSession, folder: str) -> DataFrame:
-    """Address masking applied to whole texts."""
-    return documents_table(spark, folder, "documents", "doc_id", "text").select(
+    """Pseudonyms of the different addresses in whole texts."""
+    found = documents_table(spark, folder, "documents", "doc_id", "text").select(
         "doc_id",
-        F.regexp_replace("text", r"([0-9]{1,3}\.){3}[0-9]{1,3}", "0.0.0.0").alias("text"),
+        F.explode(
+            F.array_distinct(F.regexp_extract_all("text", F.lit(_QUAD), F.lit(0)))
+        ).alias("address"),
+    )
+    scrubbed = scrub_ipv4(
+        F.col("address"), hex_id("fp", F.col("doc_id")), month_secret(F.lit(_TEXT_MONTH))
+    )
+    return found.select(
+        "doc_id", "address", F.coalesce(scrubbed, F.lit("malformed")).alias("scrubbed")
     )
 
 
