@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from descry.operators.keys import new_rows, overwritten
 from descry.session import checkpointed
-from descry.sources.state import read_table
+from descry.sources.state import drop_old_versions, read_table
+
+#: A run that dies while saving, or still reads, finds the version before.
+VERSIONS_KEPT = 2
 
 
 def schema_of(df: DataFrame, partitions: Sequence[str] = ()) -> str:
@@ -71,7 +74,7 @@ def write_overwrite(
 
 
 def save_state(df: DataFrame, path: str, run: datetime) -> None:
-    """Save a state table as the version of this run; earlier versions stay.
+    """Save a state table as the version of this run; the version before it stays.
 
     Pass this run's keys to forget inputs that vanished, or
     ``keys.accumulate(old, new, …)`` to remember everything.
@@ -84,3 +87,4 @@ def save_state(df: DataFrame, path: str, run: datetime) -> None:
         .partitionBy("run")
         .parquet(path)
     )
+    drop_old_versions(df.sparkSession, path, keep=VERSIONS_KEPT)

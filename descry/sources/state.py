@@ -49,11 +49,34 @@ def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The newest version of a state table; empty when there is none.
 
     Versions are kept side by side (see ``save_state``), so a run that dies
-    while saving leaves the previous version intact.
+    while saving leaves the previous version intact.  The newest is found from the
+    folders' names; no other is opened.
     """
-    versions = read_table(spark, path, f"{schema}, run string")
-    newest = versions.agg(F.max("run")).first()[0]
-    return versions.filter(F.col("run") == F.lit(newest or "")).drop("run")
+    runs = state_versions(spark, path)
+    if not runs:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/run={runs[-1]}")
+
+
+def _hadoop_folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def state_versions(spark: SparkSession, path: str) -> list[str]:
+    """Runs that a state table has versions of, the newest last."""
+    folder, files = _hadoop_folder(spark, path)
+    if not files.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    return sorted(n.removeprefix("run=") for n in names if n.startswith("run="))
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int) -> None:
+    """Remove all but the newest versions of a state table."""
+    folder, files = _hadoop_folder(spark, path)
+    for run in state_versions(spark, path)[:-keep]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"run={run}"), True)
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:

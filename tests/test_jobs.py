@@ -88,6 +88,14 @@ def test_state_is_replaced_or_accumulated(spark, tmp_path):
     assert sorted(r.k for r in read_state(spark, path, schema).collect()) == ["c", "d"]
 
 
+def test_two_versions_of_a_state_are_kept(spark, tmp_path):
+    path, schema = str(tmp_path / "s"), "k int"
+    for i in range(5):
+        save_state(spark.createDataFrame([(i,)], schema), path, NOW + timedelta(hours=i))
+    assert len(list((tmp_path / "s").glob("run=*"))) == 2
+    assert [r.k for r in read_state(spark, path, schema).collect()] == [4]
+
+
 def test_recent_files_keep_bytes_and_order(spark, tmp_path):
     rows = [("r/one", i, bytearray(f"doc {i} \xe9\n".encode("latin-1"))) for i in range(50)]
     df = spark.createDataFrame(rows, "recent_path string, i int, raw binary").repartition(5)
