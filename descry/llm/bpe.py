@@ -39,10 +39,10 @@ NO_RANK = 2**31 - 1
 #: Most words that go to all tasks, and the longest of them in bytes.
 MOST_WORDS, LONGEST_WORD = 1 << 19, 64
 #: Bytes that Spark hands to a Python worker at once: a session setting, lowered to this.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 22
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of words in a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -230,7 +230,9 @@ def _assembled(frequent: bytes, finish):
 
     def one(row: pa.RecordBatch, known: pa.Array) -> pa.RecordBatch:
         doc_ids, ends, codes, others = (c.flatten() for c in row.columns)
-        taken = pa.concat_arrays([known, others.cast(known.type)]).take(codes)
+        lists = pa.concat_arrays([known, others.cast(known.type)])
+        taken = lists.take(codes)
+        del lists
         at = taken.offsets.to_numpy()[np.r_[0, ends.to_numpy()].astype(np.int64)]
         return finish(doc_ids, pa.ListArray.from_arrays(pa.array(at), taken.values))
 
@@ -296,22 +298,19 @@ def digests(pieces: dict[bytes, int]):
         0,
     )
 
+    def hashes(table: pa.Array, last: int, ids: pa.Array, ends: np.ndarray) -> pa.Array:
+        # what is taken lies in one buffer, so a document's bytes are a slice of it
+        taken = table.take(ids)
+        at = np.frombuffer(taken.buffers()[1] or bytes(8), np.int64)[ends].tolist()
+        data = memoryview(taken.buffers()[2] or b"")
+        cuts = zip(at, at[1:], strict=False)
+        return pa.array([hashlib.sha256(data[a : max(a, b - last)]).hexdigest() for a, b in cuts])
+
     def digest(doc_ids: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
         ends = lists.offsets.to_numpy().astype(np.int64)
-        hashes = []
-        for table, last in tables:
-            # what is taken lies in one buffer, so a document's bytes are a slice of it
-            taken = table.take(lists.values)
-            at = np.frombuffer(taken.buffers()[1] or bytes(8), np.int64)[ends].tolist()
-            data = memoryview(taken.buffers()[2] or b"")
-            hashes.append(
-                [
-                    hashlib.sha256(data[a : max(a, b - last)]).hexdigest()
-                    for a, b in zip(at, at[1:], strict=False)
-                ]
-            )
+        found = [hashes(table, last, lists.values, ends) for table, last in tables]
         return pa.RecordBatch.from_arrays(
-            [doc_ids, pa.array(np.diff(ends)), *map(pa.array, hashes)],
+            [doc_ids, pa.array(np.diff(ends)), *found],
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
