@@ -10,7 +10,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
-from samples import EXTRA_INFO_LINES, SECRET_HEX, SERVER_LINES, STATUS_LINES, text
+from samples import EXTRA_INFO_LINES, SECRET_HEX, SERVER_LINES, text
 
 from descry.operators.documents import split_by_kind
 from descry.operators.secrets import ensure_secrets, with_month_secret
