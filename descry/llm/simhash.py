@@ -6,18 +6,21 @@ with an equal key meet in a bucket.  There they stand vertically, one bit plane
 position: a shift of the planes compares every row with the one so many rows on,
 carry-save counters add up the differing planes of 64 rows with one operation, and a block
 of rows is abandoned as soon as all of its counters have passed the radius.
+
+A scheme with a similarity takes what fingerprints link as candidates only: texts that
+candidates connect are compared by their shingles, and only those links count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from descry.llm.common import hidden, shown
@@ -27,6 +30,8 @@ from descry.session import checkpointed
 SEED = 42
 #: Most rows, on average, of one side of a compared pair of chunks of a bucket.
 CHUNK = 4096
+#: Most texts, on average, of one side of a compared pair of chunks of candidates.
+TEXTS = 512
 #: Shingles hashed at once, lanes compared at once: bounds on memory only.
 HASHES_AT_ONCE = 1 << 15
 LANES_AT_ONCE = 1 << 16
@@ -36,12 +41,17 @@ PLANES_AT_ONCE = 8
 @dataclass(frozen=True)
 class Scheme:
     """Words of a shingle, bits of a fingerprint (a multiple of 64), the most bits in which
-    linked fingerprints differ, and for each bucket key the positions of its bits."""
+    linked fingerprints differ, and for each bucket key the positions of its bits.
+
+    With a similarity, radius is only what fingerprints alone would go by: texts within
+    ``reach`` are candidates, and those with the Jaccard similarity are linked."""
 
     shingle: int
     bits: int
     radius: int
     keys: tuple[tuple[int, ...], ...]
+    similarity: float | None = None
+    reach: int = 0
 
 
 def exact_scheme(shingle: int, radius: int, bits: int = 64) -> Scheme:
@@ -52,21 +62,24 @@ def exact_scheme(shingle: int, radius: int, bits: int = 64) -> Scheme:
 
 
 def similarity_scheme(
-    shingle: int = 5, similarity: float = 0.8, bits: int = 256, keys: int = 32, key_bits: int = 14
+    shingle: int = 5, similarity: float = 0.8, bits: int = 256, keys: int = 48, key_bits: int = 12
 ) -> Scheme:
-    """Finds texts by the Jaccard similarity of their shingles, as fingerprints tell it.
-
-    Vectors of a similarity j have the cosine 2j / (1 + j), and the share of differing bits
-    is their angle over pi.  The radius is one standard deviation above what is expected,
-    so 84 of 100 pairs at the similarity are within, and nearly all somewhat above.  A
-    random key is shared with a probability of (1 - share) to the number of its bits, and
-    there are as many keys as miss 3 of 100 such pairs.
+    """Finds texts by the Jaccard similarity of their shingles; fingerprints give candidates.
+
+    Vectors of a similarity j have the cosine 2j / (1 + j) or more, and the share of
+    differing bits is their angle over pi.  The radius is one standard deviation above
+    what is expected, the reach 4.5.  A random key is shared with a probability of
+    (1 - share) to the number of its bits, and there are as many keys as miss 1 of 1000
+    pairs at the similarity.  Texts of five shingles differ in more bits: of their pairs 2
+    of 100 are missed, and less than 1 of 100 from ten shingles on.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    radius = int(bits * share + np.sqrt(bits * share * (1 - share)))
+    radius, reach = (
+        int(bits * share + k * np.sqrt(bits * share * (1 - share))) for k in (1, 4.5)
+    )
     rng = np.random.default_rng(SEED)
     chosen = [tuple(sorted(rng.choice(bits, key_bits, replace=False).tolist())) for _ in range(keys)]
-    return Scheme(shingle, bits, radius, tuple(chosen))
+    return Scheme(shingle, bits, radius, tuple(chosen), similarity, reach)
 
 
 #: Shingles of three words, all pairs that differ in at most two of 64 bits.
@@ -107,19 +120,45 @@ def fingerprint(text: bytes | None, scheme: Scheme = CLOSE) -> bytes:
     return np.packbits(2 * counts > n, bitorder="little").tobytes()[::-1]
 
 
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the different shingles of a UTF-8 text; none without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    columns = [words[k:] for k in range(shingle)] if len(words) >= shingle else [[w] for w in words]
+    rows = map(b" ".join, zip(*columns, strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in rows), np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of hashes have the Jaccard similarity; two empty ones are equal."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-6:
+        return False
+    union = len(np.union1d(a, b))
+    return union == 0 or (len(a) + len(b) - union) / union >= similarity
+
+
+def _digest() -> Column:
+    """Digest of a text; a null one counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
 def fingerprints(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text."""
+    """(doc_id, fp, digest): the fingerprint and the digest of each whole text."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             found = [fingerprint(t.as_py(), scheme) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.binary())], ["doc_id", "fp"]
+                [batch.column(0), pa.array(found, pa.binary()), batch.column(2)],
+                ["doc_id", "fp", "digest"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(hashed, "doc_id long, fp binary")
+    texts = docs.select(
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), _digest().alias("digest")
+    )
+    return texts.mapInArrow(hashed, "doc_id long, fp binary, digest binary")
 
 
 def _bits(prints: list[bytes], bits: int) -> np.ndarray:
@@ -310,7 +349,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
     Equal fingerprints meet once only: candidates, links and components concern distinct
     fingerprints, and documents are joined to them at the end.
     """
-    prints = checkpointed(fingerprints(docs, scheme))
+    prints = checkpointed(fingerprints(docs, scheme).select("doc_id", "fp"))
     first = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(close_links(first, scheme))
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
@@ -321,17 +360,124 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
     return prints.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
+def verified_links(docs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links (a, b) between digests of texts that have the scheme's similarity.
+
+    ``texts`` are the different texts (digest, first doc_id, fp, root of candidates).
+    Candidates with one root are dealt into chunks, and each pair of chunks is a task's
+    group; there the shingles of texts whose fingerprints are within reach are
+    compared, unless accepted links connect them already.
+    """
+    shared = texts.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    some = texts.join(shared, "root").withColumn("chunks", F.ceil(F.col("n") / F.lit(TEXTS)))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("id"),
+        F.col("text").cast("string").alias("text"),
+        _digest().alias("_digest"),
+    )
+    same = (F.col("digest") == F.col("_digest")) & F.col("first").eqNullSafe(F.col("id"))
+    found = rows.join(some, same).groupBy("digest").agg(
+        *[F.first(c).alias(c) for c in ("fp", "root", "chunks", "text")]
+    )
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = batch.column(4).cast(pa.binary())
+            sets = [shingle_hashes(t.as_py(), scheme.shingle).tobytes() for t in said]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(sets, pa.binary())],
+                ["digest", "fp", "root", "chunks", "shingles"],
+            )
+
+    sets = found.select("digest", "fp", "root", "chunks", "text").mapInArrow(
+        hashed, "digest binary, fp binary, root binary, chunks long, shingles binary"
+    )
+    dealt = sets.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("chunks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    )
+    grouped = dealt.select(
+        "root",
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        "own",
+        "digest",
+        "fp",
+        "shingles",
+    )
+    order = ["root", "i", "j"]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            cuts = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]]
+            for low, high in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                if keys[low] != at:
+                    if held:
+                        yield _similar_links(pa.Table.from_batches(held), scheme)
+                    at, held = keys[low], []
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield _similar_links(pa.Table.from_batches(held), scheme)
+
+    return (
+        grouped.repartition(*order)
+        .sortWithinPartitions(*order, "own", "digest")
+        .mapInArrow(compared, "a binary, b binary")
+    )
+
+
+def _similar_links(group: pa.Table, scheme: Scheme) -> pa.RecordBatch:
+    """Links of a group (root, i, j, own, digest, fp, shingles) that connect its similar texts."""
+    within = group.column(1)[0] == group.column(2)[0]
+    own = group.column(3).to_numpy()
+    digests = group.column(4).to_pylist()
+    prints = np.frombuffer(b"".join(group.column(5).to_pylist()), np.uint64)
+    prints = prints.reshape(len(digests), -1)
+    sets = [np.frombuffer(x, np.uint64) for x in group.column(6).to_pylist()]
+    label, a, b = np.arange(len(digests)), [], []
+    for row in range(len(digests) - 1):
+        wanted = label[row + 1 :] != label[row]
+        if not within:
+            wanted &= own[row + 1 :] != own[row]
+        others = row + 1 + np.flatnonzero(wanted)
+        apart = np.bitwise_count(prints[others] ^ prints[row]).sum(axis=1, dtype=np.int64)
+        for other in others[apart <= scheme.reach]:
+            if label[other] != label[row] and similar(sets[row], sets[other], scheme.similarity):
+                label[label == label[other]] = label[row]
+                a.append(digests[row])
+                b.append(digests[other])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _text_components(docs: DataFrame, prints: DataFrame, scheme: Scheme) -> DataFrame:
+    """(digest, first doc_id, component) of the different texts of ``prints``."""
+    wide = scheme if scheme.similarity is None else replace(scheme, radius=scheme.reach)
+    candidates = connected_components(close_links(prints.select("fp").distinct(), wide))
+    texts = prints.groupBy("digest", "fp").agg(F.min("doc_id").alias("first"))
+    texts = texts.join(candidates.withColumnRenamed("node", "fp"), "fp", "left")
+    texts = checkpointed(
+        texts.select("digest", "first", "fp", F.coalesce("root", "fp").alias("root"))
+    )
+    if scheme.similarity is None:
+        return texts.select("digest", "first", F.col("root").alias("component"))
+    roots = connected_components(verified_links(docs, texts, scheme))
+    roots = roots.select(F.col("node").alias("digest"), F.col("root").alias("component"))
+    return texts.join(roots, "digest", "left").select(
+        "digest", "first", F.coalesce("component", "digest").alias("component")
+    )
+
+
 def without_near_duplicates(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     """Documents, all columns, of which each component keeps the one with the least doc_id.
 
     Of rows that repeat that doc_id one stays, that with the least hash of its text.
     """
-    kept = (
-        near_duplicates(docs, scheme)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("_kept"))
-        .distinct()
+    prints = checkpointed(fingerprints(docs, scheme))
+    least = _text_components(docs, prints, scheme).groupBy("component").agg(
+        F.min("first").alias("_kept")
     )
+    kept = least.select("_kept").distinct()
     rows = hidden(docs, _id=F.col("doc_id").cast("long"), _text=F.xxhash64("text"))
     rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
     first = Window.partitionBy("_id").orderBy("_text")

@@ -131,6 +131,32 @@ def test_similar_texts_are_linked(spark):
     assert sorted(r.doc_id for r in kept) == [*range(50), 100]
 
 
+def edited(words, places):
+    return " ".join("new" + w if k in places else w for k, w in enumerate(words))
+
+
+def jaccard(a, b, n=5):
+    rows = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (a.split(), b.split())]
+    return len(rows[0] & rows[1]) / len(rows[0] | rows[1])
+
+
+def test_similarity_is_verified_on_both_sides(spark):
+    """Pairs just above 0.8 are linked, pairs just below are not, however fingerprints fall."""
+    rng, rows, above, below = random.Random(5), [], 0, 0
+    for pair in range(150):
+        words = [f"p{pair}x{rng.randrange(9000)}" for _ in range(304)]
+        # 300 shingles; so many that each change takes its own five with it
+        changes, tail = (6, 3) if pair % 2 else (7, 0)
+        text = edited(words, {20 + 30 * k for k in range(changes)} | set(range(304 - tail, 304)))
+        j = jaccard(" ".join(words), text)
+        assert (0.8 <= j < 0.82) if pair % 2 else (0.78 < j < 0.8)
+        above, below = above + (j >= 0.8), below + (j < 0.8)
+        rows += [(2 * pair, " ".join(words), "en", "s"), (2 * pair + 1, text, "en", "s")]
+    kept = {r.doc_id for r in simhash.without_near_duplicates(documents(spark, rows)).collect()}
+    assert above == below == 75
+    assert kept == {i for i in range(300) if i % 2 == 0 or (i // 2) % 2 == 0}
+
+
 def test_exceeding():
     rng = np.random.default_rng(0)
     raw = [rng.bytes(8) for _ in range(150)]
