@@ -469,17 +469,19 @@ def _text_components(docs: DataFrame, prints: DataFrame, scheme: Scheme) -> Data
 
 
 def without_near_duplicates(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
-    """Documents, all columns, of which each component keeps the one with the least doc_id.
+    """Documents, all columns, of which each component keeps one: the least doc_id's.
 
-    Of rows that repeat that doc_id one stays, that with the least hash of its text.
+    Components are of texts.  A null doc_id comes after all others; of different texts
+    under the least doc_id the one with the least digest stays, of rows that repeat both
+    any one.  Rows of other components stay, whatever their doc_id.
     """
     prints = checkpointed(fingerprints(docs, scheme))
-    least = _text_components(docs, prints, scheme).groupBy("component").agg(
-        F.min("first").alias("_kept")
-    )
-    kept = least.select("_kept").distinct()
-    rows = hidden(docs, _id=F.col("doc_id").cast("long"), _text=F.xxhash64("text"))
-    rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
-    first = Window.partitionBy("_id").orderBy("_text")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    place = F.struct(F.col("first").isNull().alias("last"), F.col("first"), F.col("digest"))
+    least = _text_components(docs, prints, scheme).groupBy("component").agg(F.min(place).alias("m"))
+    kept = least.select(F.col("m.first").alias("_first"), F.col("m.digest").alias("_kept"))
+    rows = hidden(docs, _id=F.col("doc_id").cast("long"), _digest=_digest())
+    same = F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_digest") == F.col("_kept"))
+    first = Window.partitionBy("_id", "_digest").orderBy(F.lit(0))
+    rows = rows.join(kept, same, "left_semi").withColumn("_n", F.row_number().over(first))
+    rows = rows.where("_n = 1")
     return rows.select(*shown(rows))

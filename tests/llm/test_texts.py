@@ -157,6 +157,20 @@ def test_similarity_is_verified_on_both_sides(spark):
     assert kept == {i for i in range(300) if i % 2 == 0 or (i // 2) % 2 == 0}
 
 
+def test_each_component_keeps_one_row_whatever_its_ids(spark):
+    base = [[f"c{c}x{k}" for k in range(200)] for c in range(6)]
+    plain, near = [" ".join(w) for w in base], [edited(w, {199}) for w in base]
+    rows = [
+        *[(None, text, "en", "s") for text in (plain[0], near[0], plain[0], plain[1], plain[2])],
+        (7, plain[3], "en", "s"), (7, plain[4], "en", "s"), (7, near[4], "en", "s"),
+        (8, near[3], "en", "s"), (None, near[2], "en", "s"), (9, near[2], "en", "s"),
+        (10, plain[5], "en", "s"), (10, plain[5], "en", "s"),
+    ]
+    kept = simhash.without_near_duplicates(documents(spark, rows)).collect()
+    found = sorted((r.text[:2], r.doc_id) for r in kept)
+    assert found == [("c0", None), ("c1", None), ("c2", 9), ("c3", 7), ("c4", 7), ("c5", 10)]
+
+
 def test_exceeding():
     rng = np.random.default_rng(0)
     raw = [rng.bytes(8) for _ in range(150)]
