@@ -3,7 +3,9 @@
 A document's histograms of character classes and of its language's common words are
 compared with the language's own, taken over all documents, by the Jensen-Shannon
 distance.  Short documents have ragged histograms, so each comparison has a least length.
-The references are a few dozen numbers; judging a document is work inside its row.
+Every language with documents enough has a reference of its classes, and the spread of its
+documents around it sets the limit; a language without a reference is not judged by it.
+The references are a few numbers a language; judging a document is work inside its row.
 """
 
 from __future__ import annotations
@@ -11,11 +13,12 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from descry.functions.text import let, once
 from descry.llm.common import BLANKS, hidden, shown, text_of, words_of
+from descry.session import broadcast_if_small, checkpointed
 
 #: Common function words of the languages that have a reference.
 COMMON_WORDS = {
@@ -25,7 +28,7 @@ COMMON_WORDS = {
     "es": "de la que el en y a los se del las un".split(),
 }
 WORDS_LISTED = 12
-#: Reference of documents in no listed language: character classes over all documents.
+#: Documents in no listed language, which have no common words.
 ANY = ""
 #: Character classes beside letters and digits, blanks, and the rest: pattern of one.
 UPPER, DIGIT, STOP, SYMBOL = r"\p{Lu}", "[0-9]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]"
@@ -35,15 +38,19 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 LEAST_FOR_WORDS = 100
 #: Steps in which shares are counted for the references.
 STEPS = 1000
-#: Largest distances, between 0 and 1, at which a document is kept.
-MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.13, 0.35
+#: Documents of a language from which it has a reference.
+LEAST_DOCUMENTS = 20
+#: Largest distances, between 0 and 1, at which a document is kept; that of the classes is
+#: larger where SPREAD times the median distance of a language's documents is.
+MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE, SPREAD = 0.13, 0.35, 3
 
 
 @dataclass(frozen=True)
 class References:
-    """Probabilities of character classes and of common words, by language."""
+    """Probabilities of character classes, as a table (_lang, reference, most) that holds
+    the largest distance too, and of common words by language."""
 
-    classes: dict[str, list[float]]
+    classes: DataFrame | dict
     words: dict[str, list[float]]
 
 
@@ -63,12 +70,13 @@ def measured(docs: DataFrame) -> DataFrame:
         docs,
         text=text_of("text"),
         language=_listed(F.col("lang")),
+        lang=F.col("lang").cast("string"),
     )
     rows = once(
         rows,
         words=words_of(F.col("text")),
         # what is left without letters is short, and holds all classes but two
-        marks=F.regexp_replace("text", r"\p{L}+", ""),
+        marks=F.regexp_replace("text", r"[\p{L}\p{M}]+", ""),
         upper=F.regexp_count("text", F.lit(UPPER)).cast("long"),
     )
     chars, marks = F.char_length("text").cast("long"), F.char_length("marks").cast("long")
@@ -91,7 +99,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.col("letters") + F.col("digits"), "upper", blanks, "stops", "n_symbols", rest
     )
     return rows.select(
-        *kept_columns(rows), "text", "language", "words", "n_words", "word_chars", "n_symbols",
+        *kept_columns(rows), "text", "lang", "language", "words", "n_words", "word_chars", "n_symbols",
         classes.alias("classes"), _common(F.col("words"), F.col("language")).alias("common"),
     )
 
@@ -113,43 +121,79 @@ def _common(words: Column, language: Column) -> Column:
     return F.when(language != ANY, let(F.array(*counts), with_others))
 
 
+def _shares(name: str) -> Column:
+    """(name, entry, step) of a histogram's entries: its share in steps of 1 / STEPS."""
+    total = F.aggregate(name, F.lit(0).cast("long"), lambda a, b: a + b)
+    shares = F.transform(
+        name,
+        lambda c, i: F.struct(
+            F.lit(name).alias("name"),
+            i.alias("entry"),
+            F.floor(c * STEPS / total + 0.5).alias("step"),
+        ),
+    )
+    return F.when(total > 0, shares).otherwise(F.array())
+
+
 def language_references(docs: DataFrame) -> References:
-    """References over all documents with words enough.
+    """References over all documents with words enough, of languages with documents enough.
 
     A share is the median of the documents' shares, in steps of 1 / STEPS, and the medians
     are brought to a sum of one: junk that is less than half of a language doesn't shift
-    it.  The driver gets counts by language, entry and step, a fixed number at most.
+    it.  Nor does it shift the median distance, which sets the limit.  Of common words the
+    driver gets counts by listed language, entry and step, a fixed number at most; what
+    classes there are stays a table, as languages may be any number.
     """
     rows = measured(docs).where(F.col("n_words") >= LEAST_FOR_WORDS)
-
-    def steps(name: str) -> Column:
-        total = F.aggregate(name, F.lit(0).cast("long"), lambda a, b: a + b)
-        shares = F.transform(
-            name,
-            lambda c, i: F.struct(
-                F.lit(name).alias("name"),
-                i.alias("entry"),
-                F.floor(c * STEPS / total + 0.5).alias("step"),
-            ),
-        )
-        return F.when(total > 0, shares).otherwise(F.array())
-
-    both = F.concat(steps("classes"), F.coalesce(steps("common"), F.array()))
-    counted = rows.select("language", F.inline(both))
-    found = counted.groupBy("language", "name", "entry", "step").count().collect()
-
-    def shares(name: str, language: str | None) -> list[float] | None:
+    rows = checkpointed(rows.select("lang", "language", "n_words", "classes", "common"))
+    long = rows.where((F.col("n_words") >= LEAST_FOR_WORDS) & F.col("common").isNotNull())
+    counted = long.select("language", F.inline(_shares("common")))
+    found = counted.groupBy("language", "entry", "step").count().collect()
+    words: dict[str, list[float]] = {}
+    for language in COMMON_WORDS:
         entries: dict[int, Counter[int]] = {}
         for x in found:
-            if x["name"] == name and language in (None, x["language"]):
+            if x["language"] == language:
                 entries.setdefault(x["entry"], Counter())[x["step"]] += x["count"]
         medians = [_median(entries[k]) for k in sorted(entries)]
-        return [m / sum(medians) for m in medians] if sum(medians) else None
-
-    classes = {x: shares("classes", None if x == ANY else x) for x in [*COMMON_WORDS, ANY]}
-    words = {x: shares("common", x) for x in COMMON_WORDS}
-    return References(
-        {k: v for k, v in classes.items() if v}, {k: v for k, v in words.items() if v}
+        if sum(medians) and sum(entries[0].values()) >= LEAST_DOCUMENTS:
+            words[language] = [m / sum(medians) for m in medians]
+    return References(_class_references(rows.where("lang IS NOT NULL")), words)
+
+
+def _class_references(rows: DataFrame) -> DataFrame:
+    """(_lang, reference, most) of languages with documents enough, from their histograms."""
+    shares = rows.select("lang", F.inline(_shares("classes"))).drop("name")
+    medians = _medians(shares, ["lang", "entry"]).where(F.col("n") >= LEAST_DOCUMENTS)
+    listed = medians.groupBy("lang").agg(
+        F.sum("step").alias("total"),
+        F.sort_array(F.collect_list(F.struct("entry", "step"))).alias("entries"),
+    )
+    found = listed.where("total > 0").select(
+        F.col("lang").alias("_lang"),
+        F.transform("entries", lambda x: x["step"] / F.col("total")).alias("reference"),
+    )
+    found = broadcast_if_small(checkpointed(found))
+    apart = rows.join(found, F.col("lang") == F.col("_lang")).select(
+        "_lang", F.floor(distance(F.col("classes"), F.col("reference")) * STEPS + 0.5).alias("step")
+    )
+    most = F.greatest(F.lit(MOST_CLASS_DISTANCE), SPREAD * F.col("step") / STEPS)
+    limits = _medians(apart, ["_lang"]).select("_lang", most.alias("most"))
+    return broadcast_if_small(checkpointed(found.join(limits, "_lang")))
+
+
+def _medians(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The median ``step`` of each group and its number of rows, from counts of steps."""
+    counts = rows.groupBy(*by, "step").count()
+    group = Window.partitionBy(*by)
+    seen = counts.select(
+        *by,
+        "step",
+        F.sum("count").over(group.orderBy("step")).alias("seen"),
+        F.sum("count").over(group).alias("n"),
+    )
+    return seen.where("2 * seen >= n").groupBy(*by).agg(
+        F.min("step").alias("step"), F.first("n").alias("n")
     )
 
 
@@ -223,12 +267,17 @@ def judged(docs: DataFrame, references: References) -> DataFrame:
     """Rows, hidden, beside n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, word_distance and kept.
 
-    A null or empty text has no words, fails and isn't kept.  Null and unlisted languages
-    are compared with the classes of all documents and not by words.  Without references,
-    as for a table without long texts, distances are 0.  Rows are judged singly, repeated
-    rows alike, and no column of theirs is read but text and lang.
+    A null or empty text has no words, fails and isn't kept.  Languages that have no
+    reference, as null and rare ones, are not judged by it: the distance is 0 then.  Rows
+    are judged singly, repeated rows alike, and no column of theirs is read but text and
+    lang.
     """
     rows = measured(docs)
+    if isinstance(references.classes, DataFrame):
+        rows = rows.join(references.classes, F.col("lang") == F.col("_lang"), "left")
+    else:
+        rows = rows.withColumn("reference", F.lit(None).cast("array<double>"))
+        rows = rows.withColumn("most", F.lit(None).cast("double"))
     w = F.col("words")
     windows = F.when(
         F.col("n_words") >= 3,
@@ -241,13 +290,13 @@ def judged(docs: DataFrame, references: References) -> DataFrame:
         once(rows, windows=windows),
         n_repeat_words=repeated_words(F.col("windows")).cast("long"),
         n_dup_lines=let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        class_distance=_compared("classes", references.classes),
-        word_distance=_compared("common", references.words),
+        class_distance=_compared("classes", F.col("reference")),
+        word_distance=_compared("common", _reference(references.words, F.col("language"))),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     )
-    near = (F.col("class_distance") <= MOST_CLASS_DISTANCE) & (
+    near = F.coalesce(F.col("class_distance") <= F.col("most"), F.lit(True)) & (
         (F.col("n_words") < LEAST_FOR_WORDS) | (F.col("word_distance") <= MOST_WORD_DISTANCE)
     )
     return rows.select(
@@ -257,8 +306,7 @@ def judged(docs: DataFrame, references: References) -> DataFrame:
     )
 
 
-def _compared(name: str, table: dict[str, list[float]]) -> Column:
-    reference = _reference(table, F.col("language"))
+def _compared(name: str, reference: Column) -> Column:
     return F.coalesce(
         let(reference, lambda q: F.when(q.isNotNull(), distance(F.col(name), q))), F.lit(0.0)
     )

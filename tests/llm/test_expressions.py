@@ -127,6 +127,32 @@ def test_divergence_rejects_junk_and_keeps_prose(spark):
     assert kept == {i for i, *_ in good}
 
 
+def other_prose(i, letters, words=120):
+    rng = random.Random(i)
+    return " ".join("".join(rng.choices(letters, k=6)) for _ in range(words)) + "."
+
+
+def test_each_language_has_its_own_reference(spark):
+    """Another script stays whole, and a language of few documents is not judged."""
+    hindi = "कखगघचजटडतदनपबमयरलवशसह" + "ािीुूेैोौं्" * 2
+    rows = [(i, prose(i), "en", "s") for i in range(60)]
+    rows += [(100 + i, other_prose(i, hindi), "hi", "s") for i in range(30)]
+    rows += [(200, other_prose(1, hindi).replace(" ", " ## $$ "), "hi", "s")]
+    rows += [(300 + i, other_prose(i, "abdeghilmnorstu"), "de", "s") for i in range(30)]
+    rows += [(400, other_prose(1, "abdeghilmnorstu").replace(" ", " ## $$ "), "de", "s")]
+    rows += [(500 + i, other_prose(i, "0123456789", 120), "fr", "s") for i in range(2)]
+    rows += [(600, other_prose(0, hindi), None, "s"), (601, other_prose(1, hindi), "rare", "s")]
+    kept = {r.doc_id for r in quality.good_documents(documents(spark, rows)).collect()}
+    assert kept == {i for i, *_ in rows} - {200, 400}
+
+
+def test_a_wide_language_has_a_wide_limit(spark):
+    wide = [(i, prose(i, "{}" + "." * (i % 4)), "en", "s") for i in range(60)]
+    found = quality.language_references(documents(spark, wide)).classes.collect()
+    assert [r["_lang"] for r in found] == ["en"] and len(found[0].reference) == 6
+    assert found[0].most > quality.MOST_CLASS_DISTANCE
+
+
 def test_distance(spark):
     df = spark.createDataFrame([([3, 1], [0.75, 0.25]), ([5, 0], [0.0, 1.0]), ([0, 0], [0.5, 0.5])],
                                "c array<long>, q array<double>")
