@@ -144,7 +144,7 @@ def language_references(docs: DataFrame) -> References:
     driver gets counts by listed language, entry and step, a fixed number at most; what
     classes there are stays a table, as languages may be any number.
     """
-    rows = measured(docs).where(F.col("n_words") >= LEAST_FOR_WORDS)
+    rows = measured(docs).where(F.col("n_words") >= LEAST_WORDS)
     rows = checkpointed(rows.select("lang", "language", "n_words", "classes", "common"))
     long = rows.where((F.col("n_words") >= LEAST_FOR_WORDS) & F.col("common").isNotNull())
     counted = long.select("language", F.inline(_shares("common")))

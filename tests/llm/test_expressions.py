@@ -146,6 +146,15 @@ def test_each_language_has_its_own_reference(spark):
     assert kept == {i for i, *_ in rows} - {200, 400}
 
 
+def test_short_documents_make_a_reference(spark):
+    latin = "abdeghilmnorstu"
+    rows = [(i, other_prose(i, latin, 80), "de", "s") for i in range(30)]
+    rows += [(100, other_prose(1, latin, 80).replace(" ", " ## $$ "), "de", "s")]
+    rows += [(200, other_prose(1, latin), "fr", "s"), (201, other_prose(2, "ABC##", 80), "fr", "s")]
+    kept = {r.doc_id for r in quality.good_documents(documents(spark, rows)).collect()}
+    assert kept == {i for i, *_ in rows} - {100}
+
+
 def test_a_wide_language_has_a_wide_limit(spark):
     wide = [(i, prose(i, "{}" + "." * (i % 4)), "en", "s") for i in range(60)]
     found = quality.language_references(documents(spark, wide)).classes.collect()
