@@ -1,11 +1,11 @@
 """Removal of lines that several documents share, with a reversible state.
 
 The state has three parts.  ``holdings`` is the exact reference table: which document
-holds which line.  ``counts`` has for each line the number of its documents and the first
-of them.  ``filters`` has for each shard of the lines a cuckoo filter of those that at
+holds which line.  No number is stored: ``counts`` has the lines that at least two documents
+hold and the first of them, and changes form it anew from the holdings of touched lines.  ``filters`` has for each shard of the lines a cuckoo filter of those that at
 least two documents hold.  A line that a filter doesn't know is surely not shared and
-goes no further; what it does know is verified against the exact counts.  Cuckoo filters
-forget as well as they learn, so documents can be deleted: counts fall, and a line that
+goes no further; what it does know is verified against ``counts``.  Cuckoo filters
+forget as well as they learn, so documents can be deleted: holdings go, and a line that
 only one document still holds leaves its filter.
 
 A line's key is its text without white space at the ends, A-Z in lower case; a short key
