@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from descry.llm import (
     bpe,
     chat,
+    divergence,
     embeddings,
     linededup,
     mixing,
@@ -117,6 +118,56 @@ def op10_lattice_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(table(spark, folder, "embeddings"))
 
 
+@registered
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(_documents(spark, folder, "text", "lang", "source"))
+
+
+SQL["op12_source_divergence"] = r"""
+WITH terms AS (
+  SELECT lang, source, doc, term, count(*)::HUGEINT AS n FROM (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           row_number() OVER () AS doc,
+           unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents) GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(n)::HUGEINT AS n FROM terms GROUP BY ALL HAVING count(*) >= 30
+), langs AS (
+  SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM kept GROUP BY lang
+), cells AS (
+  SELECT lang, source, term, sum(t.n)::HUGEINT AS n
+  FROM terms t SEMI JOIN kept k USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT g.lang, g.source, coalesce(any_value(l.v), 0) AS v,
+         coalesce(sum(c.n), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source
+        FROM documents) g
+  LEFT JOIN langs l USING (lang) LEFT JOIN cells c USING (lang, source) GROUP BY ALL
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v) AS p,
+         1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         coalesce(p.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value,
+       row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 50
+"""
+
 SQL["op3_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, line, pos,
