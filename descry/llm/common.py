@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from descry.session import shared_folder
+
 #: White space between words: blank, tab, newline, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,6 +48,23 @@ def shown(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`").alias(c[2:]) for c in df.columns if c.startswith("__")]
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str, *partitions: str) -> DataFrame:
+    """The rows as a table at ``path``, which later steps read."""
+    df.write.partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder whose tables nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def prefix_sums(
     df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str], value: str, into: str
 ) -> DataFrame:

@@ -14,6 +14,7 @@ from descry.llm import (
     embeddings,
     linededup,
     mixing,
+    phrases,
     pii,
     quality,
     sharding,
@@ -118,11 +119,58 @@ def op10_lattice_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(table(spark, folder, "embeddings"))
 
 
+@registered
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, folder, "text", "lang"))
+
+
 @registered
 def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.source_divergence(_documents(spark, folder, "text", "lang", "source"))
 
 
+SQL["op11_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         regexp_extract_all(unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents
+), counts AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS n FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2),
+                                          lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM pieces, (VALUES (1), (2), (3)) AS sizes(k))
+  GROUP BY ALL
+), candidates AS MATERIALIZED (
+  SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND n >= 10
+), halves AS MATERIALIZED (
+  SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS first_part,
+         array_to_string(w[cut + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, cut, l.n AS l, r.n AS r,
+         (1000000 * c.a * c.a) // (l.n * r.n) AS score
+  FROM halves c JOIN counts l ON l.phrase = c.first_part AND l.lang = c.lang
+  JOIN counts r ON r.phrase = c.rest AND r.lang = c.lang
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), longer AS (
+  SELECT lang, inner_phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')])
+      AS inner_phrase FROM candidates WHERE k = 3)
+  GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM scored s LEFT JOIN longer o ON o.lang = s.lang AND o.inner_phrase = s.phrase
+  WHERE o.longer IS NULL OR 100 * o.longer < 50 * s.a
+), totals AS (
+  SELECT lang, sum(n) AS n FROM counts WHERE k = 1 GROUP BY lang
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 SQL["op12_source_divergence"] = r"""
 WITH terms AS (
   SELECT lang, source, doc, term, count(*)::HUGEINT AS n FROM (
