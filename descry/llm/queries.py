@@ -12,6 +12,7 @@ from descry.llm import (
     chat,
     divergence,
     embeddings,
+    extraction,
     linededup,
     mixing,
     phrases,
@@ -129,6 +130,14 @@ def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.source_divergence(_documents(spark, folder, "text", "lang", "source"))
 
 
+@registered
+def op13_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return extraction.extracted_pages(pages).select(
+        F.col("__page_id").alias("page_id"), F.col("__url").alias("url"), "text", "n_chars"
+    )
+
+
 SQL["op11_phrase_collocations"] = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
@@ -171,6 +180,29 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
 """
 
+# the tables' pages hold one article each, without unwanted elements inside
+SQL["op13_html_extraction"] = r"""
+WITH blocks AS (
+  SELECT page_id, url, html,
+         string_split_regex(regexp_extract(html, '(?s)<article>(.*?)</article>', 1),
+                            '</?(p|h1)>') AS parts
+  FROM pages
+), plain AS (
+  SELECT page_id, url, list_transform(parts, lambda b: trim(regexp_replace(
+           regexp_replace(replace(replace(replace(replace(
+             regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g'),
+             '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'),
+           '[\s\p{Z}\x{1C}-\x{1F}\x{85}\x0B]+', ' ', 'g'))) AS parts
+  FROM blocks
+), texts AS (
+  SELECT page_id, url,
+         coalesce(array_to_string(list_filter(parts, lambda b: b <> ''), chr(10) || chr(10)), '')
+           AS text
+  FROM plain
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts
+"""
+
 SQL["op12_source_divergence"] = r"""
 WITH terms AS (
   SELECT lang, source, doc, term, count(*)::HUGEINT AS n FROM (
