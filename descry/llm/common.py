@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,18 @@ def shown(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`").alias(c[2:]) for c in df.columns if c.startswith("__")]
 
 
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most ``most`` together, or of one larger row."""
+    start, size = 0, 0
+    for row, own in enumerate(sizes.tolist()):
+        if row > start and size + own > most:
+            yield start, row
+            start, size = row, 0
+        size += own
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A path of its own in the folder that all executors share."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

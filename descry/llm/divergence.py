@@ -13,17 +13,21 @@ walked: their part follows from the baselines, by sorted shares and prefix sums.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from descry.functions.text import once
-from descry.llm.common import ascii_lower, text_of
+from descry.llm.common import ascii_lower, slices, text_of
 from descry.session import checkpointed
 
-#: A term: letters A-Z and whatever is no ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts terms: ASCII other than letters.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of a language that a kept term is in.
 LEAST_DOCUMENTS = 30
 #: Added to each count, and what shares are counted in.
@@ -32,6 +36,8 @@ SMOOTHING, UNITS = 5, 1_000_000_000
 MOST_TERMS = 50
 #: Postings in a block, and rows that a task returns.
 BLOCK_POSTINGS, LARGEST_BLOCK, ROWS_RETURNED = 1 << 18, 1 << 22, 1 << 20
+#: Bytes of texts that a task counts at once.
+CHARACTERS_AT_ONCE = 1 << 23
 GROUP = ("lang", "source")
 
 
@@ -48,20 +54,51 @@ def grouped_texts(docs: DataFrame) -> DataFrame:
     )
 
 
+COUNTS = "lang string, source string, term string, n long, n_docs long"
+_LOW = np.int64((1 << 32) - 1)
+
+
+def _counts_of(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Occurrences and documents of each group's terms in some documents."""
+    number: dict[tuple[str, str], int] = {}
+    pairs = zip(rows.column("lang").to_pylist(), rows.column("source").to_pylist())
+    group = np.array([number.setdefault(pair, len(number)) for pair in pairs], np.int64)
+    lists = pc.split_pattern(rows.column("terms"), " ")
+    coded = lists.flatten().dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(rows)), pc.list_value_length(lists).to_numpy())
+    # once a document and term, then once a group and term
+    held, n = np.unique((doc << np.int64(32)) | code, return_counts=True)
+    key = (group[held >> np.int64(32)] << np.int64(32)) | (held & _LOW)
+    key, place = np.unique(key, return_inverse=True)
+    langs, sources = (pa.array(list(x), pa.string()) for x in zip(*number))
+    of = pa.array(key >> np.int64(32))
+    columns = [
+        langs.take(of), sources.take(of), coded.dictionary.take(pa.array(key & _LOW)).cast(pa.string()),
+        pa.array(np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)),
+        pa.array(np.bincount(place, minlength=len(key)).astype(np.int64)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "n_docs"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lengths = pc.binary_length(batch.column("terms")).to_numpy()
+        for start, end in slices(lengths, CHARACTERS_AT_ONCE):
+            yield _counts_of(batch.slice(start, end - start))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, n_docs): occurrences, and documents that hold the term.
 
-    A document's terms are sorted in its row, so the first of equal ones marks the document
-    and one combinable aggregate counts both.
+    Whole documents are counted together as far as they fit, then the counts are added.
     """
-    terms = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0))
-    rows = once(grouped_texts(docs), terms=F.sort_array(terms))
-    first = lambda t, i: (i == 0) | (t != F.get("terms", i - 1))
-    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), first(t, i).alias("first")))
+    terms = F.trim(F.regexp_replace(ascii_lower(F.col("text")), BETWEEN, " "))
+    rows = once(grouped_texts(docs), terms=terms).filter("terms <> ''").select(*GROUP, "terms")
     return (
-        rows.select(*GROUP, F.inline(marked))
+        rows.mapInArrow(_counted, COUNTS)
         .groupBy(*GROUP, "term")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("first").cast("long")).alias("n_docs"))
+        .agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
     )
 
 
@@ -141,6 +178,14 @@ def _blocks(n_postings: Column, n_groups: Column) -> Column:
 PARTIAL = "lang string, lesser int, greater int, value long"
 
 
+def _partial(lang: str, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    columns = {}
+    for place, (name, kind) in enumerate((("lesser", "int32"), ("greater", "int32"), ("value", "int64"))):
+        columns[name] = np.concatenate([x[place] for x in found] or [[]]).astype(kind)
+    langs = np.full(len(columns["value"]), lang, object)
+    return pd.DataFrame({"lang": langs, **columns})
+
+
 def _accumulated(key, postings: pd.DataFrame, bases: pd.DataFrame) -> pd.DataFrame:
     """Sums over one block's terms for each pair of groups, rows of one chunk against all.
 
@@ -148,8 +193,8 @@ def _accumulated(key, postings: pd.DataFrame, bases: pd.DataFrame) -> pd.DataFra
     it has from the peer's baseline; what both groups have is corrected in the row of the
     lesser one, what neither has is added there.
     """
-    if postings.empty:
-        return pd.DataFrame({"lang": [], "lesser": [], "greater": [], "value": []})
+    if postings.empty or bases.empty:
+        return _partial(key[0], [])
     low, high = int(bases["from_row"].iloc[0]), int(bases["to_row"].iloc[0])
     base = np.zeros(int(bases["peer"].max()) + 1, np.int64)
     base[bases["peer"].to_numpy()] = bases["peer_base"].to_numpy()
@@ -189,8 +234,7 @@ def _accumulated(key, postings: pd.DataFrame, bases: pd.DataFrame) -> pd.DataFra
         peers[g] = 0
         number = np.flatnonzero(peers)
         found.append((np.minimum(number, g), np.maximum(number, g), peers[number]))
-    lesser, greater, value = (np.concatenate(x) for x in zip(*found))
-    return pd.DataFrame({"lang": key[0], "lesser": lesser, "greater": greater, "value": value})
+    return _partial(key[0], found)
 
 
 def pair_sums(shares: DataFrame, groups: DataFrame) -> DataFrame:
