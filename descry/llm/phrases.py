@@ -27,12 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from descry.functions.text import once
-from descry.llm.common import ascii_lower, remove_folder, scratch_folder, text_of, written
+from descry.llm.common import ascii_lower, remove_folder, scratch_folder, slices, text_of, written
 
 #: What ends a piece, what parts words.
 PIECE_END, BLANK = r"[.,;:!?\x0A-\x0D]+", r"[\x20\x09]+"
 UNKNOWN = "und"
-SHARDS = 4
+#: With more shards longer phrases start earlier, but running counts are merged more often.
+SHARDS = 2
 LONGEST, LEAST = 3, 10
 #: A phrase inside a longer one is dropped if the longer one makes this share of it, in
 #: hundredths.
@@ -42,8 +43,8 @@ MOST_PHRASES = 2000
 #: Cells of a table of marks; a cell is a byte.
 CELLS = 1 << 23
 NEVER = 255
-#: Words that a task counts at once.
-WORDS_AT_ONCE = 1 << 20
+#: Bytes of texts that a task splits at once, and words that it counts.
+TEXT_AT_ONCE, WORDS_AT_ONCE = 1 << 22, 1 << 19
 COUNTS = "lang string, size int, act int, phrase string, n long"
 DONE = ("lang", "size", "phrase", "n")
 _BREAK = "\n"
@@ -194,16 +195,17 @@ def _step(marks, step: int, shards: int, longest: int):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # a break after each text
-            texts = pc.binary_join_element_wise(batch.column("words"), _BREAK, " ")
             for lang in pc.unique(batch.column("lang")).to_pylist():
-                own = texts.filter(pc.equal(batch.column("lang"), lang))
-                words = pc.split_pattern(own, " ").flatten()
-                for start in range(0, len(words), WORDS_AT_ONCE):
-                    part = words.slice(start, WORDS_AT_ONCE + longest - 1)
-                    yield from _counted(
-                        lang, part, WORDS_AT_ONCE, marks.value, step, shards, longest
-                    )
+                own = batch.column("words").filter(pc.equal(batch.column("lang"), lang))
+                for low, high in slices(pc.binary_length(own).to_numpy(), TEXT_AT_ONCE):
+                    # a break after each text
+                    texts = pc.binary_join_element_wise(own.slice(low, high - low), _BREAK, " ")
+                    words = pc.split_pattern(texts, " ").flatten()
+                    for start in range(0, len(words), WORDS_AT_ONCE):
+                        part = words.slice(start, WORDS_AT_ONCE + longest - 1)
+                        yield from _counted(
+                            lang, part, WORDS_AT_ONCE, marks.value, step, shards, longest
+                        )
 
     return count
 
@@ -245,14 +247,16 @@ def phrase_counts(
             words = over.groupBy("lang").agg(F.sum("n").alias("n")).withColumns(
                 {"size": F.lit(0), "phrase": F.lit("")}
             )
-            done.append(words.select(*DONE))
+            done.append(written(words.select(*DONE), f"{folder}/words"))
         if step >= shards - 1:
-            done.append(over.filter(F.col("n") >= least).select(*DONE))
+            frequent = over.filter(F.col("n") >= least).select(*DONE)
+            done.append(written(frequent, f"{folder}/{step}"))
+        if step:
+            remove_folder(spark, f"{scratch}/counts-{step - 1}")
         running = counts.filter(F.col("act") > step - shards + 1)
         step += 1
-    found = written(reduce(DataFrame.unionByName, done), folder)
     remove_folder(spark, scratch)
-    return found
+    return reduce(DataFrame.unionByName, done)
 
 
 # --- collocations ------------------------------------------------------------------------------
