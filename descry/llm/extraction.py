@@ -67,6 +67,11 @@ NAMES = frozenset(
     "respond share sharing social related recommended recommendations pager pagination toolbar "
     "skiplink".split()
 )
+#: Those of them that no article of the page lies in.
+ASIDE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements comment comments disqus reply replies respond "
+    "related recommended recommendations promo promos sponsored".split()
+)
 ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split()
 )
@@ -85,29 +90,39 @@ ABOUT = re.compile(r"(?:^|[\s])(?:has|no|with|without|is|wp)[-_]\S*", re.I)
 _END = None
 
 
-def _is_named(classes: str) -> bool:
-    """Whether the first or last word of a class or id is a listed name."""
+#: What an element is to the text: part of it, not wanted unless it is around an article, not wanted.
+WANTED, AROUND, UNWANTED = range(3)
+
+
+def _named(classes: str) -> int:
+    """What the first or last word of a class or id tells of an element."""
+    found = WANTED
     for name in ABOUT.sub(" ", classes).split():
-        words = WORD.findall(name)
-        if words and (words[0].lower() in NAMES or words[-1].lower() in NAMES):
-            return True
-    return False
+        words = [w.lower() for w in WORD.findall(name)]
+        for word in (words[:1] + words[-1:]) if words else ():
+            if word in ASIDE_NAMES:
+                return UNWANTED
+            if word in NAMES:
+                found = AROUND
+    return found
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
     """Whether an element is no text of an article whatever it holds."""
-    if tag in NO_TEXT or (tag == "header" and not in_article):
-        return True
+    if tag in NO_TEXT:
+        return AROUND if tag == "form" else UNWANTED
+    if tag == "header" and not in_article:
+        return AROUND
     if not attributes or tag in ("html", "body"):
-        return False
+        return WANTED
     said = {m.group(1).lower(): (m.group(2) or "").strip("\"'") for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in said or said.get("aria-hidden", "").lower() == "true":
-        return True
+        return UNWANTED
     if "display:none" in said.get("style", "").replace(" ", "").lower():
-        return True
+        return UNWANTED
     if said.get("role", "").lower() in ROLES:
-        return True
-    return _is_named(said.get("class", "") + " " + said.get("id", ""))
+        return AROUND
+    return _named(said.get("class", "") + " " + said.get("id", ""))
 
 
 class _Element:
@@ -128,8 +143,7 @@ class _Element:
 
     def removed(self) -> bool:
         """Unwanted, and not merely around an article."""
-        around = self.holds_article and (self.tag == "form" or self.tag not in NO_TEXT)
-        return self.unwanted and not around
+        return self.unwanted == UNWANTED or (self.unwanted == AROUND and not self.holds_article)
 
     def may_be_template(self) -> bool:
         root = self.holds_article or self.tag in ("article", "main", "body", "html")

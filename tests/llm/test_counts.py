@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from descry.llm import divergence, extraction, phrases
 
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -34,13 +35,14 @@ def collocations_by_hand(rows, least, longest, most_inside, most):
     found = []
     for lang, f in counts.items():
         candidates = {p: n for p, n in f.items() if len(p) > 1 and n >= least}
+        longer = Counter()
+        for q, n in candidates.items():
+            for size in range(2, len(q)):
+                for i in range(len(q) - size + 1):
+                    longer[q[i : i + size]] = max(longer[q[i : i + size]], n)
         kept = []
         for p, a in candidates.items():
-            longer = [
-                n for q, n in candidates.items()
-                if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q)))
-            ]
-            if any(100 * n >= most_inside * a for n in longer):
+            if longer[p] and 100 * longer[p] >= most_inside * a:
                 continue
             cuts = [
                 (1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p))
@@ -59,7 +61,8 @@ def speech(rng, n):
     return re.sub(r" (?=\S+ \S+ x)", lambda m: rng.choice([" ", ". ", ",\t", "\n", "  "]), text)
 
 
-@pytest.mark.parametrize("shards, cells, longest", [(1, 1 << 15, 3), (4, 1 << 15, 3), (3, 1 << 15, 4)])
+# with one cell for all, everything is active at once and counted in one cycle all the same
+@pytest.mark.parametrize("shards, cells, longest", [(1, 1 << 15, 3), (3, 1 << 15, 4), (2, 1, 3)])
 def test_collocations(spark, shards, cells, longest):
     rng = random.Random(shards)
     rows = [(speech(rng, rng.randrange(60)), rng.choice(["en", "de", None, "und"])) for _ in range(60)]
@@ -70,20 +73,6 @@ def test_collocations(spark, shards, cells, longest):
     assert sorted(map(tuple, found.collect())) == collocations_by_hand(rows, 6, longest, 50, 25)
 
 
-def test_phrases_that_share_a_cell(spark, monkeypatch):
-    """One cell for all: everything is active at once, and counted in one cycle all the same."""
-    monkeypatch.setattr(phrases, "phrase_hash", lambda lang, phrase: F.lit(0).cast("long"))
-    monkeypatch.setattr(
-        phrases, "_numbered",
-        lambda words, lang, f=phrases._numbered: (lambda c, d, h: (c, d, h * 0))(*f(words, lang)),
-    )
-    rng = random.Random(5)
-    rows = [(speech(rng, 40), "en") for _ in range(40)]
-    df = spark.createDataFrame(rows, "text string, lang string")
-    found = phrases.collocations(df, 5, 3, 50, 30, 3, 1 << 15)
-    assert sorted(map(tuple, found.collect())) == collocations_by_hand(rows, 5, 3, 50, 30)
-
-
 def test_collocations_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(phrases, "WORDS_AT_ONCE", 1000)
     rows = [(text, lang) for _, text, lang, _ in ROWS]
@@ -107,7 +96,7 @@ def test_scores_beyond_64_bits(spark):
 
 
 def divergence_by_hand(rows, least, most):
-    docs = [(lang or "", source or "", re.findall(divergence.TERM, lower(text))) for text, lang, source in rows]
+    docs = [(lang or "", source or "", re.findall(TERM, lower(text))) for text, lang, source in rows]
     found = []
     for lang in {d[0] for d in docs}:
         own = [d for d in docs if d[0] == lang]
@@ -134,6 +123,7 @@ def test_divergence(spark, monkeypatch, block, returned):
     monkeypatch.setattr(divergence, "BLOCK_POSTINGS", block)
     monkeypatch.setattr(divergence, "LARGEST_BLOCK", block)
     monkeypatch.setattr(divergence, "ROWS_RETURNED", returned)
+    monkeypatch.setattr(divergence, "CHARACTERS_AT_ONCE", 50 * returned)
     rng = random.Random(3)
     words = [f"{a}{b}" for a in "abcdé" for b in "xyzß"] + ["UP"]
     rows = []
