@@ -17,7 +17,8 @@ from descry.operators.sanitize import (
 )
 from descry.operators.secrets import ensure_secrets, month_of, with_all_secrets, with_month_secret
 from descry.session import checkpointed
-from descry.sinks.tables import save_state, write_new_only
+from descry.sinks.archive import store_new
+from descry.sinks.tables import save_state
 from descry.operators.documents import split_by_kind
 from descry.sources.files import read_tarballs
 from descry.sources.state import read_state
@@ -157,9 +158,7 @@ def run_bridges(
     good, bad = sanitize_bridge_documents(documents, secrets, now)
     if unbelievable is not None:
         bad = bad.unionByName(unbelievable)
-    written = write_new_only(
-        good.select(*ARCHIVE_COLUMNS), archive, ["storage_path"], ["digest"], ["kind", "month"]
-    )
+    written = store_new(good.select(*ARCHIVE_COLUMNS), archive)
     seen = members.filter(whole).select("tarball")
     save_state(accumulate(processed, seen, ["tarball"]), state, now)
     return written, bad, persist

@@ -31,10 +31,17 @@ from descry.operators.integrity import (
 )
 from descry.operators.keys import keep_first, keep_last
 from descry.operators.secrets import month_of
+from descry.plans.relay_state import (
+    BEGINNING,
+    RelayState,
+    referenced_keys,
+    request_batches,
+    seen_keys,
+)
 from descry.session import checkpointed
-from descry.sinks.tables import schema_of, write_new_only, write_overwrite
-from descry.sources.state import read_table
-from descry.sources.files import read_descriptor_files
+from descry.sinks.archive import store_documents
+from descry.sinks.files import export_edges
+from descry.sources.files import list_descriptor_files, read_descriptor_files
 
 ARCHIVE_COLUMNS = ("kind", "published", "digest", "storage_path", "recent_path", "raw", "month")
 
@@ -138,13 +145,38 @@ def archive_rows(documents: DataFrame, parsed: Parsed, received: datetime) -> Da
     return result
 
 
-def checks(parsed: Parsed, now: datetime) -> tuple[DataFrame, DataFrame]:
-    """Completeness per status, and the weight of missing references."""
+def checks(
+    parsed: Parsed, now: datetime, state: RelayState | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Completeness per status, and the weight of missing references.
+
+    With a state, documents stored by earlier runs are known, and their references still
+    count until they expire.
+    """
+    servers, extra_infos, microdescs = parsed.servers, parsed.extra_infos, parsed.microdescs
+    edges = reference_edges(
+        parsed.statuses,
+        parsed.dir_sources,
+        parsed.entries,
+        servers,
+        extra_infos,
+        microdescs,
+        now,
+    )
+    if state is not None:
+        referenced = parsed.entries.select(F.col("micro_digest").alias("sha256_hex"), "valid_after")
+        timed = microdescs.join(referenced, "sha256_hex").select(
+            F.col("sha256_hex").alias("digest"), "valid_after"
+        )
+        edges = state.remember_edges(edges, now)
+        servers, extra_infos, microdescs = state.remember_documents(
+            servers, extra_infos, timed, now
+        )
     counts = completeness(
         parsed.entries.withColumn("fingerprint", F.coalesce("fingerprint", F.lit(""))),
-        parsed.servers,
-        parsed.extra_infos,
-        parsed.microdescs,
+        servers,
+        extra_infos,
+        microdescs,
     )
     report = completeness_report(
         counts,
@@ -153,49 +185,69 @@ def checks(parsed: Parsed, now: datetime) -> tuple[DataFrame, DataFrame]:
         parsed.statuses,
         now,
     )
-    edges = reference_edges(
-        parsed.statuses,
-        parsed.dir_sources,
-        parsed.entries,
-        parsed.servers,
-        parsed.extra_infos,
-        parsed.microdescs,
-        now,
-    )
     return report, missing_weight(missing_references(edges))
 
 
-def _changed(rows: DataFrame, archive: str) -> DataFrame:
-    """Rows that the archive lacks or has with other bytes."""
-    stored = read_table(rows.sparkSession, archive, schema_of(rows, ["kind", "month"]))
-    stored = stored.filter(~F.col("kind").isin(*NAMED_BY_CONTENT))
-    name = ["kind", "month", "storage_path", "__sha1"]
-    same = stored.withColumn("__sha1", F.sha1("raw")).select(*name)
-    return rows.withColumn("__sha1", F.sha1("raw")).join(same, name, "left_anti").drop("__sha1")
+@dataclass(frozen=True)
+class RelayRun:
+    """What a run stored and found."""
+
+    written: DataFrame
+    report: DataFrame
+    weight: DataFrame
+    work: DataFrame
+    requests: DataFrame
 
 
-NAMED_BY_CONTENT = ("server", "extra-info", "microdescriptor")
+def store_and_parse(
+    spark: SparkSession, folder: str, archive: str, now: datetime, wanted: DataFrame | None = None
+) -> tuple[DataFrame, Parsed]:
+    """Store all relay documents of the files ``wanted`` below a folder, and their fields."""
+    files = read_descriptor_files(spark, folder, wanted=wanted)
+    documents = split_by_kind(files).withColumn("__sha1", F.sha1("raw"))
+    unique = checkpointed(keep_first(documents, ["__sha1"], ["path", "pos"]).drop("__sha1"))
+    parsed = parse_documents(unique)
+    rows = checkpointed(keep_last(archive_rows(unique, parsed, now), ["storage_path"], ["digest"]))
+    return store_documents(rows, archive), parsed
 
 
 def run_relays(
     spark: SparkSession, folder: str, archive: str, now: datetime
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Store all relay documents below a folder and check them.
+    """Store all relay documents below a folder and check them, without any history.
 
     Returns the rows stored, the completeness report and the missing weight.
     """
-    files = read_descriptor_files(spark, folder)
-    documents = split_by_kind(files).withColumn("__sha1", F.sha1("raw"))
-    unique = checkpointed(keep_first(documents, ["__sha1"], ["path", "pos"]).drop("__sha1"))
-    parsed = parse_documents(unique)
-    rows = checkpointed(keep_last(archive_rows(unique, parsed, now), ["storage_path"], ["digest"]))
-    # documents named by their content are never stored twice; of those named by time
-    # the copy that comes last replaces the one in the archive
-    by_content = F.col("kind").isin(*NAMED_BY_CONTENT)
-    keys = (["storage_path"], ["digest"], ["kind", "month"])
-    changed = checkpointed(_changed(rows.filter(~by_content), archive))
-    new = write_new_only(rows.filter(by_content), archive, *keys)
-    write_overwrite(changed, archive, *keys)
-    written = new.unionByName(changed)
-    report, weight = checks(parsed, now)
-    return written, report, weight
+    written, parsed = store_and_parse(spark, folder, archive, now)
+    return written, *checks(parsed, now)
+
+
+def continue_relays(
+    spark: SparkSession,
+    folder: str,
+    archive: str,
+    state: RelayState,
+    now: datetime,
+    edges_json: str | None = None,
+) -> RelayRun:
+    """Store and check what has arrived since the run before.
+
+    Only files not read before, or written again, are opened.  Files are remembered last,
+    so a run that died is repeated as a whole; what it has stored is not stored again.
+    """
+    listed = list_descriptor_files(spark, folder, state.files.read(spark, BEGINNING))
+    new = checkpointed(listed)
+    written, parsed = store_and_parse(spark, folder, archive, now, new)
+    report, weight = checks(parsed, now, state)
+    report, weight = checkpointed(report), checkpointed(weight)
+    work = state.update_work(
+        referenced_keys(parsed.entries, parsed.dir_sources, parsed.servers, now),
+        seen_keys(parsed.statuses, parsed.servers, parsed.extra_infos),
+        now,
+        parsed.microdescs.select(F.col("sha256_hex").alias("digest")),
+    )
+    if edges_json:
+        export_edges(state.edges.read(spark, now), edges_json)
+    state.files.insert(new, BEGINNING)
+    state.compact(spark)
+    return RelayRun(written, report, weight, work, request_batches(work))

@@ -59,6 +59,39 @@ def concat_recent(
     )
 
 
+def export_edges(edges: DataFrame, path: str, compression: str = "none") -> None:
+    """Reference edges as one JSON array, an edge a line, sorted; parts in name order form it.
+
+    ``edges`` has one row an edge, as a stored state has.  The comma before each edge but
+    the first needs only the least one, not a number for each.
+    """
+    least = edges.select(F.min(F.struct("referencing", "referenced")).alias("least")).first().least
+    edge = F.struct(
+        "referencing", "referenced", "weight", F.unix_millis("expires_at").alias("expiresAfterMillis")
+    )
+    first = (F.col("referencing") == F.lit(least and least.referencing)) & (
+        F.col("referenced") == F.lit(least and least.referenced)
+    )
+    line = F.concat(F.when(first, "").otherwise(","), F.to_json(edge))
+    ordered = edges.select(F.lit(1).alias("place"), "referencing", "referenced", line.alias("line"))
+    frame, none = edges.sparkSession.range(1), F.lit(None).cast("string")
+    for place, bracket in ((0, "["), (2, "]")):
+        end = frame.select(
+            F.lit(place).alias("place"), none.alias("referencing"), none.alias("referenced"),
+            F.lit(bracket).alias("line"),
+        )
+        ordered = ordered.unionByName(end)
+    keys = ["place", "referencing", "referenced"]
+    (
+        ordered.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .select("line")
+        .write.mode("overwrite")
+        .option("compression", compression)
+        .text(path)
+    )
+
+
 def export_index_json(
     index: DataFrame,
     path: str,

@@ -63,33 +63,55 @@ def _hadoop_folder(spark: SparkSession, path: str):
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def state_versions(spark: SparkSession, path: str) -> list[str]:
-    """Runs that a state table has versions of, the newest last."""
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where there is no such folder."""
     folder, files = _hadoop_folder(spark, path)
     if not files.exists(folder):
         return []
-    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    return [s.getPath().getName() for s in files.listStatus(folder)]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder, files = _hadoop_folder(spark, path)
+    files.delete(folder, True)
+
+
+def state_versions(spark: SparkSession, path: str) -> list[str]:
+    """Runs that a state table has versions of, the newest last."""
+    names = folder_names(spark, path)
     return sorted(n.removeprefix("run=") for n in names if n.startswith("run="))
 
 
 def drop_old_versions(spark: SparkSession, path: str, keep: int) -> None:
     """Remove all but the newest versions of a state table."""
-    folder, files = _hadoop_folder(spark, path)
     for run in state_versions(spark, path)[:-keep]:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"run={run}"), True)
+        remove_folder(spark, f"{path}/run={run}")
+
+
+EDGE_JSON = "struct<referencing:string,referenced:string,weight:double,expiresAfterMillis:bigint>"
+EDGE_SCHEMA = "referencing string, referenced string, weight double, expires_at timestamp"
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    """Reference edges from a JSON array; a damaged file counts as empty."""
-    schema = "array<struct<referencing:string,referenced:string,weight:double,expiresAfterMillis:bigint>>"
+    """Reference edges from a JSON array; a damaged file counts as empty.
+
+    The array may stand in one line, or as ``export_edges`` writes it: an edge a line, over
+    any number of parts.
+    """
     try:
-        texts = spark.read.text(path, wholetext=True)
+        lines = spark.read.text(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e.getCondition()):
             raise
-        texts = spark.createDataFrame([], "value string")
-    edges = texts.select(F.explode_outer(F.from_json("value", schema)).alias("e"))
-    return edges.filter(F.col("e.referencing").isNotNull()).select(
+        lines = spark.createDataFrame([], "value string")
+    inside = F.regexp_extract("value", r"\A\s*[\[,]?\s*(.*?)\s*[\],]?\s*\z", 1)
+    parsed = lines.select(inside.alias("inside")).filter("inside <> ''").select(
+        F.from_json(F.concat(F.lit("["), "inside", F.lit("]")), f"array<{EDGE_JSON}>").alias("edges")
+    )
+    unread = F.col("edges").isNull() | F.exists("edges", lambda e: e["referencing"].isNull())
+    if parsed.filter(unread).limit(1).count():
+        return spark.createDataFrame([], EDGE_SCHEMA)
+    return parsed.select(F.explode("edges").alias("e")).select(
         "e.referencing",
         F.coalesce("e.referenced", F.lit("")).alias("referenced"),
         "e.weight",
