@@ -22,6 +22,40 @@ def index_file(files: DataFrame) -> DataFrame:
     in a file start with a type annotation; what precedes the first or does not
     parse is ignored.
     """
+    return document_facts(files).select(
+        "path",
+        F.col("length").alias("size"),
+        F.date_trunc("minute", "modificationTime").alias("last_modified"),
+        "types",
+        "first_published",
+        "last_published",
+        file_digest(F.col("content")).alias("sha256"),
+    )
+
+
+def index_parts(parts: DataFrame) -> DataFrame:
+    """Index facts (without last_modified) of files from their parts (path, raw, size, sha256).
+
+    Parts are members of an archive or pieces of a file, each a row; a last row has the size
+    and the digest of the whole, in hex.  A file without such a row was not read to its end
+    and is left out.  Types are few, so the sets are bounded.
+    """
+    facts = document_facts(parts.withColumnRenamed("raw", "content"))
+    return (
+        facts.groupBy("path")
+        .agg(
+            F.max("size").alias("size"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"),
+            F.min("first_published").alias("first_published"),
+            F.max("last_published").alias("last_published"),
+            F.base64(F.unhex(F.max("sha256"))).alias("sha256"),
+        )
+        .filter(F.col("size").isNotNull())
+    )
+
+
+def document_facts(files: DataFrame) -> DataFrame:
+    """Types and first and last time of the documents in ``content``, beside all columns."""
     text = unix_lines(as_text(F.col("content")))
     documents = F.filter(sections(text, "@type "), lambda d: d.startswith("@type "))
 
@@ -49,13 +83,10 @@ def index_file(files: DataFrame) -> DataFrame:
         files.withColumn("__facts", F.transform(documents, facts))
         .withColumn("__facts", readable)
         .select(
-            "path",
-            F.col("length").alias("size"),
-            F.date_trunc("minute", "modificationTime").alias("last_modified"),
+            *files.columns,
             F.array_sort(F.array_distinct(F.transform("__facts", lambda f: f["type"]))).alias("types"),
             F.array_min(F.transform("__facts", lambda f: f["first"])).alias("first_published"),
             F.array_max(F.transform("__facts", lambda f: f["last"])).alias("last_published"),
-            file_digest(F.col("content")).alias("sha256"),
         )
     )
 

@@ -17,16 +17,25 @@ from descry.operators.access_logs import (
     safe_dates,
     sanitize_access_log,
 )
-from descry.operators.keys import skip_processed
+from descry.operators.keys import merge_counts, skip_processed
 from descry.session import checkpointed
 from descry.sinks.tables import save_state
-from descry.sources.files import list_logs, log_slices
+from descry.sources.files import (
+    is_packed,
+    list_logs,
+    log_slices,
+    read_log_rows,
+    seam_lines,
+    sound_files,
+)
 from descry.sources.state import read_state, read_table
 
 STAGING_SCHEMA = (
     "path string, virtual_host string, physical_host string, line string, n bigint, "
     "log_date date, run string"
 )
+#: Columns of the rows that tell of a part's end.
+END = ("part", "ended", "seam")
 ARCHIVE_SCHEMA = "virtual_host string, physical_host string, line string, n bigint, log_date date"
 STATE_SCHEMA = "path string"
 
@@ -53,15 +62,29 @@ def days_to_store(counts: DataFrame, archive: DataFrame, limits: bool) -> DataFr
     return merge_line_counts([counts.join(days, keys, "left_semi")])
 
 
-def stage_logs(files: DataFrame, tables: LogTables, label: str) -> None:
+def stage_logs(files: DataFrame, tables: LogTables, label: str, **options: int) -> None:
     """Count the lines of log files into staging, one slice of files after the other.
 
-    A run is overwritten when it is repeated.  Each sound file also leaves a row without
-    a line, so that what has been read is known; a damaged file leaves nothing.
+    A slice is unpacked and counted in one pass; the rows that tell of a part's end go
+    through the count beside the lines.  Only then it is known which files are sound: the
+    counts of others are dropped, and lines that lie across two parts of a file are added.
+    A run is overwritten when it is repeated.  Each sound file also leaves a row without a
+    line, so that what has been read is known; a damaged file leaves nothing.  ``options``
+    are those of the reader, such as the least size of a part.
     """
-    for number, (sound, lines) in enumerate(log_slices(files)):
-        counts = lines_to_counts(lines, "path")
-        marks = sound.select(
+    spark = files.sparkSession
+    for number, (paths, named) in enumerate(log_slices(files)):
+        # one slice of names at most
+        hosts = F.broadcast(named)
+        rows = read_log_rows(spark, paths, **options).join(hosts, "path")
+        counted = checkpointed(lines_to_counts(rows, "path", *END))
+        ends = counted.filter("ended IS NOT NULL").select("path", *END)
+        plain = spark.createDataFrame([(p,) for p in paths if not is_packed(p)], "path string")
+        sound = F.broadcast(sound_files(ends).unionByName(plain))
+        seams = lines_to_counts(seam_lines(ends).join(hosts, "path"), "path")
+        keys = ["path", *HOSTS, "line", "log_date"]
+        counts = merge_counts([counted.filter("ended IS NULL"), seams], keys)
+        marks = named.join(sound, "path", "left_semi").select(
             "path",
             *HOSTS,
             F.lit(None).cast("string").alias("line"),
@@ -69,7 +92,8 @@ def stage_logs(files: DataFrame, tables: LogTables, label: str) -> None:
             F.lit(None).cast("date").alias("log_date"),
         )
         (
-            counts.unionByName(marks)
+            counts.join(sound, "path", "left_semi")
+            .unionByName(marks)
             .withColumn("run", F.lit(f"{label}-{number:06d}"))
             .hint("rebalance", "log_date")
             .write.mode("overwrite")

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "descry", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; cluster sizing stays outside."""
     builder = (
@@ -18,6 +21,8 @@ def build_session(app: str = "descry", master: str | None = None, **conf: str) -
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # keys that streams remember lie on disk, not in an executor's memory
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     )
     if master:
         builder = builder.master(master)
@@ -53,6 +58,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through a table written to the shared folder.
 
@@ -60,7 +70,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     skip columns and row groups they do not need.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/descry-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "descry")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

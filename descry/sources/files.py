@@ -1,19 +1,14 @@
 """Files of logs and descriptors as DataFrames.
 
-Compressed forms Spark reads itself (gz, bz2 text) stay in its own readers;
-xz, tar and bz2 inside whole-file reads are unpacked by small Arrow functions
-that stream, so a task holds one file and one batch of output.
+Plain files are read by Spark's own readers, compressed logs and archives by the data
+sources of ``packed``, which stream; bz2 files of descriptors are unpacked by an Arrow
+function, one file at a time.
 """
 
 from __future__ import annotations
 
 import bz2
-import gzip
-import io
-import lzma
 import re
-import tarfile
-import zlib
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -26,11 +21,10 @@ from descry.functions.text import as_text, file_path, once, unix_lines
 from descry.operators.access_logs import HOSTS, latest_log_files, parse_log_path
 from descry.operators.documents import classify, documents_in, explode_documents
 from descry.operators.keys import skip_processed
+from descry.sources.packed import LOG_ROWS, PACKED, ArchiveMembers, PackedLines, read_parts
 
-LINES_PER_BATCH = 50_000
 #: Names given to a reader at a time.
 PATHS_AT_ONCE = 10_000
-UNPACKED_AT_ONCE = 1 << 20
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 LOG_GLOB = "*access.log*"
 
@@ -81,69 +75,69 @@ def _binary(spark: SparkSession, folders: str | Sequence[str]) -> DataFrame:
 
 # --- access logs -----------------------------------------------------------------
 
-_OPENERS = {".xz": lzma.open, ".gz": gzip.open, ".bz2": bz2.open}
-_DAMAGE = (lzma.LZMAError, EOFError, OSError, zlib.error, ValueError)
+def is_packed(path: str) -> bool:
+    return path.endswith(PACKED)
 
 
-def _suffix(path: str) -> str:
-    return next((s for s in _OPENERS if path.endswith(s)), "")
+def read_log_rows(spark: SparkSession, paths: Sequence[str], **options: int) -> DataFrame:
+    """Rows (path, part, ended, seam, line) of one slice of logs, each byte unpacked once.
 
-
-def _sound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Paths of compressed files that unpack to their end; nothing is kept of the content."""
-    for batch in batches:
-        sound = []
-        for path, content in zip(batch["path"], batch["content"]):
-            try:
-                with _OPENERS[_suffix(path)](io.BytesIO(content)) as file:
-                    while file.read(UNPACKED_AT_ONCE):
-                        pass
-                sound.append(path)
-            except _DAMAGE:
-                continue
-        yield pd.DataFrame({"path": sound}, dtype=object)
+    Compressed logs are read by the parts they allow: an xz file of several blocks by many
+    tasks.  A part that was read to its end leaves a row with the number of parts of its
+    file in ``ended``; see ``sound_files`` and ``seam_lines``.  Plain logs have no such
+    rows, as they can't show damage; Spark splits them itself.
+    """
+    packed = [p for p in paths if is_packed(p)]
+    plain = [literal(p) for p in paths if not is_packed(p)]
+    rows = spark.createDataFrame([], LOG_ROWS)
+    if plain:
+        lines = spark.read.text(plain).select(
+            file_path().alias("path"), F.col("value").alias("line")
+        )
+        rows = rows.unionByName(lines, allowMissingColumns=True)
+    if packed:
+        rows = rows.unionByName(read_parts(spark, PackedLines, packed, **options))
+    return rows
 
 
-def sound_logs(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Of one slice of paths those that can be read to their end.
+def sound_files(ends: DataFrame) -> DataFrame:
+    """Paths of the compressed files all of whose parts were read to their end.
 
-    A damaged file counts for nothing, not even for its first lines, and is looked at
-    again in the next run.  Only compressed files can show damage.
+    A damaged file counts for nothing, not even for its first lines, and is looked at again
+    in the next run.
     """
-    packed = [p for p in paths if _suffix(p)]
-    if not packed:
-        return list(paths)
-    files = _binary(spark, [literal(p) for p in packed]).select("path", "content")
-    found = files.mapInPandas(_sound, "path string").collect()
-    return [p for p in paths if not _suffix(p)] + [r.path for r in found]
+    parts = ends.groupBy("path").agg(
+        F.count_distinct("part").alias("found"), F.max("ended").alias("parts")
+    )
+    return parts.filter("found = parts").select("path")
 
 
-def _xz_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            lines: list[str] = []
-            with lzma.open(io.BytesIO(content), "rt", encoding="utf-8", errors="replace") as f:
-                for line in f:
-                    lines.append(line.rstrip("\r\n"))
-                    if len(lines) >= LINES_PER_BATCH:
-                        yield pd.DataFrame({"path": path, "line": lines})
-                        lines = []
-            if lines:
-                yield pd.DataFrame({"path": path, "line": lines})
-
-
-def read_access_logs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Lines of one slice of sound logs, with their path."""
-    plain = [literal(p) for p in paths if _suffix(p) != ".xz"]
-    packed = [literal(p) for p in paths if _suffix(p) == ".xz"]
-    parts = [spark.createDataFrame([], "path string, line string")]
-    if plain:
-        lines = spark.read.text(plain)
-        parts.append(lines.select(file_path().alias("path"), F.col("value").alias("line")))
-    if packed:
-        contents = _binary(spark, packed).select("path", "content")
-        parts.append(contents.mapInPandas(_xz_lines, "path string, line string"))
-    return reduce(DataFrame.unionByName, parts)
+def seam_lines(ends: DataFrame) -> DataFrame:
+    """Lines (path, line) that lie across parts of a file; a file has few seams, two ends of a
+    line for each of its parts."""
+    joined = ends.filter("seam IS NOT NULL").groupBy("path").agg(
+        F.array_sort(F.collect_list(F.struct("part", "seam"))).alias("seams")
+    )
+    whole = F.array_join(F.transform("seams", lambda s: s["seam"]), "")
+    lines = joined.select("path", F.explode(F.split(whole, "\n", -1)).alias("line"))
+    return lines.withColumn("line", F.regexp_replace("line", "\r+\\z", "")).filter("line <> ''")
+
+
+def read_access_logs(spark: SparkSession, paths: Sequence[str], **options: int) -> DataFrame:
+    """Lines of the sound logs of one slice, with their path.
+
+    Which logs are sound is known at their end only, so they are read once before; a job
+    that counts lines does it in one pass, see ``plans.access_logs.stage_logs``.
+    """
+    rows = read_log_rows(spark, paths, **options)
+    ends = rows.filter("ended IS NOT NULL").select("path", "part", "ended", "seam")
+    plain = F.lit(True)
+    for suffix in PACKED:
+        plain &= ~F.col("path").endswith(suffix)
+    sound = sound_files(ends)
+    lines = rows.filter("ended IS NULL").select("path", "line")
+    packed = lines.filter(~plain).unionByName(seam_lines(ends)).join(sound, "path", "left_semi")
+    return lines.filter(plain).unionByName(packed)
 
 
 def list_logs(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,16 +145,11 @@ def list_logs(spark: SparkSession, folder: str) -> DataFrame:
     return latest_log_files(parse_log_path(list_files(spark, folder, LOG_GLOB)))
 
 
-def log_slices(files: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
-    """For each slice of log files: the sound files among them with their hosts, and their
-    lines with path and hosts."""
-    spark = files.sparkSession
+def log_slices(files: DataFrame) -> Iterator[tuple[list[str], DataFrame]]:
+    """Slices of the paths of log files, each with a frame of its paths and hosts."""
     for paths in path_slices(files):
-        sound = sound_logs(spark, paths)
-        named = parse_log_path(spark.createDataFrame([(p,) for p in sound], "path string"))
-        # one slice of names at most
-        hosts = F.broadcast(named.select("path", *HOSTS, "file_date"))
-        yield named, read_access_logs(spark, sound).join(hosts, "path")
+        named = files.sparkSession.createDataFrame([(p,) for p in paths], "path string")
+        yield paths, parse_log_path(named).select("path", *HOSTS, "file_date")
 
 
 def read_log_files(
@@ -169,7 +158,10 @@ def read_log_files(
     """Log files present, and the lines (with hosts) of those not in ``processed``."""
     files = list_logs(spark, folder)
     new = files if processed is None else skip_processed(files, processed, ["path"])
-    parts = [lines for _, lines in log_slices(new)]
+    parts = [
+        read_access_logs(spark, paths).join(F.broadcast(hosts), "path")
+        for paths, hosts in log_slices(new)
+    ]
     empty = spark.createDataFrame([], "path string, line string").join(
         files.select("path", *HOSTS, "file_date"), "path"
     )
@@ -191,20 +183,39 @@ def _unpack_bz2(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"path": [path], "raw": [content], "error": [error]})
 
 
+FILE_SCHEMA = "path string, length long, modificationTime timestamp"
+
+
+def list_descriptor_files(
+    spark: SparkSession, folder: str, history: DataFrame | None = None
+) -> DataFrame:
+    """Files of descriptors below a folder (path, length, modificationTime), tarballs left out.
+
+    Files in ``history`` (path, and where it has it modificationTime) are skipped; with a
+    time, a file that was written again is read again.
+    """
+    files = list_files(spark, folder).filter(~F.col("path").endswith(".tar.bz2"))
+    if history is None:
+        return files
+    return skip_processed(
+        files, history, [c for c in ("path", "modificationTime") if c in history.columns]
+    )
+
+
 def read_descriptor_files(
     spark: SparkSession,
     folder: str,
     history: DataFrame | None = None,
     at_most_errors: int = 3,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """Files of descriptors below a folder (path, raw).
+    """Files of descriptors below a folder (path, raw), or those ``wanted`` of them.
 
     Tarballs are left out, bz2 is unpacked, files in ``history`` are skipped, and
     more than ``at_most_errors`` unreadable files stop the run.
     """
-    wanted = list_files(spark, folder).filter(~F.col("path").endswith(".tar.bz2"))
-    if history is not None:
-        wanted = skip_processed(wanted, history, ["path"])
+    if wanted is None:
+        wanted = list_descriptor_files(spark, folder, history)
     files = read_binary(spark, wanted)
     packed = F.col("path").endswith(".bz2")
     unpacked = (
@@ -240,25 +251,6 @@ def read_cached_descriptors(spark: SparkSession, folders: Sequence[str]) -> Data
 
 # --- bridge tarballs ------------------------------------------------------------------
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members of tarballs, and after each tarball read to its end a row without one."""
-    for batch in batches:
-        others = [c for c in batch.columns if c != "content"]
-        for row in batch.to_dict("records"):
-            out = {c: [row[c]] for c in others}
-            try:
-                if row["content"]:
-                    with tarfile.open(fileobj=io.BytesIO(row["content"]), mode="r|*") as tar:
-                        for member in tar:
-                            data = tar.extractfile(member).read() if member.isfile() else b""
-                            if data:
-                                yield pd.DataFrame({**out, "member": [member.name], "raw": [data]})
-            except (tarfile.TarError, EOFError, OSError, zlib.error):
-                # the members before the damage stay; the tarball is not finished
-                continue
-            yield pd.DataFrame({**out, "member": [None], "raw": [None]})
-
-
 def parse_tarball_name(df: DataFrame, path: str = "path") -> DataFrame:
     """Authority and time from a tarball's name; other files are dropped."""
     name = F.element_at(F.split(path, "/"), -1)
@@ -291,11 +283,14 @@ def read_tarballs(
     wanted = parse_tarball_name(list_files(spark, folder, "*.tar*"))
     if processed is not None:
         wanted = skip_processed(wanted, processed, ["tarball"])
-    files = parse_tarball_name(read_binary(spark, wanted))
+    parts = [
+        read_parts(spark, ArchiveMembers, paths).select("path", "member", "raw")
+        for paths in path_slices(wanted)
+    ]
+    none = spark.createDataFrame([], "path string, member string, raw binary")
+    members = parse_tarball_name(reduce(DataFrame.unionByName, parts, none))
     columns = ["tarball", "authority", "default_published"]
-    schema = ", ".join(f"{c} string" for c in columns) + ", member string, raw binary"
-    members = files.select(*columns, "content").mapInPandas(_members, schema)
-    return members.repartition("tarball", "member")
+    return members.select(*columns, "member", "raw").repartition("tarball", "member")
 
 
 def read_bridge_tarballs(

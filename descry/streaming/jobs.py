@@ -7,18 +7,18 @@ first write wins.
 
 from __future__ import annotations
 
-from datetime import datetime
+import json
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from descry.formats import KEEP_ARCHIVE
 from descry.functions.digests import without_annotations
 from descry.functions.text import as_bytes, as_text
 from descry.operators.access_logs import parse_log_path
-from descry.operators.keys import keep_first
 from descry.plans.access_logs import LogTables, run_access_logs, stage_logs
-from descry.sinks.tables import write_new_only
 from descry.operators.documents import split_by_kind
 from descry.sources.files import BINARY_SCHEMA, LOG_GLOB
 
@@ -78,16 +78,24 @@ def stream_descriptors(
     table: str,
     checkpoint: str,
     max_files_per_batch: int = 1_000,
+    remember: timedelta = KEEP_ARCHIVE,
 ) -> StreamingQuery:
-    """Split new descriptor files and append documents not stored before."""
+    """Split new descriptor files and append documents that have not come before.
+
+    Which digests have come is the query's own state, kept by key and forgotten ``remember``
+    after it arrived; a micro-batch looks up the keys it holds and reads nothing that is
+    stored.  A batch that is repeated overwrites its own folder, so it adds nothing.  The
+    table belongs to its checkpoint: another checkpoint knows nothing of it.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        documents = split_by_kind(batch.select("path", F.col("content").alias("raw")))
-        body = as_bytes(without_annotations(as_text(F.col("raw"))))
-        identified = documents.withColumn("digest", F.sha2(body, 256))
-        unique = keep_first(identified, ["digest"], ["path", "pos"])
-        write_new_only(
-            unique.select("digest", "path", "raw", "kind"), table, ["digest"], ["path"], ["kind"]
+        (
+            batch.select("digest", "path", "raw", "kind")
+            .withColumn("batch", F.lit(f"{_query_name(spark, checkpoint)}-{batch_id:012d}"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("kind", "batch")
+            .parquet(table)
         )
 
     files = (
@@ -97,9 +105,22 @@ def stream_descriptors(
         .option("maxFilesPerTrigger", max_files_per_batch)
         .load(folder)
     )
+    documents = split_by_kind(files.select("path", F.col("content").alias("raw")))
+    body = as_bytes(without_annotations(as_text(F.col("raw"))))
+    # the time of the batch: no document is late, whatever the time it tells
+    first = (
+        documents.withColumns({"digest": F.sha2(body, 256), "arrived": F.current_timestamp()})
+        .withWatermark("arrived", f"{int(remember.total_seconds())} seconds")
+        .dropDuplicatesWithinWatermark(["kind", "digest"])
+    )
     return (
-        files.writeStream.foreachBatch(on_batch)
+        first.writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _query_name(spark: SparkSession, checkpoint: str) -> str:
+    """The query's id, which its checkpoint keeps; batches of two checkpoints never meet."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
