@@ -11,5 +11,6 @@ from descry.queries import (  # noqa: F401
     logs,
     sanitizing,
     scrubbing,
+    state,
 )
 from descry.queries.registry import QUERIES, SQL  # noqa: F401
