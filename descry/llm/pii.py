@@ -58,7 +58,9 @@ def _digits(text: str) -> str:
 def _holds(kind: str, found: str) -> bool:
     """What a match must fulfil beyond its pattern."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        # a part may have more zeros in front than int() takes
+        parts = [p.lstrip("0") for p in found.split(".")]
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
     digits = _digits(found)
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)

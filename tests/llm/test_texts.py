@@ -459,3 +459,10 @@ def test_queries_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and set(SQL) <= set(QUERIES)
     assert CLASHES
+
+
+def test_long_runs_of_digits_are_no_trouble():
+    """More zeros than a number may have digits; the part is still 1."""
+    text = "0" * 5000 + "1.2.3.4 and 1.2.3." + "9" * 6000 + " " + "0" * 5000
+    ip = pii.KINDS.index("ip")
+    assert [s for s in pii.base_spans(text) if s[1] == ip] == [(0, ip, 5007)]
