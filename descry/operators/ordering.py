@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from descry.session import checkpointed
-
 POSITIONS_PER_BLOCK = 65_536
+#: Ranges that rows are cut into at most, and rows looked at for each bound.
+MOST_BLOCKS, SAMPLED_PER_BLOCK = 256, 32
 _BLOCK, _CARRY, _ROW = "__block", "__carry", "__row"
 
 
@@ -68,20 +68,46 @@ def cut_at_first_bad(
     )
 
 
+def range_bounds(df: DataFrame, order: Sequence[str], blocks: int) -> list[Row]:
+    """Keys that cut the rows into about ``blocks`` equal ranges, least first.
+
+    They are quantiles of the rows with the least hashes, a fixed number of them, so they
+    are the same each time and the driver gets no more than that.
+    """
+    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLED_PER_BLOCK * blocks)
+    rows = sample.distinct().orderBy(*order).collect()
+    cuts = sorted({len(rows) * k // blocks for k in range(1, blocks)})
+    return [rows[k] for k in cuts if 0 < k < len(rows)]
+
+
+def _block_of(df: DataFrame, order: Sequence[str], bounds: Sequence[Row]) -> Column:
+    """How many bounds are at most a row's key, by halving."""
+    key = F.struct(*order)
+    types = [df.schema[c].dataType for c in order]
+
+    def bound(row: Row) -> Column:
+        return F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(row, types, order)])
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < bound(bounds[middle]), between(low, middle)).otherwise(
+            between(middle + 1, high)
+        )
+
+    return between(0, len(bounds))
+
+
 def _in_range_blocks(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Globally sorted rows, with the range partition and row number in it.
+    """Rows with the range they fall in.
 
-    Checkpointed: the partition a row falls in must not change afterwards.
+    The bounds are literals, so a row falls in the same range each time it is computed and
+    nothing has to be written.
     """
-    numbered = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("__id", F.monotonically_increasing_id())
-        .withColumn(_BLOCK, F.shiftright("__id", 33))
-        .withColumn(_ROW, F.col("__id").bitwiseAND((1 << 33) - 1))
-        .drop("__id")
-    )
-    return checkpointed(numbered)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(df, order, max(1, min(partitions, MOST_BLOCKS)))
+    return df.withColumn(_BLOCK, _block_of(df, order, bounds))
 
 
 def _offsets(
@@ -105,30 +131,32 @@ def row_index(
     """
     keys = list(keys)
     blocks = _in_range_blocks(df, [*keys, *order])
-    starts = blocks.groupBy(*keys, _BLOCK).agg(F.min(_ROW).alias("__start"))
-    offsets = _offsets(blocks, keys, F.count(F.lit(1)), "__offset").join(starts, [*keys, _BLOCK])
+    offsets = _offsets(blocks, keys, F.count(F.lit(1)), "__offset")
+    within = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
     return (
-        blocks.join(offsets, [*keys, _BLOCK])
-        .withColumn(alias, F.col(_ROW) - F.col("__start") + F.col("__offset"))
-        .drop(_BLOCK, _ROW, "__start", "__offset")
+        blocks.withColumn(_ROW, F.row_number().over(within) - 1)
+        .join(offsets, [*keys, _BLOCK])
+        .withColumn(alias, F.col(_ROW) + F.col("__offset"))
+        .drop(_BLOCK, _ROW, "__offset")
     )
 
 
 def running_total(
     df: DataFrame, order: Sequence[str], amount: Column, alias: str
 ) -> DataFrame:
-    """Running sum of ``amount`` over all rows in ``order``."""
+    """Running sum of ``amount`` over all rows in ``order``, a total order."""
     blocks = _in_range_blocks(df.withColumn(alias, amount), order)
     offsets = _offsets(blocks, [], F.sum(alias), "__offset")
     within = (
         Window.partitionBy(_BLOCK)
-        .orderBy(_ROW)
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        blocks.join(offsets, _BLOCK)
-        .withColumn(alias, F.sum(alias).over(within) + F.col("__offset"))
-        .drop(_BLOCK, _ROW, "__offset")
+        blocks.withColumn(alias, F.sum(alias).over(within))
+        .join(offsets, _BLOCK)
+        .withColumn(alias, F.col(alias) + F.col("__offset"))
+        .drop(_BLOCK, "__offset")
     )
 
 
