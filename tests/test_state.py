@@ -145,7 +145,7 @@ def test_servers_come_after_the_status_that_names_them(spark, tmp_path, relays):
     # the key that landed has the time it was seen at, the statuses of past hours are gone
     seen = third.work.filter("type = 'server' AND parsed_at IS NOT NULL").collect()
     assert [(r.digest, r.parsed_at) for r in seen] == [(digest_of(of_a).hex(), NOW + HOUR)]
-    assert {r.time for r in third.work.filter("type = 'consensus'").collect()} == {NOW + 2 * HOUR}
+    assert {r.time for r in third.work.filter("type = 'consensus'").collect()} == {NOW + 3 * HOUR}
 
 
 def test_a_status_finds_servers_of_runs_before(spark, tmp_path, relays):
