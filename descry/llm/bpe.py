@@ -36,6 +36,10 @@ PATTERN = (
 #: Parts of the rank map; a pair is compared with those of its part.
 PARTS = 1 << 13
 NO_RANK = 2**31 - 1
+#: Bytes of a word that are merged at once; a longer word is merged stretch by stretch.
+STRETCH = 32
+#: Pieces before a stretch that are merged anew with it; where that is too few, the more.
+REMERGED = (8, 64)
 #: Most words that go to all tasks, and the longest of them in bytes.
 MOST_WORDS, LONGEST_WORD = 1 << 19, 64
 #: Bytes that Spark hands to a Python worker at once: a session setting, lowered to this.
@@ -85,13 +89,21 @@ def _encoded(table: Column, word: Column) -> Column:
     def encoded(raw: Column) -> Column:
         return let(
             _rank_of(table, raw),
-            lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(_merged(table, raw)),
+            lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(
+                F.transform(pieces(raw), lambda x: _rank_of(table, x))
+            ),
         )
 
+    def pieces(raw: Column) -> Column:
+        short = F.char_length(raw) <= STRETCH
+        return F.when(short, _merged(table, raw)).otherwise(_merged_long(table, raw))
+
     return let(F.decode(F.encode(word, "UTF-8"), CHARSET), encoded)
 
 
 def _merged(table: Column, raw: Column) -> Column:
+    """Pieces of some bytes after all merges, one merge a step."""
+
     def rank(a: Column, b: Column) -> Column:
         """Rank of two pieces as one; none where one is missing."""
         return F.coalesce(_rank_of(table, F.concat(a, b)), F.lit(NO_RANK))
@@ -133,8 +145,59 @@ def _merged(table: Column, raw: Column) -> Column:
         )
 
     pieces = F.filter(F.split(raw, ""), lambda x: x != "")
-    merged = F.when(F.char_length(raw) > 1, let(pieces, fold)).otherwise(pieces)
-    return F.transform(merged, lambda x: _rank_of(table, x))
+    return F.when(F.char_length(raw) > 1, let(pieces, fold)).otherwise(pieces)
+
+
+def _merged_long(table: Column, raw: Column) -> Column:
+    """Merged pieces of a long word, in time that grows with its length.
+
+    Pieces are a word's encoding if each two neighbours are that of their bytes: the first
+    merge over a border between them would be the first over it in the two alone.  So when
+    a stretch is added, only some of the last pieces are merged anew with it, and the rest
+    stand if the first of those comes out as it was.  If it doesn't, more are, at last all.
+    """
+    state = "struct<done: array<array<string>>, tail: array<string>>"
+    attempt = "struct<head: array<string>, pieces: array<string>, all: boolean>"
+
+    def extended(s: Column, stretch: Column) -> Column:
+        def tried(found: Column, most: Column) -> Column:
+            every = most == NO_RANK
+            known = F.when(every, F.concat(F.flatten(s["done"]), s["tail"])).otherwise(s["tail"])
+            return F.when(found.isNotNull(), found).otherwise(
+                let(known, lambda k: anew(k, F.greatest(F.size(k) - most, F.lit(0)), every))
+            )
+
+        def anew(known: Column, kept: Column, every: Column) -> Column:
+            again = F.slice(known, kept + 1, F.size(known))
+            pieces = _merged(table, F.concat(F.array_join(again, ""), stretch))
+            stands = lambda x: every | (F.size(again) == 0) | (F.get(x, F.lit(0)) == F.get(again, F.lit(0)))
+            head = F.slice(known, F.lit(1), kept)
+            return let(
+                pieces, lambda x: F.when(stands(x), F.struct(head, x, every).cast(attempt))
+            )
+
+        def moved(found: Column) -> Column:
+            """The state after a stretch: what no merge will look at goes to ``done``."""
+            done = F.when(found["all"], F.array().cast("array<array<string>>")).otherwise(s["done"])
+
+            def split(tail: Column) -> Column:
+                cut = F.size(tail) - max(REMERGED)
+                many = F.size(tail) > 2 * max(REMERGED)
+                past = F.concat(done, F.array(F.slice(tail, F.lit(1), cut)))
+                return F.when(
+                    many, F.struct(past, F.slice(tail, cut + 1, F.size(tail))).cast(state)
+                ).otherwise(F.struct(done, tail).cast(state))
+
+            return let(F.concat(found["head"], found["pieces"]), split)
+
+        tries = F.array(*[F.lit(k) for k in (*REMERGED, NO_RANK)])
+        return let(F.aggregate(tries, F.lit(None).cast(attempt), tried), moved)
+
+    empty = F.struct(F.array().alias("done"), F.array().alias("tail")).cast(state)
+    stretches = F.regexp_extract_all(raw, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+    return F.aggregate(
+        stretches, empty, extended, lambda s: F.concat(F.flatten(s["done"]), s["tail"])
+    )
 
 
 def words_of_text(text: Column) -> Column:
