@@ -1,17 +1,19 @@
 """Personal data in texts: fixed patterns, and a character tagger that finds more.
 
 The tagger is a bidirectional LSTM with CRF transitions, trained on spans that the
-patterns label in a bounded sample of documents, some of them respelled.  It reads a text
-in windows that overlap by half; each window is decoded, and the spans of all windows of
-a text are reconciled at once.  No kind of personal data is without a digit or an ``@``,
-so windows without either are not read: a span there would not count.
+patterns label in a bounded sample of documents, also respelled as no pattern knows them.
+It reads a text in windows that overlap by half.  The scores of windows that overlap are
+added up, and each stretch of them is decoded once, so a span may have any length and lie
+anywhere.  No kind of personal data is without a digit or an ``@``, so only windows near
+one are read: a span elsewhere would not count.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +30,20 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-#: Documents whose spans train the tagger at most, and windows of them at most.
-SAMPLE_DOCUMENTS, SAMPLE_WINDOWS = 8192, 4096
-STEPS = 300
+#: Documents whose spans train the tagger at most, and windows of them at most, half of
+#: them with a span where there are as many.
+SAMPLE_DOCUMENTS, SAMPLE_WINDOWS = 8192, 8192
+STEPS = 600
 WINDOW, STRIDE = 64, 32
+#: Ends of the hosts that addresses in the training set are given.
+ENDS = ("com", "org", "net", "de", "fr", "es", "info")
 TRIGGER = re.compile(r"[0-9@]")
 #: Least margin, averaged over a span, for the tagger's word to be taken.
-MARGIN = 1.5
-#: Windows decoded together: a bound on memory only.
+MARGIN = 0.0
+#: Windows decoded together, where one stretch has no more: a bound on memory only.
 WINDOWS_AT_ONCE = 2048
+#: Windows read on both sides of those that hold a trigger.
+BESIDE = 2
 
 #: Tags: 0 outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
@@ -80,14 +87,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of windows that hold a trigger."""
-    return sorted(
-        {
-            start * STRIDE
-            for m in TRIGGER.finditer(text)
-            for start in range(max(0, (m.start() - WINDOW) // STRIDE + 1), m.start() // STRIDE + 1)
-        }
-    )
+    """Starts of the windows that hold a trigger, and of BESIDE more on both sides."""
+    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
+    starts, known = [], 0
+    for m in TRIGGER.finditer(text):
+        low = (m.start() - WINDOW) // STRIDE + 1 - BESIDE
+        high = min(m.start() // STRIDE + BESIDE, last)
+        starts += range(max(low, known), high + 1)
+        known = max(known, high + 1)
+    return [s * STRIDE for s in starts]
 
 
 def _tags(size: int, start: int, spans: list[Span]) -> np.ndarray:
@@ -101,21 +109,40 @@ def _tags(size: int, start: int, spans: list[Span]) -> np.ndarray:
     return tags
 
 
+def _invented(words: list[str], rng: random.Random) -> tuple[str, str]:
+    """Name and host of an address, of words of the text."""
+    name = rng.choice("._-").join(rng.choices(words, k=rng.choice((1, 1, 2, 4, 10, 20))))
+    return name, ".".join([*rng.choices(words, k=rng.choice((1, 1, 2, 4))), rng.choice(ENDS)])
+
+
+def _respellings(kind: str, said: str, words: list[str], rng: random.Random) -> list[str]:
+    """A span's text in spellings that the patterns don't know; half of the addresses get
+    another name and host."""
+    if kind == "email":
+        name, _, host = said.partition("@")
+        if words and rng.random() < 0.5:
+            name, host = _invented(words, rng)
+        return [f"{name} @ {host}", f"{name}@[{host}]", f"{name}@ {host}", f"{name} @{host}"]
+    if kind == "ip":
+        return [p.join(said.split(".")) for p in ("-", " . ", ". ", " ")]
+    digits = _digits(said)
+    if kind == "card":
+        fours = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return [p.join(fours) for p in (".", "/", " - ", "  ")]
+    local = digits[-10:]
+    parts = local[:-7], local[-7:-4], local[-4:]
+    return ["({}) {}-{}".format(*parts), *(p.join(parts) for p in "-. /")]
+
+
 def respelled(text: str, spans: list[Span], turn: int) -> tuple[str, list[Span]]:
-    """The text with its spans written otherwise than the patterns know, where that makes sense."""
+    """The text with its spans written otherwise; ``turn`` chooses among the spellings."""
     pieces, moved, at, size = [], [], 0, 0
-    for low, kind, high in spans:
+    rng, words = random.Random(turn), re.findall("[A-Za-z]{2,12}", text)
+    for number, (low, kind, high) in enumerate(spans):
         if low < at:
             continue
-        said = text[low:high]
-        if KINDS[kind] == "phone":
-            said = said.lstrip("+") if turn % 2 else re.sub(r"^\+[0-9]+ *", "", said)
-        elif KINDS[kind] == "card":
-            said = "./"[turn % 2].join(
-                _digits(said)[i : i + 4] for i in range(0, len(_digits(said)), 4)
-            )
-        elif KINDS[kind] == "email":
-            said = said.replace("@", " @ " if turn % 2 else "@[") + ("" if turn % 2 else "]")
+        ways = _respellings(KINDS[kind], text[low:high], words, rng)
+        said = ways[(turn + number) % len(ways)]
         pieces += [text[at:low], said]
         size += low - at
         moved.append((size, kind, size + len(said)))
@@ -124,26 +151,31 @@ def respelled(text: str, spans: list[Span], turn: int) -> tuple[str, list[Span]]
     return "".join([*pieces, text[at:]]), moved
 
 
-def labelled_windows(docs: DataFrame) -> list[tuple[bytes, bytes]]:
-    """Characters' numbers and tags of the sample's windows.
+def sample_of(docs: DataFrame, most: int = SAMPLE_DOCUMENTS) -> DataFrame:
+    """Texts of the different rows that come first by a hash of doc_id and text."""
+    rows = docs.select(F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("_row"))
+    first = rows.select("_row").distinct().orderBy("_row").limit(most)
+    return rows.join(F.broadcast(first), "_row", "left_semi").dropDuplicates(["_row"]).select("text")
+
+
+def labelled_windows(docs: DataFrame, most: int = SAMPLE_WINDOWS) -> list[tuple[bytes, bytes]]:
+    """Characters' numbers and tags of the windows of a bounded sample of documents.
 
-    The sample are the documents first in the order of a hash of doc_id, then windows in
-    the order of a hash of their text; both numbers are bounds of the training set only.
+    A text with spans comes as it is and respelled twice, in ways chosen by its checksum.
+    Of the windows, with and without a span, those first by a hash are taken, so that the
+    training set depends on the rows alone.
     """
-    docs = docs.select("doc_id", "text")
-    ids = docs.select(F.col("doc_id").alias("_id")).distinct()
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCUMENTS)
-    sample = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chars, tags = [], []
-            for row, item in enumerate(batch.column(0)):
+            for item in batch.column(0):
                 text = item.as_py() or ""
                 spans = base_spans(text)
                 versions = [(text, spans)]
                 if spans:
-                    versions.append(respelled(text, spans, row))
+                    turn = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+                    versions += [respelled(text, spans, turn + k) for k in (0, 1)]
                 for said, labels in versions:
                     for start in window_starts(said):
                         part = said[start : start + WINDOW]
@@ -155,11 +187,11 @@ def labelled_windows(docs: DataFrame) -> list[tuple[bytes, bytes]]:
                 [pa.array(chars, pa.binary()), pa.array(tags, pa.binary())], ["chars", "tags"]
             )
 
-    found = sample.select(F.col("text").cast("string")).mapInArrow(
-        windows, "chars binary, tags binary"
-    )
-    rows = found.orderBy(F.xxhash64("chars"), "chars", "tags").limit(SAMPLE_WINDOWS).collect()
-    return [(bytes(r["chars"]), bytes(r["tags"])) for r in rows]
+    found = sample_of(docs).mapInArrow(windows, "chars binary, tags binary")
+    order = [F.xxhash64("chars"), "chars", "tags"]
+    holds = F.col("tags") != F.lit(bytes(WINDOW))
+    halves = [found.where(h).orderBy(*order).limit(most // 2) for h in (holds, ~holds)]
+    return [(bytes(r["chars"]), bytes(r["tags"])) for half in halves for r in half.collect()]
 
 
 def trained_tagger(docs: DataFrame, steps: int = STEPS) -> Tagger | None:
@@ -188,30 +220,45 @@ def plausible(kind: int, said: str) -> bool:
     if KINDS[kind] == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
     if KINDS[kind] == "ip":
-        return len(parts := re.split(r"[ .-]+", said)) == 4 and all(p and int(p) < 256 for p in parts)
+        return len(parts := re.split(r"[ .-]+", said)) == 4 and all(
+            p and len(p) <= 3 and int(p) < 256 for p in parts
+        )
     return 10 <= len(digits) <= 15 and bool(re.search("[ ().-]", said))
 
 
-def _window_spans(tags: np.ndarray, margin: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-    """(start, kind, end, mean margin) of the runs of a window."""
-    at = 0
-    while at < len(tags):
-        tag = tags[at]
-        if tag == 0:
-            at += 1
+def _runs(tags: np.ndarray, margin: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """(start, kind, end, mean margin) of the runs of a stretch."""
+    at, inside = 0, np.flatnonzero(tags)
+    for first in inside.tolist():
+        if first < at:
             continue
-        kind, end = (tag - 1) // 2, at + 1
-        while end < len(tags) and tags[end] == 2 + 2 * kind:
-            end += 1
-        yield at, int(kind), end, float(margin[at:end].mean())
-        at = end
+        kind, at = (int(tags[first]) - 1) // 2, first + 1
+        while at < len(tags) and tags[at] == 2 + 2 * kind:
+            at += 1
+        yield first, kind, at, float(margin[first:at].mean())
+
+
+def whole_words(text: str, low: int, high: int) -> tuple[int, int]:
+    """A span widened to whole words, without what can't stand at its ends."""
+    while 0 < low < high and text[low - 1].isalnum() and text[low].isalnum():
+        low -= 1
+    while low < high < len(text) and text[high - 1].isalnum() and text[high].isalnum():
+        high += 1
+    while low < high and not (text[low].isalnum() or text[low] in "([+"):
+        low += 1
+    while low < high and not (text[high - 1].isalnum() or text[high - 1] == "]"):
+        high -= 1
+    return low, high
 
 
-@dataclass
-class _Open:
-    text: str
-    base: list[Span]
-    found: list[tuple[float, int, int, int]]
+#: How much a window's scores count at each of its characters: most in its middle.
+WEIGHTS = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)) / (WINDOW // 2)
+
+
+def stretches(starts: list[int]) -> list[tuple[int, int]]:
+    """Runs of windows, each of which overlaps the next, as slices of their starts."""
+    cuts = [0, *(i for i in range(1, len(starts)) if starts[i] - starts[i - 1] > STRIDE), len(starts)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
 def reconciled(text: str, base: list[Span], found: list[tuple[float, int, int, int]]) -> list[Span]:
@@ -233,30 +280,83 @@ def reconciled(text: str, base: list[Span], found: list[tuple[float, int, int, i
     return sorted(added)
 
 
+def _summed(model: Tagger, text: str, starts: list[int]) -> np.ndarray:
+    """Scores of tags, (characters, tags), of a stretch: means over its windows."""
+    size = min(starts[-1] + WINDOW, len(text)) - starts[0]
+    total, weight = np.zeros((size, model.tags)), np.zeros((size, 1))
+    for first in range(0, len(starts), WINDOWS_AT_ONCE):
+        some = starts[first : first + WINDOWS_AT_ONCE]
+        scores = model.emissions(_chars([(text, s) for s in some]))
+        _add(total, weight, scores, [s - starts[0] for s in some])
+    return total / weight
+
+
+def _chars(windows: list[tuple[str, int]]) -> np.ndarray:
+    chars = np.full((len(windows), WINDOW), PAD)
+    for k, (text, start) in enumerate(windows):
+        part = numbers(text[start : start + WINDOW])
+        chars[k, : len(part)] = part
+    return chars
+
+
+def _add(total: np.ndarray, weight: np.ndarray, scores: np.ndarray, places: list[int]) -> None:
+    for k, at in enumerate(places):
+        size = min(WINDOW, len(total) - at)
+        total[at : at + size] += scores[:size, k] * WEIGHTS[:size, None]
+        weight[at : at + size, 0] += WEIGHTS[:size]
+
+
+def _found(model: Tagger, texts: list[str]) -> Iterator[tuple[int, Span, float]]:
+    """(text's number, span, margin) of what the tagger finds, stretch by stretch."""
+    waiting: list[tuple[int, list[int]]] = []
+
+    def decoded() -> Iterator[tuple[int, Span, float]]:
+        scores = model.emissions(_chars([(texts[r], s) for r, starts in waiting for s in starts]))
+        done, sums = 0, []
+        for row, starts in waiting:
+            size = min(starts[-1] + WINDOW, len(texts[row])) - starts[0]
+            total, weight = np.zeros((size, model.tags)), np.zeros((size, 1))
+            places = [s - starts[0] for s in starts]
+            _add(total, weight, scores[:, done : done + len(starts)], places)
+            done += len(starts)
+            sums.append((row, starts[0], total / weight))
+        yield from spans_of(sums)
+
+    def spans_of(sums: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, Span, float]]:
+        for low in range(0, len(sums := sorted(sums, key=lambda s: len(s[2]))), 256):
+            some = sums[low : low + 256]
+            tags, margins = model.best([s for _, _, s in some])
+            for (row, start, s), t, m in zip(some, tags, margins, strict=True):
+                for a, kind, b, margin in _runs(t[: len(s)], m[: len(s)]):
+                    yield row, (start + a, kind, start + b), margin
+
+    held = 0
+    for row, text in enumerate(texts):
+        starts = window_starts(text)
+        for a, b in stretches(starts):
+            if b - a > WINDOWS_AT_ONCE:
+                yield from spans_of([(row, starts[a], _summed(model, text, starts[a:b]))])
+                continue
+            if held + b - a > WINDOWS_AT_ONCE:
+                yield from decoded()
+                waiting.clear()
+                held = 0
+            waiting.append((row, starts[a:b]))
+            held += b - a
+    if waiting:
+        yield from decoded()
+
+
 def all_spans(texts: list[str], model: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and added spans of each text."""
-    opened, windows = [], []
-    for row, text in enumerate(texts):
-        opened.append(_Open(text, base_spans(text), []))
-        if model is not None:
-            windows += [(row, start) for start in window_starts(text)]
-    for first in range(0, len(windows), WINDOWS_AT_ONCE):
-        some = windows[first : first + WINDOWS_AT_ONCE]
-        chars = np.full((len(some), WINDOW), PAD)
-        for k, (row, start) in enumerate(some):
-            part = numbers(opened[row].text[start : start + WINDOW])
-            chars[k, : len(part)] = part
-        tags, margins = model.decode(chars)
-        for k in np.flatnonzero(tags.any(axis=1)):
-            row, start = some[k]
-            text = opened[row].text
-            size = min(WINDOW, len(text) - start)
-            for low, kind, high, margin in _window_spans(tags[k, :size], margins[k, :size]):
-                # a span cut by a window's edge is whole in the next window
-                cut = (low == 0 and start > 0) or (high == size and start + size < len(text))
-                if not cut:
-                    opened[row].found.append((margin, start + low, kind, start + high))
-    return [(o.base, reconciled(o.text, o.base, o.found)) for o in opened]
+    base = [base_spans(t) for t in texts]
+    found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+    if model is not None:
+        for row, (low, kind, high), margin in _found(model, texts):
+            low, high = whole_words(texts[row], low, high)
+            if low < high:
+                found[row].append((margin, low, kind, high))
+    return [(b, reconciled(t, b, f)) for t, b, f in zip(texts, base, found, strict=True)]
 
 
 SPANS = "array<struct<kind: string, start: long, stop: long, base: boolean>>"

@@ -81,12 +81,22 @@ class Tagger:
 
     def decode(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tags (rows, length), and the margin of each over the next best tag there."""
-        scores = self.emissions(chars)
+        return self._best(self.emissions(chars))
+
+    def best(self, scores: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for scores (length, tags) of rows of any lengths."""
+        padded = np.full((max(map(len, scores)), len(scores), self.tags), -1e9)
+        padded[:, :, 0] = 0
+        for row, own in enumerate(scores):
+            padded[: len(own), row] = own
+        return self._best(padded)
+
+    def _best(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         length, rows, _ = scores.shape
         best, back = self.w["start"] + scores[0], []
         for t in range(1, length):
             through = best[:, :, None] + self.w["move"]
-            back.append(through.argmax(axis=1))
+            back.append(through.argmax(axis=1).astype(np.int8))
             best = through.max(axis=1) + scores[t]
         path = np.empty((rows, length), np.int64)
         path[:, -1] = best.argmax(axis=1)

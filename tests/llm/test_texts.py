@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -341,18 +342,48 @@ def test_slopes_agree_with_differences():
         assert slopes[name][place] == pytest.approx((above - below) / 2e-5, abs=1e-5)
 
 
-def test_tagger_on_held_out_windows_and_new_spellings(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = pii.labelled_windows(docs)
-    chars, tags = (
-        np.stack([np.frombuffer(r[k], np.uint8) for r in rows]).astype(np.int64) for k in (0, 1)
-    )
-    cut = len(rows) * 4 // 5
-    model = tagger.train(chars[:cut], tags[:cut], pii.TAGS, 200)
-    path, _ = model.decode(chars[cut:])
-    inside = tags[cut:] > 0
-    assert (path[inside] == tags[cut:][inside]).mean() > 0.8
-    assert (path[~inside] > 0).mean() < 0.1
+@pytest.fixture(scope="module")
+def trained(spark):
+    """A tagger trained on three quarters of the sf0.1 documents, and the texts of the rest."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held_out = F.pmod(F.xxhash64("text"), F.lit(4)) == 0
+    texts = [r.text for r in docs.where(held_out).select("text").distinct().collect() if r.text]
+    return pii.trained_tagger(docs.where(~held_out)), texts
+
+
+def test_tagger_finds_new_spellings_in_held_out_texts(trained):
+    model, texts = trained
+    hits, missed, wrong = Counter(), Counter(), 0
+    for turn in range(4):
+        for text in (t for t in texts if pii.base_spans(t)):
+            said, labels = pii.respelled(text, pii.base_spans(text), turn)
+            ((base, added),) = pii.all_spans([said], model)
+            for span in set(labels) - set(base):
+                (hits if span in added else missed)[span[1]] += 1
+            wrong += len(set(added) - set(labels))
+    for kind in range(len(pii.KINDS)):
+        assert hits[kind] >= 0.8 * (hits[kind] + missed[kind]) > 0
+    assert wrong <= 0.02 * hits.total()
+    # texts as they are hold what the patterns find and nothing else
+    assert not [s for _, added in pii.all_spans(texts, model) for s in added]
+
+
+@pytest.mark.parametrize("size", [20, 60, 90])
+def test_added_spans_of_any_length_at_any_offset(trained, size):
+    name = ("long.name-of.someone" * 9)[: size - 14]
+    span = f"{name} @ example.com"
+    for offset in range(32):
+        text = "word " * 10 + "x" * offset + f" {span} and words"
+        at = text.index(span)
+        assert pii.all_spans([text], trained[0])[0][1] == [(at, 0, at + size)]
+
+
+def test_tagger_on_plain_prose_and_odd_rows(spark, trained):
+    model, _ = trained
+    for said in ("555-123-4567", "bob @ example.com", "4111.1111.1111.1111", "bob@[example.com]"):
+        text = f"Please note {said} for later"
+        ((_, added),) = pii.all_spans([text], model)
+        assert [text[a:b] for a, _, b in added] == [said]
     spans = pii.personal_data(documents(spark), model).collect()
     assert len(spans) == len(ROWS) and not [r for r in spans if r.spans]
     digest = pii.span_digest(pii.personal_data(documents(spark), None)).collect()
@@ -361,6 +392,50 @@ def test_tagger_on_held_out_windows_and_new_spellings(spark):
     assert pii.trained_tagger(documents(spark, [])) is None
 
 
+def test_training_set_depends_on_the_rows_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = [pii.labelled_windows(docs.repartition(n)) for n in (1, 7)]
+    assert found[0] == found[1]
+    # rows that share an id are not taken for one, and no more than asked for are
+    one_id = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert pii.sample_of(one_id, most=50).count() == 50
+
+
+def test_stretches_are_decoded_once(monkeypatch, trained):
+    texts = ["no trigger", "", "call 555-123-4567 or " * 40 + "bob @ example.com", "x" * 500 + "7"]
+    found = pii.all_spans(texts, trained[0])
+    monkeypatch.setattr(pii, "WINDOWS_AT_ONCE", 3)
+    assert pii.all_spans(texts, trained[0]) == found
+    assert len(found[2][1]) == 41
+
+
+def test_counts_and_digests_of_a_table(spark, trained):
+    """Against a plain loop over the patterns, with the digests written out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected = []
+    for row in docs.collect():
+        spans = []
+        for kind in pii.KINDS:
+            for m in pii.PATTERNS[kind].finditer(row.text or ""):
+                digits = re.sub("[^0-9]", "", m.group())
+                holds = {
+                    "email": lambda: True,
+                    "ip": lambda: max(map(int, m.group().split("."))) <= 255,
+                    "card": lambda: 12 <= len(digits) <= 19
+                    and sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(digits[::-1])) % 10 == 0,
+                    "phone": lambda: 9 <= len(digits) <= 15,
+                }[kind]
+                if holds():
+                    spans.append((m.start(), pii.KINDS.index(kind), kind, m.end()))
+        said = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))
+        counts = Counter(k for _, _, k, _ in spans)
+        expected.append(
+            (row.doc_id, *(counts[k] for k in pii.KINDS), hashlib.sha256(said.encode()).hexdigest())
+        )
+    found = pii.span_digest(pii.personal_data(docs, trained[0])).drop("spans")
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
 def test_added_spans_spare_base_spans():
     text = "call 555-123-4567 or +1 (555) 123-4567"
     base = pii.base_spans(text)
@@ -392,6 +467,20 @@ def encoding(pieces):
     )
 
 
+def test_long_words_are_encoded_in_stretches(spark, monkeypatch, pieces, encoding):
+    rng = random.Random(0)
+    words = ["".join(rng.choices("etaoinshrdé", k=n)) for n in (32, 33, 64, 65, 200, 3000)]
+    words += ["a" * 1001, "abc" * 400, "漢字仮名" * 100, "=" * 2000, "0123456789" * 90]
+    words += [("".join(rng.choices("ab漢é", k=rng.randrange(1, 9))) * 200)[:400] for _ in range(30)]
+    expected = [encoding._encode_single_piece(w) for w in words]
+    docs = spark.createDataFrame(list(enumerate(words)), "i long, word string").repartition(4)
+    # a single piece is often too few, so more are merged anew, and all at last
+    for remerged in (bpe.REMERGED, (1, 2)):
+        monkeypatch.setattr(bpe, "REMERGED", remerged)
+        ids = docs.select("i", bpe.Ranks(pieces).encode(F.col("word")).alias("ids")).collect()
+        assert [r.ids for r in sorted(ids)] == expected
+
+
 @pytest.mark.parametrize("block", [1 << 23, 50])
 def test_ids_are_those_of_the_library(spark, monkeypatch, pieces, encoding, block):
     monkeypatch.setattr(bpe, "BLOCK_BYTES", block)
