@@ -71,8 +71,11 @@ PLACES = (
 )
 #: What the rules by pattern say of URLs that no place rule fits; else they are allowed.
 PATTERNS = (
-    pattern_rule("block", r"/(?:login|signin|logout)(?:/|$)", ()),
-    pattern_rule("block", r"^(?:[^/]*\.)?ads?\.[^/]*/", ()),
+    pattern_rule("block", r"/login(?:/|$)", ("path:login",)),
+    pattern_rule("block", r"/signin(?:/|$)", ("path:signin",)),
+    pattern_rule("block", r"/logout(?:/|$)", ("path:logout",)),
+    pattern_rule("block", r"^(?:[^/]*\.)?ad\.[^/]*/", ("host:ad",)),
+    pattern_rule("block", r"^(?:[^/]*\.)?ads\.[^/]*/", ("host:ads",)),
     pattern_rule("block", r"/wp-admin/", ("path:wp", "path:admin")),
     pattern_rule("block", r"/cgi-bin/", ("path:cgi", "path:bin")),
 )
