@@ -37,7 +37,7 @@ PATTERN = (
 PARTS = 1 << 13
 NO_RANK = 2**31 - 1
 #: Bytes of a word that are merged at once; a longer word is merged stretch by stretch.
-STRETCH = 32
+STRETCH = 64
 #: Pieces before a stretch that are merged anew with it; where that is too few, the more.
 REMERGED = (8, 64)
 #: Most words that go to all tasks, and the longest of them in bytes.
