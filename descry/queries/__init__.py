@@ -8,6 +8,7 @@ from descry.queries import (  # noqa: F401
     documents,
     integrity,
     keys,
+    listings,
     logs,
     sanitizing,
     scrubbing,

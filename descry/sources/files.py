@@ -43,9 +43,9 @@ def literal(path: str) -> str:
 
 
 def path_slices(files: DataFrame, at_once: int = PATHS_AT_ONCE) -> Iterator[list[str]]:
-    """All different paths of ``files``, so many at a time; the driver holds one slice."""
+    """All different paths of ``files`` in order, so many at a time; the driver holds one slice."""
     slice_: list[str] = []
-    for row in files.select("path").distinct().toLocalIterator():
+    for row in files.select("path").distinct().orderBy("path").toLocalIterator():
         slice_.append(row.path)
         if len(slice_) == at_once:
             yield slice_
@@ -60,10 +60,15 @@ def read_binary(spark: SparkSession, wanted: DataFrame) -> DataFrame:
     However many there are, no other file is opened: names are given in slices whose
     frames are put one after the other.
     """
-    parts = [_binary(spark, [literal(p) for p in paths]) for paths in path_slices(wanted)]
+    parts = [binary_of(spark, paths) for paths in path_slices(wanted)]
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], BINARY_SCHEMA)
 
 
+def binary_of(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Contents of the files of one slice."""
+    return _binary(spark, [literal(p) for p in paths])
+
+
 def _binary(spark: SparkSession, folders: str | Sequence[str]) -> DataFrame:
     return (
         spark.read.format("binaryFile")

@@ -30,6 +30,7 @@ from descry.functions.text import (
     sections,
     unix_lines,
 )
+from descry.functions.times import at
 
 
 def _texts(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
@@ -100,6 +101,32 @@ def read_pool_assignments(spark: SparkSession, folder: str) -> DataFrame:
 # --- exit lists -----------------------------------------------------------------------
 
 
+def annotated_exit_list(text: Column, downloaded: Column) -> Column:
+    """A list with its annotation and the time it was downloaded, if it carries none."""
+    time = F.date_format(downloaded, "yyyy-MM-dd HH:mm:ss")
+    head = F.concat(F.lit(f"@type {ANNOTATIONS['exit-list']}\nDownloaded "), time, F.lit("\n"))
+    return F.when(text.startswith("@"), text).otherwise(F.concat(head, text))
+
+
+def is_exit_list(text: Column) -> Column:
+    """Whether a text is exactly one list and nothing else."""
+    return (
+        (F.size(F.regexp_extract_all(text, F.lit(r"(?dm)^(Downloaded )"), F.lit(1))) == 1)
+        & text.startswith(f"@type {ANNOTATIONS['exit-list']}\nDownloaded ")
+        & ~F.exists(lines_of(text), lambda x: ~x.rlike(EXIT_LIST_LINES))
+    )
+
+
+def download_time(text: Column) -> Column:
+    return parse_time(F.regexp_extract(text, r"(?dm)^Downloaded (.*)$", 1))
+
+
+def scan_times(text: Column) -> Column:
+    """Times of all scans in a list."""
+    found = F.regexp_extract_all(text, F.lit(r"(?dm)^ExitAddress \S+ (.*)$"), F.lit(1))
+    return F.transform(found, lambda x: parse_time(x))
+
+
 def parse_exit_lists(texts: DataFrame, downloaded: datetime | None = None) -> DataFrame:
     """Exit addresses (path, downloaded, node, published, last_status, address, scan_ts).
 
@@ -107,29 +134,16 @@ def parse_exit_lists(texts: DataFrame, downloaded: datetime | None = None) -> Da
     texts that are exactly one list and nothing else count.
     """
     if downloaded is not None:
-        prefix = (
-            f"@type {ANNOTATIONS['exit-list']}\nDownloaded {downloaded:%Y-%m-%d %H:%M:%S}\n"
-        )
-        texts = texts.withColumn(
-            "text",
-            F.when(F.col("text").startswith("@"), F.col("text")).otherwise(
-                F.concat(F.lit(prefix), "text")
-            ),
-        )
+        texts = texts.withColumn("text", annotated_exit_list(F.col("text"), at(downloaded)))
     text = F.col("text")
-    one_list = (
-        (F.size(F.regexp_extract_all("text", F.lit(r"(?dm)^(Downloaded )"), F.lit(1))) == 1)
-        & text.startswith(f"@type {ANNOTATIONS['exit-list']}\nDownloaded ")
-        & ~F.exists(lines_of(text), lambda x: ~x.rlike(EXIT_LIST_LINES))
-    )
 
     def value(keyword: str) -> Column:
         return parse_time(F.regexp_extract("__node", rf"(?dm)^{keyword} (.*)$", 1))
 
     address = F.regexp_extract_all("__node", F.lit(r"(?dm)^ExitAddress (.*)$"), F.lit(1))
     return (
-        texts.filter(one_list)
-        .withColumn("downloaded", parse_time(F.regexp_extract(text, r"(?dm)^Downloaded (.*)$", 1)))
+        texts.filter(is_exit_list(text))
+        .withColumn("downloaded", download_time(text))
         .select(
             "path", "downloaded", F.explode_outer(sections(text, "ExitNode ")).alias("__node")
         )
@@ -163,25 +177,45 @@ def read_exit_lists(
 
 # --- transfer timings -------------------------------------------------------------------
 
+def tpf_name(path: Column) -> tuple[Column, Column, Column]:
+    """Source, size and date that a file of timings is named by."""
+    name = F.element_at(F.split(path, "/"), -1)
+    date = F.try_to_timestamp(F.regexp_extract(name, TPF_NAME, 3), F.lit("yyyy-MM-dd"))
+    return (
+        F.regexp_extract(name, TPF_NAME, 1),
+        F.regexp_extract(name, TPF_NAME, 2).try_cast("int"),
+        F.to_date(date),
+    )
+
+
+def timing_pairs(line: Column) -> Column:
+    return F.str_to_map(line, F.lit(" "), F.lit("="))
+
+
+def timing_fields(kv: Column) -> tuple[Column, Column, Column]:
+    """Source, size and start of a row of timings."""
+    return (
+        F.try_element_at(kv, F.lit("SOURCE")),
+        F.try_element_at(kv, F.lit("FILESIZE")).try_cast("int"),
+        F.timestamp_seconds(F.try_element_at(kv, F.lit("START")).try_cast("double")),
+    )
+
+
 def parse_tpf(rows: DataFrame) -> DataFrame:
     """Pairs of timing rows (path, line), with what the file name says."""
-    name = F.element_at(F.split("path", "/"), -1)
-    kv = F.str_to_map("line", F.lit(" "), F.lit("="))
+    file_source, file_size, file_date = tpf_name(F.col("path"))
+    source, filesize, start = timing_fields(F.col("kv"))
     return (
         rows.filter(F.col("line").contains("=") & ~F.col("line").startswith("@"))
-        .withColumn("kv", kv)
+        .withColumn("kv", timing_pairs(F.col("line")))
         .select(
             "path",
-            F.regexp_extract(name, TPF_NAME, 1).alias("file_source"),
-            F.regexp_extract(name, TPF_NAME, 2).try_cast("int").alias("file_size"),
-            F.to_date(
-                F.try_to_timestamp(F.regexp_extract(name, TPF_NAME, 3), F.lit("yyyy-MM-dd"))
-            ).alias("file_date"),
-            F.try_element_at("kv", F.lit("SOURCE")).alias("source"),
-            F.try_element_at("kv", F.lit("FILESIZE")).try_cast("int").alias("filesize"),
-            F.timestamp_seconds(F.try_element_at("kv", F.lit("START")).try_cast("double")).alias(
-                "start"
-            ),
+            file_source.alias("file_source"),
+            file_size.alias("file_size"),
+            file_date.alias("file_date"),
+            source.alias("source"),
+            filesize.alias("filesize"),
+            start.alias("start"),
             "kv",
         )
     )
@@ -200,26 +234,49 @@ def read_tpf(spark: SparkSession, folder: str) -> DataFrame:
 def _unpack_xz(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
+            text = error = None
             try:
                 with lzma.open(io.BytesIO(content)) as f:
                     text = f.read().decode("utf-8", errors="replace")
-            except (lzma.LZMAError, EOFError, OSError):
-                continue
-            yield pd.DataFrame({"path": [path], "text": [text]})
+            except (lzma.LZMAError, EOFError, OSError) as e:
+                error = str(e) or type(e).__name__
+            row = {"path": [path], "content": [content], "text": [text], "error": [error]}
+            yield pd.DataFrame(row)
+
+
+ANALYSIS_TEXTS = "path string, content binary, text string, error string"
+
+
+def unpack_analyses(files: DataFrame) -> DataFrame:
+    """Files of analyses (path, content) with their text, or the error met while unpacking."""
+    return files.select("path", "content").mapInPandas(_unpack_xz, ANALYSIS_TEXTS)
+
+
+def analysis_name(path: Column) -> tuple[Column, Column]:
+    """Source and date of a file of analyses; a name without source lies in its source's folder."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    source = F.regexp_extract(name, ANALYSIS_NAME, 2)
+    date = F.try_to_timestamp(F.regexp_extract(name, ANALYSIS_NAME, 1), F.lit("yyyy-MM-dd"))
+    folder = F.when(name.rlike(ANALYSIS_NAME), F.try_element_at(parts, F.lit(-2)))
+    return F.when(source != "", source).otherwise(F.coalesce(folder, F.lit(""))), F.to_date(date)
+
+
+def analysis_transfers(text: Column) -> Column:
+    """Transfers as raw JSON by source and id; null where a text is no analysis."""
+    kind = "data map<string,struct<tgen:struct<transfers:map<string,string>>>>"
+    return F.from_json(text, kind)["data"]
 
 
 def parse_transfer_analysis(texts: DataFrame) -> DataFrame:
     """Transfers of analysis documents, one row each, with the raw JSON."""
-    name = F.element_at(F.split("path", "/"), -1)
-    data = F.from_json("text", "data map<string,struct<tgen:struct<transfers:map<string,string>>>>")
+    file_source, file_date = analysis_name(F.col("path"))
     return (
         texts.select(
             "path",
-            F.regexp_extract(name, ANALYSIS_NAME, 2).alias("file_source"),
-            F.to_date(
-                F.try_to_timestamp(F.regexp_extract(name, ANALYSIS_NAME, 1), F.lit("yyyy-MM-dd"))
-            ).alias("file_date"),
-            F.explode(data["data"]).alias("source", "__s"),
+            file_source.alias("file_source"),
+            file_date.alias("file_date"),
+            F.explode(analysis_transfers(F.col("text"))).alias("source", "__s"),
         )
         .select(
             "path",
@@ -242,16 +299,16 @@ def read_transfer_analysis(spark: SparkSession, folder: str) -> DataFrame:
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.analysis.json.xz")
         .load(folder)
-        .select("path", "content")
     )
-    return parse_transfer_analysis(packed.mapInPandas(_unpack_xz, "path string, text string"))
+    return parse_transfer_analysis(unpack_analyses(packed))
 
 
 # --- statistics with an end line -----------------------------------------------------------
 
 
-def _parse_stats(texts: DataFrame, end_line: str, end: str) -> tuple[DataFrame, DataFrame]:
-    """Documents starting at ``end_line``; everything else goes to the rejects."""
+def split_statistics(texts: DataFrame, end_line: str, end: str) -> DataFrame:
+    """Parts (path, pos, raw, ``end``, good) of texts: documents starting at ``end_line``, and
+    what else there is, which is not good."""
     # an annotation belongs to the document after it
     clean = F.regexp_replace("text", r"(?dm)^@type [^\n]*\n(?=" + end_line + " )", "")
     parts = texts.select(
@@ -261,8 +318,14 @@ def _parse_stats(texts: DataFrame, end_line: str, end: str) -> tuple[DataFrame,
         end, parse_time(F.regexp_extract("raw", rf"(?d)\A{end_line} (\S+ \S+)", 1))
     )
     good = F.col(end).isNotNull() & ~F.col("raw").rlike(r"(?dm)^@type ")
-    rejected = timed.filter(~good).withColumn("raw", F.regexp_replace("raw", r"\A\n", ""))
-    return timed.filter(good), rejected.drop(end)
+    return timed.withColumn("good", good)
+
+
+def _parse_stats(texts: DataFrame, end_line: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """Documents starting at ``end_line``; everything else goes to the rejects."""
+    parts = split_statistics(texts, end_line, end)
+    rejected = parts.filter("NOT good").withColumn("raw", F.regexp_replace("raw", r"\A\n", ""))
+    return parts.filter("good").drop("good"), rejected.drop(end, "good")
 
 
 def parse_proxy_stats(texts: DataFrame) -> DataFrame:
