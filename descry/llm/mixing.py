@@ -149,17 +149,42 @@ def mixed(
     )
 
 
+def in_training_order(rows: DataFrame, *ties: str) -> DataFrame:
+    """Rows sorted by ranges of their positions; ties go by ``ties``, no position is last.
+
+    The ties also cut the ranges, so rows without a position do not meet in one task.
+    """
+    order = [F.col("position").asc_nulls_last(), *[F.asc_nulls_last(c) for c in ties]]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def training_mix(sized: DataFrame) -> DataFrame:
+    """The mix as a table: one row for each pass that takes words of a document, in order.
+
+    Beside the columns of ``mixed``, without positions, a row has the pass's position and
+    its ``words``.  A document that the mix leaves out has one row with no position and no
+    words, after all others.  ``sized`` needs a column ``row`` that tells rows apart which
+    agree in all else; those with one position, doc_id and size stand in its order.  The
+    table is written sorted by ranges and read back.
+    """
+    rows = mixed(sized)
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in ("positions", "taken")]
+    passes = rows.select(*others, "taken", F.posexplode_outer("positions").alias("pass", "position"))
+    before = F.coalesce("pass", F.lit(0)) * F.col("size")
+    words = F.least("size", F.greatest(F.lit(0), F.col("taken") - before))
+    passes = passes.select(*others, "pass", "position", words.alias("words"))
+    return checkpointed(in_training_order(passes, "doc_id", "size", "row"))
+
+
 def training_order(docs: DataFrame) -> DataFrame:
     """Documents, all columns, repeated as the mix takes them and sorted by position.
 
     Documents stay whole here: a last pass that takes less than half of a document leaves
-    it out, one that takes at least half has all of it.  Documents without words go.
+    it out, one that takes at least half has all of it.  Documents without words go.  Of
+    one position, the least doc_id and then size comes first.
     """
     rows = mixed(sized_documents(docs))
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
     due = F.slice("positions", 1, copies)
-    ordered = rows.withColumn("position", F.explode(due))
-    ordered = ordered.select(
-        *[c for c in ordered.columns if c.startswith("__")], "position"
-    ).repartitionByRange("position")
-    return ordered.sortWithinPartitions("position").select(*shown(ordered))
+    ordered = in_training_order(rows.withColumn("position", F.explode(due)), "doc_id", "size")
+    return ordered.select(*shown(ordered))

@@ -108,10 +108,13 @@ def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 @registered
 def op9_curriculum_mixing(spark: SparkSession, folder: str) -> DataFrame:
     sized = mixing.sized_documents(_documents(spark, folder, "text", "source"))
-    rows = mixing.mixed(mixing.checkpointed(sized.select("doc_id", "source", "size")))
-    return rows.select(
-        "doc_id", "size", "source_size", "target", "taken",
-        F.try_element_at("positions", F.lit(1)).alias("first_position"),
+    # written, so that a row keeps its number
+    sized = sized.select("doc_id", "source", "size", F.monotonically_increasing_id().alias("row"))
+    mix = mixing.training_mix(mixing.checkpointed(sized))
+    return (
+        mix.groupBy("row", "doc_id", "size", "source_size", "target")
+        .agg(F.sum("words").alias("taken"), F.min("position").alias("first_position"))
+        .drop("row")
     )
 
 

@@ -12,6 +12,7 @@ from odd import CLASHES, ROWS, documents
 from pyspark.sql import functions as F
 
 from descry.llm import mixing, quality, sharding, urlfilter
+from descry.llm.queries import QUERIES
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -272,6 +273,31 @@ def test_training_order(spark):
     assert mixing.training_order(documents(spark, [])).count() == 0
 
 
+def test_the_mix_is_sorted_by_ranges(spark, tmp_path, monkeypatch):
+    """op9 adds up the sorted mix; ties of position go by doc_id, left-out rows come last."""
+    rows = [(i // 2, "w " * (1 + i % 5), "en", "abc"[i % 3]) for i in range(120)]
+    rows += [(500, "big " * 900, "en", "a"), (501, None, None, None), (None, "x y", "en", None)]
+    rows += [(i, "tie", "en", f"s{i}") for i in range(600, 630)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    made, sort = [], mixing.in_training_order
+    monkeypatch.setattr(
+        mixing, "in_training_order", lambda *a: made.append(sort(*a)) or made[-1]
+    )
+    found = QUERIES["op9_curriculum_mixing"](spark, str(tmp_path)).collect()
+    (mix,) = made
+    last = float("inf")
+    key = lambda r: (last if r.position is None else r.position, r.doc_id is None, r.doc_id or 0, r.size, r.row)
+    listed = mix.collect()
+    assert [key(r) for r in listed] == sorted(map(key, listed))
+    assert listed[-1].position is None and listed[-1].words == 0
+    assert all(0 < r.words <= r.size for r in listed if r.position is not None)
+    docs = documents(spark, rows)
+    plain = mixing.mixed(mixing.sized_documents(docs)).collect()
+    first = lambda r: r.positions[0] if r.positions else None
+    expected = Counter((r.doc_id, r.size, r.source_size, r.target, r.taken, first(r)) for r in plain)
+    assert Counter(map(tuple, found)) == expected
+
+
 def test_positions_invert_the_schedule(spark):
     for knots in mixing.SCHEDULES:
         grid = [i / 1000 for i in range(1001)]
