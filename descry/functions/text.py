@@ -51,7 +51,7 @@ def as_bytes(text: Column) -> Column:
 
 
 def unix_lines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def lines_of(text: Column) -> Column:
@@ -102,7 +102,7 @@ def unbase64_unpadded(text: Column) -> Column:
 
 
 def base64_unpadded(raw: Column) -> Column:
-    return F.regexp_replace(F.base64(raw), "=+$", "")
+    return F.rtrim(F.base64(raw), F.lit("="))
 
 
 def base64_to_hex(text: Column) -> Column:

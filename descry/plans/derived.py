@@ -228,8 +228,7 @@ def bridge_status_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def status_documents(spark: SparkSession, folder: str) -> DataFrame:
     """A status per order; orders in progress have a malformed third entry."""
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    k, c, day = F.col("o_orderkey"), F.col("o_custkey"), F.col("__day")
     is_micro = F.col("o_orderpriority") == "1-URGENT"
     is_vote = F.col("o_orderpriority") == "5-LOW"
 
@@ -253,6 +252,7 @@ def status_documents(spark: SparkSession, folder: str) -> DataFrame:
         spark, folder, "orders",
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority",
     )
+    orders = once(orders, __day=F.date_format("o_orderdate", "yyyy-MM-dd"))
     made = orders.select(
         "o_orderkey",
         utf8(

@@ -85,13 +85,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan with fewer splits than cores, dealt out to all cores.
+#: Most rows of a scan that become documents in one task, about.
+ROWS_A_TASK = 100_000
 
-    For per-document work that costs far more than moving the rows; a scan that
-    already has enough splits is left alone.
+
+def spread(df: DataFrame, rows: int = ROWS_A_TASK) -> DataFrame:
+    """Rows of a scan dealt out to all cores, and to more tasks where they are many.
+
+    For per-document work that costs far more than moving the rows: a split of narrow
+    rows holds millions of them, so tasks follow the number of rows, which the files'
+    footers tell, and a task's time does not grow with the table.  A scan that already
+    has enough splits is left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    if df.rdd.getNumPartitions() >= tasks:
         return df
-    return df.repartition(cores)
+    return df.repartition(tasks)

@@ -25,6 +25,7 @@ from descry.operators.documents import (
     split_descriptors,
     status_entries,
 )
+from descry.session import spread
 
 
 def frame(spark, documents):
@@ -156,3 +157,12 @@ def test_certificates(spark):
     vote = HEAD.replace("consensus", "vote") + "dir-source a FP h 1.2.3.4 80 443\n" + cert
     rows = extract_certificates(frame(spark, [vote + r9(1) + r9(2), vote, HEAD + r9(1)])).collect()
     assert [(r.i, r.fingerprint, bytes(r.raw).decode()) for r in rows] == [(0, "FP", cert)]
+
+
+def test_tasks_follow_the_number_of_rows(spark):
+    narrow = spark.range(0, 10_000, 1, 1)
+    assert spread(narrow, rows=300).rdd.getNumPartitions() == 34
+    assert spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    split = spark.range(0, 10_000, 1, 50)
+    assert spread(split, rows=300).rdd.getNumPartitions() == 50
+    assert spread(spark.range(0)).count() == 0
