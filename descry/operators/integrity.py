@@ -62,12 +62,18 @@ def reference_edges(
     extra_infos: DataFrame,
     microdescs: DataFrame,
     now: datetime,
+    to: str | None = None,
 ) -> DataFrame:
     """Edges (referencing, referenced, weight, expires_at) between documents.
 
     ``statuses`` has kind, valid_after, fingerprint; ``dir_sources`` the
     authorities with a vote digest; ``entries`` one row per entry.  Digests are
-    hex throughout, so upper-casing them loses nothing.
+    hex throughout, so upper-casing them loses nothing.  Statuses and entries of
+    all kinds are each read in one pass, as parsing them is what costs.
+
+    ``to`` asks only for edges to documents of one letter.  They are the same as
+    among all edges, since equal edges have one target; inputs that lead to
+    documents of other letters are not read.
     """
     edge = ("referencing", "referenced", "weight", "expires_at")
 
@@ -78,47 +84,56 @@ def reference_edges(
 
     one = F.lit(STATUS_WEIGHT)
     until = _plus("valid_after", THREE_HOURS)
-    consensus = statuses.filter(F.col("kind") == "consensus")
-    micro = statuses.filter(F.col("kind") == "consensus-microdesc")
-    votes_of = dir_sources.filter(F.col("kind") == "consensus")
+    kind = F.col("kind")
+    of_consensus, of_micro = kind == "consensus", kind == "consensus-microdesc"
     c, m = _status_name("C", "valid_after"), _status_name("M", "valid_after")
-    v = _status_name("V", "valid_after", "identity")
+    v = _status_name("V", "valid_after", "fingerprint")
+
+    def leading_to(letters: dict[str, str]) -> Column:
+        """Whether the letter that a status's kind leads to is asked for."""
+        return kind.isin(*[k for k, letter in letters.items() if to in (None, letter)])
 
-    keys = ["kind", "valid_after", "fingerprint"]
-    weighted = entry_weights(
-        entries.withColumn("fingerprint", F.coalesce("fingerprint", F.lit(""))), keys
+    entries = entries.withColumn("fingerprint", F.coalesce("fingerprint", F.lit(""))).filter(
+        leading_to({"consensus": "S", "consensus-microdesc": "D", "vote": "S"})
     )
-    of_kind = lambda k: weighted.filter(F.col("kind") == k)
-    to_server = F.concat(F.lit("S-"), F.col("server_digest"))
-    to_micro = F.concat(F.lit("D-"), F.col("micro_digest"))
-    w = F.col("weight")
+    weighted = entry_weights(entries, ["kind", "valid_after", "fingerprint"])
+    server = F.lit(True) if to is None else F.col("server_digest").isNotNull()
+    extra_info = F.concat(F.lit("E-"), F.col("extra_info_digest"))
     nothing = F.lit("")
-    parts = [
-        edges(consensus, c, m, one, until),
-        edges(micro, m, c, one, until),
-        edges(votes_of, c, v, one, until),
-        edges(of_kind("consensus"), c, to_server, w, _plus("published", THREE_HOURS)),
-        edges(
-            of_kind("consensus-microdesc").filter(F.col("micro_digest").isNotNull()),
-            m,
-            to_micro,
-            w,
-            _plus("published", THREE_HOURS),
+    parts = {
+        "CM": edges(
+            statuses.filter(leading_to({"consensus": "M", "consensus-microdesc": "C"})),
+            F.when(of_consensus, c).otherwise(m),
+            F.when(of_consensus, m).otherwise(c),
+            one,
+            until,
         ),
-        edges(
-            of_kind("vote"),
-            _status_name("V", "valid_after", "fingerprint"),
-            to_server,
-            w,
-            _plus("published", SIX_HOURS),
+        "V": edges(
+            dir_sources.filter(of_consensus),
+            c,
+            _status_name("V", "valid_after", "identity"),
+            one,
+            until,
         ),
-        edges(
-            servers,
+        "SD": edges(
+            weighted.filter(F.when(of_micro, F.col("micro_digest").isNotNull()).otherwise(server)),
+            F.when(of_consensus, c).when(of_micro, m).otherwise(v),
+            F.when(of_micro, F.concat(F.lit("D-"), F.col("micro_digest"))).otherwise(
+                F.concat(F.lit("S-"), F.col("server_digest"))
+            ),
+            F.col("weight"),
+            F.col("published")
+            + F.when(kind == "vote", span(SIX_HOURS)).otherwise(span(THREE_HOURS)),
+        ),
+        "E": edges(
+            servers if to is None else servers.filter(F.col("extra_info_digest").isNotNull()),
             F.upper(F.concat(F.lit("S-"), F.col("digest"))),
-            F.coalesce(F.concat(F.lit("E-"), F.col("extra_info_digest")), nothing),
+            F.coalesce(extra_info, nothing),
             F.lit(SERVER_WEIGHT),
             _plus("published", SIX_HOURS),
         ),
+    }
+    ends = [
         edges(
             extra_infos,
             F.upper(F.concat(F.lit("E-"), F.col("digest"))),
@@ -134,8 +149,11 @@ def reference_edges(
             _plus(at(now), THIRTY_DAYS),
         ),
     ]
-    union = parts[0]
-    for part in parts[1:]:
+    chosen = [*parts.values(), *ends]
+    if to is not None:
+        chosen = [part for letters, part in parts.items() if to in letters]
+    union = chosen[0]
+    for part in chosen[1:]:
         union = union.unionByName(part)
     return keep_first(union, ["referencing", "referenced"], ["expires_at", "weight"])
 

@@ -208,8 +208,9 @@ def unexpired_graph(spark: SparkSession, folder: str) -> DataFrame:
         nothing("digest string, published timestamp"),
         nothing("sha256_hex string"),
         _UNEXPIRED_AT,
+        to="D",
     )
-    kept = unexpired(edges.filter(F.col("referenced").startswith("D-")), _UNEXPIRED_AT)
+    kept = unexpired(edges, _UNEXPIRED_AT)
     return kept.select(
         "referencing", "referenced", "weight", as_time_text("expires_at").alias("expires")
     )
