@@ -1,17 +1,19 @@
 """Byte-level BPE with the ranks of a public vocabulary.
 
-Texts are split by the vocabulary's pattern.  Words are then encoded by higher-order
-functions: the bytes of a word are an array of pieces, and a fold merges, step by step,
-the neighbouring pair of the lowest rank, with ranks from a literal map.  Frequent words
-are encoded once for the corpus; their number is bounded, so they may go to all tasks.
-The other words are encoded once for each block of documents, in the row that holds the
-block.  Nothing but counts of words is shuffled.
+Texts are split by the vocabulary's pattern.  Frequent words are encoded once for the corpus
+by higher-order functions: the bytes of a word are an array of pieces, and a fold merges,
+step by step, the neighbouring pair of the lowest rank, with ranks from a literal map.
+Their number is bounded, so they may go to all tasks.  The other words are encoded once for
+each block of documents, where the block is: words of one length are rows of a matrix of
+pieces, and a step merges the pair of the lowest rank in every row.  Nothing but counts of
+words is shuffled.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -40,6 +42,9 @@ NO_RANK = 2**31 - 1
 STRETCH = 64
 #: Pieces before a stretch that are merged anew with it; where that is too few, the more.
 REMERGED = (8, 64)
+#: Bytes of a word that is merged beside others of its length, fewest words of a length for
+#: that, and pieces in a matrix; other words are merged one by one.
+LONGEST_ROW, FEWEST_ROWS, MATRIX = 128, 8, 1 << 18
 #: Most words that go to all tasks, and the longest of them in bytes.
 MOST_WORDS, LONGEST_WORD = 1 << 19, 64
 #: Bytes that Spark hands to a Python worker at once: a session setting, lowered to this.
@@ -67,17 +72,13 @@ class Ranks:
             text = piece.decode(CHARSET)
             parts[zlib.crc32(text.encode()) % PARTS][text] = rank
         self.literal = F.from_json(F.lit(json.dumps(parts)), "array<map<string, int>>")
+        self.merges = Merges(ranks)
 
     def encode(self, word: Column) -> Column:
         """Ids of a word: its own rank if it has one, else those of its merged pieces."""
         # bound once: each mention of the literal would be one more copy in the plan
         return let(self.literal, lambda table: _encoded(table, word))
 
-    def encode_all(self, words: Column) -> Column:
-        return let(
-            self.literal, lambda table: F.transform(words, lambda w: _encoded(table, w))
-        )
-
 
 def _rank_of(table: Column, piece: Column) -> Column:
     """Rank of a piece, null if it has none."""
@@ -224,9 +225,124 @@ def frequent_words(docs: DataFrame, ranks: Ranks) -> DataFrame:
     return frequent.select("word", ranks.encode(F.col("word")).alias("ids"))
 
 
-BLOCK = (
-    "doc_ids array<long>, ends array<long>, codes array<int>, words array<string>"
-)
+class Merges:
+    """The ranks for many words at once, inside a task.
+
+    A piece goes by its rank, a byte without one by a number below zero.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        own = {bytes([b]): -1 - b for b in range(256)} | ranks
+        rows = [
+            (own[piece[:k]], own[piece[k:]], rank)
+            for piece, rank in ranks.items()
+            for k in range(1, len(piece))
+            if piece[:k] in own and piece[k:] in own
+        ]
+        left, right, rank = np.array(rows or [(0, 0, NO_RANK)], np.int64).T
+        key = self._key(left, right)
+        order = np.argsort(key)
+        self.ranks, self.keys, self.found = ranks, key[order], rank[order].astype(np.int32)
+        self.of_byte = np.array([own[bytes([b])] for b in range(256)], np.int32)
+
+    @staticmethod
+    def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (left.astype(np.int64) << 32) | (right.astype(np.int64) & 0xFFFFFFFF)
+
+    def _of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = self._key(left, right)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.found[at], np.int32(NO_RANK))
+
+    def _rows(self, pieces: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers and their pieces after all merges, of words of one length.
+
+        Each step is one merge in each row: the first pair of the lowest rank.  A row that
+        has none leaves, so the others have one number of pieces.
+        """
+        rows = np.arange(len(pieces))
+        ranks = self._of_pairs(pieces[:, :-1], pieces[:, 1:])
+        while len(rows) and ranks.shape[1]:
+            at = ranks.argmin(axis=1)
+            low = ranks[np.arange(len(rows)), at]
+            ended = low == NO_RANK
+            if ended.any():
+                yield rows[ended], pieces[ended]
+                rows, pieces, ranks = rows[~ended], pieces[~ended], ranks[~ended]
+                at, low = at[~ended], low[~ended]
+            n, size = pieces.shape
+            each = np.arange(n)
+            pieces[each, at] = low
+            pieces = pieces[np.arange(size) != at[:, None] + 1].reshape(n, size - 1)
+            ranks = ranks[np.arange(size - 1) != at[:, None]].reshape(n, size - 2)
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < size - 2)
+            ranks[before, at[before] - 1] = self._of_pairs(pieces[before, at[before] - 1], low[before])
+            ranks[after, at[after]] = self._of_pairs(low[after], pieces[after, at[after] + 1])
+        if len(rows):
+            yield rows, pieces
+
+    def _one(self, word: bytes) -> list[int]:
+        """Pieces of a word after all merges: pairs wait in a heap, so time is n log n."""
+        size, rank_of = len(word), self.ranks.get
+        # ends of pieces by their starts, starts by their ends, ranks of pieces with the next
+        end, start = list(range(1, size + 1)), list(range(-1, size))
+        pair = [rank_of(word[i : i + 2], NO_RANK) for i in range(size - 1)] + [NO_RANK]
+        heap = [(rank, i) for i, rank in enumerate(pair) if rank != NO_RANK]
+        heapq.heapify(heap)
+        own = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if pair[i] != rank:
+                continue
+            own[i], pair[end[i]], end[i] = rank, NO_RANK, end[end[i]]
+            start[end[i]] = i
+            for k in (start[i], i) if i else (i,):
+                after = end[end[k]] if end[k] < size else 0
+                pair[k] = rank_of(word[k:after], NO_RANK) if after else NO_RANK
+                if pair[k] != NO_RANK:
+                    heapq.heappush(heap, (pair[k], k))
+        found, i = [], 0
+        while i < size:
+            found.append(own[i])
+            i = end[i]
+        return found
+
+    def encoded(self, words: pa.Array) -> pa.ListArray:
+        """Ids of words: a word's own rank if it has one, else those of its merged pieces."""
+        if not len(words):
+            return pa.array([], pa.list_(pa.int32()))
+        raw = words.cast(pa.large_binary())
+        offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+        sizes = np.diff(offsets)
+        known = pa.array(list(self.ranks), pa.large_binary())
+        own = pc.index_in(raw, value_set=known).fill_null(-1).to_numpy()
+        whole = np.flatnonzero(own >= 0)
+        values = np.fromiter(self.ranks.values(), np.int32, len(self.ranks))
+        # ids as they are found, and the words they belong to
+        words_of, ids = [whole], [values[own[whole]]]
+
+        def add(numbers: np.ndarray, pieces: np.ndarray) -> None:
+            words_of.append(np.repeat(numbers, pieces.shape[1]))
+            ids.append(pieces.reshape(-1))
+
+        others = np.flatnonzero((own < 0) & (sizes > 0))
+        others = others[np.argsort(sizes[others], kind="stable")]
+        lengths, starts = np.unique(sizes[others], return_index=True)
+        for size, alike in zip(lengths.tolist(), np.split(others, starts[1:]), strict=False):
+            if size > LONGEST_ROW or len(alike) < FEWEST_ROWS:
+                for k in alike:
+                    low = int(offsets[k])
+                    add(np.array([k]), np.array([self._one(data[low : low + size].tobytes())], np.int32))
+                continue
+            for part in np.array_split(alike, -(-len(alike) * size // MATRIX)):
+                pieces = self.of_byte[data[offsets[part][:, None] + np.arange(size)]]
+                for rows, merged in self._rows(pieces):
+                    add(part[rows], merged)
+        word, flat = np.concatenate(words_of), np.concatenate(ids)
+        flat = flat[np.argsort(word, kind="stable")]
+        ends = np.r_[0, np.cumsum(np.bincount(word, minlength=len(raw)))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, mask=flat < 0))
 
 
 def _whole(column: pa.ChunkedArray) -> pa.Array:
@@ -250,26 +366,31 @@ def _frugal() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
-def _blocks(frequent: bytes):
-    """Texts' words as numbers: those of frequent words, then those of the block's others."""
+def _ids_of_documents(doc_ids: pa.Array, ids: pa.ListArray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_ids, ids], ["doc_id", "ids"])
+
 
-    def block(part: pa.RecordBatch, known: pa.Array) -> pa.RecordBatch:
-        ids, lists = part.columns
-        sizes = np.diff(lists.offsets.to_numpy())
+def _blocks(frequent: bytes, frequent_ids: bytes, merges: Merges, finish):
+    """Documents' ids from the ids of frequent words and those of the block's others."""
+
+    def block(part: pa.RecordBatch, known: pa.Array, known_ids: pa.Array) -> pa.RecordBatch:
+        doc_ids, lists = part.columns
+        ends = lists.offsets.to_numpy().astype(np.int64)
         words = lists.flatten()
         codes = pc.index_in(words, value_set=known)
         other = codes.is_null()
         rest = words.filter(other).dictionary_encode()
         numbers = codes.fill_null(0).to_numpy().astype(np.int32)
         numbers[other.to_numpy(zero_copy_only=False)] = rest.indices.to_numpy() + len(known)
-        row = [ids, pa.array(np.cumsum(sizes)), pa.array(numbers), rest.dictionary]
-        names = ["doc_ids", "ends", "codes", "words"]
-        one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row]
-        return pa.RecordBatch.from_arrays(one, names)
+        ids = pa.concat_arrays([known_ids, merges.encoded(rest.dictionary)])
+        taken = ids.take(pa.array(numbers))
+        del ids
+        at = taken.offsets.to_numpy()[ends - ends[0]]
+        return finish(doc_ids, pa.ListArray.from_arrays(pa.array(at), taken.values))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _frugal()
-        known = _read(frequent)
+        known, known_ids = _read(frequent), _read(frequent_ids).cast(pa.list_(pa.int32()))
         for batch in batches:
             # cut where the words of documents pass the size of a block
             lists = batch.column(1)
@@ -279,36 +400,11 @@ def _blocks(frequent: bytes):
             cuts = np.r_[0, np.flatnonzero(np.diff(at[1:])) + 1, batch.num_rows]
             for low, high in zip(cuts, cuts[1:], strict=False):
                 if low < high:
-                    yield block(batch.slice(int(low), int(high - low)), known)
+                    yield block(batch.slice(int(low), int(high - low)), known, known_ids)
 
     return blocks
 
 
-def _ids_of_documents(doc_ids: pa.Array, ids: pa.ListArray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([doc_ids, ids], ["doc_id", "ids"])
-
-
-def _assembled(frequent: bytes, finish):
-    """Documents' ids from the numbers of their words and the ids of words."""
-
-    def one(row: pa.RecordBatch, known: pa.Array) -> pa.RecordBatch:
-        doc_ids, ends, codes, others = (c.flatten() for c in row.columns)
-        lists = pa.concat_arrays([known, others.cast(known.type)])
-        taken = lists.take(codes)
-        del lists
-        at = taken.offsets.to_numpy()[np.r_[0, ends.to_numpy()].astype(np.int64)]
-        return finish(doc_ids, pa.ListArray.from_arrays(pa.array(at), taken.values))
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _frugal()
-        known = _read(frequent).cast(pa.list_(pa.int32()))
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield one(batch.slice(k, 1), known)
-
-    return assemble
-
-
 def encoded_documents(
     docs: DataFrame,
     ranks: Ranks,
@@ -330,11 +426,7 @@ def encoded_documents(
     split = docs.select(
         F.col("doc_id").cast("long"), words_of_text(text_of("text")).alias("words")
     )
-    blocks = split.mapInArrow(_blocks(words), BLOCK)
-    blocks = blocks.select(
-        "doc_ids", "ends", "codes", ranks.encode_all(F.col("words")).alias("others")
-    )
-    return blocks.mapInArrow(_assembled(ids, finish), schema)
+    return split.mapInArrow(_blocks(words, ids, ranks.merges, finish), schema)
 
 
 def decode(ids: Column, pieces: dict[bytes, int]) -> Column:

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -481,6 +482,25 @@ def test_long_words_are_encoded_in_stretches(spark, monkeypatch, pieces, encodin
         assert [r.ids for r in sorted(ids)] == expected
 
 
+@pytest.mark.parametrize("few, matrix", [(1, 1 << 18), (8, 100), (1000, 1 << 18)])
+def test_words_of_a_block_are_merged_together(spark, monkeypatch, pieces, encoding, few, matrix):
+    monkeypatch.setattr(bpe, "FEWEST_ROWS", few)
+    monkeypatch.setattr(bpe, "MATRIX", matrix)
+    rng = random.Random(1)
+    words = ["".join(rng.choices("etaoinshrdéA漢'", k=rng.randrange(1, 30))) for _ in range(300)]
+    words += ["ab" * n for n in range(1, 90)] + ["", "a" * 2000, "é"]
+    ids = bpe.Ranks(pieces).merges.encoded(pa.array(words)[5:])
+    assert ids.to_pylist() == [encoding._encode_single_piece(w) if w else [] for w in words[5:]]
+    # a byte without a rank is a piece of its own, without an id
+    merges = bpe.Merges({b"a": 0, b"xy": 1, b"ab": 2})
+    assert merges.encoded(pa.array(["xya", "cabx"])).to_pylist() == [[1, 0], [None, 2, None]]
+    # blocks go to one worker, and no words come back to be merged
+    docs = documents(spark, [(i, w, "en", "s") for i, w in enumerate(words)])
+    encoded = bpe.encoded_documents(docs, bpe.Ranks(pieces))
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("block", [1 << 23, 50])
 def test_ids_are_those_of_the_library(spark, monkeypatch, pieces, encoding, block):
     monkeypatch.setattr(bpe, "BLOCK_BYTES", block)
