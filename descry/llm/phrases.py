@@ -26,11 +26,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from descry.functions.text import once
-from descry.llm.common import ascii_lower, remove_folder, scratch_folder, slices, text_of, written
+from descry.llm.common import (
+    LOWER,
+    UPPER,
+    remove_folder,
+    scratch_folder,
+    slices,
+    text_of,
+    written,
+)
 
 #: What ends a piece, what parts words.
-PIECE_END, BLANK = r"[.,;:!?\x0A-\x0D]+", r"[\x20\x09]+"
+PIECE_END, BLANK = b".,;:!?\n\v\f\r", b" \t"
 UNKNOWN = "und"
 #: With more shards longer phrases start earlier, but running counts are merged more often.
 SHARDS = 2
@@ -44,27 +51,26 @@ MOST_PHRASES = 2000
 CELLS = 1 << 23
 NEVER = 255
 #: Bytes of texts that a task splits at once, and words that it counts.
-TEXT_AT_ONCE, WORDS_AT_ONCE = 1 << 22, 1 << 19
+TEXT_AT_ONCE, WORDS_AT_ONCE = 1 << 22, 1 << 20
 COUNTS = "lang string, size int, act int, phrase string, n long"
 DONE = ("lang", "size", "phrase", "n")
-_BREAK = "\n"
-
-
-def pieced(text: Column) -> Column:
-    """Words parted by one blank, pieces by a word of one line end."""
-    broken = F.regexp_replace(ascii_lower(text), PIECE_END, " \n ")
-    return F.trim(F.regexp_replace(broken, BLANK, " "))
+#: What a byte is: of a word, a blank or an end of a piece; and the byte in lower case.
+_KIND, _LOWERED = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
+_KIND[list(BLANK)], _KIND[list(PIECE_END)] = 1, 2
+_LOWERED[list(UPPER.encode())] = list(LOWER.encode())
 
 
 def sharded_texts(docs: DataFrame, shards: int) -> DataFrame:
-    """(lang, words, shard): texts in pieces, dealt to shards."""
-    rows = docs.select(
-        F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"),
-        text_of("text").alias("text"),
-    )
-    rows = once(rows, words=pieced(F.col("text"))).filter("words != ''")
+    """(lang, text, shard): texts dealt to shards."""
     shard = F.pmod(F.xxhash64("text", F.spark_partition_id()), F.lit(shards)).cast("int")
-    return rows.select("lang", "words", shard.alias("shard"))
+    return (
+        docs.select(
+            F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"),
+            text_of("text").alias("text"),
+        )
+        .filter("text != ''")
+        .select("lang", "text", shard.alias("shard"))
+    )
 
 
 # --- marks ---------------------------------------------------------------------------------
@@ -120,6 +126,28 @@ def marked_cells(counts: DataFrame, least: int, longest: int, cells: int) -> lis
 # --- one step: a shard's active phrases ------------------------------------------------------
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased words of texts, and for each the number of its piece."""
+    # the line end keeps texts apart
+    whole = pc.binary_join_element_wise(texts, "\n", "").cast(pa.large_string())
+    ends = np.frombuffer(whole.buffers()[1], np.int64)[[whole.offset, whole.offset + len(whole)]]
+    data = np.frombuffer(whole.buffers()[2], np.uint8)[ends[0] : ends[1]]
+    kind = _KIND[data]
+    inside = kind == 0
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    # where words start and pieces end
+    at = np.flatnonzero(starts | (kind == 2))
+    word = kind[at] == 0
+    piece = np.cumsum(~word)[word]
+    at = at[word]
+    # a word ends before the last byte, which is a line end
+    stops = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    offsets = np.r_[0, np.cumsum(stops - at)].astype(np.int32)
+    letters = pa.py_buffer(_LOWERED[data[inside]])
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), letters), piece
+
+
 def _numbered(words: pa.Array, lang: str) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Each word's number, the different words, and their hashes."""
     coded = words.dictionary_encode()
@@ -131,63 +159,64 @@ def _numbered(words: pa.Array, lang: str) -> tuple[np.ndarray, pa.Array, np.ndar
     return coded.indices.to_numpy().astype(np.int64), different, np.array(hashes, np.uint64)
 
 
-def _pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The number of each (left, right) among the different ones, and those."""
-    key = (left << np.int64(32)) | right
-    different, number = np.unique(key, return_inverse=True)
-    return number.astype(np.int64), different >> np.int64(32), different & np.int64((1 << 32) - 1)
+def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of each (left, right) among the different ones."""
+    coded = pa.array((left << np.int64(32)) | right).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64)
 
 
 def _counted(
-    lang: str, words: pa.Array, first: int, marks: Marks, step: int, shards: int, longest: int
+    lang: str, words: pa.Array, piece: np.ndarray, first: int, marks: Marks, step: int,
+    shards: int, longest: int,
 ) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases that start in ``words`` before place ``first`` and are active."""
     codes, different, hashes = _numbered(words, lang)
-    breaks = pc.equal(different, _BREAK).to_numpy(zero_copy_only=False)
-    inside = ~breaks[codes]
 
-    def out(size: int, phrases: pa.Array, act: np.ndarray | int, n: np.ndarray) -> pa.RecordBatch:
-        acts = np.broadcast_to(np.asarray(act, np.int32), n.shape)
+    def out(size: int, places: np.ndarray, act: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Rows of the phrases at some places."""
+        parts = [different.take(pa.array(codes[places + k])) for k in range(size)]
+        phrases = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
         columns = [
-            pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), size, np.int32)),
-            pa.array(acts), phrases.cast(pa.string()), pa.array(n.astype(np.int64)),
+            pa.repeat(lang, len(n)), pa.array(np.full(len(n), size, np.int32)),
+            pa.array(act.astype(np.int32)), phrases, pa.array(n.astype(np.int64)),
         ]
         return pa.RecordBatch.from_arrays(columns, ["lang", "size", "act", "phrase", "n"])
 
-    if step < shards:
-        n = np.bincount(codes[:first][inside[:first]], minlength=len(different))
+    def counts(number: np.ndarray, at: np.ndarray, counted: np.ndarray) -> tuple:
+        """Of phrases counted: their numbers, a place of each, how often each."""
+        place = np.zeros(len(at), np.int64)
+        place[number] = at
+        n = np.bincount(number[counted], minlength=len(at))
         held = np.flatnonzero(n)
-        yield out(1, different.take(pa.array(held)), 0, n[held])
-    # places where a phrase of the length before starts, its number and spelling there
-    at = np.flatnonzero(inside)
-    number, spelled, hashed = codes[at], different, hashes[codes[at]]
-    act = np.zeros(len(at), np.int64)
+        return held, place[held], n[held]
+
+    # places where a phrase of the length before starts, its number and hash there
+    at = np.arange(len(codes))
+    number, hashed, act = codes, hashes[codes], np.zeros(len(at), np.int64)
+    if step < shards:
+        held, places, n = counts(number, at, at < first)
+        yield out(1, places, np.zeros(len(n)), n)
     for size in range(2, longest + 1):
         table, mask = marks.steps[size - 1], np.uint64(marks.cells - 1)
         # no phrase is marked before it is active, though its cell may be
         since = np.maximum(table[(hashed & mask).astype(np.int64)], act)
-        # the phrase that starts one word on, if there is one
-        adjacent = np.flatnonzero(at[1:] == at[:-1] + 1)
+        # the phrase that starts one word on in the piece, if there is one
+        adjacent = np.flatnonzero((at[1:] == at[:-1] + 1) & (piece[at[1:]] == piece[at[:-1]]))
         marked = (since[adjacent] != NEVER) & (since[adjacent + 1] != NEVER)
         here, there = adjacent[marked], adjacent[marked] + 1
         act = np.maximum(since[here], since[there]) + 1
         started = act <= step
         here, act = here[started], act[started]
         # longer phrases need those whose cycle is over, too
-        last = at[here] + size - 1
-        joined, left, right = _pairs(number[here], codes[last])
-        phrases = pc.binary_join_element_wise(
-            spelled.take(pa.array(left)), different.take(pa.array(right)), " "
-        )
-        hashed = _turned(hashed[here]) ^ hashes[codes[last]]
-        at, number, spelled = at[here], joined, phrases
-        counted = (act + shards > step) & (at < first)
-        n = np.bincount(number[counted], minlength=len(phrases))
-        act_of = np.zeros(len(phrases), np.int64)
+        last = codes[at[here] + size - 1]
+        number = _pairs(number[here], last)
+        hashed = _turned(hashed[here]) ^ hashes[last]
+        at = at[here]
+        held, places, n = counts(number, at, (act + shards > step) & (at < first))
+        act_of = np.zeros(len(at), np.int64)
         act_of[number] = act
-        held = np.flatnonzero(n)
         if len(held):
-            yield out(size, phrases.take(pa.array(held)), act_of[held], n[held])
+            yield out(size, places, act_of[held], n)
 
 
 def _step(marks, step: int, shards: int, longest: int):
@@ -196,15 +225,14 @@ def _step(marks, step: int, shards: int, longest: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang in pc.unique(batch.column("lang")).to_pylist():
-                own = batch.column("words").filter(pc.equal(batch.column("lang"), lang))
+                own = batch.column("text").filter(pc.equal(batch.column("lang"), lang))
                 for low, high in slices(pc.binary_length(own).to_numpy(), TEXT_AT_ONCE):
-                    # a break after each text
-                    texts = pc.binary_join_element_wise(own.slice(low, high - low), _BREAK, " ")
-                    words = pc.split_pattern(texts, " ").flatten()
+                    words, piece = _split(own.slice(low, high - low))
                     for start in range(0, len(words), WORDS_AT_ONCE):
-                        part = words.slice(start, WORDS_AT_ONCE + longest - 1)
+                        some = slice(start, start + WORDS_AT_ONCE + longest - 1)
                         yield from _counted(
-                            lang, part, WORDS_AT_ONCE, marks.value, step, shards, longest
+                            lang, words[some], piece[some], WORDS_AT_ONCE, marks.value, step,
+                            shards, longest,
                         )
 
     return count
@@ -221,7 +249,8 @@ def phrase_counts(
     each language a row of size 0 with the number of all words.
 
     ``longest`` * ``shards`` steps at most.  A step adds its shard's counts to those of the
-    phrases still in their cycle, in a table in the shared folder; what ends its cycle leaves.
+    phrases still in their cycle, in a table in the shared folder; what ends its cycle leaves,
+    rare phrases at once.
     """
     spark = docs.sparkSession
     folder, scratch = scratch_folder(spark, "phrases"), scratch_folder(spark, "phrases-steps")
@@ -231,12 +260,15 @@ def phrase_counts(
     done = []
     while step < shards or step <= last_new + shards:
         sent = spark.sparkContext.broadcast(marks)
-        here = texts.filter(F.col("shard") == step % shards).select("lang", "words")
+        here = texts.filter(F.col("shard") == step % shards).select("lang", "text")
         new = here.mapInArrow(_step(sent, step, shards, longest), COUNTS)
+        # of what ends its cycle, rare words are needed for the number of all, rare phrases not
+        stays = (F.col("act") > step - shards + 1) | (F.col("size") == 1) | (F.col("n") >= least)
         counts = written(
             running.unionByName(new)
             .groupBy("lang", "size", "act", "phrase")
-            .agg(F.sum("n").alias("n")),
+            .agg(F.sum("n").alias("n"))
+            .filter(stays),
             f"{scratch}/counts-{step}",
         )
         if marks.add(step, marked_cells(counts, least, longest, cells)):
