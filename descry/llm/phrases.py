@@ -5,19 +5,21 @@ the first step on.  After each step the phrases whose running count has reached
 threshold are marked; a longer phrase becomes active in the step after both the phrase
 without its last and the one without its first word were marked, and is counted from there
 until it has met every shard once.  Lengths therefore interleave: while rare words are still
-in their first cycle, phrases of frequent ones are counted already.
+in their first cycle, phrases of frequent ones are counted already.  Running counts go by
+the phrases' hashes, as most phrases turn out rare; a last reading of the texts spells those
+whose hash was frequent and counts them as they are spelled.
 
 Marks travel to tasks as one table of fixed size for each length: a cell for each value of
 a hash, holding the first step in which a phrase of that cell was marked.  Phrases that
 share a cell may become active too early, which costs time only: when a phrase is active
-depends on the table alone and never changes, so it is counted over exactly one cycle, and
-a phrase below the threshold is left out at the end.
+depends on the table alone and never changes, so it is counted over exactly one cycle.  What
+the last reading spells needlessly, because a hash or a cell is shared, is below the
+threshold and left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +49,19 @@ LONGEST, LEAST = 3, 10
 MOST_INSIDE = 50
 SCORE_UNITS = 1_000_000
 MOST_PHRASES = 2000
-#: Cells of a table of marks; a cell is a byte.
+#: Cells of a table of marks; a cell is a byte.  The table of frequent phrases has as many
+#: bytes, each of eight cells.
 CELLS = 1 << 23
 NEVER = 255
 #: Bytes of texts that a task splits at once, and words that it counts.
-TEXT_AT_ONCE, WORDS_AT_ONCE = 1 << 22, 1 << 20
-COUNTS = "lang string, size int, act int, phrase string, n long"
-DONE = ("lang", "size", "phrase", "n")
+TEXT_AT_ONCE, WORDS_AT_ONCE = 1 << 21, 1 << 19
+COUNTS = "size int, act int, key long, n long"
+SPELLED = "lang string, size int, phrase string, n long"
+#: A number for each byte and what the places of a word weigh, in a word's hash.
+_NUMBERS = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_WEIGHT = 0x9E3779B97F4A7C15
+#: Bytes of one of Spark's bitmaps.
+_BITMAP = 4096
 #: What a byte is: of a word, a blank or an end of a piece; and the byte in lower case.
 _KIND, _LOWERED = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
 _KIND[list(BLANK)], _KIND[list(PIECE_END)] = 1, 2
@@ -77,19 +85,10 @@ def sharded_texts(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def _turned(h: np.ndarray) -> np.ndarray:
+    """A phrase's hash is its words' hashes, turned by 7 bits and combined one after another."""
     return (h << np.uint64(7)) | (h >> np.uint64(57))
 
 
-def phrase_hash(lang: Column, phrase: Column) -> Column:
-    """Hash of a phrase: its words' hashes, turned by 7 bits and combined one after another."""
-
-    def add(h: Column, word: Column) -> Column:
-        turned = F.shiftleft(h, 7).bitwiseOR(F.shiftrightunsigned(h, 57))
-        return turned.bitwiseXOR(F.xxhash64(F.concat(lang, F.lit("\n"), word)))
-
-    return F.aggregate(F.split(phrase, " ", -1), F.lit(0).cast("long"), add)
-
-
 class Marks:
     """For each length below the longest, the first step that marked a cell."""
 
@@ -110,11 +109,30 @@ class Marks:
         return new
 
 
+class Frequent:
+    """For each length, a bit for each cell that holds a frequent phrase."""
+
+    def __init__(self, longest: int, cells: int):
+        self.cells = 8 * cells
+        self.bits = {k: np.zeros(-(-cells // _BITMAP) * _BITMAP, np.uint8) for k in range(1, longest + 1)}
+
+    def add(self, found: list) -> None:
+        for row in found:
+            bits = np.frombuffer(row.bits, np.uint8)
+            self.bits[row.size][(row.bucket - 1) * len(bits) :][: len(bits)] |= bits
+
+    def holds(self, size: int, hashed: np.ndarray) -> np.ndarray:
+        cell = hashed & np.uint64(self.cells - 1)
+        byte = self.bits[size][(cell >> np.uint64(3)).astype(np.int64)]
+        return ((byte >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def marked_cells(counts: DataFrame, least: int, longest: int, cells: int) -> list:
-    """Cells of the phrases that have reached the threshold, as at most ``cells`` bits a length."""
+    """Cells of the phrases shorter than ``longest`` that have reached the threshold, as at
+    most ``cells`` bits a length."""
     reached = counts.filter((F.col("n") >= least) & (F.col("size") < longest))
     # positions in a bitmap count from 1
-    cell = phrase_hash(F.col("lang"), F.col("phrase")).bitwiseAND(F.lit(cells - 1)) + 1
+    cell = F.col("key").bitwiseAND(F.lit(cells - 1)) + 1
     return (
         reached.select("size", cell.alias("cell"))
         .groupBy("size", F.bitmap_bucket_number("cell").alias("bucket"))
@@ -148,15 +166,28 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), letters), piece
 
 
+def _hashes(words: pa.Array, lang: str) -> np.ndarray:
+    """A hash of each word in its language: its bytes' numbers, weighed by place and mixed."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1]
+    sizes = np.diff(offsets)
+    starts = (offsets[:-1] - offsets[0]).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    weights = np.cumprod(np.full(sizes.max(), _WEIGHT, np.uint64))
+    h = _NUMBERS[data]
+    h *= weights[np.arange(len(data)) - np.repeat(starts, sizes)]
+    h = np.add.reduceat(h, starts) + np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def _numbered(words: pa.Array, lang: str) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Each word's number, the different words, and their hashes."""
     coded = words.dictionary_encode()
     different = coded.dictionary
-    start = lang.encode() + b"\n"
-    hashes = [
-        xxhash.xxh64_intdigest(start + w.encode(), 42) for w in different.to_pylist()
-    ]
-    return coded.indices.to_numpy().astype(np.int64), different, np.array(hashes, np.uint64)
+    return coded.indices.to_numpy().astype(np.int64), different, _hashes(different, lang)
 
 
 def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -165,64 +196,93 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return coded.indices.to_numpy().astype(np.int64)
 
 
+def _next_in_piece(at: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """Of places in order, numbers of those whose next word is a place too, in the same piece."""
+    return np.flatnonzero((at[1:] == at[:-1] + 1) & (piece[at[1:]] == piece[at[:-1]]))
+
+
 def _counted(
     lang: str, words: pa.Array, piece: np.ndarray, first: int, marks: Marks, step: int,
     shards: int, longest: int,
 ) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases that start in ``words`` before place ``first`` and are active."""
-    codes, different, hashes = _numbered(words, lang)
+    hashes = _hashes(words, lang)
 
-    def out(size: int, places: np.ndarray, act: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        """Rows of the phrases at some places."""
-        parts = [different.take(pa.array(codes[places + k])) for k in range(size)]
-        phrases = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
+    def out(size: int, act: int, counted: np.ndarray) -> pa.RecordBatch:
+        """Rows of the hashes of phrases."""
+        coded = pa.array(counted).dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy())
         columns = [
-            pa.repeat(lang, len(n)), pa.array(np.full(len(n), size, np.int32)),
-            pa.array(act.astype(np.int32)), phrases, pa.array(n.astype(np.int64)),
+            pa.array(np.full(len(n), size, np.int32)), pa.array(np.full(len(n), act, np.int32)),
+            pa.array(coded.dictionary.to_numpy().view(np.int64)), pa.array(n.astype(np.int64)),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "size", "act", "phrase", "n"])
+        return pa.RecordBatch.from_arrays(columns, ["size", "act", "key", "n"])
 
-    def counts(number: np.ndarray, at: np.ndarray, counted: np.ndarray) -> tuple:
-        """Of phrases counted: their numbers, a place of each, how often each."""
-        place = np.zeros(len(at), np.int64)
-        place[number] = at
-        n = np.bincount(number[counted], minlength=len(at))
-        held = np.flatnonzero(n)
-        return held, place[held], n[held]
-
-    # places where a phrase of the length before starts, its number and hash there
-    at = np.arange(len(codes))
-    number, hashed, act = codes, hashes[codes], np.zeros(len(at), np.int64)
     if step < shards:
-        held, places, n = counts(number, at, at < first)
-        yield out(1, places, np.zeros(len(n)), n)
+        yield out(1, 0, hashes[:first])
+    # places where a phrase of the length before starts, and its hash there
+    at = np.arange(len(hashes))
+    hashed, act = hashes, np.zeros(len(at), np.uint8)
     for size in range(2, longest + 1):
         table, mask = marks.steps[size - 1], np.uint64(marks.cells - 1)
         # no phrase is marked before it is active, though its cell may be
         since = np.maximum(table[(hashed & mask).astype(np.int64)], act)
         # the phrase that starts one word on in the piece, if there is one
-        adjacent = np.flatnonzero((at[1:] == at[:-1] + 1) & (piece[at[1:]] == piece[at[:-1]]))
+        adjacent = _next_in_piece(at, piece)
         marked = (since[adjacent] != NEVER) & (since[adjacent + 1] != NEVER)
-        here, there = adjacent[marked], adjacent[marked] + 1
-        act = np.maximum(since[here], since[there]) + 1
+        here = adjacent[marked]
+        act = np.maximum(since[here], since[here + 1]) + 1
         started = act <= step
         here, act = here[started], act[started]
         # longer phrases need those whose cycle is over, too
-        last = codes[at[here] + size - 1]
-        number = _pairs(number[here], last)
-        hashed = _turned(hashed[here]) ^ hashes[last]
+        hashed = _turned(hashed[here]) ^ hashes[at[here] + size - 1]
         at = at[here]
-        held, places, n = counts(number, at, (act + shards > step) & (at < first))
-        act_of = np.zeros(len(at), np.int64)
-        act_of[number] = act
-        if len(held):
-            yield out(size, places, act_of[held], n)
+        counted = (act > step - shards) & (at < first)
+        # hashes may be shared, so phrases that became active in different steps stay apart
+        for began in np.flatnonzero(np.bincount(act[counted])):
+            yield out(size, int(began), hashed[counted & (act == began)])
 
 
-def _step(marks, step: int, shards: int, longest: int):
-    """Counts of one shard's texts, combined over WORDS_AT_ONCE words."""
+def _spelled(
+    lang: str, words: pa.Array, piece: np.ndarray, first: int, frequent: Frequent, longest: int
+) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases before place ``first`` in frequent cells, and of all words."""
+    codes, different, hashes = _numbered(words, lang)
+
+    def out(size: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        columns = [
+            pa.repeat(lang, len(n)), pa.array(np.full(len(n), size, np.int32)), phrases,
+            pa.array(n.astype(np.int64)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "n"])
+
+    yield out(0, pa.array([""]), np.array([min(first, len(codes))]))
+    # places where a frequent phrase starts, its number and hash there
+    at, number, hashed = np.arange(len(codes)), codes, hashes[codes]
+    for size in range(1, longest + 1):
+        if size > 1:
+            here = _next_in_piece(at, piece)
+            last = codes[at[here] + size - 1]
+            at, number = at[here], _pairs(number[here], last)
+            hashed = _turned(hashed[here]) ^ hashes[last]
+        kept = frequent.holds(size, hashed)
+        at, number, hashed = at[kept], number[kept], hashed[kept]
+        if not len(at):
+            return
+        place = np.zeros(number.max() + 1, np.int64)
+        place[number] = at
+        n = np.bincount(number[at < first], minlength=len(place))
+        held = np.flatnonzero(n)
+        parts = [different.take(pa.array(codes[place[held] + k])) for k in range(size)]
+        yield out(size, pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0], n[held])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _in_parts(count, longest: int):
+    """What ``count`` makes of the texts' words, WORDS_AT_ONCE at a time."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # freed memory goes back at once, as several workers share an executor
+        pa.set_memory_pool(pa.system_memory_pool())
         for batch in batches:
             for lang in pc.unique(batch.column("lang")).to_pylist():
                 own = batch.column("text").filter(pc.equal(batch.column("lang"), lang))
@@ -230,12 +290,19 @@ def _step(marks, step: int, shards: int, longest: int):
                     words, piece = _split(own.slice(low, high - low))
                     for start in range(0, len(words), WORDS_AT_ONCE):
                         some = slice(start, start + WORDS_AT_ONCE + longest - 1)
-                        yield from _counted(
-                            lang, words[some], piece[some], WORDS_AT_ONCE, marks.value, step,
-                            shards, longest,
-                        )
+                        yield from count(lang, words[some], piece[some], WORDS_AT_ONCE)
+
+    return parts
+
+
+def _step(marks, step: int, shards: int, longest: int):
+    """Counts of one shard's texts."""
+    return _in_parts(lambda *part: _counted(*part, marks.value, step, shards, longest), longest)
 
-    return count
+
+def _last(frequent, longest: int):
+    """Counts of frequent phrases, spelled."""
+    return _in_parts(lambda *part: _spelled(*part, frequent.value, longest), longest)
 
 
 def phrase_counts(
@@ -256,39 +323,40 @@ def phrase_counts(
     folder, scratch = scratch_folder(spark, "phrases"), scratch_folder(spark, "phrases-steps")
     texts = written(sharded_texts(docs, shards), f"{scratch}/texts", "shard")
     marks, last_new, step = Marks(longest, cells), 0, 0
+    frequent = Frequent(longest, cells)
     running = spark.createDataFrame([], COUNTS)
-    done = []
     while step < shards or step <= last_new + shards:
         sent = spark.sparkContext.broadcast(marks)
         here = texts.filter(F.col("shard") == step % shards).select("lang", "text")
         new = here.mapInArrow(_step(sent, step, shards, longest), COUNTS)
-        # of what ends its cycle, rare words are needed for the number of all, rare phrases not
-        stays = (F.col("act") > step - shards + 1) | (F.col("size") == 1) | (F.col("n") >= least)
+        goes_on = F.col("act") > step - shards + 1
         counts = written(
             running.unionByName(new)
-            .groupBy("lang", "size", "act", "phrase")
+            .groupBy("size", "act", "key")
             .agg(F.sum("n").alias("n"))
-            .filter(stays),
+            .filter(goes_on | (F.col("n") >= least)),
             f"{scratch}/counts-{step}",
         )
         if marks.add(step, marked_cells(counts, least, longest, cells)):
             last_new = step
         sent.destroy()
-        over = counts.filter(F.col("act") == step - shards + 1)
-        if step == shards - 1:
-            words = over.groupBy("lang").agg(F.sum("n").alias("n")).withColumns(
-                {"size": F.lit(0), "phrase": F.lit("")}
-            )
-            done.append(written(words.select(*DONE), f"{folder}/words"))
         if step >= shards - 1:
-            frequent = over.filter(F.col("n") >= least).select(*DONE)
-            done.append(written(frequent, f"{folder}/{step}"))
+            frequent.add(marked_cells(counts.filter(~goes_on), least, longest + 1, frequent.cells))
         if step:
             remove_folder(spark, f"{scratch}/counts-{step - 1}")
-        running = counts.filter(F.col("act") > step - shards + 1)
+        running = counts.filter(goes_on)
         step += 1
+    sent = spark.sparkContext.broadcast(frequent)
+    spelled = texts.select("lang", "text").mapInArrow(_last(sent, longest), SPELLED)
+    done = written(
+        spelled.groupBy("lang", "size", "phrase")
+        .agg(F.sum("n").alias("n"))
+        .filter((F.col("size") == 0) | (F.col("n") >= least)),
+        f"{folder}/counts",
+    )
+    sent.destroy()
     remove_folder(spark, scratch)
-    return reduce(DataFrame.unionByName, done)
+    return done
 
 
 # --- collocations ------------------------------------------------------------------------------

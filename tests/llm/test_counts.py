@@ -5,6 +5,8 @@ import re
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from odd import CLASHES, LONG, ROWS, documents
 from pyspark.sql import functions as F
@@ -82,6 +84,34 @@ def test_collocations_of_odd_rows(spark, monkeypatch):
     assert empty.count() == 0 and empty.columns == found.columns
 
 
+def test_only_frequent_phrases_are_spelled():
+    """Running counts go by hashes; what may be frequent is spelled once, with exact counts."""
+    words, piece = phrases._split(pa.array(["", "x B a  b.\ta b", "É,,a\tb \n", "b a"])[1:])
+    assert words.to_pylist() == "x b a b a b É a b b a".split()
+    runs = [list(words.take(np.flatnonzero(piece == k)).to_pylist()) for k in dict.fromkeys(piece)]
+    assert runs == [["x", "b", "a", "b"], ["a", "b"], ["É"], ["a", "b"], ["b", "a"]]
+    marks = phrases.Marks(3, 1 << 15)
+    rows = lambda batches: [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    counted = lambda step, first=99: rows(phrases._counted("en", words, piece, first, marks, step, 2, 3))
+    assert sorted(n for *_, n in counted(0)) == [1, 1, 4, 5]
+    _, _, hashes = phrases._numbered(pa.array(["a", "b"]), "en")
+    marks.steps[1][(hashes & np.uint64(marks.cells - 1)).astype(int)] = 0
+    key = lambda x, y: int((phrases._turned(x) ^ y).view(np.int64))
+    ab, ba = key(*hashes), key(*hashes[::-1])
+    assert [r for r in counted(1) if r[0] == 2] == [(2, 1, ba, 2), (2, 1, ab, 3)]
+    assert [r for r in counted(2, 4)] == [(2, 1, ba, 1), (2, 1, ab, 1)]
+    assert counted(3) == []
+    frequent = phrases.Frequent(3, 1 << 15)
+    spelled = lambda first=99: rows(phrases._spelled("en", words, piece, first, frequent, 3))
+    assert spelled() == [("en", 0, "", 11)]
+    for size, cells in ((1, hashes), (2, np.array([ab]).view(np.uint64))):
+        for cell in (cells & np.uint64(frequent.cells - 1)).tolist():
+            frequent.bits[size][cell >> 3] |= 1 << (cell & 7)
+    expected = {("en", 0, "", 11), ("en", 1, "a", 4), ("en", 1, "b", 5), ("en", 2, "a b", 3)}
+    assert set(spelled()) == expected and len(spelled()) == 4
+    assert ("en", 2, "a b", 1) in spelled(4)
+
+
 def test_scores_beyond_64_bits(spark):
     """Products of counts that no long holds."""
     a = 3_000_000_000_000_000
